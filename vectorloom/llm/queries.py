@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii_boost, quality_mcd
+from . import bpe_words, langid_kn, pii_boost, quality_mcd, secret_random, vector_pack
 from .common import read_table
 
 
@@ -21,5 +21,28 @@ def op2_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii_boost, op2_quality_mcd)}
+def op4_secret_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secret_random.digest(secret_random.find(docs, carry_text=False))
+
+
+def op5_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe_words.digest(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op6_langid_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid_kn.predict(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def op10_vector_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return vector_pack.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii_boost, op2_quality_mcd, op4_secret_random, op5_bpe_words, op6_langid_kn, op10_vector_pack)}
 ORACLE_SQL: dict[str, str] = {}
