@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_words, langid_kn, pii_boost, quality_mcd, secret_random, vector_pack
+from . import bpe_words, langid_kn, para_minhash, pii_boost, quality_mcd, secret_random, sigtree_join, vector_pack
 from .common import read_table
 
 
@@ -37,6 +37,14 @@ def op6_langid_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid_kn.predict(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op8_sigtree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sigtree_join.join(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_para_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return para_minhash.digest(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_vector_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -44,5 +52,5 @@ def op10_vector_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_pack.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii_boost, op2_quality_mcd, op4_secret_random, op5_bpe_words, op6_langid_kn, op10_vector_pack)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii_boost, op2_quality_mcd, op4_secret_random, op5_bpe_words, op6_langid_kn, op8_sigtree_join, op9_para_minhash, op10_vector_pack)}
 ORACLE_SQL: dict[str, str] = {}
