@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectorloom.llm import quality_mcd
+from vectorloom.llm import para_minhash, quality_mcd, secret_random, sigtree_join, vector_pack
 from vectorloom.llm.common import cut
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: The contract of near-duplicate stages: five words, similarity 0.8 or more.
+WORDS, PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,7 +17,39 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_mcd.judge(docs.select(COLUMNS)).where("kept").select(COLUMNS)
 
 
-STAGES = [("quality rules", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of linked documents."""
+    return sigtree_join.keep_one(docs.select(COLUMNS), words=WORDS, percent=PERCENT)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without paragraphs that an earlier document holds; those of which nothing is left go."""
+    return _counted(para_minhash.dedup(docs.select(COLUMNS), words=WORDS, percent=PERCENT))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their secrets replaced by a mark."""
+    return _counted(secret_random.redact(docs.select(COLUMNS)))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
+    import public_tokenizers
+
+    return vector_pack.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.selectExpr("doc_id", "text", "lang", "source", "cast(length(text) as bigint) as n_chars")
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", passages),
+    ("secret scans", secrets),
+    ("packing", packing),
+]
 
 #: SQL can't express the robust estimates; the stages are tested against brute force.
 ORACLE_SQL = None

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_words, langid_kn, para_minhash, pii_boost, quality_mcd, secret_random, sigtree_join, vector_pack
+from . import bpe_words, chroma_audio, langid_kn, para_minhash, pfp_dedup, pii_boost, quality_mcd, secret_random, sigtree_join, vector_pack
 from .common import read_table
 
 
@@ -21,6 +22,10 @@ def op2_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op3_pfp_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfp_dedup.dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_secret_random(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return secret_random.digest(secret_random.find(docs, carry_text=False))
@@ -37,6 +42,13 @@ def op6_langid_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid_kn.predict(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op7_chroma_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no audio: every vector of ``embeddings`` is sounded, then treated as a recording."""
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    prints = chroma_audio.fingerprints(vectors, "embedding", chroma_audio.sounded)
+    return chroma_audio.align(prints, "vec_id", F.col("vec_id") % 100 == 0)
+
+
 def op8_sigtree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sigtree_join.join(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -52,5 +64,5 @@ def op10_vector_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_pack.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii_boost, op2_quality_mcd, op4_secret_random, op5_bpe_words, op6_langid_kn, op8_sigtree_join, op9_para_minhash, op10_vector_pack)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii_boost, op2_quality_mcd, op3_pfp_dedup, op4_secret_random, op5_bpe_words, op6_langid_kn, op7_chroma_audio, op8_sigtree_join, op9_para_minhash, op10_vector_pack)}
 ORACLE_SQL: dict[str, str] = {}

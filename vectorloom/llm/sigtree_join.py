@@ -1,7 +1,7 @@
 """Self-join of shingle sets by exact Jaccard similarity, with signature trees.
 
 Which documents can link is found by exact part signatures: sets that link differ in at most k elements,
-so of k + 2 parts (by element hash) at least two are equal. Sets are taken per class of size and the class
+so of more than k non-empty parts (by element hash) at least one is equal. Sets are taken per class of size and the class
 below, so that k is tight. Documents with an equal part form candidate groups (connected components of
 stars); every group is verified on whole sets by a signature tree: hierarchical nodes hold the OR and the
 AND of token bitmaps and a range of sizes; a dual traversal prunes node pairs whose largest possible
@@ -16,6 +16,7 @@ rows that repeat an id are one document; empty tables give empty tables; whole t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,8 @@ WORDS = 3
 PERCENT = 90
 CHUNK = 2000
 BITS = 1024
+#: Parts beyond what differences can touch, at least, and standard deviations of room for empty parts.
+SPARE, ROOM = 6, 6.0
 FAN = 16
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -109,33 +112,44 @@ class Classes:
             if self.starts[-1] <= n:
                 self.starts.append(self.starts[-1] * 100 // self.percent + 1)
             while len(self.parts) < len(self.starts) - 1:
-                top = self.starts[len(self.parts) + 1] - 1
+                low, top = self.starts[len(self.parts)], self.starts[len(self.parts) + 1] - 1
                 other = top * 100 // self.percent
-                self.parts.append(max(a + b - 2 * needed(a, b, self.percent) for a, b in ((top, other), (top, top), (top - 1, (top - 1) * 100 // self.percent))) + 3)
-
-    def levels(self, n: int) -> list[tuple[int, int]]:
-        """(level, number of parts) for a set of this size: its class and the one below."""
+                k = 1 + max(a + b - 2 * needed(a, b, self.percent) for a, b in ((top, other), (top, top), (top - 1, (top - 1) * 100 // self.percent)))
+                parts = k + SPARE
+                while parts < 4 * (k + SPARE):  # so many that a set hardly ever has k non-empty ones or fewer
+                    load = low / parts
+                    full = parts * (1 - math.exp(-load))
+                    spread = math.sqrt(max(0.0, parts * (math.exp(-load) - (1 + load) * math.exp(-2 * load))))
+                    if full - ROOM * spread > k:
+                        break
+                    parts += 1 + parts // 50
+                self.parts.append((parts, k))
+
+    def levels(self, n: int) -> list[tuple[int, int, int]]:
+        """(level, number of parts, largest difference) for a set of this size: its class and the one below."""
         self._grow(n)
         c = int(np.searchsorted(self.starts, n, side="right")) - 1
-        return [(x, self.parts[x]) for x in (c - 1, c) if x >= 0]
+        return [(x, *self.parts[x]) for x in (c - 1, c) if x >= 0]
 
 
 def signatures(s: np.ndarray, classes: Classes) -> np.ndarray:
-    """Part signatures of a set: one for each non-empty part of each level, one for each pair of empty parts."""
+    """Part signatures of a set: one for each non-empty part of each level.
+
+    If all equal parts of two sets are empty, either has no more non-empty parts than elements may differ:
+    such sets, which are next to none, share one more signature a level.
+    """
     out = []
     spread = mix(s)
     with np.errstate(over="ignore"):
-        for level, parts in classes.levels(len(s)):
+        for level, parts, k in classes.levels(len(s)):
             at = (s % np.uint64(parts)).astype(np.int64)
             total = np.zeros(parts, np.uint64)
             np.add.at(total, at, spread)
             count = np.bincount(at, minlength=parts)
             tag = np.uint64(level * 1_000_003 + 17) * _A + np.arange(parts, dtype=np.uint64) * _C
             out.append(mix(total[count > 0] * _B + tag[count > 0] + count[count > 0].astype(np.uint64)))
-            empty = np.nonzero(count == 0)[0]
-            if len(empty) > 1:
-                i, j = np.triu_indices(len(empty), 1)
-                out.append(mix(tag[empty[i]] + tag[empty[j]] * _B))
+            if (count > 0).sum() <= k:
+                out.append(mix(np.array([level * 7 + 3], np.uint64) * _C))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
