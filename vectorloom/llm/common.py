@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Spark writes array literals of this type into plans; wider constants are kept out of expressions.
@@ -39,3 +43,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 def shuffle_parts(spark: SparkSession) -> int:
     """The session's number of shuffle partitions: it follows the input, so blocks keep their size."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in runs whose texts have about ``most`` bytes: bounds what a worker holds."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        upto = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64))
+        cuts = [0, *(np.nonzero(np.diff(upto // most))[0] + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            yield batch.slice(lo, hi - lo)

@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .common import cut, pieces
+
 ORDER = 4
 GRAMS = 200_000  # n-grams of the highest order kept per language
 LANGS = 64  # languages kept: the most frequent ones
@@ -71,7 +73,7 @@ def counts(rows: DataFrame, text: str, lang: str) -> DataFrame:
     """``(lang, code, n)``: n-gram counts of the highest order; codes are 64 bits, signed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 0):
             names = batch.column(1).dictionary_encode()
             of = np.asarray(names.indices)
             words, index, row = _words(batch.column(0))
@@ -147,8 +149,6 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model | None
     rows = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     spark = rows.sparkSession
     # The most frequent languages and n-grams: a bounded table for the driver.
-    from .common import cut
-
     table = cut(counts(rows, text, lang), "grams")
     top = [r.lang for r in table.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()]
     if not top:
@@ -180,7 +180,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in pieces(batches, at):
             texts = batch.column(at)
             n = len(texts)
             letter = np.asarray(pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False))
