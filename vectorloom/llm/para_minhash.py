@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_parts
+from .common import cut, pieces, shuffle_parts
 from .components import components
 from .sigtree_join import CHUNK, mix, of_words, stars, verified
 
@@ -106,7 +106,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
     bands, deep = tuned(percent, recall)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1):
             _, _, node, h, of, _ = paragraphs(batch.column(1), least)
             only, first = np.unique(node, return_index=True)
             use = np.isin(of, first)
@@ -116,18 +116,18 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
             yield pa.RecordBatch.from_arrays([pa.array(node[np.sort(first)], pa.int64()), pa.array([k.tobytes() for k in keys], pa.binary())], names=["node", "keys"])
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1):
             row, place, node, *_ = paragraphs(batch.column(1), least)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(place, pa.int32()), pa.array(node, pa.int64())], names=["k", "place", "node"])
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1):
             _, _, node, _, _, line = paragraphs(batch.column(1), least)
             only, first = np.unique(node, return_index=True)
             yield pa.RecordBatch.from_arrays([pa.array(only, pa.int64()), line.take(pa.array(first))], names=["node", "line"])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 3):
             row, _, _, h, of, _ = paragraphs(batch.column(3), 0)
             s, at = of_words(h, row[of], batch.num_rows, words)
             items = [np.unique(x).tobytes() for x in np.split(s[np.argsort(at, kind="stable")], np.searchsorted(np.sort(at), np.arange(1, batch.num_rows)))]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import cut, shuffle_parts
+from .common import cut, pieces, shuffle_parts
 from .components import components
 
 WORDS = 3
@@ -257,7 +257,7 @@ def profile(docs: DataFrame, key: str, text: str, words: int, percent: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = Classes(percent)
-        for batch in batches:
+        for batch in pieces(batches, 1):
             got = sets(batch.column(1), words)
             with np.errstate(over="ignore"):
                 one = [int(mix(s).sum(dtype=np.uint64).astype(np.int64)) for s in got]
@@ -352,7 +352,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     groups = cut(candidate.join(size, "label").select("node", F.col("label").alias("cluster"), F.ceil(F.col("count") / CHUNK).alias("chunks")), "groups")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 3):
             items = [s.tobytes() for s in sets(batch.column(3), words)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(items, pa.binary())], names=["node", "cluster", "chunks", "items"])
 
