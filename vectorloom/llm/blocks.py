@@ -48,7 +48,7 @@ def blocked(docs: DataFrame, key: str, text: str, blocks: int) -> DataFrame:
             order = np.argsort(b, kind="stable")
             body = batch.select(["k", "t"]).take(pa.array(order))
             at, first = np.unique(b[order], return_index=True)
-            ends = [*first[1:], len(b)]
+            ends = np.append(first[1:], len(b))[: len(first)]
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([put(body.slice(s, e - s)) for s, e in zip(first, ends, strict=True)], pa.binary())], names=["block", "blob"])
 
     return keyed.mapInArrow(run, BLOCKS)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import clear, cut
 
 FRAME, HOP = 512, 128
 LOW, HIGH = 200.0, 1900.0
@@ -100,6 +100,7 @@ def fingerprint(c: np.ndarray) -> np.ndarray:
 
 def fingerprints(recordings: DataFrame, column: str = "audio", to_wav: Callable[[object], bytes] | None = None) -> DataFrame:
     """``recordings`` with ``fp array<int>``. ``to_wav`` turns the column's values into WAV bytes first."""
+    recordings = clear(recordings, *({"fp"} - {column}))
     at = recordings.columns.index(column)
     schema = T.StructType([*(f for i, f in enumerate(recordings.schema.fields) if i != at), T.StructField("fp", T.ArrayType(T.IntegerType()))])
 

@@ -40,6 +40,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without columns that carry a result's name (in any case): the result takes their place."""
+    taken = {n.lower() for n in names}
+    return df.select([c for c in df.columns if c.lower() not in taken])
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     """The session's number of shuffle partitions: it follows the input, so blocks keep their size."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import cut, pieces
+from .common import clear, cut, pieces
 
 ORDER = 4
 GRAMS = 200_000  # n-grams of the highest order kept per language
@@ -147,7 +147,6 @@ def _smooth(langs: list[str], grams: dict[str, tuple[np.ndarray, np.ndarray]]) -
 def fit(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model | None:
     """A model from all rows with text and lang; none if there are none."""
     rows = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    spark = rows.sparkSession
     # The most frequent languages and n-grams: a bounded table for the driver.
     table = cut(counts(rows, text, lang), "grams")
     top = [r.lang for r in table.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()]
@@ -174,6 +173,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     """``docs`` with lang_pred, score (0 to 1), entropy (nats a character) and rejected."""
     from pyspark.sql import types as T
 
+    docs = clear(docs, "lang_pred", "score", "entropy", "rejected")
     at = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by GRAMS and LANGS

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pieces, shuffle_parts
+from .common import clear, cut, pieces, shuffle_parts
 from .components import components
 from .sigtree_join import CHUNK, mix, of_words, stars, verified
 
@@ -152,6 +152,7 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", **options
 
 def marked(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with ``places`` (null if nothing goes) and ``first``."""
+    docs = clear(docs, "places", "first")
     gone = cut(removals(docs, key, text, **options), "removals")
     return docs.join(gone, key, "left").select(*docs.columns, "places", "first")
 
@@ -164,6 +165,7 @@ def without(found: DataFrame, text: str = "text"):
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` without repeated paragraphs; documents of which no word is left go."""
+    docs = clear(docs, "places", "first")
     found = marked(docs, key, text, **options)
     kept = found.withColumn("__kept", without(found, text))
     return kept.where(F.col("places").isNull() | F.col("__kept").rlike(r"[^\x20\x09-\x0D]")).withColumn(text, F.col("__kept")).select(docs.columns)

@@ -137,7 +137,7 @@ class Block:
         self.bucket, self.short, self.code, self.doc = bucket[self.head], short[self.head], code[self.head], doc[self.head]
         self.later = doc > self.doc[self.of]  # a smaller document of the block has the phrase
         self.buckets, first = np.unique(self.bucket, return_index=True)
-        self.slices = [slice(s, e) for s, e in zip(first, [*first[1:], len(self.bucket)], strict=True)]
+        self.slices = [slice(s, e) for s, e in zip(first, np.append(first[1:], len(self.bucket))[: len(first)], strict=True)]
 
 
 def _message(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:

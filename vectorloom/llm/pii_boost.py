@@ -6,7 +6,7 @@ fitted on a bounded sample (``rows`` templated examples, labelled by constructio
 computed by the same expressions as those of real text.
 
 Defined results: null text is empty text and has no spans; empty tables give empty tables; repeated rows
-and tied ids are each scanned for themselves; other columns pass through untouched; texts are scanned
+and tied ids are each scanned for themselves; other columns pass through (a column of a result's name gives way); texts are scanned
 whole and every pattern is linear in the text's length.
 """
 
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boost, spans
+from .common import clear
 
 KINDS = ("email", "ip", "card", "phone")
 MORE = ("iban", "ssn")
@@ -168,7 +169,8 @@ def find(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """
     t = F.coalesce(F.col(text), F.lit(""))
     empty = F.array().cast("array<string>")
-    own = [c for c in docs.columns]
+    docs = clear(docs, "pii", "pii_more")
+    own = docs.columns
     guarded = docs.select("*", *(c for k in KINDS for c in (F.when(GUARDS[k](t), spans.gaps(t, PATTERNS[k])).otherwise(empty).alias(f"__g_{k}"), F.when(GUARDS[k](t), spans.found(t, PATTERNS[k])).otherwise(empty).alias(f"__m_{k}"))),
                           *(c for k, p in GENERATORS.items() for c in (F.when(PROPOSES[k](t), spans.gaps(t, p)).otherwise(empty).alias(f"__g_{k}"), F.when(PROPOSES[k](t), spans.found(t, p)).otherwise(empty).alias(f"__m_{k}"))))
     base = guarded.select(*own, *(_base(k).alias(f"__b_{k}") for k in KINDS),
@@ -179,10 +181,10 @@ def find(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     taken = F.filter("__c", lambda c: c.score >= cut(c.f[0]))
     chosen = scored.select(*own, *(f"__b_{k}" for k in KINDS), "__all", F.transform(taken, lambda c: F.struct(kind(c.f).alias("kind"), c.s.alias("s"), c.e.alias("e"), c.m.alias("m"), c.score.alias("score"))).alias("__c"))
     free = F.filter("__c", lambda c: ~F.exists("__all", lambda b: (b.s < c.e) & (c.s < b.e)))
-    clear = chosen.withColumn("__c", free)
+    apart = chosen.withColumn("__c", free)
     better = lambda a, c: (a.score > c.score) | ((a.score == c.score) & ((a.s < c.s) | ((a.s == c.s) & (a.e > c.e))))
     alone = F.array_distinct(F.filter("__c", lambda c: ~F.exists("__c", lambda a: (a.s < c.e) & (c.s < a.e) & better(a, c))))
-    return clear.select(*own, F.struct(*(F.col(f"__b_{k}").alias(k) for k in KINDS)).alias("pii"), alone.alias("pii_more"))
+    return apart.select(*own, F.struct(*(F.col(f"__b_{k}").alias(k) for k in KINDS)).alias("pii"), alone.alias("pii_more"))
 
 
 def _marked(kind: str) -> Column:

@@ -11,7 +11,8 @@ distances (``BINS`` per doubling), so a step is two aggregates over narrow rows,
 Groups below ``LEAST`` documents borrow the estimate of their language, and that of all documents.
 
 Defined results: null text has no words (so the base limits reject it); null language or source is a group
-of its own; empty tables give empty tables; repeated rows count each; other columns pass through.
+of its own; empty tables give empty tables; repeated rows count each; other columns pass through (a column of a result's
+name gives way).
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut
+from .common import SPACES, clear, cut
 
 MIN_WORDS = 50
 MAX_REPEAT = 50  # percent of words
@@ -30,6 +31,7 @@ CUT = 60.0
 #: Least spread of each transformed coordinate: below it a difference has no meaning for quality.
 FLOOR = (0.12, 0.25, 0.15, 0.15)
 P = len(FLOOR)
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
 #: Largest number of groups whose estimates are broadcast (about 400 bytes each); beyond, a salted shuffle join.
 BROADCAST_GROUPS, SALTS = 20_000, 32
 
@@ -41,6 +43,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     compared by a 64-bit hash chained over the words, within one document only.
     """
     t = F.coalesce(F.col(text), F.lit(""))
+    docs = clear(docs, *RESULTS)
     own = docs.columns
     step = docs.select(*own, F.btrim(t, F.lit(SPACES)).alias("__t"))
     step = step.select(*own, "__t", F.when(F.col("__t") == "", F.array().cast("array<string>")).otherwise(F.split("__t", r"[\x20\x09-\x0D]+", -1)).alias("__w"))
@@ -161,10 +164,10 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
         near = _with(far, limit, few)
         model = cut(_estimates(near, F.col("d") <= F.col("limit"), _consistency(SHARE)), "model")
     mine = use.join(model.withColumnRenamed("g", "use"), "use").drop("use")
-    got = stats.select(*own, tag.alias("g"), F.monotonically_increasing_id().alias("id"), *(c.alias(f"x{i}") for i, c in enumerate(_vector())))
+    got = stats.select(F.struct(*own).alias("own"), tag.alias("g"), F.monotonically_increasing_id().alias("id"), *(c.alias(f"x{i}") for i, c in enumerate(_vector())))
     mine = mine.withColumnRenamed("g0", "g")
     joined = got.join(F.broadcast(mine), "g", "left") if few else _left_salted(got, mine)
-    return joined.select(*own, F.when(~F.col("base_failed"), _distance()).alias("distance")).withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUT))
+    return joined.select("own.*", F.when(~F.col("own.base_failed"), _distance()).alias("distance")).withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUT))
 
 
 def _left_salted(rows: DataFrame, small: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ Benjamini-Hochberg procedure bounds the share of false discoveries. It needs onl
 p-values: a bounded number of counts goes to the driver.
 
 Defined results: null text is empty and has no spans; empty tables give empty tables; repeated rows are
-scanned each; other columns pass through; whole texts are scanned by patterns linear in their length.
+scanned each; other columns pass through (one of a result's name gives way); whole texts are scanned by patterns linear in their length.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import clear, cut
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -121,6 +121,7 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple]]:
 
 def tested(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``secret_base`` and ``secret_tested`` (all candidates with their p-values)."""
+    docs = clear(docs, "secret_base", "secret_tested", "secret_more")
     at = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField("secret_base", FOUND), T.StructField("secret_tested", TESTED)])
     names = schema.names
@@ -166,6 +167,7 @@ def find(docs: DataFrame, text: str = "text", carry_text: bool = True) -> DataFr
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with each found span replaced by ``<secret>``; overlapping spans by one mark; null stays null."""
+    docs = clear(docs, "secret_base", "secret_tested", "secret_more")
     got = find(docs, text)
     own = docs.columns
     at = own.index(text)
