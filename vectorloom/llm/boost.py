@@ -69,7 +69,8 @@ def threshold(p: np.ndarray, y: np.ndarray, precision: float) -> float:
 
 
 def logit(p: float) -> float:
-    return math.inf if p >= 1 else math.log(p / (1 - p))
+    """The margin of a threshold, with room for the rounding of a sum."""
+    return math.inf if p >= 1 else math.log(p / (1 - p)) - 1e-6
 
 
 def column(trees: Sequence[Tree], features: Sequence[Column]) -> Column:

@@ -155,7 +155,7 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     data = parts[0]
     for x in parts[1:]:
         data = data.unionByName(x)
-    centre = data.groupBy("g").agg(*(F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"m{i}") for i in range(P)), *(F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.75)), 1000).alias(f"q{i}") for i in range(P)))
+    centre = data.groupBy("g").agg(*(F.percentile_approx(f"x{i}", 0.5, 10_000).alias(f"m{i}") for i in range(P)), *(F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.75)), 10_000).alias(f"q{i}") for i in range(P)))
     spread = [F.greatest((F.col(f"q{i}")[1] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOOR[i])) for i in range(P)]
     model = cut(centre.select("g", *(f"m{i}" for i in range(P)), *((spread[i] if i == j else F.lit(0.0)).alias(f"l{i}_{j}") for i in range(P) for j in range(i + 1))), "start")
     for _ in range(STEPS):
