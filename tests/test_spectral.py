@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from vectorloom.functions import color, vec
-from vectorloom.operators import affinity, align, knn, linalg, mask, sampling, stats
+from vectorloom.operators import affinity, align, knn, layout, linalg, mask, sampling, stats
+from vectorloom.plans.grouped import grouped_cut
 from vectorloom.plans.kernel import KernelNCut
 from vectorloom.plans.nystrom import NystromNCut, exact_cut
 from vectorloom.sources import tables
@@ -158,3 +159,20 @@ def test_areas_are_eight_connected(spark):
     df = spark.createDataFrame([(0, y, x, int((y, x) in {(0, 0), (1, 1), (2, 2), (0, 4)})) for y in range(3) for x in range(5)], "img int, y int, x int, mask int")
     assert sorted(r.area for r in mask.area_table(df).collect()) == [1, 3]
     assert mask.clean_mask(df, 2).where("mask = 255").count() == 3
+
+
+def test_groups_are_cut_alone(spark):
+    x = planted(60)
+    df = tables.from_numpy(spark, np.vstack([x, np.full((1, 6), np.nan)])).withColumn("g", F.when(F.col("id") < 20, "a").otherwise("b"))
+    got = {r.id: r.ev for r in grouped_cut(df, "g", 2, gamma=0.5).collect()}
+    alone = embedding(NystromNCut(2, affinity_focal_gamma=0.5).fit_transform(df.where("g = 'a'").select("id", "v")))
+    assert np.allclose([got[i] for i in range(20)], alone, atol=1e-8) and np.isnan(got[60]).all()
+    with pytest.raises(Exception, match="more than 5 rows"):
+        grouped_cut(df, "g", 2, most=5).collect()
+
+
+def test_lab_cube_is_in_range(spark):
+    df = tables.from_numpy(spark, np.random.default_rng(0).standard_normal((50, 3)) * [3, 2, 1])
+    for full in (True, False):
+        got = np.array([[r.r, r.g, r.b] for r in layout.lab_cube(df, full_range=full).collect()])
+        assert got.shape == (50, 3) and np.isfinite(got).all() and got.min() >= 0 and got.max() <= 1 and got.std(0).min() > 0.05

@@ -128,6 +128,24 @@ def _plane(y: DataFrame, q: float) -> DataFrame:
     return cols.select("id", *(c.alias(n) for c, n in zip(color.map_2d(F.col("x"), F.col("y")), "rgb", strict=True)))
 
 
+def lab_cube(df: DataFrame, q: float = 0.95, full_range: bool = True) -> DataFrame:
+    """``(id, r, g, b)`` of three coordinates ``(id, v)`` as LAB: centred, turned so that the least axis is lightness.
+
+    One aggregate of moments, one of quantiles. a and b reach 128 at the q quantile of their length, lightness
+    spans 100 around the middle; without ``full_range`` all axes have the scale of lightness.
+    """
+    from .linalg import moments, signed
+
+    _, mean, cov = moments(df)
+    axes = signed(np.linalg.eigh(cov)[1])  # ascending: the least axis first
+    turned = df.select("id", *(vec.total(F.transform(F.zip_with("v", F.array(*(F.lit(float(x)) for x in mean)), lambda a, b: a - b), lambda x, i: x * F.get(F.array(*(F.lit(float(w)) for w in axes[:, j])), i))).alias(c) for j, c in enumerate("lab")))
+    edge = turned.agg(F.percentile(F.hypot("a", "b"), q).alias("__ab"), F.percentile("l", F.array(F.lit((1 - q) / 2), F.lit((1 + q) / 2))).alias("__l"))
+    wide = F.coalesce(F.try_divide(F.lit(100.0), F.col("__l")[1] - F.col("__l")[0]), F.lit(0.0))
+    flat = F.coalesce(F.try_divide(F.lit(128.0), F.col("__ab")), F.lit(0.0)) if full_range else wide
+    rgb = color.lab_to_rgb(F.col("l") * wide + 50.0, F.col("a") * flat, F.col("b") * flat)
+    return turned.crossJoin(F.broadcast(edge)).select("id", *(c.alias(n) for c, n in zip(rgb, "rgb", strict=True)))
+
+
 def rgb_from_tsne_2d(df: DataFrame, num_sample: int = 1000, affinity_type: str = "cosine", perplexity: float = 150, q: float = 0.95, knn: int = 10, seed: int = 0) -> DataFrame:
     return _plane(reduced(df, tsne(2, min(perplexity, num_sample // 2)), num_sample, affinity_type, knn, seed), q)
 

@@ -15,6 +15,7 @@ from ..functions import color, vec
 from ..operators import affinity, align, knn, layout, linalg, mask, sampling, stats
 from ..sources import tables
 from ..streaming.online import VectorSum, update_from
+from .grouped import grouped_cut
 from .kernel import KernelNCut, features, fourier_native
 from .nystrom import NystromNCut, exact_cut
 
@@ -93,6 +94,11 @@ def chunked_scan(spark, sf_dir):
     return tables.chunked(raw(spark, sf_dir), rows=128).groupBy("chunk").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
+@register(f"WITH {W_SQL} SELECT r AS id, c::BIGINT AS pos, round(f[r + 1], 6) + 0.0::DOUBLE AS x FROM w, range(64) t(r)")
+def numpy_source(spark, sf_dir):
+    return tables.from_numpy(spark, fixed_w()).select("id", F.posexplode("v").alias("pos", "x")).select("id", F.col("pos").cast("long").alias("pos"), r6("x").alias("x"))
+
+
 @register(f"WITH {RAW}, {SAMPLE} SELECT id, round(v[1], 6) + 0.0::DOUBLE AS x0 FROM raw WHERE id IN (SELECT id FROM sample)")
 def gather(spark, sf_dir):
     df = raw(spark, sf_dir)
@@ -444,6 +450,11 @@ def cut_invariants(spark, sf_dir):
     return spark.createDataFrame([("first eigenvalue", round(float(whole.eigenvalues_[0]), 6)), ("largest departure from orthonormal", round(off, 6)), ("rows without a value", float(none))], "name string, value double")
 
 
+@register(f"WITH {PLANTED}, d AS (SELECT a.label, a.id, sum(exp((list_cosine_similarity(a.v, b.v) - 1.0::DOUBLE) / {GAMMA}::DOUBLE)) AS degree FROM planted a JOIN planted b USING (label) GROUP BY 1, 2) SELECT label, id, round(sqrt(degree / sum(degree) OVER (PARTITION BY label)), 6) AS c0 FROM d")
+def grouped_component0(spark, sf_dir):
+    return grouped_cut(planted(spark, sf_dir), "label", 3, gamma=GAMMA).select("label", "id", r6(F.col("ev")[0]).alias("c0"))
+
+
 # ---- masks ---------------------------------------------------------------------------------------------
 
 _MASK = PLANTED + """, prompt AS (SELECT v AS p FROM planted ORDER BY id LIMIT 1),
@@ -523,6 +534,11 @@ def stream_kernel_update(spark, sf_dir):
     return _clusters(model.transform(df))
 
 
+@register()
+def lab_cube(spark, sf_dir):
+    return layout.lab_cube(raw(spark, sf_dir).select("id", F.slice("v", 1, 3).alias("v")))
+
+
 # ---- colours of embeddings -----------------------------------------------------------------------------
 
 for _name in ("rgb_from_tsne_2d", "rgb_from_tsne_3d", "rgb_from_euclidean_tsne_3d", "rgb_from_umap_2d", "rgb_from_umap_3d", "rgb_from_umap_sphere"):
