@@ -392,3 +392,13 @@ def test_examples_are_packed_whole(spark):
     df = spark.createDataFrame([(i, 100 + i, 50) for i in range(40)] + [(99, None, None)], "id long, tokens long, loss long")
     rows = vector_pack.pack_examples(df, "id", "tokens", "loss", (512, 4, 300)).collect()
     assert {r.id: r.length for r in rows} == {i: 100 + i for i in range(40)}
+
+
+def test_copies_of_an_odd_document_do_not_reject_the_others(spark):
+    r = np.random.default_rng(6)
+    words = [f"{a}{b}" for a in ("th", "on", "re", "an", "est") for b in ("er", "ing", "ed", "ion", "al", "e")]
+    prose = lambda: " ".join(r.choice(words, 120)) + "."
+    odd = " ".join(f"{w}### &&& $$$" for w in r.choice(words, 60))
+    rows = [(i, prose(), "en", "good") for i in range(600)] + [(1000 + i, prose(), "en", "hot") for i in range(100)] + [(2000 + i, odd, "en", "hot") for i in range(200)]
+    got = quality_mcd.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).where("not base_failed").collect()
+    assert all(x.kept for x in got if x.doc_id < 2000)

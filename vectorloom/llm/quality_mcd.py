@@ -8,7 +8,9 @@ The search is the concentration step of the fast algorithm: from a start of per-
 spreads, each step keeps the share ``SHARE`` of a group's documents that lie nearest and recomputes mean
 and covariance from them; the determinant never grows. The share is taken from a histogram of log
 distances (``BINS`` per doubling), so a step is two aggregates over narrow rows, whatever a group's size.
-Groups below ``LEAST`` documents borrow the estimate of their language, and that of all documents.
+Groups below ``LEAST`` documents borrow the estimate of their language, small languages that of all documents. A
+document is judged by the nearer of its group's and its language's estimate: a group mostly of copies of one odd
+document can't make its ordinary ones outliers.
 
 Defined results: null text has no words (so the base limits reject it); null language or source is a group
 of its own; empty tables give empty tables; repeated rows count each; other columns pass through (a column of a result's
@@ -79,14 +81,14 @@ def _vector() -> list[Column]:
     ]
 
 
-def _distance() -> Column:
-    """Squared Mahalanobis distance from columns x*, the means m* and the factor l*_*: by forward substitution."""
+def _distance(of: str = "") -> Column:
+    """Squared Mahalanobis distance of columns x* from the estimate in m* and l*_* (named with ``of``): by forward substitution."""
     z: list[Column] = []
     for i in range(P):
-        rest = F.col(f"x{i}") - F.col(f"m{i}")
+        rest = F.col(f"x{i}") - F.col(f"{of}m{i}")
         for k in range(i):
-            rest = rest - F.col(f"l{i}_{k}") * z[k]
-        z.append(rest / F.col(f"l{i}_{i}"))
+            rest = rest - F.col(f"{of}l{i}_{k}") * z[k]
+        z.append(rest / F.col(f"{of}l{i}_{i}"))
     return sum((c * c for c in z[1:]), z[0] * z[0])
 
 
@@ -145,13 +147,15 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     sizes = cut(rows.groupBy("g0", "g1").count(), "groups")
     few = sizes.count() <= BROADCAST_GROUPS
     langs = sizes.groupBy("g1").agg(F.sum("count").alias("n1"))
-    use = sizes.join(langs, "g1").select("g0", F.when(F.col("count") >= LEAST, F.col("g0")).when(F.col("n1") >= LEAST, F.concat(F.lit("lang "), F.col("g1"))).otherwise(F.lit("all")).alias("use"))
+    wider = F.when(F.col("n1") >= LEAST, F.concat(F.lit("lang "), F.col("g1"))).otherwise(F.lit("all"))
+    use = sizes.join(langs, "g1").select("g0", F.when(F.col("count") >= LEAST, F.col("g0")).otherwise(wider).alias("use"), wider.alias("wide"))
     # Every group's own rows, those of its language, and all rows: one estimate each.
     def level(g: Column) -> DataFrame:
         return rows.select(g.alias("g"), "id", *(f"x{i}" for i in range(P)))
 
-    need = {r.use.split(" ")[0] if r.use.startswith("lang ") or r.use == "all" else "own" for r in use.select("use").distinct().limit(BROADCAST_GROUPS).collect()} if few else {"own", "lang", "all"}
-    parts = [level(F.col("g0"))] + ([level(F.concat(F.lit("lang "), F.col("g1")))] if "lang" in need else []) + ([level(F.lit("all"))] if "all" in need else [])
+    parts = [level(F.col("g0")), level(F.concat(F.lit("lang "), F.col("g1")))]
+    if not few or not use.where("wide = 'all'").isEmpty():
+        parts.append(level(F.lit("all")))
     data = parts[0]
     for x in parts[1:]:
         data = data.unionByName(x)
@@ -163,11 +167,12 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
         limit = cut(_nearest(far, SHARE, "d", "limit"), "limit")
         near = _with(far, limit, few)
         model = cut(_estimates(near, F.col("d") <= F.col("limit"), _consistency(SHARE)), "model")
-    mine = use.join(model.withColumnRenamed("g", "use"), "use").drop("use")
+    second = model.select(F.col("g").alias("wide"), *(F.col(c).alias(f"w_{c}") for c in model.columns if c != "g"))
+    mine = use.join(model.withColumnRenamed("g", "use"), "use").join(second, "wide").drop("use", "wide")
     got = stats.select(F.struct(*own).alias("own"), tag.alias("g"), F.monotonically_increasing_id().alias("id"), *(c.alias(f"x{i}") for i, c in enumerate(_vector())))
     mine = mine.withColumnRenamed("g0", "g")
     joined = got.join(F.broadcast(mine), "g", "left") if few else _left_salted(got, mine)
-    return joined.select("own.*", F.when(~F.col("own.base_failed"), _distance()).alias("distance")).withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUT))
+    return joined.select("own.*", F.when(~F.col("own.base_failed"), F.least(_distance(), _distance("w_"))).alias("distance")).withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUT))
 
 
 def _left_salted(rows: DataFrame, small: DataFrame) -> DataFrame:
