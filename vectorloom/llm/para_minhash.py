@@ -136,17 +136,17 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
     found = components(stars(rows.mapInArrow(keyed, "node bigint, keys binary"), parts))
     size = found.groupBy("label").agg(F.count("*").alias("count"))
     groups = cut(found.join(size, "label").select("node", F.col("label").alias("cluster"), F.ceil(F.col("count") / CHUNK).alias("chunks")), "groups")
-    texts = rows.mapInArrow(lines, "node bigint, line string").join(groups, "node").groupBy("node", "cluster", "chunks").agg(F.min("line").alias("line"))
+    texts = rows.mapInArrow(lines, "node bigint, line string").join(groups.hint("merge"), "node").groupBy("node", "cluster", "chunks").agg(F.min("line").alias("line"))
     links = cut(verified(texts.mapInArrow(measure, "node bigint, cluster bigint, chunks bigint, items binary"), percent), "verified")
     final = components(links)
-    return rows.mapInArrow(placed, "k bigint, place int, node bigint").join(final, "node", "left").select(F.col("k").alias(key), "place", "node", F.coalesce("label", "node").alias("cls"))
+    return rows.mapInArrow(placed, "k bigint, place int, node bigint").join(final.hint("merge"), "node", "left").select(F.col("k").alias(key), "place", "node", F.coalesce("label", "node").alias("cls"))
 
 
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``(key, places, first)``: the paragraphs to remove of each document, and the least document that keeps one of them."""
     found = cut(classes(docs, key, text, **options), "paragraphs")
     firsts = found.groupBy("cls").agg(F.min(F.struct(F.col(key).alias("d"), F.col("place").alias("p"))).alias("first"), F.count("*").alias("count")).where("count > 1").select("cls", "first")
-    gone = found.join(firsts, "cls").where((F.col(key) != F.col("first.d")) | (F.col("place") != F.col("first.p")))
+    gone = found.join(firsts.hint("merge"), "cls").where((F.col(key) != F.col("first.d")) | (F.col("place") != F.col("first.p")))
     return gone.groupBy(key).agg(F.collect_set("place").alias("places"), F.min("first.d").alias("first"))
 
 
@@ -154,7 +154,7 @@ def marked(docs: DataFrame, key: str = "doc_id", text: str = "text", **options)
     """``docs`` with ``places`` (null if nothing goes) and ``first``."""
     docs = clear(docs, "places", "first")
     gone = cut(removals(docs, key, text, **options), "removals")
-    return docs.join(gone, key, "left").select(*docs.columns, "places", "first")
+    return docs.join(gone.hint("merge"), key, "left").select(*docs.columns, "places", "first")
 
 
 def without(found: DataFrame, text: str = "text"):

@@ -36,7 +36,9 @@ CHUNK = 2000
 BITS = 1024
 #: Parts beyond what differences can touch, at least, and standard deviations of room for empty parts.
 SPARE, ROOM = 6, 6.0
-FAN = 16
+FAN = 32
+#: Parts of each level that are tried first: they connect nearly all copies, before the others are sent.
+HEAD = 4
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -132,13 +134,13 @@ class Classes:
         return [(x, *self.parts[x]) for x in (c - 1, c) if x >= 0]
 
 
-def signatures(s: np.ndarray, classes: Classes) -> np.ndarray:
-    """Part signatures of a set: one for each non-empty part of each level.
+def signatures(s: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
+    """Part signatures of a set, one for each non-empty part of each level; those of the first ``HEAD`` parts apart.
 
     If all equal parts of two sets are empty, either has no more non-empty parts than elements may differ:
     such sets, which are next to none, share one more signature a level.
     """
-    out = []
+    head, out = [], []
     spread = mix(s)
     with np.errstate(over="ignore"):
         for level, parts, k in classes.levels(len(s)):
@@ -147,10 +149,15 @@ def signatures(s: np.ndarray, classes: Classes) -> np.ndarray:
             np.add.at(total, at, spread)
             count = np.bincount(at, minlength=parts)
             tag = np.uint64(level * 1_000_003 + 17) * _A + np.arange(parts, dtype=np.uint64) * _C
-            out.append(mix(total[count > 0] * _B + tag[count > 0] + count[count > 0].astype(np.uint64)))
+            full = np.nonzero(count > 0)[0]
+            found = mix(total[full] * _B + tag[full] + count[full].astype(np.uint64))
+            cut_at = int(np.searchsorted(full, HEAD))
+            head.append(found[:cut_at])
+            out.append(found[cut_at:])
             if (count > 0).sum() <= k:
                 out.append(mix(np.array([level * 7 + 3], np.uint64) * _C))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    none = [np.zeros(0, np.uint64)]
+    return np.concatenate(head or none), np.concatenate(out or none)
 
 
 class Tree:
@@ -219,6 +226,8 @@ def joined(members: list[np.ndarray], side: np.ndarray | None = None, percent: i
             union.join(i, i + 1)
     tree = Tree(sorted_)
     top = len(tree.levels) - 1
+    if top == 0:
+        return np.arange(n)
     root = union.flat()
     stack = [(top, 0, 0)]
     while stack:
@@ -235,10 +244,19 @@ def joined(members: list[np.ndarray], side: np.ndarray | None = None, percent: i
         first = root[s[x]]
         if (root[s[x] : e[x]] == first).all() and (root[s[y] : e[y]] == first).all():
             continue
-        if level == 0:
-            if x != y and (side is None or sides[x] != sides[y]) and union.find(x) != union.find(y) and linked(sorted_[x], sorted_[y], percent):
-                union.join(x, y)
-                root = union.flat()
+        if level == 1:  # all pairs of two leaves' members at once, then those that remain
+            maps, _, size, *_ = tree.levels[0]
+            i, j = np.meshgrid(np.arange(s[x], e[x]), np.arange(s[y], e[y]), indexing="ij")
+            use = (i < j if x == y else np.ones_like(i, bool)) & (root[i] != root[j])
+            if side is not None:
+                use &= sides[i] != sides[j]
+            i, j = i[use], j[use]
+            least = -(-percent * (size[i] + size[j]) // (100 + percent))
+            use = (np.minimum(size[i], size[j]) >= least) & (size[i] - np.bitwise_count(maps[i] & ~maps[j]).sum(1) >= least) & (size[j] - np.bitwise_count(maps[j] & ~maps[i]).sum(1) >= least)
+            for p, q in zip(i[use].tolist(), j[use].tolist(), strict=True):
+                if union.find(p) != union.find(q) and linked(sorted_[p], sorted_[q], percent):
+                    union.join(p, q)
+            root = union.flat()
             continue
         a, b = tree.children(level, x), tree.children(level, y)
         stack.extend((level - 1, i, j) for i in a for j in b if x != y or i <= j)
@@ -252,7 +270,7 @@ def joined(members: list[np.ndarray], side: np.ndarray | None = None, percent: i
 
 
 def profile(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """``(key, n, h1, h2, sigs)``: set size, 128 bits of the set, part signatures; one pass over the texts."""
+    """``(key, n, h1, h2, head, sigs)``: set size, 128 bits of the set, part signatures; one pass over the texts."""
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,42 +280,52 @@ def profile(docs: DataFrame, key: str, text: str, words: int, percent: int) -> D
             with np.errstate(over="ignore"):
                 one = [int(mix(s).sum(dtype=np.uint64).astype(np.int64)) for s in got]
                 two = [int(mix(s ^ _C).sum(dtype=np.uint64).astype(np.int64)) for s in got]
-            sigs = [signatures(s, classes).tobytes() if len(s) else None for s in got]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in got], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sigs, pa.binary())], names=[key, "n", "h1", "h2", "sigs"])
+            sigs = [signatures(s, classes) if len(s) else None for s in got]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in got], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), *(pa.array([x and x[i].tobytes() for x in sigs], pa.binary()) for i in (0, 1))], names=[key, "n", "h1", "h2", "head", "sigs"])
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n bigint, h1 bigint, h2 bigint, sigs binary")
+    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n bigint, h1 bigint, h2 bigint, head binary, sigs binary")
 
 
 def stars(rows: DataFrame, parts: int) -> DataFrame:
     """``(a, b)``: edges that connect all nodes with an equal key. ``rows``: (node bigint, keys binary of 64-bit values).
 
-    Nodes of a task with an equal key are connected at once; only its least node goes on, by key.
+    Nodes of a task that equal keys connect are one from there on: one edge each to their least node, which
+    alone goes on, once per key. A bucket connects what its keys join in the same way.
     """
     asks = "bucket int, keys binary, nodes binary"
 
-    def local(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        order = np.lexsort((nodes, keys))
-        keys, nodes = keys[order], nodes[order]
+    def local(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct nodes, the least node each is connected to)."""
+        names, at = np.unique(nodes, return_inverse=True)
+        order = np.lexsort((at, keys))
+        keys, at = keys[order], at[order]
         first = np.ones(len(keys), bool)
         first[1:] = keys[1:] != keys[:-1]
-        hub = nodes[first][np.cumsum(first) - 1]
-        far = hub != nodes
-        pairs = np.unique(np.stack([hub[far], nodes[far]], 1), axis=0) if far.any() else np.zeros((0, 2), np.int64)
-        return keys[first], nodes[first], pairs[:, 0], pairs[:, 1]
+        hub = at[first][np.cumsum(first) - 1]
+        far = hub != at
+        return names, names[roots(len(names), hub[far], at[far])]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blobs = batch.column(1).to_pylist()
             size = np.array([len(b) // 8 if b else 0 for b in blobs])
             keys = np.frombuffer(b"".join(b for b in blobs if b), np.uint64)
-            keys, nodes, a, b = local(keys, np.repeat(np.asarray(batch.column(0)), size))
+            names, root = local(keys, nodes := np.repeat(np.asarray(batch.column(0)), size))
+            nodes = root[np.searchsorted(names, nodes)]
+            order = np.lexsort((nodes, keys))
+            keys, nodes = keys[order], nodes[order]
+            new = np.ones(len(keys), bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
+            keys, nodes = keys[new], nodes[new]
             bucket = (mix(keys) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             at, first = np.unique(bucket[order], return_index=True)
             pieces = [(int(k), keys[i].tobytes(), nodes[i].tobytes()) for k, i in zip(at, np.split(order, first[1:]), strict=True)] if len(order) else []
-            # Edges found here travel as a message too, to a bucket by the batch's first node.
-            if len(a):
-                pieces.append((int(a[0]) % parts, a.tobytes(), b"e" + b.tobytes()))
+            # Edges found here travel as messages too, spread by their root.
+            far = root != names
+            for k in np.unique(root[far] % parts):
+                use = far & (root % parts == k)
+                pieces.append((int(k), root[use].tobytes(), b"e" + names[use].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pieces], pa.int32()), pa.array([blocks.squeeze(p[1]) for p in pieces], pa.binary()), pa.array([blocks.squeeze(p[2]) for p in pieces], pa.binary())], names=["bucket", "keys", "nodes"])
 
     def meet(table: pa.Table) -> pa.Table:
@@ -310,12 +338,28 @@ def stars(rows: DataFrame, parts: int) -> DataFrame:
             else:
                 edges.append((np.frombuffer(k, np.int64), np.frombuffer(n, np.int64, offset=1)))
         if keys:
-            edges.append(local(np.concatenate(keys), np.concatenate(nodes))[2:])
+            names, root = local(np.concatenate(keys), np.concatenate(nodes))
+            edges.append((root[root != names], names[root != names]))
         return pa.table({"a": pa.array(np.concatenate([e[0] for e in edges]), pa.int64()), "b": pa.array(np.concatenate([e[1] for e in edges]), pa.int64())})
 
     return rows.mapInArrow(send, asks).groupBy("bucket").applyInArrow(meet, "a bigint, b bigint")
 
 
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node each of n nodes is connected to by edges a-b."""
+    label = np.arange(n)
+    while len(a):
+        la, lb = label[a], label[b]
+        open_ = la != lb
+        if not open_.any():
+            break
+        a, b, la, lb = a[open_], b[open_], la[open_], lb[open_]
+        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
 def verified(members: DataFrame, percent: int) -> DataFrame:
     """``(a, b)``: edges of a forest with the components that real links give. ``members``: (node, cluster, chunks, items).
 
@@ -345,18 +389,22 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     table = cut(profile(docs.select(key, text), key, text, words, percent), "sets")
     whole = table.where(F.col(key).isNotNull() & (F.col("n") > 0)).groupBy("h1", "h2", "n").agg(F.min(key).alias("rep"))
     narrow = cut(table.select(key, "n", "h1", "h2").join(whole, ["h1", "h2", "n"], "left").select(key, "n", F.when(F.col(key).isNotNull(), F.col("rep")).alias("rep")), "copies")
-    # One row of each set gives its signatures.
-    reps = table.where(F.col("sigs").isNotNull() & F.col(key).isNotNull()).join(narrow.where(F.col(key) == F.col("rep")).select(key).distinct(), key, "left_semi").select(F.col(key).cast("long").alias("node"), "sigs")
-    candidate = components(stars(reps, parts))
+    nodes = table.where(F.col("sigs").isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("node"), "head", "sigs")
+    # The first parts connect nearly all copies; what they connect is one node when the other parts are sent.
+    near = components(stars(nodes.select("node", "head"), parts))
+    rest = nodes.select("node", "sigs").join(near.hint("merge"), "node", "left").select(F.coalesce("label", "node").alias("node"), "sigs")
+    candidate = components(stars(rest, parts).unionByName(near.select(F.col("label").alias("a"), F.col("node").alias("b"))))
+    # Equal sets are one: only their representatives are verified, where a group has several.
+    candidate = candidate.join(narrow.where(F.col(key) == F.col("rep")).select(F.col(key).cast("long").alias("node")).distinct(), "node", "left_semi")
     size = candidate.groupBy("label").agg(F.count("*").alias("count"))
-    groups = cut(candidate.join(size, "label").select("node", F.col("label").alias("cluster"), F.ceil(F.col("count") / CHUNK).alias("chunks")), "groups")
+    groups = cut(candidate.join(size.where("count > 1"), "label").select("node", F.col("label").alias("cluster"), F.ceil(F.col("count") / CHUNK).alias("chunks")), "groups")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 3):
             items = [s.tobytes() for s in sets(batch.column(3), words)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(items, pa.binary())], names=["node", "cluster", "chunks", "items"])
 
-    members = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("t")).join(groups, "node").select("node", "cluster", "chunks", "t").mapInArrow(measure, "node bigint, cluster bigint, chunks bigint, items binary")
+    members = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("t")).join(groups.hint("merge"), "node").select("node", "cluster", "chunks", "t").mapInArrow(measure, "node bigint, cluster bigint, chunks bigint, items binary")
     links = cut(verified(members, percent), "verified")
     final = components(links)
     return narrow.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(key, F.col("n").alias("n_shingles"), F.coalesce("label", "rep", key).alias("component_id"))
@@ -365,4 +413,4 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the documents that link, directly or not, to one of smaller id."""
     gone = join(docs, key, text, words, percent).where(F.col("component_id") != F.col(key)).select(key).distinct()
-    return docs.join(gone, key, "left_anti").select(docs.columns)
+    return docs.join(gone.hint("merge"), key, "left_anti").select(docs.columns)
