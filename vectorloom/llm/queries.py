@@ -65,4 +65,44 @@ def op10_vector_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii_boost, op2_quality_mcd, op3_pfp_dedup, op4_secret_random, op5_bpe_words, op6_langid_kn, op7_chroma_audio, op8_sigtree_join, op9_para_minhash, op10_vector_pack)}
-ORACLE_SQL: dict[str, str] = {}
+
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "list_filter(string_split_regex(" + _LOWER + r", '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+#: Results that follow from their contract alone, whatever the method.
+ORACLE_SQL: dict[str, str] = {
+    "op3_pfp_dedup": """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+win AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS w FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS p FROM b)),
+least_ AS (SELECT w, min(doc_id) AS first FROM win GROUP BY w),
+hit AS (SELECT doc_id, p FROM win JOIN least_ USING (w) WHERE first < doc_id),
+mark AS (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS new FROM hit),
+num AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM mark),
+run AS (SELECT doc_id, k, min(p) AS s, max(p) + 50 AS e FROM num GROUP BY doc_id, k),
+gap AS (SELECT doc_id, k, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY k), 0) AS prev FROM run),
+cut AS (SELECT doc_id, sum(e - s) AS removed, count(*) AS spans, max(e) AS last, string_agg(substr(h, 2 * prev + 1, 2 * (s - prev)), '' ORDER BY k) AS kept FROM gap JOIN b USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM b LEFT JOIN cut USING (doc_id)
+""",
+    "op8_sigtree_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 90 * (nx.n + ny.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.y FROM r JOIN l ON l.x = r.b)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) USING (doc_id)
+""",
+    "op9_para_minhash": f"""
+WITH RECURSIVE line AS (SELECT doc_id, text, i, string_split(text, chr(10))[i] AS t FROM (SELECT doc_id, coalesce(text, '') AS text, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents)),
+w AS (SELECT doc_id, i, {_WORDS.format("t")} AS w FROM line),
+p AS (SELECT row_number() OVER (ORDER BY doc_id, i) AS k, * FROM w WHERE len(w) >= 30),
+s AS (SELECT DISTINCT k, unnest(list_transform(range(1, len(w) - 3), lambda j: array_to_string(list_slice(w, j, j + 4), ' '))) AS g FROM p),
+n AS (SELECT k, count(*) AS n FROM s GROUP BY k),
+c AS (SELECT a.k AS x, b.k AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.k <> b.k GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n nx ON nx.k = x JOIN n ny ON ny.k = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+r AS (SELECT k AS a, k AS b FROM p UNION SELECT r.a, l.y FROM r JOIN l ON l.x = r.b),
+gone AS (SELECT p.doc_id, p.i, f.doc_id AS first FROM (SELECT a, min(b) AS b FROM r GROUP BY a HAVING min(b) <> a) m JOIN p ON p.k = m.a JOIN p f ON f.k = m.b),
+kept AS (SELECT line.doc_id, any_value(line.text) AS text, count(*) AS n, count(g.i) AS removed, min(g.first) AS first, coalesce(string_agg(line.t, chr(10) ORDER BY line.i) FILTER (g.i IS NULL), '') AS stay FROM line LEFT JOIN gone g ON g.doc_id = line.doc_id AND g.i = line.i GROUP BY line.doc_id)
+SELECT doc_id, n::BIGINT AS n_paragraphs, removed::BIGINT AS n_removed, (length(text) - length(stay))::BIGINT AS removed_chars, coalesce(first, doc_id) AS class_id, sha256(stay) AS kept_sha256 FROM kept
+""",
+}
