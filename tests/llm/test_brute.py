@@ -247,7 +247,8 @@ def test_recording_search_against_brute_force(spark):
     want = set()
     for q in (k for k in prints if k % 100 == 0):
         for k, p in prints.items():
-            votes = collections.Counter(i - j for i, j in itertools.product(range(len(p)), repeat=2) if prints[q][i] == p[j])
+            g = chroma_audio.GAP
+            votes = collections.Counter(i - j for i, j in itertools.product(range(len(p) - g), repeat=2) if prints[q][i] == p[j] and prints[q][i + g] == p[j + g])
             if votes:
                 offset, n = max(votes.items(), key=lambda x: (x[1], -abs(x[0]), x[0]))
                 if n >= chroma_audio.VOTES and chroma_audio.errors(prints[q].view(np.uint32), p.view(np.uint32), offset)[1] <= chroma_audio.ERROR:

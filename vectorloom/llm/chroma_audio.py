@@ -2,12 +2,12 @@
 
 A recording (WAV bytes, 16-bit PCM) becomes pitch-class frames; differences of rectangle sums over an
 integral image of the frames (filters that see height, time and centre contrasts) are quantised to two
-bits each and packed into 32-bit integers, one per frame. Recordings align by the histogram of offsets of
-equal integers; the best offset is confirmed by the share of differing bits.
+bits each and packed into 32-bit integers, one per frame. Recordings align by the histogram of offsets at
+which an integer and the one ``GAP`` frames on are equal (one alone is often shared by chance); the best offset is confirmed by the share of differing bits.
 
 Recordings with equal fingerprints are one class; only class representatives are matched. Integers and
 positions are joined, counted per (query, recording, offset) before anything else, so no pair is made
-without an equal integer.
+without equal integers.
 
 Defined results: null, empty, too short or undecodable audio has an empty fingerprint, is a class of its own and
 matches nothing; empty tables give empty tables; rows that repeat an id are matched each by their audio;
@@ -31,6 +31,7 @@ from .common import clear, cut
 FRAME, HOP = 512, 128
 LOW, HIGH = 200.0, 1900.0
 FILTERS, SPAN = 16, 16
+GAP = 8
 STEP = 0.12  # of log contrast between two levels
 VOTES = 3
 ERROR = 0.30
@@ -135,7 +136,8 @@ def align(prints: DataFrame, key: str, is_query) -> DataFrame:
     table = cut(prints.select(F.col(key), "fp", F.when(F.size("fp") > 0, F.xxhash64("fp")).alias("h1"), F.when(F.size("fp") > 0, F.hash("fp")).alias("h2"), F.coalesce(is_query, F.lit(False)).alias("is_query")), "prints")
     sets = table.where("h1 is not null").groupBy("h1", "h2").agg(F.min(key).alias("class_id"), F.max("is_query").alias("asks"), F.first("fp").alias("fp"))
     reps = cut(sets, "classes")
-    post = lambda df, name: df.select(F.col("class_id").alias(name), F.posexplode("fp").alias(f"{name}_at", "print"))
+    keyed = F.zip_with(F.slice("fp", 1, F.greatest(F.size("fp") - GAP, F.lit(0))), F.slice("fp", GAP + 1, F.size("fp")), lambda x, y: F.shiftleft(x.cast("bigint"), 32).bitwiseOR(y.cast("bigint").bitwiseAND(F.lit((1 << 32) - 1))))
+    post = lambda df, name: df.select(F.col("class_id").alias(name), F.posexplode(keyed).alias(f"{name}_at", "print"))
     votes = post(reps.where("asks"), "q").join(post(reps, "r"), "print").groupBy("q", "r", (F.col("q_at") - F.col("r_at")).alias("offset")).agg(F.count("*").alias("votes"))
     best = votes.groupBy("q", "r").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset")).alias("b")).where(F.col("b.votes") >= VOTES)
     fp = reps.select("class_id", "fp")
