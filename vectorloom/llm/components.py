@@ -1,4 +1,4 @@
-"""Connected components of an undirected graph given as edges, by minimum labels with pointer jumping."""
+"""Connected components of an undirected graph given as edges, by contraction."""
 
 from __future__ import annotations
 
@@ -11,18 +11,29 @@ from .common import cut
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, label)`` for every node of an edge; label: the smallest node of its component.
 
-    Each round takes the least label among a node and its neighbours, then the label of that label, so a
-    path of length n needs about log n rounds. Aggregates combine before they shuffle and the joins may be
-    split at hot nodes. Rounds are written to the shared folder. No edges give no rows; loops are harmless.
+    Each round every node takes the least of itself and its neighbours as its label and edges are carried
+    over to labels; loops and repeats go. At least the neighbours of local minima vanish, so the graph shrinks
+    by a factor a round and all rounds together cost little more than the first. Labels are then composed
+    from the last, smallest round back to the first. Aggregates combine before they shuffle, joins may be split at
+    hot nodes, and rounds are written to the shared folder. No edges give no rows; loops are harmless.
     """
     both = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null")
-    links = cut(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
-    labels = cut(links.groupBy(F.col("u").alias("node")).agg(F.least(F.min("u"), F.min("v")).alias("label")), "labels")
+    links = cut(_both_ways(both), "links")
+    rounds: list[DataFrame] = []
     while True:
-        near = links.join(labels, links.v == labels.node).groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        down = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("best"))
-        jump = labels.select(F.col("node").alias("best"), F.col("label").alias("far"))
-        new = cut(down.join(jump, "best").select("node", F.least("best", "far").alias("label"), (F.least("best", "far") != F.col("label")).alias("moved")), "labels")
-        if new.where("moved").isEmpty():
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+        labels = cut(links.groupBy(F.col("u").alias("node")).agg(F.least(F.min("u"), F.min("v")).alias("label")), "labels")
+        rounds.append(labels)
+        of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))  # noqa: E731, B023
+        carried = links.where("u < v").join(of("u"), "u").join(of("v"), "v").where("lu != lv").select(F.col("lu").alias("u"), F.col("lv").alias("v"))
+        links = cut(_both_ways(carried), "links")
+        if links.isEmpty():
+            break
+    found = rounds.pop()
+    for labels in reversed(rounds):
+        last = found.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        found = labels.join(last, "label", "left").select("node", F.coalesce("far", "label").alias("label"))
+    return cut(found, "components")
+
+
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
