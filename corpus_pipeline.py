@@ -23,8 +23,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without paragraphs that an earlier document holds; those of which nothing is left go."""
-    return _counted(para_minhash.dedup(docs.select(COLUMNS), words=WORDS, percent=PERCENT))
+    """Documents without paragraphs, and without runs of 50 words, that an earlier one holds; those of which nothing is left go."""
+    lines = cut(para_minhash.dedup(docs.select(COLUMNS), words=WORDS, percent=PERCENT), "lines")
+    return _counted(para_minhash.dedup_runs(lines))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

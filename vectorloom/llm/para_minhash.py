@@ -6,6 +6,11 @@ exact Jaccard similarity of whole shingle sets decides (a signature tree walks t
 the surviving links are classes. Of each class the first occurrence, by document and position, stays; all
 others are removed.
 
+Lines say nothing of a passage inside a longer line or wrapped over short ones. ``dedup_runs`` removes every
+run of ``RUN`` words or more, whatever its line breaks, that a document of a smaller id holds: windows of ``RUN``
+words meet by hash. A window's anchor is the least hash of the shorter windows in it, so equal windows have
+equal anchors; only windows whose anchor stands in two documents are sent.
+
 ``tuned`` picks the number of bands from the recall asked for at the threshold. Only keys and hashes are
 shuffled, a node of a task once a band; a paragraph that a third of all documents hold is one node.
 
@@ -16,6 +21,7 @@ repeat an id count as one document; empty tables give empty tables; other column
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +38,7 @@ from .sigtree_join import CHUNK, mix, of_words, stars, verified
 WORDS = 5
 PERCENT = 80
 MIN_WORDS = 30
+RUN = 50
 RECALL = 0.999
 SEED = 7
 
@@ -177,3 +184,133 @@ def digest(docs: DataFrame, key: str = "doc_id", text: str = "text", **options)
     kept = found.withColumn("__kept", F.coalesce(without(found, text), F.lit("")))
     whole = F.coalesce(F.col(text), F.lit(""))
     return kept.select(key, F.size(F.split(whole, "\n", -1)).cast("long").alias("n_paragraphs"), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_removed"), (F.length(whole) - F.length("__kept")).cast("long").alias("removed_chars"), F.coalesce("first", key).alias("class_id"), F.sha2("__kept", 256).alias("kept_sha256"))
+
+
+def _windows(texts: pa.Array, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row of each word, first word, hash, anchor of each window of ``run`` words), windows within one text only."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    flat = pc.list_flatten(lists).dictionary_encode()
+    row = np.asarray(pc.list_parent_indices(lists)).astype(np.int64)
+    known = flat.dictionary.cast(pa.binary()).to_pylist()
+    index = np.asarray(flat.indices)
+    full = np.array([len(w) > 0 for w in known], bool)[index] if len(index) else np.zeros(0, bool)
+    row = row[full]
+    if len(row) < run:
+        return row, np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    h = mix(np.fromiter((xxhash.xxh3_64_intdigest(w) for w in known), np.uint64, len(known)))[index[full]]
+    short = (run + 1) // 2
+
+    def hashed(n: int) -> np.ndarray:
+        # The words' hashes as digits: doubling builds windows of powers of two, whose sums make up n.
+        out, size, part, base = np.zeros(len(h) - n + 1, np.uint64), 1, h, _K
+        done = 0
+        while size <= n:
+            if n & size:
+                out = out * base + part[done : done + len(out)]
+                done += size
+            part, base, size = part[:-size] * base + part[size:] if len(part) > size else part[:0], base * base, 2 * size
+        return mix(out)
+
+    with np.errstate(over="ignore"):
+        whole, least, width = hashed(run), hashed(short), 1
+    want = run - short + 1
+    while width < want:  # sliding minimum by doubling
+        step = min(width, want - width)
+        least, width = np.minimum(least[:-step], least[step:]), width + step
+    at = np.nonzero(row[: len(whole)] == row[run - 1 :])[0]
+    return row, at, whole[at], least[at]
+
+
+def _pairs(a: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (hash, row) pairs."""
+    order = np.lexsort((a, row))
+    a, row = a[order], row[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (row[1:] != row[:-1])
+    return a[new], row[new]
+
+
+def _cut_runs(text: str, gone: np.ndarray) -> str:
+    """``text`` without the marked words; of the white space around them that with a line break stays."""
+    data = text.encode()
+    spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+    out, upto, i = [], 0, 0
+    while i < len(spans):
+        if not gone[i]:
+            i += 1
+            continue
+        j = i
+        while j + 1 < len(spans) and gone[j + 1]:
+            j += 1
+        before = spans[i - 1][1] if i else 0
+        after = spans[j + 1][0] if j + 1 < len(spans) else len(data)
+        left, right = data[before : spans[i][0]], data[spans[j][1] : after]
+        out += [data[upto:before], right if b"\n" in right else left]
+        upto, i = after, j + 1
+    return b"".join([*out, data[upto:]]).decode()
+
+
+def marked_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
+    """``docs`` with ``stay``: the text without runs of ``run`` words that a document of a smaller id holds (null if nothing goes)."""
+    docs = clear(docs, "stay", "__gone")
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+
+    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 1):
+            row, at, _, least = _windows(batch.column(1), run)
+            a, r = _pairs(least, row[at])
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), batch.column(0).take(pa.array(r))], names=["a", "k"])
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 1):
+            row, at, whole, least = _windows(batch.column(1), run)
+            blobs = batch.column(2).to_pylist()
+            first = np.searchsorted(row[at], np.arange(batch.num_rows + 1))
+            use = np.concatenate([np.zeros(0, bool), *(np.isin(least[s:e], np.array(x, np.int64).view(np.uint64)) for s, e, x in zip(first, first[1:], blobs, strict=False))])
+            w, r = _pairs(whole[use], row[at[use]])
+            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), batch.column(0).take(pa.array(r))], names=["w", "k"])
+
+    anchors = cut(rows.mapInArrow(anchored, "a bigint, k bigint"), "anchors")
+    shared = anchors.groupBy("a").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("a")
+    asked = anchors.join(shared.hint("merge"), "a").groupBy("k").agg(F.collect_set("a").alias("shared"))
+    windows = cut(rows.join(cut(asked, "shared").hint("merge"), "k").select("k", "t", "shared").mapInArrow(sent, "w bigint, k bigint"), "windows")
+    least = windows.groupBy("w").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("w", "lo")
+    gone = cut(windows.join(least.hint("merge"), "w").where("k > lo").groupBy("k").agg(F.collect_set("w").alias("__gone")).withColumnRenamed("k", "__k"), "gone")
+    found = docs.join(gone.hint("merge"), F.col(key).cast("long") == F.col("__k"), "left").select(*docs.columns, "__gone")
+    at_text, at_gone = found.columns.index(text), len(docs.columns)
+    schema = docs.select("*", F.col(text).cast("string").alias("stay")).schema
+
+    def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, at_text):
+            texts, lists = batch.column(at_text), batch.column(at_gone)
+            ask = np.nonzero(np.asarray(pc.and_(pc.is_valid(lists), pc.is_valid(texts))))[0]
+            stay: list[str | None] = [None] * batch.num_rows
+            if len(ask):
+                some = texts.take(pa.array(ask))
+                row, at, whole, _ = _windows(some, run)
+                words, first = np.searchsorted(row, np.arange(len(ask) + 1)), np.searchsorted(row[at], np.arange(len(ask) + 1))
+                for n, (t, x) in enumerate(zip(some.to_pylist(), lists.take(pa.array(ask)).to_pylist(), strict=True)):
+                    s, e = first[n], first[n + 1]
+                    hit = at[s:e][np.isin(whole[s:e], np.array(x, np.int64).view(np.uint64))] - words[n]
+                    if len(hit):
+                        edge = np.zeros(words[n + 1] - words[n] + 1, np.int64)
+                        edge[hit] += 1
+                        edge[hit + run] -= 1
+                        stay[ask[n]] = _cut_runs(t, np.cumsum(edge)[:-1] > 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at_gone], pa.array(stay, pa.string())], names=schema.names)
+
+    return found.mapInArrow(removed, schema)
+
+
+def dedup_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
+    """``docs`` without runs of words that an earlier document holds; documents of which no word is left go."""
+    own = clear(docs, "stay", "__gone").columns
+    found = marked_runs(docs, key, text, run)
+    return found.where(F.col("stay").isNull() | F.col("stay").rlike(r"[^\x20\x09-\x0D]")).withColumn(text, F.coalesce("stay", text)).select(own)
+
+
+def digest_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """Per document that keeps a word after ``dedup`` and then ``dedup_runs``: its characters and the hash of its text."""
+    kept = dedup_runs(cut(dedup(docs, key, text, **options), "lines"), key, text)
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return kept.select(key, F.length(whole).cast("long").alias("kept_chars"), F.sha2(whole, 256).alias("kept_sha256"))

@@ -57,6 +57,11 @@ def op9_para_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return para_minhash.digest(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_para_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage 3 of the pipeline by itself: repeated lines as in ``op9_para_minhash``, then repeated runs of words."""
+    return para_minhash.digest_runs(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_vector_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -64,7 +69,7 @@ def op10_vector_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_pack.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii_boost, op2_quality_mcd, op3_pfp_dedup, op4_secret_random, op5_bpe_words, op6_langid_kn, op7_chroma_audio, op8_sigtree_join, op9_para_minhash, op10_vector_pack)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii_boost, op2_quality_mcd, op3_pfp_dedup, op4_secret_random, op5_bpe_words, op6_langid_kn, op7_chroma_audio, op8_sigtree_join, op9_para_minhash, op9_para_runs, op10_vector_pack)}
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "list_filter(string_split_regex(" + _LOWER + r", '[\x20\x09-\x0D]+'), lambda x: x <> '')"
