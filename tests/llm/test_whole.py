@@ -50,3 +50,16 @@ def test_runs_of_the_table_against_brute_force(spark):
     got = {r.doc_id: WORD.findall(r.text or "") for r in para_minhash.dedup_runs(docs).collect()}
     assert got == {k: w for k, w in want.items() if w or not texts[k]}
     assert sum(map(len, got.values())) < sum(len(WORD.findall(t)) for t in texts.values())
+
+
+def test_junk_of_a_third_of_a_source_or_language_is_rejected(spark):
+    r = np.random.default_rng(8)
+    words = [f"{a}{b}" for a in ("th", "on", "re", "an", "est") for b in ("er", "ing", "ed", "ion", "al", "e")]
+    prose = lambda: " ".join(r.choice(words, 120)) + "."
+    junk = lambda: " ".join(f"{w}#&$&#*" for w in r.choice(words, 120))
+    copy, rows = junk(), []
+    for lang, source, good, bad, text in (("en", "clean", 1400, 0, junk), ("en", "third", 264, 136, junk), ("en", "most", 80, 150, junk), ("de", "a", 264, 136, lambda: copy)):
+        rows += [(len(rows) + i, prose() if i < good else text(), lang, source, i < good) for i in range(good + bad)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, good boolean")
+    got = quality_mcd.judge(df).where("not base_failed").groupBy("lang", "source", "good").agg(F.avg(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("n")).collect()
+    assert {(r.lang, r.source, r.good): r.kept for r in got} == {("en", "clean", True): 1, ("en", "third", True): 1, ("en", "third", False): 0, ("en", "most", True): 1, ("en", "most", False): 0, ("de", "a", True): 1, ("de", "a", False): 0}

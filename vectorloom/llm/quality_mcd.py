@@ -10,7 +10,8 @@ and covariance from them; the determinant never grows. The share is taken from a
 distances (``BINS`` per doubling), so a step is two aggregates over narrow rows, whatever a group's size.
 Groups below ``LEAST`` documents borrow the estimate of their language, small languages that of all documents. A
 document is judged by the nearer of its group's and its language's estimate: a group mostly of copies of one odd
-document can't make its ordinary ones outliers.
+document can't make its ordinary ones outliers. A group's estimate whose centre is itself an outlier of the
+language has no say: a source mostly of junk can't keep it.
 
 Defined results: null text has no words (so the base limits reject it); null language or source is a group
 of its own; empty tables give empty tables; repeated rows count each; other columns pass through (a column of a result's
@@ -27,7 +28,8 @@ from .common import SPACES, clear, cut
 MIN_WORDS = 50
 MAX_REPEAT = 50  # percent of words
 SYMBOLS = "#*$%&|<>"
-SHARE, STEPS, LEAST, BINS = 0.75, 4, 200, 16
+#: A share just over one half: up to nearly half of a group may be odd before its estimate breaks.
+SHARE, STEPS, LEAST, BINS = 0.51, 4, 200, 16
 #: Distance limit: far beyond the 0.9999 point of chi-squared with 4 degrees, so that tails of clean groups stay.
 CUT = 60.0
 #: Least spread of each transformed coordinate: below it a difference has no meaning for quality.
@@ -169,10 +171,13 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
         model = cut(_estimates(near, F.col("d") <= F.col("limit"), _consistency(SHARE)), "model")
     second = model.select(F.col("g").alias("wide"), *(F.col(c).alias(f"w_{c}") for c in model.columns if c != "g"))
     mine = use.join(model.withColumnRenamed("g", "use"), "use").join(second, "wide").drop("use", "wide")
+    centre_of = mine.select("*", *(F.col(f"m{i}").alias(f"x{i}") for i in range(P)))
+    mine = centre_of.withColumn("agrees", _distance("w_") <= CUT).drop(*(f"x{i}" for i in range(P)))
     got = stats.select(F.struct(*own).alias("own"), tag.alias("g"), F.monotonically_increasing_id().alias("id"), *(c.alias(f"x{i}") for i, c in enumerate(_vector())))
     mine = mine.withColumnRenamed("g0", "g")
     joined = got.join(F.broadcast(mine), "g", "left") if few else _left_salted(got, mine)
-    return joined.select("own.*", F.when(~F.col("own.base_failed"), F.least(_distance(), _distance("w_"))).alias("distance")).withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUT))
+    nearer = F.when(F.col("agrees"), F.least(_distance(), _distance("w_"))).otherwise(_distance("w_"))
+    return joined.select("own.*", F.when(~F.col("own.base_failed"), nearer).alias("distance")).withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUT))
 
 
 def _left_salted(rows: DataFrame, small: DataFrame) -> DataFrame:
