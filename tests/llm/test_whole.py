@@ -63,3 +63,40 @@ def test_junk_of_a_third_of_a_source_or_language_is_rejected(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, good boolean")
     got = quality_mcd.judge(df).where("not base_failed").groupBy("lang", "source", "good").agg(F.avg(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("n")).collect()
     assert {(r.lang, r.source, r.good): r.kept for r in got} == {("en", "clean", True): 1, ("en", "third", True): 1, ("en", "third", False): 0, ("en", "most", True): 1, ("en", "most", False): 0, ("de", "a", True): 1, ("de", "a", False): 0}
+
+
+def plain_kneser_ney(words):
+    """A plain interpolated Kneser-Ney model of character 4-grams: {gram: probability} as a function."""
+    level = collections.Counter(p[i - 3 : i + 1] for w in words for p in ["\1\1\1" + w + "\2"] for i in range(3, len(p)))
+    orders = []
+    for _ in range(4):
+        ones, twos = (sum(v == k for v in level.values()) for k in (1, 2))
+        d = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
+        total, kinds = collections.Counter(), collections.Counter()
+        for g, v in level.items():
+            total[g[:-1]] += v
+            kinds[g[:-1]] += 1
+        orders.append((level, d, total, kinds))
+        level = collections.Counter(g[1:] for g in level)
+
+    def p(gram):
+        out = 1 / (1 << 16)
+        for size, (level, d, total, kinds) in zip((1, 2, 3, 4), reversed(orders), strict=True):
+            g = gram[4 - size :]
+            if total[g[:-1]]:
+                out = out * d * kinds[g[:-1]] / total[g[:-1]] + (max(0, level[g] - d) / total[g[:-1]] if g in level else 0)
+        return out
+
+    return p, orders[0][0]
+
+
+def test_more_than_200000_grams_of_a_language_are_all_kept(spark):
+    r = np.random.default_rng(2)
+    words = ["".join(map(chr, x)) for x in 0x4E00 + (3000 * r.random((45_000, 5)) ** 2).astype(int)]
+    rows = [(" ".join(words[i : i + 500]), "zh") for i in range(0, len(words), 500)]
+    model = langid_kn.fit(spark.createDataFrame([*rows, ("some plain words", "en")], "text string, lang string"))
+    p, known = plain_kneser_ney(words)
+    assert len(known) > 200_000
+    some = sorted(known)[::97] + ["\x01\x01\x01" + c for c in "xyz"]
+    codes = np.array([sum(ord(c) << (16 * (3 - i)) for i, c in enumerate(g)) for g in some], np.uint64)
+    assert np.allclose(model.log_prob(codes)[:, model.langs.index("zh")], np.log([p(g) for g in some]))

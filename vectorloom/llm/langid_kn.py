@@ -3,9 +3,8 @@
 Words (maximal runs without ASCII space, lower-cased) are padded with ``ORDER - 1`` start marks and an end
 mark; a model predicts each character from the ``ORDER - 1`` before it. Counts of the longest n-grams come
 from *all* learning rows: each task sums its distinct words, an aggregate sums tasks; lower orders are
-continuation counts of these. A model keeps the ``GRAMS`` most frequent n-grams of its language, which bounds what
-is broadcast. All languages share one sorted array of n-gram codes per order, with a column of log
-probabilities per language. The language of lowest cross-entropy per character wins; ``rejected`` marks
+continuation counts of these. A model keeps all n-grams of its language in a sorted array per order, so what is
+broadcast grows with the distinct n-grams of the input; more than the driver may hold fails loudly. The language of lowest cross-entropy per character wins; ``rejected`` marks
 texts whose entropy exceeds the ``REJECT`` quantile of learning rows of the same language.
 
 Defined results: null text, or one without a letter, is ``und`` with score 0; rows with null lang teach
@@ -23,12 +22,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .common import clear, cut, pieces
 
 ORDER = 4
-GRAMS = 200_000  # n-grams of the highest order kept per language
 LANGS = 64  # languages kept: the most frequent ones
 REJECT = 0.999
 SHIFT = 16  # bits of a character in a code: the code point's lower bits
@@ -91,76 +88,63 @@ def counts(rows: DataFrame, text: str, lang: str) -> DataFrame:
 @dataclass
 class Model:
     langs: list[str]
-    tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # per order: sorted codes, probabilities, back-off weights
+    tables: list[list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]  # per language and order: sorted codes, probabilities, sorted contexts, back-off weights
     reject: list[float]
 
-    def log_prob(self, codes: np.ndarray) -> np.ndarray:
-        """Natural log probability of the last character of each code, by language."""
-        p = np.full((len(codes), len(self.langs)), 1.0 / (1 << SHIFT))
-        for order, (known, prob, weight) in enumerate(self.tables, 1):
+    def log_prob_in(self, k: int, codes: np.ndarray) -> np.ndarray:
+        """Natural log probability of the last character of each code in language k."""
+        p = np.full(len(codes), 1.0 / (1 << SHIFT))
+        for order, (known, prob, contexts, weight) in enumerate(self.tables[k], 1):
             gram = codes & np.uint64((1 << (SHIFT * order)) - 1) if order < 4 else codes
             context = gram >> np.uint64(SHIFT)
-            lam = np.ones_like(p)
-            c_known, c_weight = weight
-            if len(c_known):
-                at = np.minimum(np.searchsorted(c_known, context), len(c_known) - 1)
-                hit = c_known[at] == context
-                lam[hit] = c_weight[at[hit]]
-            p = lam * p
-            if len(known):
+            if len(contexts):
+                at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
+                p = np.where(contexts[at] == context, weight[at], 1.0) * p
                 at = np.minimum(np.searchsorted(known, gram), len(known) - 1)
-                hit = known[at] == gram
-                p[hit] += prob[at[hit]]
+                p += np.where(known[at] == gram, prob[at], 0.0)
         return np.log(p)
 
+    def log_prob(self, codes: np.ndarray) -> np.ndarray:
+        """Natural log probability of the last character of each code, by language."""
+        return np.stack([self.log_prob_in(k, codes) for k in range(len(self.langs))], 1)
+
 
 def _smooth(langs: list[str], grams: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     """Interpolated Kneser-Ney tables of all orders from counts of the highest."""
-    per: list[list] = [[] for _ in range(ORDER)]
+    tables = []
     for name in langs:
         code, n = grams[name]
-        level = (code, n.astype(float))
+        n = n.astype(float)
+        levels = []
         for order in range(ORDER, 0, -1):
-            per[order - 1].append(level)
-            # Continuation count: in how many left contexts the shorter gram was seen.
-            short = level[0] & np.uint64((1 << (SHIFT * (order - 1))) - 1)
-            level = tuple(x.astype(t) for x, t in zip(np.unique(short, return_counts=True), (np.uint64, float), strict=True))
-    tables = []
-    for order in range(1, ORDER + 1):
-        known = np.unique(np.concatenate([c for c, _ in per[order - 1]]))
-        prob = np.zeros((len(known), len(langs)))
-        contexts = np.unique(known >> np.uint64(SHIFT))
-        weight = np.ones((len(contexts), len(langs)))
-        for k, (code, n) in enumerate(per[order - 1]):
             ones, twos = (n == 1).sum(), (n == 2).sum()
             d = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
-            at = np.searchsorted(contexts, code >> np.uint64(SHIFT))
+            contexts, at = np.unique(code >> np.uint64(SHIFT), return_inverse=True)
             total = np.bincount(at, n, len(contexts))
-            kinds = np.bincount(at, minlength=len(contexts))
-            seen = total > 0
-            weight[seen, k] = d * kinds[seen] / total[seen]
-            prob[np.searchsorted(known, code), k] = (n - d) / total[at]
-        tables.append((known, prob, (contexts, weight)))
+            levels.append((code, (n - d) / total[at], contexts, d * np.bincount(at, minlength=len(contexts)) / total))
+            # Continuation count: in how many left contexts the shorter gram was seen.
+            short = code & np.uint64((1 << (SHIFT * (order - 1))) - 1)
+            code, n = (x.astype(t) for x, t in zip(np.unique(short, return_counts=True), (np.uint64, float), strict=True))
+        tables.append(levels[::-1])
     return Model(langs, tables, [])
 
 
 def fit(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model | None:
     """A model from all rows with text and lang; none if there are none."""
     rows = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    # The most frequent languages and n-grams: a bounded table for the driver.
+    # All n-grams: continuation counts and discounts are those of the whole input.
     table = cut(counts(rows, text, lang), "grams")
     top = [r.lang for r in table.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()]
     if not top:
         return None
-    best = table.where(F.col("lang").isin(top)).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("r") <= GRAMS)
-    got = best.select("lang", "code", "n").toArrow()
-    names = np.array(got.column("lang").to_pylist(), object)
-    code, n = np.asarray(got.column("code").combine_chunks()).view(np.uint64), np.asarray(got.column("n").combine_chunks())
+    got = table.where(F.col("lang").isin(top)).select("lang", "code", "n").toArrow()
+    names = got.column("lang").combine_chunks().dictionary_encode()
+    of, code, n = np.asarray(names.indices), np.asarray(got.column("code").combine_chunks()).view(np.uint64), np.asarray(got.column("n").combine_chunks())
     grams = {}
-    for name in sorted(top):
-        mine = names == name
-        order = np.argsort(code[mine])
-        grams[name] = (code[mine][order], n[mine][order])
+    for k, name in enumerate(names.dictionary.to_pylist()):
+        mine = np.nonzero(of == k)[0]
+        order = mine[np.argsort(code[mine])]
+        grams[name] = (code[order], n[order])
     model = _smooth(sorted(top), grams)
     # Rejection: a quantile of the entropy of learning rows, by approximate percentiles (bounded state).
     scored = score(rows.select(text, lang), model, text)
@@ -176,7 +160,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     docs = clear(docs, "lang_pred", "score", "entropy", "rejected")
     at = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by GRAMS and LANGS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # grows with the distinct n-grams
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -189,10 +173,9 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
                 words, index, row = _words(texts)
                 code, word = _grams(words.to_pylist())
                 grams, back = np.unique(code, return_inverse=True)
-                logs = m.log_prob(grams)
                 size = np.bincount(word, minlength=len(words))[index]
                 length = np.maximum(1, np.bincount(row, size, n))
-                cross = np.stack([-np.bincount(row, np.bincount(word, logs[back, k], len(words))[index], n) / length for k in range(len(m.langs))], 1) if len(index) else np.zeros((n, len(m.langs)))
+                cross = np.stack([-np.bincount(row, np.bincount(word, m.log_prob_in(k, grams)[back], len(words))[index], n) / length for k in range(len(m.langs))], 1) if len(index) else np.zeros((n, len(m.langs)))
                 best = np.argmin(cross, 1)
                 # Posterior of the winner, tempered by what a short text can tell.
                 gap = np.exp(-np.minimum(50.0, (cross - cross.min(1, keepdims=True)) * np.minimum(length, 200.0)[:, None]))
