@@ -100,3 +100,11 @@ def test_more_than_200000_grams_of_a_language_are_all_kept(spark):
     some = sorted(known)[::97] + ["\x01\x01\x01" + c for c in "xyz"]
     codes = np.array([sum(ord(c) << (16 * (3 - i)) for i, c in enumerate(g)) for g in some], np.uint64)
     assert np.allclose(model.log_prob(codes)[:, model.langs.index("zh")], np.log([p(g) for g in some]))
+
+
+def test_every_language_has_a_model(spark):
+    r = np.random.default_rng(3)
+    word = lambda k: "".join(chr(0x4E00 + 12 * k + int(i)) for i in r.integers(0, 12, 4))
+    rows = [(f"lang{k}", " ".join(word(k) for _ in range(10 if k == 69 else 60))) for k in range(70) for _ in range(2)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    assert {(r.lang, r.lang_pred) for r in langid_kn.score(df, langid_kn.fit(df)).collect()} == {(f"lang{k}", f"lang{k}") for k in range(70)}

@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from .common import clear, cut, pieces
 
 ORDER = 4
-LANGS = 64  # languages kept: the most frequent ones
 REJECT = 0.999
 SHIFT = 16  # bits of a character in a code: the code point's lower bits
 
@@ -134,10 +133,9 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model | None
     rows = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     # All n-grams: continuation counts and discounts are those of the whole input.
     table = cut(counts(rows, text, lang), "grams")
-    top = [r.lang for r in table.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()]
-    if not top:
+    got = table.select("lang", "code", "n").toArrow()
+    if not got.num_rows:
         return None
-    got = table.where(F.col("lang").isin(top)).select("lang", "code", "n").toArrow()
     names = got.column("lang").combine_chunks().dictionary_encode()
     of, code, n = np.asarray(names.indices), np.asarray(got.column("code").combine_chunks()).view(np.uint64), np.asarray(got.column("n").combine_chunks())
     grams = {}
@@ -145,7 +143,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model | None
         mine = np.nonzero(of == k)[0]
         order = mine[np.argsort(code[mine])]
         grams[name] = (code[order], n[order])
-    model = _smooth(sorted(top), grams)
+    model = _smooth(sorted(grams), grams)
     # Rejection: a quantile of the entropy of learning rows, by approximate percentiles (bounded state).
     scored = score(rows.select(text, lang), model, text)
     cuts = {r.lang_pred: r.q for r in scored.where(F.col("lang_pred") == F.col(lang)).groupBy("lang_pred").agg(F.percentile_approx("entropy", REJECT, 10000).alias("q")).collect()}
