@@ -108,3 +108,36 @@ def test_every_language_has_a_model(spark):
     rows = [(f"lang{k}", " ".join(word(k) for _ in range(10 if k == 69 else 60))) for k in range(70) for _ in range(2)]
     df = spark.createDataFrame(rows, "lang string, text string")
     assert {(r.lang, r.lang_pred) for r in langid_kn.score(df, langid_kn.fit(df)).collect()} == {(f"lang{k}", f"lang{k}") for k in range(70)}
+
+
+def _wav(x):
+    import io
+    import wave
+
+    sink = io.BytesIO()
+    with wave.open(sink, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(chroma_audio.RATE)
+        w.writeframes((np.clip(x, -1, 1) * 32767).astype("<i2").tobytes())
+    return bytearray(sink.getvalue())
+
+
+def test_noisy_and_short_recordings_are_found(spark):
+    r = np.random.default_rng(7)
+    rows, truth = [], {}
+    for i in range(20):
+        x, _ = chroma_audio.read(chroma_audio.sounded(list(r.standard_normal(64) * 0.3)))
+        rows.append((100 * (i + 1), _wav(x)))
+        for j, noise in enumerate((0.05, 0.1, 0.15, 0.2, 0.3), 1):
+            y = _wav(x + r.standard_normal(len(x)) * noise)
+            a, b = (chroma_audio.fingerprint(chroma_audio.chroma(*chroma_audio.read(z))) for z in (rows[-j][1], y))
+            rows.append((100 * (i + 1) + j, y))
+            truth[100 * (i + 1), 100 * (i + 1) + j] = chroma_audio.errors(a, b, 0)[1]
+    short, _ = chroma_audio.read(chroma_audio.sounded(list(r.standard_normal(12) * 0.3)))
+    rows += [(5000, _wav(short)), (5001, _wav(np.append(short[:-384], r.standard_normal(384) * 0.5)))]  # the last three of its integers may differ
+    df = spark.createDataFrame(rows, "id long, audio binary")
+    got = {(m.id, m.match_class) for m in chroma_audio.align(chroma_audio.fingerprints(df), "id", F.col("id") % 100 == 0).collect() if m.offset == 0}
+    near = [k for k, e in truth.items() if e < 0.08]
+    assert len(near) >= 10 and sum(k in got for k in near) >= 0.98 * len(near)
+    assert len(chroma_audio.fingerprint(chroma_audio.chroma(short, chroma_audio.RATE))) <= 8 and (5000, 5001) in got

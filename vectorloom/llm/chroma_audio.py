@@ -2,12 +2,13 @@
 
 A recording (WAV bytes, 16-bit PCM) becomes pitch-class frames; differences of rectangle sums over an
 integral image of the frames (filters that see height, time and centre contrasts) are quantised to two
-bits each and packed into 32-bit integers, one per frame. Recordings align by the histogram of offsets at
-which an integer and the one ``GAP`` frames on are equal (one alone is often shared by chance); the best offset is confirmed by the share of differing bits.
+bits each and packed into 32-bit integers, one per frame. Recordings align by the histogram of offsets of
+equal integers; every offset with ``VOTES`` of them and ``GAP + VOTES`` frames of overlap (fewer for shorter
+recordings) is checked by the share of differing bits, and the best of those that pass is the match.
 
 Recordings with equal fingerprints are one class; only class representatives are matched. Integers and
 positions are joined, counted per (query, recording, offset) before anything else, so no pair is made
-without equal integers.
+without an equal integer.
 
 Defined results: null, empty, too short or undecodable audio has an empty fingerprint, is a class of its own and
 matches nothing; empty tables give empty tables; rows that repeat an id are matched each by their audio;
@@ -136,12 +137,13 @@ def align(prints: DataFrame, key: str, is_query) -> DataFrame:
     table = cut(prints.select(F.col(key), "fp", F.when(F.size("fp") > 0, F.xxhash64("fp")).alias("h1"), F.when(F.size("fp") > 0, F.hash("fp")).alias("h2"), F.coalesce(is_query, F.lit(False)).alias("is_query")), "prints")
     sets = table.where("h1 is not null").groupBy("h1", "h2").agg(F.min(key).alias("class_id"), F.max("is_query").alias("asks"), F.first("fp").alias("fp"))
     reps = cut(sets, "classes")
-    keyed = F.zip_with(F.slice("fp", 1, F.greatest(F.size("fp") - GAP, F.lit(0))), F.slice("fp", GAP + 1, F.size("fp")), lambda x, y: F.shiftleft(x.cast("bigint"), 32).bitwiseOR(y.cast("bigint").bitwiseAND(F.lit((1 << 32) - 1))))
-    post = lambda df, name: df.select(F.col("class_id").alias(name), F.posexplode(keyed).alias(f"{name}_at", "print"))
-    votes = post(reps.where("asks"), "q").join(post(reps, "r"), "print").groupBy("q", "r", (F.col("q_at") - F.col("r_at")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = votes.groupBy("q", "r").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset")).alias("b")).where(F.col("b.votes") >= VOTES)
+    post = lambda df, name: df.select(F.col("class_id").alias(name), F.size("fp").alias(f"{name}_n"), F.posexplode("fp").alias(f"{name}_at", "print"))
+    votes = post(reps.where("asks"), "q").join(post(reps, "r"), "print").groupBy("q", "r", "q_n", "r_n", (F.col("q_at") - F.col("r_at")).alias("offset")).agg(F.count("*").alias("votes"))
+    # A short recording needs no more votes or frames than it has.
+    overlap = F.least("q_n", F.col("r_n") + F.col("offset")) - F.greatest("offset", F.lit(0))
+    able = votes.where((F.col("votes") >= F.least(F.lit(VOTES), "q_n", "r_n")) & (overlap >= F.least(F.lit(GAP + VOTES), "q_n", "r_n"))).select("q", "r", "votes", "offset")
     fp = reps.select("class_id", "fp")
-    both = best.select("q", "r", "b.votes", "b.offset").join(fp.select(F.col("class_id").alias("q"), F.col("fp").alias("qf")), "q").join(fp.select(F.col("class_id").alias("r"), F.col("fp").alias("rf")), "r").select("q", "r", "votes", "offset", "qf", "rf")
+    both = able.join(fp.select(F.col("class_id").alias("q"), F.col("fp").alias("qf")), "q").join(fp.select(F.col("class_id").alias("r"), F.col("fp").alias("rf")), "r").select("q", "r", "votes", "offset", "qf", "rf")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,7 +151,9 @@ def align(prints: DataFrame, key: str, is_query) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(got, pa.float64())], names=["q", "r", "votes", "offset", "bit_error"])
 
     kind = dict(reps.dtypes)["class_id"]
-    matches = both.mapInArrow(confirm, f"q {kind}, r {kind}, votes bigint, offset int, bit_error double").where(F.col("bit_error") <= ERROR).select(F.col("q").alias("class_id"), F.lit(True).alias("is_query"), F.col("r").alias("match_class"), "offset", "votes", "bit_error")
+    close = both.mapInArrow(confirm, f"q {kind}, r {kind}, votes bigint, offset int, bit_error double").where(F.col("bit_error") <= ERROR)
+    best = close.groupBy("q", "r").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset", "bit_error")).alias("b"))
+    matches = best.select(F.col("q").alias("class_id"), F.lit(True).alias("is_query"), F.col("r").alias("match_class"), "b.offset", "b.votes", "b.bit_error")
     rows = table.join(reps.select("h1", "h2", "class_id"), ["h1", "h2"], "left").select(key, F.coalesce("class_id", key).alias("class_id"), "is_query")
     return rows.join(matches, ["class_id", "is_query"], "left").select(key, "class_id", "is_query", "match_class", "offset", "votes", "bit_error")
 
