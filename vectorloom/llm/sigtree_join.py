@@ -1,23 +1,30 @@
 """Self-join of shingle sets by exact Jaccard similarity, with signature trees.
 
-Which documents can link is found by exact part signatures: sets that link differ in at most k elements,
-so of more than k non-empty parts (by element hash) at least one is equal. Sets are taken per class of size and the class
-below, so that k is tight. Documents with an equal part form candidate groups (connected components of
-stars); every group is verified on whole sets by a signature tree: hierarchical nodes hold the OR and the
-AND of token bitmaps and a range of sizes; a dual traversal prunes node pairs whose largest possible
-overlap is below what the smallest union needs, and node pairs already connected.
+A set that links with another has at least ``percent`` hundredths of its tokens in it, so the two share one of
+their rarest tokens: of n tokens those that remain without the commonest ``percent`` hundredths, and one more.
+These tokens route sets to signature trees. A tree's hierarchical nodes hold the OR and the AND of token bitmaps and
+a range of sizes; a dual traversal prunes node pairs whose largest possible overlap is below what the smallest
+union needs, and pairs that are connected already.
 
-A group over ``CHUNK`` sets is verified as pairs of chunks, each a task of its own: no task and no driver
-holds a group. Equal sets count once from the start.
+Rare means a low count in a table of ``SLOTS`` hashed frequencies of all documents, a fixed size; any order that
+all tasks share gives the same links, so chance neighbours in the table cost time only.
+
+1. Sets that share at least a ``SHARE``-th of a set's routing tokens with the least set that has them (its hub)
+   form a tree of whole sets with that hub; rounds with other hubs follow while such sets lie in different components.
+2. For each routing token whose sets still lie in different components, a tree of their bitmaps finds all pairs that
+   may link; tokens with the same sets make one tree, tokens with more than ``LIST`` sets pairs of chunks.
+3. Whole sets decide these pairs. Nothing is left out: a pair is pruned by a bound or by a path of links.
+
+Equal sets count once from the start. No task holds more than a chunk; a chunk of whole sets has about ``ELEMENTS`` tokens.
 
 Defined results: null or wordless text has an empty set and no links; null ids never link (component null);
-rows that repeat an id are one document; empty tables give empty tables; whole texts of any length.
+rows that repeat an id are each taken by their own text; empty tables give empty tables; whole texts of any length.
+Sets are told apart by 64-bit hashes of their tokens, tokens by 64-bit hashes of their words.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,18 +34,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import cut, pieces, shuffle_parts
+from .common import cut, discard, pieces
 from .components import components
 
 WORDS = 3
 PERCENT = 90
-CHUNK = 2000
-BITS = 1024
-#: Parts beyond what differences can touch, at least, and standard deviations of room for empty parts.
-SPARE, ROOM = 6, 6.0
+#: Members of a chunk of verified groups; tokens of a chunk of whole sets.
+CHUNK, ELEMENTS = 2000, 2_000_000
+SLOTS, SLICES = 1 << 18, 64
+SHARE, ROUNDS, LIST = 5, 3, 256
 FAN = 32
-#: Parts of each level that are tried first: they connect nearly all copies, before the others are sent.
-HEAD = 4
+#: Bits of the filter by which documents that take part are found before they are shuffled.
+FILTER = 1 << 23
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -87,15 +94,31 @@ def of_words(h: np.ndarray, row: np.ndarray, rows: int, words: int) -> tuple[np.
     return out, at
 
 
-def sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+def distinct(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct shingle hashes, sorted within a text; where each text's begin, and the end)."""
     h, row = shingles(texts, words)
-    order = np.lexsort((h, row))
-    h, row = h[order], row[order]
+    if len(row) and (np.diff(row) < 0).any():
+        order = np.argsort(row, kind="stable")
+        h, row = h[order], row[order]
+    first = np.searchsorted(row, np.arange(len(texts) + 1))
+    for s, e in zip(first, first[1:], strict=False):
+        h[s:e].sort()
     keep = np.ones(len(h), bool)
     keep[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    h, row = h[keep], row[keep]
-    return np.split(h, np.searchsorted(row, np.arange(1, len(texts))))
+    return h[keep], np.concatenate([[0], np.cumsum(keep)])[first] if len(h) else first
+
+
+def sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    h, first = distinct(texts, words)
+    return [h[s:e] for s, e in zip(first, first[1:], strict=False)]
+
+
+def names(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each set."""
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ _C), dtype=np.uint64)])
+        return mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64) * _A).view(np.int64)
 
 
 def needed(a: int, b: int, percent: int = PERCENT) -> int:
@@ -103,74 +126,18 @@ def needed(a: int, b: int, percent: int = PERCENT) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
-class Classes:
-    """Size classes such that sets that link lie in the same class or in neighbours."""
-
-    def __init__(self, percent: int = PERCENT):
-        self.percent, self.starts, self.parts = percent, [1], []
-
-    def _grow(self, n: int) -> None:
-        while self.starts[-1] <= n or len(self.parts) < len(self.starts) - 1:
-            if self.starts[-1] <= n:
-                self.starts.append(self.starts[-1] * 100 // self.percent + 1)
-            while len(self.parts) < len(self.starts) - 1:
-                low, top = self.starts[len(self.parts)], self.starts[len(self.parts) + 1] - 1
-                other = top * 100 // self.percent
-                k = 1 + max(a + b - 2 * needed(a, b, self.percent) for a, b in ((top, other), (top, top), (top - 1, (top - 1) * 100 // self.percent)))
-                parts = k + SPARE
-                while parts < 4 * (k + SPARE):  # so many that a set hardly ever has k non-empty ones or fewer
-                    load = low / parts
-                    full = parts * (1 - math.exp(-load))
-                    spread = math.sqrt(max(0.0, parts * (math.exp(-load) - (1 + load) * math.exp(-2 * load))))
-                    if full - ROOM * spread > k:
-                        break
-                    parts += 1 + parts // 50
-                self.parts.append((parts, k))
-
-    def levels(self, n: int) -> list[tuple[int, int, int]]:
-        """(level, number of parts, largest difference) for a set of this size: its class and the one below."""
-        self._grow(n)
-        c = int(np.searchsorted(self.starts, n, side="right")) - 1
-        return [(x, *self.parts[x]) for x in (c - 1, c) if x >= 0]
-
-
-def signatures(s: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
-    """Part signatures of a set, one for each non-empty part of each level; those of the first ``HEAD`` parts apart.
-
-    If all equal parts of two sets are empty, either has no more non-empty parts than elements may differ:
-    such sets, which are next to none, share one more signature a level.
-    """
-    head, out = [], []
-    spread = mix(s)
-    with np.errstate(over="ignore"):
-        for level, parts, k in classes.levels(len(s)):
-            at = (s % np.uint64(parts)).astype(np.int64)
-            total = np.zeros(parts, np.uint64)
-            np.add.at(total, at, spread)
-            count = np.bincount(at, minlength=parts)
-            tag = np.uint64(level * 1_000_003 + 17) * _A + np.arange(parts, dtype=np.uint64) * _C
-            full = np.nonzero(count > 0)[0]
-            found = mix(total[full] * _B + tag[full] + count[full].astype(np.uint64))
-            cut_at = int(np.searchsorted(full, HEAD))
-            head.append(found[:cut_at])
-            out.append(found[cut_at:])
-            if (count > 0).sum() <= k:
-                out.append(mix(np.array([level * 7 + 3], np.uint64) * _C))
-    none = [np.zeros(0, np.uint64)]
-    return np.concatenate(head or none), np.concatenate(out or none)
+def routes(n: int, percent: int) -> int:
+    """How many of its rarest tokens route a set of n; none if no other set can link with it."""
+    if needed(n, n, percent) == n and needed(n, n + 1, percent) > n and (n == 1 or needed(n - 1, n, percent) == n):
+        return 0
+    return n + percent * -n // 100 + 1
 
 
 class Tree:
-    """A signature tree over sets sorted by size and leading element."""
-
-    def __init__(self, members: list[np.ndarray], bits: int = BITS, fan: int = FAN):
-        n = len(members)
-        maps = np.zeros((n, bits // 64), np.uint64)
-        for i, s in enumerate(members):
-            b = (s >> np.uint64(40)) % np.uint64(bits)
-            np.bitwise_or.at(maps[i], (b >> np.uint64(6)).astype(np.int64), np.uint64(1) << (b & np.uint64(63)))
-        size = np.array([len(s) for s in members], np.int64)
-        self.levels = [(maps, maps, size, size, np.arange(n), np.arange(1, n + 1))]
+    """A signature tree over members sorted by size: nodes hold the OR and the AND of their token bitmaps and a range of sizes."""
+
+    def __init__(self, size: np.ndarray, maps: np.ndarray, fan: int = FAN):
+        self.levels = [(maps, maps, size, size, np.arange(len(size)), np.arange(1, len(size) + 1))]
         while len(self.levels[-1][2]) > 1:
             o, a, lo, hi, s, e = self.levels[-1]
             cuts = np.arange(0, len(lo), fan)
@@ -180,6 +147,51 @@ class Tree:
     def children(self, level: int, k: int) -> range:
         return range(k * self.fan, min((k + 1) * self.fan, len(self.levels[level - 1][2])))
 
+    def pairs(self, percent: int, root: Callable[[], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Dual traversal: member pairs that the largest possible overlap doesn't rule out and whose ``root`` differs."""
+        maps, _, size, *_ = self.levels[0]
+        stack = [(len(self.levels) - 1, 0, 0)] if len(self.levels) > 1 else []
+        while stack:
+            level, x, y = stack.pop()
+            ors, ands, lo, hi, s, e = self.levels[level]
+            need = needed(int(lo[x]), int(lo[y]), percent)
+            if hi[x] < need or hi[y] < need or 100 * hi[x] < percent * lo[y] or 100 * hi[y] < percent * lo[x]:
+                continue
+            # A member of x misses at least the bits that all of x share and none of y has.
+            if hi[x] - np.bitwise_count(ands[x] & ~ors[y]).sum() < need or hi[y] - np.bitwise_count(ands[y] & ~ors[x]).sum() < need:
+                continue
+            now = root()
+            if (now[s[x] : e[x]] == now[s[x]]).all() and (now[s[y] : e[y]] == now[s[x]]).all():
+                continue
+            if level > 1:
+                a, b = self.children(level, x), self.children(level, y)
+                stack.extend((level - 1, i, j) for i in a for j in b if x != y or i <= j)
+                continue
+            i, j = (k.ravel() for k in np.meshgrid(np.arange(s[x], e[x]), np.arange(s[y], e[y]), indexing="ij"))
+            use = (now[i] != now[j]) & ((i < j) if x == y else True)
+            i, j = i[use], j[use]
+            least = -(-percent * (size[i] + size[j]) // (100 + percent))
+            use = (np.minimum(size[i], size[j]) >= least) & (size[i] - np.bitwise_count(maps[i] & ~maps[j]).sum(1) >= least) & (size[j] - np.bitwise_count(maps[j] & ~maps[i]).sum(1) >= least)
+            if use.any():
+                yield i[use], j[use]
+
+
+def width(n: int) -> int:
+    """Bits of the bitmap of a set of n tokens: a power of two, at least twice n."""
+    return max(64, 1 << (2 * n - 1).bit_length())
+
+
+def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
+    out = np.zeros(bits // 64, np.uint64)
+    b = (s >> np.uint64(24)) & np.uint64(bits - 1)
+    np.bitwise_or.at(out, (b >> np.uint64(6)).astype(np.int64), np.uint64(1) << (b & np.uint64(63)))
+    return out
+
+
+def folded(m: np.ndarray, bits: int) -> np.ndarray:
+    """A bitmap made shorter: halves are laid over each other."""
+    return np.bitwise_or.reduce(m.reshape(-1, bits // 64), 0)
+
 
 class Union:
     def __init__(self, n: int):
@@ -220,46 +232,18 @@ def joined(members: list[np.ndarray], side: np.ndarray | None = None, percent: i
     union = Union(n)
     order = sorted(range(n), key=lambda i: (len(members[i]), members[i][0] if len(members[i]) else 0, i))
     sorted_ = [members[i] for i in order]
-    sides = np.zeros(n, int) if side is None else np.asarray(side)[order]
+    sides = np.arange(n) if side is None else np.asarray(side)[order]
     for i in range(n - 1):  # neighbours in order connect most of a group at once
-        if (side is None or sides[i] != sides[i + 1]) and linked(sorted_[i], sorted_[i + 1], percent):
+        if sides[i] != sides[i + 1] and linked(sorted_[i], sorted_[i + 1], percent):
             union.join(i, i + 1)
-    tree = Tree(sorted_)
-    top = len(tree.levels) - 1
-    if top == 0:
-        return np.arange(n)
+    size = np.array([len(s) for s in sorted_], np.int64)
+    bits = min(width(int(size[-1]) if n else 1), max(1024, 1 << ((1 << 29) // max(1, n)).bit_length() - 1))
+    tree = Tree(size, np.stack([bitmap(s, bits) for s in sorted_]) if n else np.zeros((0, 1), np.uint64))
+    for i, j in tree.pairs(percent, union.flat):
+        for p, q in zip(i.tolist(), j.tolist(), strict=True):
+            if sides[p] != sides[q] and union.find(p) != union.find(q) and linked(sorted_[p], sorted_[q], percent):
+                union.join(p, q)
     root = union.flat()
-    stack = [(top, 0, 0)]
-    while stack:
-        level, x, y = stack.pop()
-        ors, ands, lo, hi, s, e = tree.levels[level]
-        need = needed(int(lo[x]), int(lo[y]), percent)
-        if hi[x] < need or hi[y] < need:
-            continue
-        if 100 * hi[x] < percent * lo[y] or 100 * hi[y] < percent * lo[x]:
-            continue
-        # A member of x misses at least the bits all of x share and none of y has.
-        if hi[x] - np.bitwise_count(ands[x] & ~ors[y]).sum() < need or hi[y] - np.bitwise_count(ands[y] & ~ors[x]).sum() < need:
-            continue
-        first = root[s[x]]
-        if (root[s[x] : e[x]] == first).all() and (root[s[y] : e[y]] == first).all():
-            continue
-        if level == 1:  # all pairs of two leaves' members at once, then those that remain
-            maps, _, size, *_ = tree.levels[0]
-            i, j = np.meshgrid(np.arange(s[x], e[x]), np.arange(s[y], e[y]), indexing="ij")
-            use = (i < j if x == y else np.ones_like(i, bool)) & (root[i] != root[j])
-            if side is not None:
-                use &= sides[i] != sides[j]
-            i, j = i[use], j[use]
-            least = -(-percent * (size[i] + size[j]) // (100 + percent))
-            use = (np.minimum(size[i], size[j]) >= least) & (size[i] - np.bitwise_count(maps[i] & ~maps[j]).sum(1) >= least) & (size[j] - np.bitwise_count(maps[j] & ~maps[i]).sum(1) >= least)
-            for p, q in zip(i[use].tolist(), j[use].tolist(), strict=True):
-                if union.find(p) != union.find(q) and linked(sorted_[p], sorted_[q], percent):
-                    union.join(p, q)
-            root = union.flat()
-            continue
-        a, b = tree.children(level, x), tree.children(level, y)
-        stack.extend((level - 1, i, j) for i in a for j in b if x != y or i <= j)
     out = np.empty(n, np.int64)
     least: dict[int, int] = {}
     for k in np.argsort(order, kind="stable"):
@@ -269,148 +253,231 @@ def joined(members: list[np.ndarray], side: np.ndarray | None = None, percent: i
     return out
 
 
-def profile(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """``(key, n, h1, h2, head, sigs)``: set size, 128 bits of the set, part signatures; one pass over the texts."""
+def trees(members: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)``: edges of a forest over the real links within each group. ``members``: (node, side, cluster, i, j, items).
+
+    A group is a task; if its ``i`` and ``j`` differ, pairs of one side are left out.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        node = np.asarray(table.column("node"))
+        order = np.argsort(node, kind="stable")
+        items = table.column("items").to_pylist()
+        got = [np.frombuffer(items[k], np.uint64) for k in order]
+        cross = table.column("i")[0].as_py() != table.column("j")[0].as_py()
+        root = joined(got, np.asarray(table.column("side"))[order] if cross else None, percent)
+        node = node[order]
+        far = root != np.arange(len(root))
+        return pa.table({"a": pa.array(node[root[far]], pa.int64()), "b": pa.array(node[far], pa.int64())})
+
+    return members.groupBy("cluster", "i", "j").applyInArrow(run, "a bigint, b bigint")
+
+
+def verified(members: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)``: edges of a forest with the components that real links give. ``members``: (node, cluster, chunks, items).
+
+    A cluster of one chunk is a task; of more chunks every pair of chunks is one.
+    """
+    return trees(members.select("*", *_paired()).select("node", "side", "cluster", "items", "p.i", "p.j"), percent)
+
+
+def _paired() -> tuple:
+    """The chunk of a row's node, and every pair of chunks it belongs to."""
+    side = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1), lambda j: F.struct(F.least(j, side).alias("i"), F.greatest(j, side).alias("j")))
+    return side.alias("side"), F.explode(pairs).alias("p")
+
+
+def profile(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """``(key, n, node, slot, part, counts)``: set size and hash of each document, and for each task its table of token counts in slices."""
     kind = dict(docs.dtypes)[key]
+    schema = f"{key} {kind}, n bigint, node bigint, slot int, part int, counts binary"
+    empty = pa.nulls(0, pa.int32()), pa.nulls(0, pa.int32()), pa.nulls(0, pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = Classes(percent)
+        from pyspark import TaskContext
+
+        total, of = np.zeros(SLOTS, np.int64), None
         for batch in pieces(batches, 1):
-            got = sets(batch.column(1), words)
-            with np.errstate(over="ignore"):
-                one = [int(mix(s).sum(dtype=np.uint64).astype(np.int64)) for s in got]
-                two = [int(mix(s ^ _C).sum(dtype=np.uint64).astype(np.int64)) for s in got]
-            sigs = [signatures(s, classes) if len(s) else None for s in got]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in got], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), *(pa.array([x and x[i].tobytes() for x in sigs], pa.binary()) for i in (0, 1))], names=[key, "n", "h1", "h2", "head", "sigs"])
+            of = batch.schema.types[0]
+            h, first = distinct(batch.column(1), words)
+            total += np.bincount((h & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+            n = np.diff(first)
+            more = [pa.nulls(batch.num_rows, x.type) for x in empty]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(names(h, first), pa.int64(), mask=n == 0), *more], names=[key, "n", "node", "slot", "part", "counts"])
+        if of is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, of), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array([TaskContext.get().partitionId()] * SLICES, pa.int32()), pa.array([blocks.squeeze(x.tobytes()) for x in np.split(total, SLICES)], pa.binary())], names=[key, "n", "node", "slot", "part", "counts"])
+
+    return docs.select(key, text).mapInArrow(run, schema)
+
+
+def rarity(slices: DataFrame) -> np.ndarray:
+    """Per slot of hashed tokens a byte that grows with the logarithm of its count. ``slices``: (slot, part, counts)."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(SLOTS // SLICES, np.int64)
+        for blob in table.column("counts"):
+            total += np.frombuffer(blocks.loosen(blob.as_py()), np.int64)
+        return pa.table({"slot": table.column("slot").slice(0, 1), "part": pa.array([0], pa.int32()), "counts": pa.array([blocks.squeeze(total.tobytes())], pa.binary())})
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n bigint, h1 bigint, h2 bigint, head binary, sigs binary")
+    schema = "slot int, part int, counts binary"
+    some = slices.groupBy("slot", (F.col("part") % SLICES).alias("by")).applyInArrow(add, schema)
+    out = np.zeros((SLICES, SLOTS // SLICES))
+    for r in some.groupBy("slot").applyInArrow(add, schema).collect():  # SLICES rows
+        out[r.slot] = np.frombuffer(blocks.loosen(r.counts), np.int64)
+    return np.minimum(255, 4 * np.log2(1 + out.ravel())).astype(np.uint8)
 
 
-def stars(rows: DataFrame, parts: int) -> DataFrame:
-    """``(a, b)``: edges that connect all nodes with an equal key. ``rows``: (node bigint, keys binary of 64-bit values).
+def routed(docs: DataFrame, key: str, text: str, words: int, percent: int, rare: np.ndarray) -> DataFrame:
+    """``(k, node, p)``: the routing tokens of every set, and how many it has."""
+    shared = docs.sparkSession.sparkContext.broadcast(rare)
 
-    Nodes of a task that equal keys connect are one from there on: one edge each to their least node, which
-    alone goes on, once per key. A bucket connects what its keys join in the same way.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = shared.value.astype(np.uint64) << np.uint64(56)
+        for batch in pieces(batches, 0):
+            h, first = distinct(batch.column(0), words)
+            node = names(h, first)
+            _, once = np.unique(node, return_index=True)
+            token = order[h & np.uint64(SLOTS - 1)] | (mix(h) >> np.uint64(8))
+            out, n = [np.zeros(0, np.uint64)], np.diff(first)
+            p = np.array([routes(int(x), percent) if x else 0 for x in n[once]], np.int64)
+            for i, m in zip(once.tolist(), p.tolist(), strict=True):
+                if m:
+                    t = token[first[i] : first[i + 1]]
+                    out.append(np.partition(t, m - 1)[:m])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(node[once], p)), pa.array(np.repeat(p, p), pa.int32())], names=["k", "node", "p"])
+
+    return docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(text).mapInArrow(run, "k bigint, node bigint, p int")
+
+
+def fetched(docs: DataFrame, key: str, text: str, words: int, want: DataFrame, form: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """``want`` (rep, node and more) with ``items``: the sets of these documents, in ``form``.
+
+    A filter of fixed size lets documents that nobody wants stay where they are.
     """
-    asks = "bucket int, keys binary, nodes binary"
-
-    def local(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(distinct nodes, the least node each is connected to)."""
-        names, at = np.unique(nodes, return_inverse=True)
-        order = np.lexsort((at, keys))
-        keys, at = keys[order], at[order]
-        first = np.ones(len(keys), bool)
-        first[1:] = keys[1:] != keys[:-1]
-        hub = at[first][np.cumsum(first) - 1]
-        far = hub != at
-        return names, names[roots(len(names), hub[far], at[far])]
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bit = F.pmod(F.xxhash64(F.col("rep")), F.lit(FILTER)) + 1
+    got = want.select("rep").distinct().groupBy(F.bitmap_bucket_number(bit).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("m")).collect()  # of FILTER bits together
+    bits = np.zeros((FILTER // (1 << 15), 1 << 12), np.uint8)
+    for r in got:
+        bits[r.b - 1] = np.frombuffer(r.m, np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bits.ravel())
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blobs = batch.column(1).to_pylist()
-            size = np.array([len(b) // 8 if b else 0 for b in blobs])
-            keys = np.frombuffer(b"".join(b for b in blobs if b), np.uint64)
-            names, root = local(keys, nodes := np.repeat(np.asarray(batch.column(0)), size))
-            nodes = root[np.searchsorted(names, nodes)]
-            order = np.lexsort((nodes, keys))
-            keys, nodes = keys[order], nodes[order]
-            new = np.ones(len(keys), bool)
-            new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
-            keys, nodes = keys[new], nodes[new]
-            bucket = (mix(keys) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            at, first = np.unique(bucket[order], return_index=True)
-            pieces = [(int(k), keys[i].tobytes(), nodes[i].tobytes()) for k, i in zip(at, np.split(order, first[1:]), strict=True)] if len(order) else []
-            # Edges found here travel as messages too, spread by their root.
-            far = root != names
-            for k in np.unique(root[far] % parts):
-                use = far & (root % parts == k)
-                pieces.append((int(k), root[use].tobytes(), b"e" + names[use].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pieces], pa.int32()), pa.array([blocks.squeeze(p[1]) for p in pieces], pa.binary()), pa.array([blocks.squeeze(p[2]) for p in pieces], pa.binary())], names=["bucket", "keys", "nodes"])
-
-    def meet(table: pa.Table) -> pa.Table:
-        keys, nodes, edges = [], [], []
-        for k, n in zip(table.column("keys").to_pylist(), table.column("nodes").to_pylist(), strict=True):
-            k, n = blocks.loosen(k), blocks.loosen(n)
-            if len(n) == len(k):
-                keys.append(np.frombuffer(k, np.uint64))
-                nodes.append(np.frombuffer(n, np.int64))
-            else:
-                edges.append((np.frombuffer(k, np.int64), np.frombuffer(n, np.int64, offset=1)))
-        if keys:
-            names, root = local(np.concatenate(keys), np.concatenate(nodes))
-            edges.append((root[root != names], names[root != names]))
-        return pa.table({"a": pa.array(np.concatenate([e[0] for e in edges]), pa.int64()), "b": pa.array(np.concatenate([e[1] for e in edges]), pa.int64())})
-
-    return rows.mapInArrow(send, asks).groupBy("bucket").applyInArrow(meet, "a bigint, b bigint")
-
-
-def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least node each of n nodes is connected to by edges a-b."""
-    label = np.arange(n)
-    while len(a):
-        la, lb = label[a], label[b]
-        open_ = la != lb
-        if not open_.any():
-            break
-        a, b, la, lb = a[open_], b[open_], la[open_], lb[open_]
-        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
-        while (label[label] != label).any():
-            label = label[label]
-    return label
+            at = np.asarray(batch.column(2)) - 1
+            yield batch.filter(pa.array((shared.value[at >> 3] >> (at & 7)) & 1 == 1)).select(["rep", "t"])
 
+    kind = [(c, t) for c, t in want.dtypes if c != "rep"]
+    schema = ", ".join(f"{c} {t}" for c, t in kind) + ", items binary"
+    where = [c for c, _ in kind].index("node")
 
-def verified(members: DataFrame, percent: int) -> DataFrame:
-    """``(a, b)``: edges of a forest with the components that real links give. ``members``: (node, cluster, chunks, items).
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, len(kind)):
+            h, first = distinct(batch.column(len(kind)), words)
+            own = pa.array(names(h, first) == np.asarray(batch.column(where)))  # an id may have several texts
+            items = [form(h[s:e]) for s, e in zip(first, first[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(items, pa.binary())], names=[*(c for c, _ in kind), "items"]).filter(own)
+
+    texts = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("rep"), F.col(text).alias("t"))
+    some = texts.select("rep", "t", bit.alias("bit")).mapInArrow(wanted, "rep bigint, t string")
+    return some.join(want.hint("merge"), "rep").select(*(c for c, _ in kind), "t").mapInArrow(measure, schema)
 
-    A cluster of one chunk is a task; of more chunks every pair of chunks is one.
-    """
-    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1), lambda j: F.struct(F.least(j, chunk).alias("i"), F.greatest(j, chunk).alias("j")))
-    dealt = members.withColumn("chunk", chunk).withColumn("p", F.explode(pairs)).select("node", "cluster", "chunk", "items", F.col("p.i").alias("i"), F.col("p.j").alias("j"))
+
+def _candidates(groups: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)``: pairs of different labels that trees of bitmaps let through. ``groups``: (cluster, i, j, side, node, label, items); items: size and bitmap."""
 
     def run(table: pa.Table) -> pa.Table:
-        node = np.asarray(table.column("node"))
-        order = np.argsort(node, kind="stable")
-        items = table.column("items").to_pylist()
-        got = [np.frombuffer(items[k], np.uint64) for k in order]
-        cross = table.column("i")[0].as_py() != table.column("j")[0].as_py()
-        root = joined(got, np.asarray(table.column("chunk"))[order] if cross else None, percent)
-        node = node[order]
-        far = root != np.arange(len(root))
-        return pa.table({"a": pa.array(node[root[far]], pa.int64()), "b": pa.array(node[far], pa.int64())})
+        items = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
+        node, label = np.asarray(table.column("node")), np.asarray(table.column("label"))
+        side = np.asarray(table.column("side")) if table.column("i")[0].as_py() != table.column("j")[0].as_py() else np.arange(len(node))
+        size, bits = np.array([x[0] for x in items], np.int64), np.array([64 * (len(x) - 1) for x in items])
+        out = []
+        # Sizes of a link differ by less than a factor of two, so widths by one step.
+        for w in np.unique(bits):
+            at = np.nonzero((bits == w) | (bits == 2 * w))[0]
+            at = at[np.lexsort((node[at], [items[i][1] for i in at], size[at]))]
+            tree = Tree(size[at], np.stack([folded(items[i][1:], w) for i in at]))
+            for i, j in tree.pairs(percent, lambda l=label[at]: l):
+                i, j = at[i], at[j]
+                use = ((bits[i] == w) | (bits[j] == w)) & (side[i] != side[j])
+                out.append(np.stack([np.minimum(node[i[use]], node[j[use]]), np.maximum(node[i[use]], node[j[use]])]))
+        found = np.unique(np.concatenate(out, 1), axis=1) if out else np.zeros((2, 0), np.int64)
+        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+
+    return groups.groupBy("cluster", "i", "j").applyInArrow(run, "a bigint, b bigint")
+
+
+def _open(hits: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``(k, node, p, label, c)``: of the tokens whose sets lie in different components."""
+    named = hits.withColumn("label", F.col("node")) if labels is None else hits.join(labels.hint("merge"), "node", "left").select("k", "node", "p", F.coalesce("label", "node").alias("label"))
+    named = named if labels is None else cut(named, "labelled")
+    several = named.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).where("lo < hi")
+    out = cut(named.join(several.select("k", "c").hint("merge"), "k").select("k", "node", "p", "label", "c"), "open")
+    if labels is not None:
+        discard(named)
+    return out
 
-    return dealt.groupBy("cluster", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
+def _hubs(open_: DataFrame, nodes: DataFrame, percent: int, turn: int) -> DataFrame:
+    """``(rep, node, side, cluster, i, j)``: trees of a hub and sets that share a good part of their tokens with it."""
+    first = F.min(F.struct((F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).alias("o"), F.col("node").alias("hub"), F.col("label").alias("of"))).alias("h")
+    hub = open_.groupBy("k").agg(first).select("k", "h.hub", "h.of")
+    near = open_.join(hub.hint("merge"), "k").where("of <> label").groupBy("hub", "node").agg(F.count("*").alias("c"), F.min("p").alias("p")).where(F.col("c") * SHARE >= F.col("p"))
+    best = cut(near.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("b"), F.min("p").alias("p")).select("node", F.col("b.hub").alias("cluster"), "p"), "hubs")
+    size = best.groupBy("cluster").agg(F.ceil(F.sum("p") * F.lit(100.0 / (100 - percent) / ELEMENTS)).cast("int").alias("chunks"))
+    member = best.join(size.hint("merge"), "cluster").select("node", "cluster", F.pmod(F.xxhash64("node", F.lit(turn)), F.col("chunks")).cast("int").alias("i"))
+    lead = size.select(F.col("cluster").alias("node"), "cluster", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"))
+    return cut(member.unionByName(lead).join(nodes.select("node", "rep").hint("merge"), "node").select("rep", "node", F.lit(0).alias("side"), "cluster", "i", F.col("i").alias("j")), "groups")
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``(key, n_shingles, component_id)``: the smallest id reachable by links of at least ``percent`` similarity."""
-    parts = shuffle_parts(docs.sparkSession)
-    table = cut(profile(docs.select(key, text), key, text, words, percent), "sets")
-    whole = table.where(F.col(key).isNotNull() & (F.col("n") > 0)).groupBy("h1", "h2", "n").agg(F.min(key).alias("rep"))
-    narrow = cut(table.select(key, "n", "h1", "h2").join(whole, ["h1", "h2", "n"], "left").select(key, "n", F.when(F.col(key).isNotNull(), F.col("rep")).alias("rep")), "copies")
-    nodes = table.where(F.col("sigs").isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("node"), "head", "sigs")
-    # The first parts connect nearly all copies; what they connect is one node when the other parts are sent.
-    near = components(stars(nodes.select("node", "head"), parts))
-    rest = nodes.select("node", "sigs").join(near.hint("merge"), "node", "left").select(F.coalesce("label", "node").alias("node"), "sigs")
-    candidate = components(stars(rest, parts).unionByName(near.select(F.col("label").alias("a"), F.col("node").alias("b"))))
-    # Equal sets are one: only their representatives are verified, where a group has several.
-    candidate = candidate.join(narrow.where(F.col(key) == F.col("rep")).select(F.col(key).cast("long").alias("node")).distinct(), "node", "left_semi")
-    size = candidate.groupBy("label").agg(F.count("*").alias("count"))
-    groups = cut(candidate.join(size.where("count > 1"), "label").select("node", F.col("label").alias("cluster"), F.ceil(F.col("count") / CHUNK).alias("chunks")), "groups")
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 3):
-            items = [s.tobytes() for s in sets(batch.column(3), words)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(items, pa.binary())], names=["node", "cluster", "chunks", "items"])
+def _lists(open_: DataFrame) -> DataFrame:
+    """``(cluster, i, j, side, node, label)``: the sets of each open token; equal lists of sets once, long ones as pairs of chunks."""
+    few = open_.where(F.col("c") <= LIST).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("node", "label"))).alias("all"))
+    once = few.groupBy(F.xxhash64("all").alias("cluster")).agg(F.first("all").alias("all")).select("cluster", F.explode("all").alias("x"))
+    one = once.select("cluster", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "x.node", "x.label")
+    many = open_.where(F.col("c") > LIST).select("node", "label", F.col("k").alias("cluster"), F.ceil(F.col("c") / CHUNK).alias("chunks"))
+    return one.unionByName(many.select("*", *_paired()).select("cluster", "p.i", "p.j", "side", "node", "label"))
+
 
-    members = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("t")).join(groups.hint("merge"), "node").select("node", "cluster", "chunks", "t").mapInArrow(measure, "node bigint, cluster bigint, chunks bigint, items binary")
-    links = cut(verified(members, percent), "verified")
-    final = components(links)
-    return narrow.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(key, F.col("n").alias("n_shingles"), F.coalesce("label", "rep", key).alias("component_id"))
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``(key, n_shingles, component_id)``: the smallest id reachable by links of at least ``percent`` similarity."""
+    docs = docs.select(key, text)
+    table = cut(profile(docs, key, text, words), "sets")
+    rows = table.where("slot is null").select(key, "n", "node")
+    nodes = cut(rows.where(F.col(key).isNotNull() & (F.col("n") > 0)).groupBy("node").agg(F.min(F.col(key).cast("long")).alias("rep")), "nodes")
+    routing = cut(routed(docs, key, text, words, percent, rarity(table.where("slot is not null").select("slot", "part", "counts"))), "routes")
+    several = routing.groupBy("k").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("k")
+    hits = cut(routing.join(several.hint("merge"), "k").repartition("k", "node").distinct(), "hits")
+    discard(routing)
+    whole = lambda s: s.tobytes()
+    labels, open_ = None, _open(hits, None)
+    for turn in range(ROUNDS):
+        groups = _hubs(open_, nodes, percent, turn)
+        if groups.isEmpty():
+            break
+        links = trees(fetched(docs, key, text, words, groups, whole), percent)
+        found = components(links if labels is None else links.unionByName(labels.select(F.col("label").alias("a"), F.col("node").alias("b"))))
+        discard(groups, labels, open_)
+        labels, open_ = found, _open(hits, found)
+    discard(hits)
+    lists = cut(_lists(open_), "lists")
+    short = lambda s: np.concatenate([np.array([len(s)], np.uint64), bitmap(s, width(len(s)))]).tobytes()
+    maps = cut(fetched(docs, key, text, words, cut(lists.select("node").distinct().join(nodes.hint("merge"), "node").select("rep", "node"), "asked"), short), "maps")
+    pairs = cut(_candidates(lists.join(maps.hint("merge"), "node"), percent), "pairs")
+    edges = pairs.distinct()
+    near = components(edges)
+    size = near.groupBy("label").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    groups = cut(near.join(size.hint("merge"), "label").join(nodes.hint("merge"), "node").select("rep", "node", F.col("label").alias("cluster"), "chunks"), "groups")
+    links = verified(fetched(docs, key, text, words, groups, whole), percent)
+    found = components(links if labels is None else links.unionByName(labels.select(F.col("label").alias("a"), F.col("node").alias("b"))))
+    discard(lists, maps, pairs, groups, open_, labels)
+    named = nodes.join(found.hint("merge"), "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
+    least = named.groupBy("label").agg(F.min("rep").alias("least"))
+    final = cut(named.join(least.hint("merge"), "label").select("node", "least"), "classes")
+    return rows.join(final.hint("merge"), "node", "left").select(key, F.col("n").alias("n_shingles"), F.when(F.col(key).isNotNull(), F.coalesce("least", F.col(key).cast("long"))).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without the documents that link, directly or not, to one of smaller id."""
+    """``docs`` without the documents that link, directly or not, to one of smaller id; rows that repeat an id stay or go together."""
     gone = join(docs, key, text, words, percent).where(F.col("component_id") != F.col(key)).select(key).distinct()
     return docs.join(gone.hint("merge"), key, "left_anti").select(docs.columns)
