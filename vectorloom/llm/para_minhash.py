@@ -6,10 +6,10 @@ exact Jaccard similarity of whole shingle sets decides (a signature tree walks t
 the surviving links are classes. Of each class the first occurrence, by document and position, stays; all
 others are removed.
 
-Lines say nothing of a passage inside a longer line or wrapped over short ones. ``dedup_runs`` removes every
-run of ``RUN`` words or more, whatever its line breaks, that a document of a smaller id holds: windows of ``RUN``
-words meet by hash. A window's anchor is the least hash of the shorter windows in it, so equal windows have
-equal anchors; only windows whose anchor stands in two documents are sent.
+Lines say nothing of a passage inside a longer line or wrapped over short ones. There the paragraphs are all windows
+of ``RUN`` words, whatever the line breaks: a window's single band key is the MinHash of its shorter windows (of half
+as many words), so equal windows collide; only windows whose key stands in two documents are sent, and equality
+decides. ``dedup_runs`` removes every word of a window that a document of a smaller id holds.
 
 ``tuned`` picks the number of bands from the recall asked for at the threshold. Only keys and hashes are
 shuffled, a node of a task once a band; a paragraph that a third of all documents hold is one node.
@@ -42,6 +42,7 @@ MIN_WORDS = 30
 RUN = 50
 RECALL = 0.999
 SEED = 7
+RUN_COLUMNS = ("stay", "n_gone", "from")
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -326,8 +327,8 @@ def _cut_runs(text: str, gone: np.ndarray) -> str:
 
 
 def marked_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
-    """``docs`` with ``stay``: the text without runs of ``run`` words that a document of a smaller id holds (null if nothing goes)."""
-    docs = clear(docs, "stay", "__gone")
+    """``docs`` with ``stay``, ``n_gone`` and ``from``: the text without runs of ``run`` words that documents of smaller ids hold, the number of words that go and the least of these documents (null if nothing goes)."""
+    docs = clear(docs, *RUN_COLUMNS, "__gone", "__lo")
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,16 +351,17 @@ def marked_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", run: i
     asked = anchors.join(shared.hint("merge"), "a").groupBy("k").agg(F.collect_set("a").alias("shared"))
     windows = cut(rows.join(cut(asked, "shared").hint("merge"), "k").select("k", "t", "shared").mapInArrow(sent, "w bigint, k bigint"), "windows")
     least = windows.groupBy("w").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("w", "lo")
-    gone = cut(windows.join(least.hint("merge"), "w").where("k > lo").groupBy("k").agg(F.collect_set("w").alias("__gone")).withColumnRenamed("k", "__k"), "gone")
-    found = docs.join(gone.hint("merge"), F.col(key).cast("long") == F.col("__k"), "left").select(*docs.columns, "__gone")
+    gone = cut(windows.join(least.hint("merge"), "w").where("k > lo").groupBy("k").agg(F.collect_set("w").alias("__gone"), F.min("lo").alias("__lo")).withColumnRenamed("k", "__k"), "gone")
+    found = docs.join(gone.hint("merge"), F.col(key).cast("long") == F.col("__k"), "left").select(*docs.columns, "__gone", "__lo")
     at_text, at_gone = found.columns.index(text), len(docs.columns)
-    schema = docs.select("*", F.col(text).cast("string").alias("stay")).schema
+    schema = docs.select("*", F.col(text).cast("string").alias("stay"), F.lit(None).cast("long").alias("n_gone"), F.lit(None).cast("long").alias("from")).schema
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, at_text):
             texts, lists = batch.column(at_text), batch.column(at_gone)
             ask = np.nonzero(np.asarray(pc.and_(pc.is_valid(lists), pc.is_valid(texts))))[0]
             stay: list[str | None] = [None] * batch.num_rows
+            count: list[int | None] = [None] * batch.num_rows
             if len(ask):
                 some = texts.take(pa.array(ask))
                 row, at, whole, _ = _windows(some, run)
@@ -371,21 +373,25 @@ def marked_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", run: i
                         edge = np.zeros(words[n + 1] - words[n] + 1, np.int64)
                         edge[hit] += 1
                         edge[hit + run] -= 1
-                        stay[ask[n]] = _cut_runs(t, np.cumsum(edge)[:-1] > 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at_gone], pa.array(stay, pa.string())], names=schema.names)
+                        goes = np.cumsum(edge)[:-1] > 0
+                        stay[ask[n]], count[ask[n]] = _cut_runs(t, goes), int(goes.sum())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at_gone], pa.array(stay, pa.string()), pa.array(count, pa.int64()), batch.column(at_gone + 1)], names=schema.names)
 
     return found.mapInArrow(removed, schema)
 
 
 def dedup_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
     """``docs`` without runs of words that an earlier document holds; documents of which no word is left go."""
-    own = clear(docs, "stay", "__gone").columns
+    own = clear(docs, *RUN_COLUMNS, "__gone", "__lo").columns
     found = marked_runs(docs, key, text, run)
     return found.where(F.col("stay").isNull() | F.col("stay").rlike(r"[^\x20\x09-\x0D]")).withColumn(text, F.coalesce("stay", text)).select(own)
 
 
-def digest_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Per document that keeps a word after ``dedup`` and then ``dedup_runs``: its characters and the hash of its text."""
-    kept = dedup_runs(cut(dedup(docs, key, text, **options), "lines"), key, text)
+def digest_all(docs: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN, **options) -> DataFrame:
+    """``digest`` of ``dedup`` and then ``dedup_runs``: also the words that go in runs; ``class_id`` is the least document that holds a passage of this one."""
+    found = marked(docs.select(key, text), key, text, **options)
     whole = F.coalesce(F.col(text), F.lit(""))
-    return kept.select(key, F.length(whole).cast("long").alias("kept_chars"), F.sha2(whole, 256).alias("kept_sha256"))
+    lines = cut(found.select(key, F.size(F.split(whole, "\n", -1)).cast("long").alias("n_paragraphs"), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_removed"), F.length(whole).cast("long").alias("chars"), "first", F.coalesce(without(found, text), F.lit("")).alias("kept")), "lines")
+    got = marked_runs(lines, key, "kept", run)
+    kept = F.coalesce("stay", "kept")
+    return got.select(key, "n_paragraphs", "n_removed", F.coalesce("n_gone", F.lit(0)).cast("long").alias("n_run_words"), (F.col("chars") - F.length(kept)).alias("removed_chars"), F.coalesce(F.least("first", "from"), F.col(key)).alias("class_id"), F.sha2(kept, 256).alias("kept_sha256"))

@@ -54,12 +54,8 @@ def op8_sigtree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_para_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return para_minhash.digest(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-
-
-def op9_para_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stage 3 of the pipeline by itself: repeated lines as in ``op9_para_minhash``, then repeated runs of words."""
-    return para_minhash.digest_runs(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Stage 3 of the pipeline by itself: lines of near-equal shingle sets, then repeated windows of words in what is left."""
+    return para_minhash.digest_all(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op10_vector_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +65,7 @@ def op10_vector_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_pack.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii_boost, op2_quality_mcd, op3_pfp_dedup, op4_secret_random, op5_bpe_words, op6_langid_kn, op7_chroma_audio, op8_sigtree_join, op9_para_minhash, op9_para_runs, op10_vector_pack)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii_boost, op2_quality_mcd, op3_pfp_dedup, op4_secret_random, op5_bpe_words, op6_langid_kn, op7_chroma_audio, op8_sigtree_join, op9_para_minhash, op10_vector_pack)}
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "list_filter(string_split_regex(" + _LOWER + r", '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -107,7 +103,20 @@ c AS (SELECT a.k AS x, b.k AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AN
 l AS (SELECT x, y FROM c JOIN n nx ON nx.k = x JOIN n ny ON ny.k = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
 r AS (SELECT k AS a, k AS b FROM p UNION SELECT r.a, l.y FROM r JOIN l ON l.x = r.b),
 gone AS (SELECT p.doc_id, p.i, f.doc_id AS first FROM (SELECT a, min(b) AS b FROM r GROUP BY a HAVING min(b) <> a) m JOIN p ON p.k = m.a JOIN p f ON f.k = m.b),
-kept AS (SELECT line.doc_id, any_value(line.text) AS text, count(*) AS n, count(g.i) AS removed, min(g.first) AS first, coalesce(string_agg(line.t, chr(10) ORDER BY line.i) FILTER (g.i IS NULL), '') AS stay FROM line LEFT JOIN gone g ON g.doc_id = line.doc_id AND g.i = line.i GROUP BY line.doc_id)
-SELECT doc_id, n::BIGINT AS n_paragraphs, removed::BIGINT AS n_removed, (length(text) - length(stay))::BIGINT AS removed_chars, coalesce(first, doc_id) AS class_id, sha256(stay) AS kept_sha256 FROM kept
+kept AS (SELECT line.doc_id, any_value(line.text) AS text, count(*) AS n, count(g.i) AS removed, min(g.first) AS first, coalesce(string_agg(line.t, chr(10) ORDER BY line.i) FILTER (g.i IS NULL), '') AS stay FROM line LEFT JOIN gone g ON g.doc_id = line.doc_id AND g.i = line.i GROUP BY line.doc_id),
+token AS (SELECT doc_id, string_split_regex(stay, '[^\\x20\\x09-\\x0D]+') AS gap, list_filter(string_split_regex(stay, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w, {_WORDS.format("stay")} AS low FROM kept),
+win AS (SELECT doc_id, i, array_to_string(list_slice(low, i, i + 49), ' ') AS g FROM (SELECT doc_id, low, unnest(range(1, len(low) - 48)) AS i FROM token WHERE len(low) >= 50)),
+least_ AS (SELECT g, min(doc_id) AS lo FROM win GROUP BY g),
+hit AS (SELECT doc_id, i, lo FROM win JOIN least_ USING (g) WHERE lo < doc_id),
+pos AS (SELECT doc_id, gap, w[i] AS x, i, len(w) AS m FROM (SELECT doc_id, gap, w, unnest(range(1, len(w) + 1)) AS i FROM token)),
+flag AS (SELECT pos.doc_id, pos.gap, pos.x, pos.i, pos.m, max(hit.i) OVER (PARTITION BY pos.doc_id ORDER BY pos.i ROWS UNBOUNDED PRECEDING) >= pos.i - 49 AS gone FROM pos LEFT JOIN hit ON hit.doc_id = pos.doc_id AND hit.i = pos.i),
+prev AS (SELECT *, coalesce(max(CASE WHEN gone IS NOT TRUE THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS last FROM flag),
+piece AS (SELECT doc_id, i, (CASE WHEN last = i - 1 OR contains(gap[i], chr(10)) THEN gap[i] ELSE gap[last + 1] END) || x AS s FROM prev WHERE gone IS NOT TRUE
+  UNION ALL SELECT doc_id, m + 1, CASE WHEN k = m OR contains(gap[m + 1], chr(10)) THEN gap[m + 1] ELSE gap[k + 1] END FROM (SELECT doc_id, m, any_value(gap) AS gap, coalesce(max(CASE WHEN gone IS NOT TRUE THEN i END), 0) AS k FROM flag GROUP BY doc_id, m)),
+cut AS (SELECT doc_id, string_agg(s, '' ORDER BY i) AS stay FROM piece GROUP BY doc_id),
+words AS (SELECT doc_id, count(*) AS n FROM flag WHERE gone GROUP BY doc_id),
+source AS (SELECT doc_id, min(lo) AS lo FROM hit GROUP BY doc_id)
+SELECT doc_id, kept.n::BIGINT AS n_paragraphs, removed::BIGINT AS n_removed, coalesce(words.n, 0)::BIGINT AS n_run_words, (length(text) - length(coalesce(cut.stay, kept.stay)))::BIGINT AS removed_chars, coalesce(least(first, lo), doc_id) AS class_id, sha256(coalesce(cut.stay, kept.stay)) AS kept_sha256
+FROM kept LEFT JOIN cut USING (doc_id) LEFT JOIN words USING (doc_id) LEFT JOIN source USING (doc_id)
 """,
 }
