@@ -65,25 +65,30 @@ def test_junk_of_a_third_of_a_source_or_language_is_rejected(spark):
     assert {(r.lang, r.source, r.good): r.kept for r in got} == {("en", "clean", True): 1, ("en", "third", True): 1, ("en", "third", False): 0, ("en", "most", True): 1, ("en", "most", False): 0, ("de", "a", True): 1, ("de", "a", False): 0}
 
 
-def plain_kneser_ney(words):
-    """A plain interpolated Kneser-Ney model of character 4-grams: {gram: probability} as a function."""
+def plain_kneser_ney(words, rare=0.0):
+    """A plain interpolated Kneser-Ney model of character 4-grams: {gram: probability} as a function. ``rare``: the least share of counts to be kept."""
     level = collections.Counter(p[i - 3 : i + 1] for w in words for p in ["\1\1\1" + w + "\2"] for i in range(3, len(p)))
     orders = []
     for _ in range(4):
         ones, twos = (sum(v == k for v in level.values()) for k in (1, 2))
         d = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
         total, kinds = collections.Counter(), collections.Counter()
+        least = rare * sum(level.values())
         for g, v in level.items():
             total[g[:-1]] += v
+        rest = {c: 1 - sum((v - d) / total[c] for g, v in level.items() if g[:-1] == c and v >= least) for c, v in total.items() if v >= least} if rare else {}
+        for g in level:
             kinds[g[:-1]] += 1
-        orders.append((level, d, total, kinds))
+        orders.append((level, d, total, kinds, rest, least))
         level = collections.Counter(g[1:] for g in level)
 
     def p(gram):
         out = 1 / (1 << 16)
-        for size, (level, d, total, kinds) in zip((1, 2, 3, 4), reversed(orders), strict=True):
+        for size, (level, d, total, kinds, rest, least) in zip((1, 2, 3, 4), reversed(orders), strict=True):
             g = gram[4 - size :]
-            if total[g[:-1]]:
+            if rare:
+                out = out * rest.get(g[:-1], 1) + ((level[g] - d) / total[g[:-1]] if level.get(g, 0) >= least else 0)
+            elif total[g[:-1]]:
                 out = out * d * kinds[g[:-1]] / total[g[:-1]] + (max(0, level[g] - d) / total[g[:-1]] if g in level else 0)
         return out
 
@@ -102,6 +107,26 @@ def test_more_than_200000_grams_of_a_language_are_all_kept(spark):
     assert np.allclose(model.log_prob(codes)[:, model.langs.index("zh")], np.log([p(g) for g in some]))
 
 
+def test_rare_grams_give_their_mass_to_shorter_ones(spark, monkeypatch):
+    monkeypatch.setattr(langid_kn, "RARE", 2e-3)
+    r = np.random.default_rng(4)
+    words = ["".join(chr(97 + int(26 * x**3)) for x in r.random(int(r.integers(1, 6)))) for _ in range(3000)]
+    model = langid_kn.fit(spark.createDataFrame([(" ".join(words), "a")], "text string, lang string"))
+    p, known = plain_kneser_ney(words, 2e-3)
+    assert sum(len(t[0]) for t in model.tables[0]) < len(known)
+    code = lambda g: sum(ord(c) << (16 * (3 - i)) for i, c in enumerate(g))
+    some = sorted(known)[::7]
+    assert np.allclose(model.log_prob(np.array([code(g) for g in some], np.uint64))[:, 0], np.log([p(g) for g in some]))
+    for context in ("\x01\x01\x01", "\x01aa", "zzz"):
+        every = np.exp(model.log_prob(np.array([code(context + chr(x)) for x in range(1 << 16)], np.uint64))[:, 0])
+        assert abs(every.sum() - 1) < 1e-9
+
+
+def test_characters_beyond_16_bits_are_not_those_of_their_lower_bits():
+    far, near = (langid_kn._grams([w])[0] for w in ("\U00010041bc", "Abc"))
+    assert (far != near).any()
+
+
 def test_every_language_has_a_model(spark):
     r = np.random.default_rng(3)
     word = lambda k: "".join(chr(0x4E00 + 12 * k + int(i)) for i in r.integers(0, 12, 4))

@@ -3,13 +3,16 @@
 Words (maximal runs without ASCII space, lower-cased) are padded with ``ORDER - 1`` start marks and an end
 mark; a model predicts each character from the ``ORDER - 1`` before it. Counts of the longest n-grams come
 from *all* learning rows: each task sums its distinct words, an aggregate sums tasks; lower orders are
-continuation counts of these. A model keeps all n-grams of its language in a sorted array per order, so what is
-broadcast grows with the distinct n-grams of the input; more than the driver may hold fails loudly. The language of lowest cross-entropy per character wins; ``rejected`` marks
+continuation counts of these. Counts, discounts and probabilities are aggregates over all n-grams. A model then
+keeps, in a sorted array per order, the n-grams with at least a share ``RARE`` of all counts of that order: at
+most 1/RARE of them whatever the corpus, so what is broadcast is bounded by the number of languages (every
+language of the learning rows has a model). The mass of an n-gram that is not kept goes to the shorter ones, so
+probabilities still sum to one. The language of lowest cross-entropy per character wins; ``rejected`` marks
 texts whose entropy exceeds the ``REJECT`` quantile of learning rows of the same language.
 
 Defined results: null text, or one without a letter, is ``und`` with score 0; rows with null lang teach
 nothing; empty tables give empty tables; without any learning row all is ``und``; ties go to the language
-first in the alphabet; other columns don't take part.
+first in the alphabet; other columns don't take part. Code points over U+FFFF share the codes of the private use area.
 """
 
 from __future__ import annotations
@@ -23,11 +26,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import clear, cut, pieces
+from .common import clear, cut, discard, pieces
 
 ORDER = 4
 REJECT = 0.999
-SHIFT = 16  # bits of a character in a code: the code point's lower bits
+#: Least share of an order's counts for an n-gram to be kept.
+RARE = 1e-6
+SHIFT = 16  # bits of a character in a code
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -52,7 +57,9 @@ def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     pad = "\x01" * (ORDER - 1)
     text = "".join(f"{pad}{w}\x02" for w in words)
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) & np.uint64((1 << SHIFT) - 1)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    far = points >> np.uint64(SHIFT) > 0
+    points[far] = np.uint64(0xE000) + points[far] * np.uint64(2654435761) % np.uint64(6400)
     sizes = np.array([len(w) for w in words], np.int64)
     ends = np.cumsum(sizes + ORDER)
     code = points.copy()
@@ -108,42 +115,45 @@ class Model:
         return np.stack([self.log_prob_in(k, codes) for k in range(len(self.langs))], 1)
 
 
-def _smooth(langs: list[str], grams: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
-    """Interpolated Kneser-Ney tables of all orders from counts of the highest."""
-    tables = []
-    for name in langs:
-        code, n = grams[name]
-        n = n.astype(float)
-        levels = []
-        for order in range(ORDER, 0, -1):
-            ones, twos = (n == 1).sum(), (n == 2).sum()
-            d = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
-            contexts, at = np.unique(code >> np.uint64(SHIFT), return_inverse=True)
-            total = np.bincount(at, n, len(contexts))
-            levels.append((code, (n - d) / total[at], contexts, d * np.bincount(at, minlength=len(contexts)) / total))
-            # Continuation count: in how many left contexts the shorter gram was seen.
-            short = code & np.uint64((1 << (SHIFT * (order - 1))) - 1)
-            code, n = (x.astype(t) for x, t in zip(np.unique(short, return_counts=True), (np.uint64, float), strict=True))
-        tables.append(levels[::-1])
-    return Model(langs, tables, [])
+def _arrays(table: DataFrame, value: str, langs: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per language the sorted codes and their values. ``table``: (lang, code, value), bounded by ``RARE``."""
+    got = table.select("lang", "code", value).toArrow().combine_chunks()
+    lang = np.asarray(pc.index_in(got.column("lang").combine_chunks(), pa.array(langs))) if got.num_rows else np.zeros(0, np.int64)
+    code, x = np.asarray(got.column("code")).astype(np.int64).view(np.uint64), np.asarray(got.column(value)).astype(float)
+    order = np.lexsort((code, lang))
+    lang, code, x = lang[order], code[order], x[order]
+    at = np.searchsorted(lang, np.arange(len(langs) + 1))
+    return [(code[s:e], x[s:e]) for s, e in zip(at, at[1:], strict=False)]
+
+
+def _smooth(grams: DataFrame) -> Model | None:
+    """Interpolated Kneser-Ney tables of all orders from counts of the highest. ``grams``: (lang, code, n)."""
+    levels, langs = [], None
+    for order in range(ORDER, 0, -1):
+        number = lambda k: F.sum((F.col("n") == k).cast("long"))
+        ones, twos = number(1), number(2)
+        stats = grams.groupBy("lang").agg(F.sum("n").cast("double").alias("all"), F.when(ones + twos > 0, F.least(F.lit(0.95), F.greatest(F.lit(0.1), ones / (ones + 2 * twos)))).otherwise(0.5).alias("d"))
+        if langs is None:
+            langs = sorted(r.lang for r in grams.select("lang").distinct().collect())
+            if not langs:
+                return None
+        held = grams.withColumn("context", F.shiftrightunsigned("code", SHIFT))
+        total = held.groupBy("lang", "context").agg(F.sum("n").alias("total"))
+        known = cut(held.join(stats, "lang").join(total.hint("merge"), ["lang", "context"]).select("lang", "code", "context", "n", "all", "total", ((F.col("n") - F.col("d")) / F.col("total")).alias("prob"), (F.col("n") >= F.lit(RARE) * F.col("all")).alias("keep")), "smoothed")
+        shorter = cut(grams.groupBy("lang", F.col("code").bitwiseAND(F.lit((1 << (SHIFT * (order - 1))) - 1)).alias("code")).agg(F.count("*").alias("n")), "shorter") if order > 1 else None
+        weights = known.groupBy("lang", F.col("context").alias("code")).agg((1 - F.sum(F.when(F.col("keep"), F.col("prob")).otherwise(0.0))).alias("weight"), F.first("total").alias("total"), F.first("all").alias("all")).where(F.col("total") >= F.lit(RARE) * F.col("all"))
+        levels.append([(*a, *b) for a, b in zip(_arrays(known.where("keep"), "prob", langs), _arrays(weights, "weight", langs), strict=True)])
+        discard(known, grams)
+        grams = shorter
+    return Model(langs, [list(x) for x in zip(*reversed(levels), strict=True)], [])
 
 
 def fit(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model | None:
     """A model from all rows with text and lang; none if there are none."""
     rows = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    # All n-grams: continuation counts and discounts are those of the whole input.
-    table = cut(counts(rows, text, lang), "grams")
-    got = table.select("lang", "code", "n").toArrow()
-    if not got.num_rows:
+    model = _smooth(cut(counts(rows, text, lang), "grams"))
+    if model is None:
         return None
-    names = got.column("lang").combine_chunks().dictionary_encode()
-    of, code, n = np.asarray(names.indices), np.asarray(got.column("code").combine_chunks()).view(np.uint64), np.asarray(got.column("n").combine_chunks())
-    grams = {}
-    for k, name in enumerate(names.dictionary.to_pylist()):
-        mine = np.nonzero(of == k)[0]
-        order = mine[np.argsort(code[mine])]
-        grams[name] = (code[order], n[order])
-    model = _smooth(sorted(grams), grams)
     # Rejection: a quantile of the entropy of learning rows, by approximate percentiles (bounded state).
     scored = score(rows.select(text, lang), model, text)
     cuts = {r.lang_pred: r.q for r in scored.where(F.col("lang_pred") == F.col(lang)).groupBy("lang_pred").agg(F.percentile_approx("entropy", REJECT, 10000).alias("q")).collect()}
@@ -158,7 +168,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     docs = clear(docs, "lang_pred", "score", "entropy", "rejected")
     at = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # grows with the distinct n-grams
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 1/RARE n-grams an order and language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
