@@ -89,47 +89,66 @@ def plain_quality(t):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(again)
 
 
-def plain_robust(groups):
-    """Concentration by the operator's rules in plain arrays: {group: rows x P} -> {group: (mean, covariance)}."""
-    floor, out = np.array(quality_mcd.FLOOR), {}
-    for g, x in groups.items():
-        q = np.quantile(x, [0.25, 0.5, 0.75], axis=0, method="inverted_cdf")
-        mean, cov = q[1], np.diag(np.maximum((q[2] - q[0]) / 1.349, floor) ** 2)
-        for _ in range(quality_mcd.STEPS):
-            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-            b = np.floor(np.log2(d + 1e-6) * quality_mcd.BINS)
-            values, n = np.unique(b, return_counts=True)
-            limit = 2.0 ** ((values[np.cumsum(n) >= quality_mcd.SHARE * len(x)][0] + 1) / quality_mcd.BINS)
-            near = x[d <= limit]
-            mean = near.mean(0)
-            cov = (near.T @ near / len(near) - np.outer(mean, mean)) * quality_mcd._consistency(quality_mcd.SHARE) + np.diag(floor**2)
-        out[g] = mean, cov
-    return out
-
-
-def test_quality(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
-    texts = {r.doc_id: (r.text, r.lang) for r in docs.collect()}
+def plain_robust(x):
+    """Concentration by the operator's rules in plain arrays: mean and covariance of the rows of x."""
+    floor = np.array(quality_mcd.FLOOR)
+    q = np.quantile(x, [0.25, 0.5, 0.75], axis=0, method="inverted_cdf")
+    mean, cov = q[1], np.diag(np.maximum((q[2] - q[0]) / 1.349, floor) ** 2)
+    for turn in range(quality_mcd.STEPS + 1):
+        d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+        share = quality_mcd.INNER if turn == quality_mcd.STEPS else quality_mcd.SHARE
+        b = np.floor(np.log2(d + 1e-6) * quality_mcd.BINS)
+        values, n = np.unique(b, return_counts=True)
+        limit = 2.0 ** ((values[np.cumsum(n) >= share * len(x)][0] + 1) / quality_mcd.BINS)
+        near = x[d <= (quality_mcd.chi_squared(share) if turn == quality_mcd.STEPS else limit)]
+        mean = near.mean(0)
+        cov = (near.T @ near / len(near) - np.outer(mean, mean)) * quality_mcd.consistency(share) + np.diag(floor**2)
+    return mean, cov
+
+
+def plain_pooled(n, own, wide):
+    a, gap = n / (n + quality_mcd.PRIOR), own[0] - wide[0]
+    return a * own[0] + (1 - a) * wide[0], a * own[1] + (1 - a) * wide[1] + a * (1 - a) * np.outer(gap, gap)
+
+
+def plain_distance(v, estimate):
+    return float((v - estimate[0]) @ np.linalg.inv(estimate[1]) @ (v - estimate[0]))
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_quality(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text", "lang", "source")
+    texts = {r.doc_id: (r.text, r.lang, r.source) for r in docs.collect()}
     rows = {r.doc_id: r for r in quality_mcd.judge(docs, carry_text=False).collect()}
-    vectors = collections.defaultdict(dict)
-    for i, (t, lang) in texts.items():
+    vectors = {}
+    for i, (t, *_) in texts.items():
         w, c, s, d, a = plain_quality(t)
         r = rows[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (w, c, s, d, a)
         assert r.base_failed == (w < 50 or 100 * a > 50 * w)
         if not r.base_failed:
-            vectors[lang][i] = [np.log(max(c / w, 0.1)), np.log1p(20 * s / w), (a / w) ** 0.5, (d / w) ** 0.5]
-    whole = np.array([v for x in vectors.values() for v in x.values()])
-    pools = {g: np.array(list(x.values())) for g, x in vectors.items()} | {"": whole}
-    fits = plain_robust(pools)
-    for lang, x in vectors.items():
-        mean, cov = fits[lang if len(x) >= quality_mcd.LEAST else ""]
-        inverse = np.linalg.inv(cov)
-        for i, v in x.items():
-            d = float((np.array(v) - mean) @ inverse @ (np.array(v) - mean))
-            assert abs(d - rows[i].distance) < 1e-6 * max(1, d) and rows[i].kept == (d <= quality_mcd.CUT)
-    good = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1").collect()
+            vectors[i] = (np.log(max(c / w, 0.1)), np.log1p(20 * s / w), (a / w) ** 0.5, (d / w) ** 0.5)
+    groups = collections.defaultdict(set)
+    for i, v in vectors.items():
+        groups[texts[i][1:]].add(v)
+    pool = lambda keys: np.array([v for k in keys for v in sorted(groups[k])])
+    whole = plain_robust(pool(groups))
+    langs = {k: plain_pooled(len(x), plain_robust(x), whole) for k in {k[0] for k in groups} for x in [pool([g for g in groups if g[0] == k])]}
+    fits, alone = {}, 0
+    for g in groups:
+        x, wide = pool([g]), langs[g[0]]
+        own = plain_robust(x)
+        agrees = plain_distance(own[0], wide) <= quality_mcd.limit_of()
+        fits[g] = plain_pooled(len(x), own, wide) if agrees else wide
+        alone += len(x) >= 200
+    assert sf == "sf0.01" or alone > 5
+    for i, v in vectors.items():
+        d = plain_distance(np.array(v), fits[texts[i][1:]])
+        assert abs(d - rows[i].distance) < 1e-6 * max(1, d) and rows[i].kept == (d <= quality_mcd.limit_of())
+    good = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet").where("quality = 1").collect()
     assert all(rows[r.doc_id].kept for r in good if r.doc_id in rows and not rows[r.doc_id].base_failed)
+    junk = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet").where("quality = 0").collect()
+    assert not any(rows[r.doc_id].kept for r in junk if rows[r.doc_id].n_symbols > rows[r.doc_id].n_words / 2)
 
 
 def plain_removed(texts, n=50):

@@ -2,24 +2,26 @@
 
 A minimum-covariance-determinant estimate per (language, source) is found over transformed statistic
 vectors of *all* documents that pass the base limits; a document is rejected if its Mahalanobis distance
-from the estimate of its group exceeds a fixed cut. Column expressions and aggregates only.
+from the estimate of its group exceeds the ``QUANTILE`` of chi-squared. Column expressions and aggregates only.
 
 The search is the concentration step of the fast algorithm: from a start of per-coordinate medians and
-spreads, each step keeps the share ``SHARE`` of a group's documents that lie nearest and recomputes mean
-and covariance from them; the determinant never grows. The share is taken from a histogram of log
-distances (``BINS`` per doubling), so a step is two aggregates over narrow rows, whatever a group's size.
-Groups below ``LEAST`` documents borrow the estimate of their language, small languages that of all documents. A
-document is judged by the nearer of its group's and its language's estimate: a group mostly of copies of one odd
-document can't make its ordinary ones outliers. A group's estimate whose centre is itself an outlier of the
-language has no say: a source mostly of junk can't keep it.
+spreads, each step keeps the share ``SHARE`` of a group's vectors that lie nearest and recomputes mean
+and covariance from them; the determinant never grows. A last step takes all vectors within ``INNER`` of
+chi-squared. Shares are taken from a histogram of log distances (``BINS`` per doubling), so a step is two aggregates
+over narrow rows, whatever a group's size. Equal vectors of a group count once: a document copied many times can't
+own the estimate. An estimate from n vectors is pooled with ``PRIOR`` vectors of the wider one (a group with its language, a
+language with all documents), so that groups of a few documents lean on their language. A group's estimate whose own
+centre is an outlier of the language has no say: a source mostly of junk can't keep it.
 
 Defined results: null text has no words (so the base limits reject it); null language or source is a group
-of its own; empty tables give empty tables; repeated rows count each; other columns pass through (a column of a result's
+of its own; empty tables give empty tables; repeated rows get equal results; other columns pass through (a column of a result's
 name gives way).
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,12 +31,13 @@ MIN_WORDS = 50
 MAX_REPEAT = 50  # percent of words
 SYMBOLS = "#*$%&|<>"
 #: A share just over one half: up to nearly half of a group may be odd before its estimate breaks.
-SHARE, STEPS, LEAST, BINS = 0.51, 4, 200, 16
-#: Distance limit: far beyond the 0.9999 point of chi-squared with 4 degrees, so that tails of clean groups stay.
-CUT = 60.0
+SHARE, STEPS, BINS, PRIOR = 0.51, 4, 16, 100
+#: Quantiles of chi-squared with P degrees: of the last step's vectors, and of the documents that stay.
+INNER, QUANTILE = 0.975, 0.9999
 #: Least spread of each transformed coordinate: below it a difference has no meaning for quality.
 FLOOR = (0.12, 0.25, 0.15, 0.15)
 P = len(FLOOR)
+PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
 #: Largest number of groups whose estimates are broadcast (about 400 bytes each); beyond, a salted shuffle join.
 BROADCAST_GROUPS, SALTS = 20_000, 32
@@ -95,23 +98,34 @@ def _distance(of: str = "") -> Column:
 
 
 def _estimates(rows: DataFrame, kept: Column, scale: float) -> DataFrame:
-    """Mean and factor of the covariance of each group's kept rows: one partial aggregate of sums."""
-    pairs = [(i, j) for i in range(P) for j in range(i + 1)]
-    sums = rows.where(kept).groupBy("g").agg(F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(P)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in pairs))
+    """Mean and covariance (with floors) of each group's kept rows: one partial aggregate of sums."""
+    sums = rows.where(kept).groupBy("g").agg(F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(P)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in PAIRS))
     n = F.col("n").cast("double")
-    means = sums.select("g", "n", *((F.col(f"s{i}") / n).alias(f"m{i}") for i in range(P)), *(F.col(f"s{i}_{j}") for i, j in pairs))
-    cov = [[F.lit(0.0)] * P for _ in range(P)]
-    for i, j in pairs:
-        cov[i][j] = (F.col(f"s{i}_{j}") / n - F.col(f"m{i}") * F.col(f"m{j}")) * scale + (FLOOR[i] ** 2 if i == j else 0.0)
-    out = means.select("g", *(f"m{i}" for i in range(P)), *(cov[i][j].alias(f"c{i}_{j}") for i, j in pairs))
+    means = sums.select("g", "n", *((F.col(f"s{i}") / n).alias(f"m{i}") for i in range(P)), *(F.col(f"s{i}_{j}") for i, j in PAIRS))
+    cov = {(i, j): (F.col(f"s{i}_{j}") / n - F.col(f"m{i}") * F.col(f"m{j}")) * scale + (FLOOR[i] ** 2 if i == j else 0.0) for i, j in PAIRS}
+    return means.select("g", *(f"m{i}" for i in range(P)), *(cov[ij].alias(f"c{ij[0]}_{ij[1]}") for ij in PAIRS))
+
+
+def _factor(model: DataFrame, of: str = "") -> DataFrame:
+    """``model`` with the factor l*_* of the covariance in place of it (names with ``of``)."""
+    out = model
     for i in range(P):  # a row of the factor at a time, so that no expression is repeated inside another
-        low = [[F.col(f"l{a}_{b}") for b in range(P)] for a in range(P)]
+        low = [[F.col(f"{of}l{a}_{b}") for b in range(P)] for a in range(P)]
         for j in range(i + 1):
-            rest = F.col(f"c{i}_{j}")
+            rest = F.col(f"{of}c{i}_{j}")
             for k in range(j):
                 rest = rest - low[i][k] * low[j][k]
-            out = out.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(FLOOR[i] ** 2 / 4))) if i == j else rest / low[j][j])
-    return out.drop(*(f"c{i}_{j}" for i, j in pairs))
+            out = out.withColumn(f"{of}l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(FLOOR[i] ** 2 / 4))) if i == j else rest / low[j][j])
+    return out.drop(*(f"{of}c{i}_{j}" for i, j in PAIRS))
+
+
+def _pooled(own: str, wide: str, n: Column) -> list[Column]:
+    """The estimate ``own`` from n vectors, pooled with ``PRIOR`` vectors of ``wide``: m* and c*_*."""
+    a = n / (n + F.lit(float(PRIOR)))
+    m = [a * F.col(f"{own}m{i}") + (1 - a) * F.col(f"{wide}m{i}") for i in range(P)]
+    gap = [F.col(f"{own}m{i}") - F.col(f"{wide}m{i}") for i in range(P)]
+    c = [a * F.col(f"{own}c{i}_{j}") + (1 - a) * F.col(f"{wide}c{i}_{j}") + a * (1 - a) * gap[i] * gap[j] for i, j in PAIRS]
+    return [*(x.alias(f"p_m{i}") for i, x in enumerate(m)), *(x.alias(f"p_c{i}_{j}") for x, (i, j) in zip(c, PAIRS, strict=True))]
 
 
 def _with(rows: DataFrame, small: DataFrame, few: bool) -> DataFrame:
@@ -145,39 +159,41 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     # The estimates need narrow rows only; they are written once and read by every step.
     tag = F.concat_ws("\u0001", F.coalesce(F.concat(F.lit("l"), F.col(lang)), F.lit("n")), F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")))
     narrow = stats.where(~F.col("base_failed")).select(tag.alias("g0"), F.coalesce(F.concat(F.lit("l"), F.col(lang)), F.lit("n")).alias("g1"), *(c.alias(f"x{i}") for i, c in enumerate(_vector())))
-    rows = cut(narrow.withColumn("id", F.monotonically_increasing_id()), "vectors")
-    sizes = cut(rows.groupBy("g0", "g1").count(), "groups")
+    rows = cut(narrow.distinct().withColumn("id", F.monotonically_increasing_id()), "vectors")
+    sizes = cut(rows.groupBy("g0", "g1").agg(F.count("*").alias("n0")), "groups")
     few = sizes.count() <= BROADCAST_GROUPS
-    langs = sizes.groupBy("g1").agg(F.sum("count").alias("n1"))
-    wider = F.when(F.col("n1") >= LEAST, F.concat(F.lit("lang "), F.col("g1"))).otherwise(F.lit("all"))
-    use = sizes.join(langs, "g1").select("g0", F.when(F.col("count") >= LEAST, F.col("g0")).otherwise(wider).alias("use"), wider.alias("wide"))
+
     # Every group's own rows, those of its language, and all rows: one estimate each.
     def level(g: Column) -> DataFrame:
         return rows.select(g.alias("g"), "id", *(f"x{i}" for i in range(P)))
 
-    parts = [level(F.col("g0")), level(F.concat(F.lit("lang "), F.col("g1")))]
-    if not few or not use.where("wide = 'all'").isEmpty():
-        parts.append(level(F.lit("all")))
-    data = parts[0]
-    for x in parts[1:]:
-        data = data.unionByName(x)
+    data = level(F.concat(F.lit("group "), F.col("g0"))).unionByName(level(F.concat(F.lit("lang "), F.col("g1")))).unionByName(level(F.lit("all")))
     centre = data.groupBy("g").agg(*(F.percentile_approx(f"x{i}", 0.5, 10_000).alias(f"m{i}") for i in range(P)), *(F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.75)), 10_000).alias(f"q{i}") for i in range(P)))
     spread = [F.greatest((F.col(f"q{i}")[1] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOOR[i])) for i in range(P)]
-    model = cut(centre.select("g", *(f"m{i}" for i in range(P)), *((spread[i] if i == j else F.lit(0.0)).alias(f"l{i}_{j}") for i in range(P) for j in range(i + 1))), "start")
-    for _ in range(STEPS):
-        far = _with(data, model, few).select("g", "id", *(f"x{i}" for i in range(P)), _distance().alias("d"))
-        limit = cut(_nearest(far, SHARE, "d", "limit"), "limit")
-        near = _with(far, limit, few)
-        model = cut(_estimates(near, F.col("d") <= F.col("limit"), _consistency(SHARE)), "model")
-    second = model.select(F.col("g").alias("wide"), *(F.col(c).alias(f"w_{c}") for c in model.columns if c != "g"))
-    mine = use.join(model.withColumnRenamed("g", "use"), "use").join(second, "wide").drop("use", "wide")
-    centre_of = mine.select("*", *(F.col(f"m{i}").alias(f"x{i}") for i in range(P)))
-    mine = centre_of.withColumn("agrees", _distance("w_") <= CUT).drop(*(f"x{i}" for i in range(P)))
+    model = cut(centre.select("g", *(f"m{i}" for i in range(P)), *((spread[i] * spread[i] if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for i, j in PAIRS)), "start")
+    for turn in range(STEPS + 1):
+        last = turn == STEPS
+        far = _with(data, _factor(model), few).select("g", "id", *(f"x{i}" for i in range(P)), _distance().alias("d"))
+        if last:
+            model = cut(_estimates(far, F.col("d") <= chi_squared(INNER), consistency(INNER)), "model")
+        else:
+            limit = cut(_nearest(far, SHARE, "d", "limit"), "limit")
+            model = cut(_estimates(_with(far, limit, few), F.col("d") <= F.col("limit"), consistency(SHARE)), "model")
+
+    # Pooled from all documents to languages to groups: a row for each language, then for each group.
+    def of(kind: str, name: str, before: str) -> DataFrame:
+        return model.where(F.col("g").startswith(kind)).select(F.substring("g", len(kind) + 1, 1 << 30).alias(name), *(F.col(c).alias(f"{before}{c}") for c in model.columns if c != "g"))
+
+    values = [*(f"m{i}" for i in range(P)), *(f"c{i}_{j}" for i, j in PAIRS)]
+    langs = sizes.groupBy("g1").agg(F.sum("n0").alias("n1")).join(of("lang ", "g1", "own_"), "g1").join(of("all", "nothing", "wide_").drop("nothing"))
+    langs = langs.select("g1", *_pooled("own_", "wide_", F.col("n1"))).select("g1", *(F.col(f"p_{v}").alias(f"w_{v}") for v in values))
+    mine = sizes.join(of("group ", "g0", "own_"), "g0").join(langs, "g1").select("g0", *(F.col(f"own_m{i}").alias(f"x{i}") for i in range(P)), *(f"w_{v}" for v in values), *_pooled("own_", "w_", F.col("n0")))
+    mine = _factor(mine.select("*", *(F.col(f"w_{v}").alias(f"v_w_{v}") for v in values)), "v_w_").withColumn("agrees", _distance("v_w_") <= limit_of())
+    mine = _factor(mine.select(F.col("g0").alias("g"), *(F.when(F.col("agrees"), F.col(f"p_{v}")).otherwise(F.col(f"w_{v}")).alias(v) for v in values)))
+    mine = cut(mine, "estimates")
     got = stats.select(F.struct(*own).alias("own"), tag.alias("g"), F.monotonically_increasing_id().alias("id"), *(c.alias(f"x{i}") for i, c in enumerate(_vector())))
-    mine = mine.withColumnRenamed("g0", "g")
     joined = got.join(F.broadcast(mine), "g", "left") if few else _left_salted(got, mine)
-    nearer = F.when(F.col("agrees"), F.least(_distance(), _distance("w_"))).otherwise(_distance("w_"))
-    return joined.select("own.*", F.when(~F.col("own.base_failed"), nearer).alias("distance")).withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUT))
+    return joined.select("own.*", F.when(~F.col("own.base_failed"), _distance()).alias("distance")).withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= limit_of()))
 
 
 def _left_salted(rows: DataFrame, small: DataFrame) -> DataFrame:
@@ -185,16 +201,21 @@ def _left_salted(rows: DataFrame, small: DataFrame) -> DataFrame:
     return salted.join(small.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["g", "__salt"], "left").drop("__salt")
 
 
-def _consistency(share: float) -> float:
-    """Factor that makes the covariance of the nearest ``share`` consistent for normal vectors (P = 4).
-
-    With 4 degrees of freedom P(X <= q) = 1 - exp(-q/2)(1 + q/2) and the one of 6 degrees adds (q/2)^2/2.
-    """
-    import math
-
+def chi_squared(share: float) -> float:
+    """The quantile of chi-squared with P = 4 degrees: P(X <= q) = 1 - exp(-q/2)(1 + q/2)."""
     lo, hi = 0.0, 100.0
     for _ in range(80):
         q = (lo + hi) / 2
         lo, hi = (q, hi) if 1 - math.exp(-q / 2) * (1 + q / 2) < share else (lo, q)
-    six = 1 - math.exp(-q / 2) * (1 + q / 2 + (q / 2) ** 2 / 2)
-    return share / six
+    return q
+
+
+def limit_of() -> float:
+    """The largest squared distance of a document that stays."""
+    return chi_squared(QUANTILE)
+
+
+def consistency(share: float) -> float:
+    """Factor that makes the covariance of the nearest ``share`` consistent for normal vectors: 6 degrees add (q/2)^2/2."""
+    q = chi_squared(share)
+    return share / (1 - math.exp(-q / 2) * (1 + q / 2 + (q / 2) ** 2 / 2))
