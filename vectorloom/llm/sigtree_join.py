@@ -9,8 +9,12 @@ union needs, and pairs that are connected already.
 Rare means a low count in a table of ``SLOTS`` hashed frequencies of all documents, a fixed size; any order that
 all tasks share gives the same links, so chance neighbours in the table cost time only.
 
+A token is the first that two sets share, so neither can have more tokens after it than it takes: sets of a token
+that fit no other set of it by size and by the token's rank are dropped from it at once.
+
 1. Sets that share at least a ``SHARE``-th of a set's routing tokens with the least set that has them (its hub)
-   form a tree of whole sets with that hub; rounds with other hubs follow while such sets lie in different components.
+   form a tree of whole sets with that hub; rounds with other hubs follow while a token has more than ``CHUNK`` sets in
+   different components.
 2. For each routing token whose sets still lie in different components, a tree of their bitmaps finds all pairs that
    may link; tokens with the same sets make one tree, tokens with more than ``LIST`` sets pairs of chunks.
 3. Whole sets decide these pairs. Nothing is left out: a pair is pruned by a bound or by a path of links.
@@ -41,7 +45,7 @@ WORDS = 3
 PERCENT = 90
 #: Members of a chunk of verified groups; tokens of a chunk of whole sets.
 CHUNK, ELEMENTS = 2000, 2_000_000
-SLOTS, SLICES = 1 << 18, 64
+SLOTS, SLICES = 1 << 22, 64
 SHARE, ROUNDS, LIST = 5, 3, 256
 FAN = 32
 #: Bits of the filter by which documents that take part are found before they are shuffled.
@@ -329,7 +333,7 @@ def rarity(slices: DataFrame) -> np.ndarray:
 
 
 def routed(docs: DataFrame, key: str, text: str, words: int, percent: int, rare: np.ndarray) -> DataFrame:
-    """``(k, node, p)``: the routing tokens of every set, and how many it has."""
+    """``(k, node, n, rank)``: the routing tokens of every set of n, by rank."""
     shared = docs.sparkSession.sparkContext.broadcast(rare)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,10 +348,42 @@ def routed(docs: DataFrame, key: str, text: str, words: int, percent: int, rare:
             for i, m in zip(once.tolist(), p.tolist(), strict=True):
                 if m:
                     t = token[first[i] : first[i + 1]]
-                    out.append(np.partition(t, m - 1)[:m])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(node[once], p)), pa.array(np.repeat(p, p), pa.int32())], names=["k", "node", "p"])
+                    out.append(np.sort(np.partition(t, m - 1)[:m]))
+            rank = np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(node[once], p)), pa.array(np.repeat(n[once], p), pa.int32()), pa.array(rank, pa.int32())], names=["k", "node", "n", "rank"])
+
+    return docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(text).mapInArrow(run, "k bigint, node bigint, n int, rank int")
+
+
+def fitting(hits: DataFrame, percent: int) -> DataFrame:
+    """``(k, node, p)`` of (k, node, n, rank): without the sets of a token that fit no other of its sets. ``p``: tokens that route the set.
+
+    If the token is the first that two sets share, the tokens from it on must suffice for a link in either.
+    """
+    own = F.expr(f"cast(n - ceil({percent} * n / 100) + 1 as int)").alias("p")
+    counted = hits.join(hits.groupBy("k").agg(F.count("*").alias("c")).hint("merge"), "k")
+    few = counted.where((F.col("c") > 1) & (F.col("c") <= LIST)).groupBy("k").agg(F.collect_list(F.struct("node", "n", "rank")).alias("all"))
 
-    return docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(text).mapInArrow(run, "k bigint, node bigint, p int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.asarray(pc.list_value_length(batch.column(1)))
+            flat = pc.list_flatten(batch.column(1))
+            node, n, rank = (np.asarray(flat.field(i)) for i in range(3))
+            first, keep = np.cumsum(sizes) - sizes, np.zeros(len(node), bool)
+            for m in np.unique(sizes):
+                lists = np.nonzero(sizes == m)[0]
+                for some in np.array_split(lists, -(-len(lists) * m * m // (1 << 22))):
+                    at = first[some][:, None] + np.arange(m)
+                    need = -(-percent * (n[at][:, :, None] + n[at][:, None, :]) // (100 + percent))
+                    left = n[at] - rank[at]
+                    fits = (left[:, :, None] >= need) & (left[:, None, :] >= need)
+                    fits[:, np.arange(m), np.arange(m)] = False
+                    keep[at] = fits.any(2)
+            k = np.repeat(np.asarray(batch.column(0)), sizes)
+            p = n - (percent * n + 99) // 100 + 1
+            yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(node[keep]), pa.array(p[keep], pa.int32())], names=["k", "node", "p"])
+
+    return few.mapInArrow(run, "k bigint, node bigint, p int").unionByName(counted.where(F.col("c") > LIST).select("k", "node", own))
 
 
 def fetched(docs: DataFrame, key: str, text: str, words: int, want: DataFrame, form: Callable[[np.ndarray], bytes]) -> DataFrame:
@@ -447,14 +483,15 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     nodes = cut(rows.where(F.col(key).isNotNull() & (F.col("n") > 0)).groupBy("node").agg(F.min(F.col(key).cast("long")).alias("rep")), "nodes")
     routing = cut(routed(docs, key, text, words, percent, rarity(table.where("slot is not null").select("slot", "part", "counts"))), "routes")
     several = routing.groupBy("k").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("k")
-    hits = cut(routing.join(several.hint("merge"), "k").repartition("k", "node").distinct(), "hits")
-    discard(routing)
+    shared = cut(routing.join(several.hint("merge"), "k").repartition("k", "node").distinct(), "shared")
+    hits = cut(fitting(shared, percent), "hits")
+    discard(routing, shared)
     whole = lambda s: s.tobytes()
     labels, open_ = None, _open(hits, None)
     for turn in range(ROUNDS):
-        groups = _hubs(open_, nodes, percent, turn)
-        if groups.isEmpty():
+        if turn and open_.where(F.col("c") > CHUNK).isEmpty():
             break
+        groups = _hubs(open_, nodes, percent, turn)
         links = trees(fetched(docs, key, text, words, groups, whole), percent)
         found = components(links if labels is None else links.unionByName(labels.select(F.col("label").alias("a"), F.col("node").alias("b"))))
         discard(groups, labels, open_)
