@@ -166,3 +166,50 @@ def test_noisy_and_short_recordings_are_found(spark):
     near = [k for k, e in truth.items() if e < 0.08]
     assert len(near) >= 10 and sum(k in got for k in near) >= 0.98 * len(near)
     assert len(chroma_audio.fingerprint(chroma_audio.chroma(short, chroma_audio.RATE))) <= 8 and (5000, 5001) in got
+
+
+def _pcm(x, rate, width=2, channels=1):
+    import io
+    import wave
+
+    raw = np.round(np.clip(x, -1, 1) * (2 ** (8 * width - 1) - 1)).astype(np.int64)
+    raw = (raw + 128 if width == 1 else raw).astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width]
+    sink = io.BytesIO()
+    with wave.open(sink, "wb") as w:
+        w.setnchannels(channels)
+        w.setsampwidth(width)
+        w.setframerate(rate)
+        w.writeframes(np.repeat(raw, channels, 0).tobytes())
+    return bytearray(sink.getvalue())
+
+
+def _tune(seed, rate, notes=60):
+    pitch = 220 * 2 ** (np.random.default_rng(seed).integers(0, 24, notes) / 12)
+    t = np.arange(rate // 8) / rate
+    return (0.5 * np.sin(2 * np.pi * pitch[:, None] * t) * np.hanning(len(t))).ravel()
+
+
+def test_recordings_of_any_rate_and_width_match(spark):
+    forms = [(4000, 2, 1), (8000, 2, 1), (11025, 1, 1), (22050, 3, 2), (44100, 4, 2)]
+    rows = [(100 * (s + 1) + k, _pcm(_tune(s, f[0]), *f)) for s in range(3) for k, f in enumerate(forms)]
+    df = spark.createDataFrame(rows, "id long, audio binary")
+    got = {(m.id, m.match_class) for m in chroma_audio.align(chroma_audio.fingerprints(df), "id", F.col("id") % 100 == 0).collect()}
+    assert got == {(q, q + k) for q in (100, 200, 300) for k in range(5)} | {(i, None) for i, _ in rows if i % 100}
+
+
+def test_long_recordings_are_read_in_blocks(monkeypatch):
+    x = _pcm(_tune(5, 11025, 400), 11025)
+    whole, _ = chroma_audio.read(x)
+    prints = chroma_audio.fingerprint(chroma_audio.chroma(whole))
+    monkeypatch.setattr(chroma_audio, "BLOCK", 5000)
+    assert np.allclose(chroma_audio.read(x)[0], whole, atol=1e-6)
+    assert (chroma_audio.fingerprint(chroma_audio.chroma(whole)) == prints).all()
+
+
+def test_silence_gives_no_votes(spark):
+    still = np.zeros(40_000)
+    rows = [(100, _pcm(np.concatenate([_tune(1, 4000), still]), 4000)), (1, _pcm(np.concatenate([_tune(2, 4000), still]), 4000)), (2, _pcm(still, 4000)), (200, _pcm(np.concatenate([still, _tune(2, 4000)]), 4000))]
+    prints = chroma_audio.fingerprints(spark.createDataFrame(rows, "id long, audio binary"))
+    assert {x for r in prints.where("id = 2").collect() for x in r.fp} == {chroma_audio.FLAT}
+    got = {(m.id, m.match_class) for m in chroma_audio.align(prints, "id", F.col("id") % 100 == 0).collect() if m.match_class is not None}
+    assert got == {(100, 100), (200, 200), (200, 1)}

@@ -1,16 +1,18 @@
 """Media columns: chroma fingerprints of recordings and their alignment.
 
-A recording (WAV bytes, 16-bit PCM) becomes pitch-class frames; differences of rectangle sums over an
-integral image of the frames (filters that see height, time and centre contrasts) are quantised to two
+A recording (WAV bytes, PCM of 8 to 32 bits, any rate) is brought to ``RATE`` and becomes pitch-class frames; differences of
+rectangle sums over an integral image of the frames (filters that see height, time and centre contrasts) are quantised to two
 bits each and packed into 32-bit integers, one per frame. Recordings align by the histogram of offsets of
-equal integers; every offset with ``VOTES`` of them and ``GAP + VOTES`` frames of overlap (fewer for shorter
+equal integers; an equal integer counts where the integers around it (``AROUND`` frames away) differ by no more bits
+than a match may. Every offset with ``VOTES`` of them and ``GAP + VOTES`` frames of overlap (fewer for shorter
 recordings) is checked by the share of differing bits, and the best of those that pass is the match.
 
 Recordings with equal fingerprints are one class; only class representatives are matched. Integers and
 positions are joined, counted per (query, recording, offset) before anything else, so no pair is made
-without an equal integer.
+without an equal integer. The integer of no contrast (``FLAT``: silence, noise without pitch) gives no vote.
+Long recordings are read, resampled and transformed in blocks.
 
-Defined results: null, empty, too short or undecodable audio has an empty fingerprint, is a class of its own and
+Defined results: null, empty, too short or undecodable audio (compressed or floating-point formats too) has an empty fingerprint, is a class of its own and
 matches nothing; empty tables give empty tables; rows that repeat an id are matched each by their audio;
 other columns pass through ``fingerprints``.
 """
@@ -29,11 +31,14 @@ from pyspark.sql import types as T
 
 from .common import clear, cut
 
-FRAME, HOP = 512, 128
+RATE = 4000  # samples a second
+FRAME, HOP, BLOCK = 512, 128, 1 << 18
 LOW, HIGH = 200.0, 1900.0
 FILTERS, SPAN = 16, 16
 GAP = 8
-STEP = 0.12  # of log contrast between two levels
+AROUND = (-24, -16, -8, 8, 16, 24)
+STEP = 0.3  # of log contrast between two levels
+FLAT = 0x55555555  # no filter sees a contrast
 VOTES = 3
 ERROR = 0.30
 ROWS = 64  # recordings worked on together
@@ -44,29 +49,60 @@ def filters() -> list[tuple[int, int, int, int]]:
     return [(k % 4, (5 * k) % 12, 2 + 2 * (k % 3), (4, 8, 12, SPAN)[(k // 4) % 4]) for k in range(FILTERS)]
 
 
+def _samples(raw: bytes, width: int, channels: int) -> np.ndarray:
+    """Mono samples, -1 to 1, of little-endian PCM."""
+    if width == 1:
+        x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
+    elif width == 3:
+        x = np.zeros((len(raw) // 3, 4), np.uint8)
+        x[:, 1:] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+        x = x.view("<i4").ravel().astype(np.float32) / 2**31
+    else:
+        x = np.frombuffer(raw, f"<i{width}").astype(np.float32) / 2 ** (8 * width - 1)
+    return x.reshape(-1, channels).mean(1)
+
+
+def resampled(x: np.ndarray, rate: int, start: int, first: int, upto: int) -> np.ndarray:
+    """Samples ``first`` to ``upto`` at ``RATE`` from x, whose first sample is number ``start`` at ``rate``."""
+    half = 8 * max(1, -(-rate // RATE))
+    t = np.arange(-half, half + 1)
+    band = 0.9 * min(1.0, RATE / rate)
+    kernel = np.sinc(band * t) * np.hanning(2 * half + 3)[1:-1]
+    smooth = np.convolve(x, kernel / kernel.sum(), "same")
+    return np.interp(np.arange(first, upto) * (rate / RATE) - start, np.arange(len(x)), smooth).astype(np.float32)
+
+
 def read(data: bytes | None) -> tuple[np.ndarray, int]:
-    """Samples (mono, -1 to 1) and rate; empty if it can't be decoded."""
+    """Samples (mono, -1 to 1) at ``RATE``, and it; empty if they can't be decoded."""
     try:
         with wave.open(io.BytesIO(data or b"")) as w:
-            if w.getsampwidth() != 2:
-                return np.zeros(0), 1
-            x = np.frombuffer(w.readframes(w.getnframes()), "<i2").astype(float) / 32768
-            return x.reshape(-1, w.getnchannels()).mean(1), w.getframerate()
-    except (wave.Error, EOFError, ValueError):
-        return np.zeros(0), 1
-
-
-def chroma(x: np.ndarray, rate: int) -> np.ndarray:
+            n, rate, form = w.getnframes(), w.getframerate(), (w.getsampwidth(), w.getnchannels())
+            if rate == RATE:
+                return _samples(w.readframes(n), *form).astype(float), RATE
+            out, total, edge = [], n * RATE // rate, 16 * max(1, -(-rate // RATE))
+            for first in range(0, total, BLOCK):
+                upto = min(total, first + BLOCK)
+                lo, hi = max(0, first * rate // RATE - edge), min(n, upto * rate // RATE + edge)
+                w.setpos(lo)
+                out.append(resampled(_samples(w.readframes(hi - lo), *form), rate, lo, first, upto))
+            return np.concatenate(out or [np.zeros(0)]).astype(float), RATE
+    except (wave.Error, EOFError, ValueError, ZeroDivisionError):
+        return np.zeros(0), RATE
+
+
+def chroma(x: np.ndarray, rate: int = RATE) -> np.ndarray:
     """Frames x 12 pitch classes, each frame of unit sum (silence: zeros)."""
+    if rate != RATE:
+        x = resampled(x, rate, 0, 0, len(x) * RATE // rate)
     if len(x) < FRAME:
         return np.zeros((0, 12))
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
-    power = np.abs(np.fft.rfft(frames * np.hanning(FRAME), axis=1)) ** 2
-    f = np.fft.rfftfreq(FRAME, 1 / rate)
+    f = np.fft.rfftfreq(FRAME, 1 / RATE)
     use = (f >= LOW) & (f <= HIGH)
     to = np.zeros((len(f), 12))
     to[np.nonzero(use)[0], np.round(12 * np.log2(f[use] / 440)).astype(int) % 12] = 1
-    c = power @ to
+    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+    window, some = np.hanning(FRAME), BLOCK // FRAME
+    c = np.concatenate([np.abs(np.fft.rfft(frames[i : i + some] * window, axis=1)) ** 2 @ to for i in range(0, len(frames), some)])
     return c / np.maximum(c.sum(1, keepdims=True), 1e-9)
 
 
@@ -137,8 +173,17 @@ def align(prints: DataFrame, key: str, is_query) -> DataFrame:
     table = cut(prints.select(F.col(key), "fp", F.when(F.size("fp") > 0, F.xxhash64("fp")).alias("h1"), F.when(F.size("fp") > 0, F.hash("fp")).alias("h2"), F.coalesce(is_query, F.lit(False)).alias("is_query")), "prints")
     sets = table.where("h1 is not null").groupBy("h1", "h2").agg(F.min(key).alias("class_id"), F.max("is_query").alias("asks"), F.first("fp").alias("fp"))
     reps = cut(sets, "classes")
-    post = lambda df, name: df.select(F.col("class_id").alias(name), F.size("fp").alias(f"{name}_n"), F.posexplode("fp").alias(f"{name}_at", "print"))
-    votes = post(reps.where("asks"), "q").join(post(reps, "r"), "print").groupBy("q", "r", "q_n", "r_n", (F.col("q_at") - F.col("r_at")).alias("offset")).agg(F.count("*").alias("votes"))
+
+
+    def post(df: DataFrame, name: str) -> DataFrame:
+        """A row for each integer that may vote, with those around it."""
+        at = df.select(F.col("class_id").alias(name), F.size("fp").alias(f"{name}_n"), "fp", F.posexplode("fp").alias(f"{name}_at", f"{name}_print"))
+        near = [F.when(F.col(f"{name}_at") + o >= 0, F.get("fp", F.col(f"{name}_at") + o)).cast("long").alias(f"{name}{i}") for i, o in enumerate(AROUND)]
+        return at.where(F.col(f"{name}_print") != FLAT).select(name, f"{name}_n", f"{name}_at", f"{name}_print", *near)
+
+    differ = [F.bit_count(F.col(f"q{i}").bitwiseXOR(F.col(f"r{i}")).bitwiseAND(F.lit((1 << 32) - 1))) for i in range(len(AROUND))]
+    bits, there = (sum((F.coalesce(x, F.lit(0)) for x in y), F.lit(0)) for y in (differ, [F.when(d.isNotNull(), 32) for d in differ]))
+    votes = post(reps.where("asks"), "q").join(post(reps, "r"), (F.col("q_print") == F.col("r_print")) & (bits <= ERROR * there)).groupBy("q", "r", "q_n", "r_n", (F.col("q_at") - F.col("r_at")).alias("offset")).agg(F.count("*").alias("votes"))
     # A short recording needs no more votes or frames than it has.
     overlap = F.least("q_n", F.col("r_n") + F.col("offset")) - F.greatest("offset", F.lit(0))
     able = votes.where((F.col("votes") >= F.least(F.lit(VOTES), "q_n", "r_n")) & (overlap >= F.least(F.lit(GAP + VOTES), "q_n", "r_n"))).select("q", "r", "votes", "offset")
@@ -158,7 +203,7 @@ def align(prints: DataFrame, key: str, is_query) -> DataFrame:
     return rows.join(matches, ["class_id", "is_query"], "left").select(key, "class_id", "is_query", "match_class", "offset", "votes", "bit_error")
 
 
-RATE, NOTE = 4000, 256
+NOTE = 256
 
 
 def sounded(vector: list[float]) -> bytes:
