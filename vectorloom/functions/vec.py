@@ -69,7 +69,9 @@ def clamp(x: Column | str, lo: float = 0.0, hi: float = 1.0) -> Column:
 
 
 def ceildiv(a: Column | str, b: int) -> Column:
-    return F.ceil(_col(a) / F.lit(b)).cast("long")
+    """The quotient rounded up, in whole numbers throughout."""
+    a = _col(a).cast("long")
+    return F.call_function("div", a + F.pmod(-a, F.lit(b).cast("long")), F.lit(b).cast("long"))
 
 
 def argmax(v: Column | str) -> Column:

@@ -1,51 +1,69 @@
-"""Distances, affinities and degrees: a native form for small or checked work and a block form for scale.
+"""Distances, affinities and degrees: one bounded side is a matrix on every executor (checked), the other streams through array kernels.
 
-The native form is a broadcast cross join and column expressions. The block form keeps one bounded side as
-a matrix on every executor and streams the other through array kernels; pairs are never shuffled.
+Blocks of a batch have at most ``CELLS`` pairs; pairs are never shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vec
-from ..sources.tables import matrix
+from ..sources.tables import matrix, to_numpy
 from .stats import normal_tail, scale_factor
 
 DISTANCE_OF = {"cosine": "cosine", "rbf": "euclidean"}
-#: Rows of a side that may be broadcast (matrix kernels and native cross joins).
-MOST = 20_000
+#: Rows of a side that may be broadcast; pairs a task works on at once.
+MOST, CELLS = 20_000, 1 << 21
 
 
-def distance_column(a: Column, b: Column, distance: str) -> Column:
+def sliced(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in runs of which a matrix of ``width`` columns has at most ``CELLS`` elements."""
+    rows = max(1, CELLS // max(1, width))
+    for b in batches:
+        for s in range(0, b.num_rows, rows):
+            yield b.slice(s, rows)
+
+
+def _pairs(a: DataFrame, b: DataFrame, name: str, value: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """``(i, j, name)`` for all pairs: ``b`` is bounded and broadcast, ``a`` streams."""
+    ids, y = to_numpy(b, MOST)
+    shared = a.sparkSession.sparkContext.broadcast((ids, y))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        js, other = shared.value
+        for part in sliced(batches, len(js)):
+            got = value(matrix(part.column(1), other.shape[1]), other)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(part.column(0)), len(js))), pa.array(np.tile(js, part.num_rows)), pa.array(got.reshape(-1))], names=["i", "j", name])
+
+    return a.select("id", "v").mapInArrow(run, f"i bigint, j bigint, {name} double")
+
+
+def block_distance(x: np.ndarray, y: np.ndarray, distance: str) -> np.ndarray:
     if distance == "cosine":
-        return F.lit(1.0) - vec.dot(vec.normalized(a), vec.normalized(b))
+        return 1 - unit(x) @ unit(y).T
     if distance == "euclidean":
-        return vec.euclidean(a, b)
+        return np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * x @ y.T))
     raise ValueError(f"unknown distance: {distance}")
 
 
 def distances(a: DataFrame, b: DataFrame, distance: str = "cosine") -> DataFrame:
-    """``(i, j, d)`` for all pairs of two small tables."""
-    unit = (lambda v: vec.normalized(v)) if distance == "cosine" else (lambda v: F.col(v))
-    left = a.select(F.col("id").alias("i"), unit("v").alias("a"))
-    right = b.select(F.col("id").alias("j"), unit("v").alias("b"))
-    value = F.lit(1.0) - vec.dot("a", "b") if distance == "cosine" else distance_column(F.col("a"), F.col("b"), distance)
-    return left.crossJoin(F.broadcast(right)).select("i", "j", value.alias("d"))
+    """``(i, j, d)`` for all pairs of rows of a and of a bounded b."""
+    if distance not in DISTANCE_OF.values():
+        raise ValueError(f"unknown distance: {distance}")
+    return _pairs(a, b, "d", lambda x, y: block_distance(x, y, distance))
 
 
 def affinities(a: DataFrame, b: DataFrame | None = None, kind: str = "cosine", gamma: float = 1.0) -> DataFrame:
-    """``(i, j, w)``. For "rbf" the scale comes from ``a`` alone."""
-    pairs = distances(a, a if b is None else b, DISTANCE_OF[kind])
-    if kind == "cosine":
-        return pairs.select("i", "j", F.exp(-F.col("d") / gamma).alias("w"))
-    scaled = F.col("d") / F.col("sigma")
-    return pairs.crossJoin(F.broadcast(scale_factor(a))).select("i", "j", F.exp(-0.5 * scaled * scaled / gamma).alias("w"))
+    """``(i, j, w)`` for all pairs of rows of a and of a bounded b. For "rbf" the scale comes from ``a`` alone."""
+    if kind not in DISTANCE_OF:
+        raise ValueError(f"unknown affinity: {kind}")
+    scale = scale_factor(a).first()[0] if kind == "rbf" else None
+    return _pairs(a, a if b is None else b, "w", lambda x, y: block(y, x, kind, gamma, scale))
 
 
 def degrees(pairs: DataFrame, node: str = "i") -> DataFrame:
@@ -88,7 +106,7 @@ def block_degrees(df: DataFrame, anchors: np.ndarray, kind: str = "cosine", gamm
     shared = df.sparkSession.sparkContext.broadcast(anchors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, len(shared.value)):
             w = block(shared.value, matrix(b.column(1), shared.value.shape[1]), kind, gamma, scale)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w.sum(1))], names=["id", "degree"])
 

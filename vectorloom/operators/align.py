@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vec
+from ..sources.shared import remove, written
+from ..sources.tables import matrix
 from . import linalg
 
 SORTS = ("count", "norm", "marginal_norm")
@@ -19,7 +22,7 @@ def initial_axes(df: DataFrame, vector: str = "ev", seed: int = 42) -> np.ndarra
     A small aggregate per axis; ties go to the smaller id. Rows are L2-normalised, non-finite ones left out.
     """
     rows = df.select("id", vec.normalized(vector).alias("x")).where(vec.finite("x"))
-    first = rows.agg(F.min(F.struct(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))).alias("h"), "id", "x"))).first()[0]
+    first = rows.agg(F.min(F.struct(_order(seed).alias("h"), "id", "x"))).first()[0]
     if first is None:
         raise ValueError("no finite rows")
     axes = [np.array(first.x)]
@@ -32,46 +35,60 @@ def initial_axes(df: DataFrame, vector: str = "ev", seed: int = 42) -> np.ndarra
     return np.stack(axes)
 
 
+def _order(seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")))
+
+
+def _sums(x: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Per axis the sum of the normalised rows assigned to it."""
+    x = _ready(x)
+    out = np.zeros_like(r)
+    np.add.at(out, np.argmax(x @ r.T, 1), x)
+    return out
+
+
+def _significance(x: np.ndarray, r: np.ndarray, method: str) -> np.ndarray:
+    """Per axis: its rows, the squared length of its column of raw rotated rows, or that of its own rows in it."""
+    x = x[np.isfinite(x).all(1)]
+    y = x @ r.T
+    own = np.zeros_like(y)
+    own[np.arange(len(y)), np.argmax(_ready(x) @ r.T, 1)] = 1
+    return own.sum(0) if method == "count" else (y * y).sum(0) if method == "norm" else (own * y * y).sum(0)
+
+
 class AxisAlign:
-    """``fit`` finds an orthogonal R whose rows are cluster axes, in the order of ``sort_method``."""
+    """``fit`` finds an orthogonal R whose rows are cluster axes, in the order of ``sort_method`` (largest first).
+
+    Axes are found on L2-normalised rows; their order is that of counts or of lengths of the rows as they are.
+    """
 
     def __init__(self, sort_method: str = "norm", max_iter: int = 100, seed: int = 42):
         if sort_method not in SORTS:
             raise ValueError(f"unknown sort method: {sort_method}")
         self.sort_method, self.max_iter, self.seed = sort_method, max_iter, seed
 
-    def fit(self, df: DataFrame, vector: str = "ev", normalize: bool = True) -> AxisAlign:
-        r = initial_axes(df, vector, self.seed)
-        last, spark = 0.0, df.sparkSession
-        for _ in range(self.max_iter):
-            now = spark.sparkContext.broadcast(r)
-
-            def sums(x: np.ndarray, now=now) -> np.ndarray:
-                x = _ready(x)
-                k = np.argmax(x @ now.value.T, 1)
-                out = np.zeros_like(now.value)
-                np.add.at(out, k, x)
-                return out
+    def fit(self, df: DataFrame, vector: str = "ev") -> AxisAlign:
+        """Every pass reads the rows as they were written once to the shared folder."""
+        held = written(df.select("id", F.col(vector).alias("ev")), "align")
+        try:
+            self._fit(held)
+        finally:
+            remove(held)
+        return self
 
-            m = linalg.summed(df, [vector], sums).reshape(r.shape)
+    def _fit(self, rows: DataFrame) -> None:
+        context, r, last = rows.sparkSession.sparkContext, initial_axes(rows, "ev", self.seed), 0.0
+        for _ in range(self.max_iter):
+            now = context.broadcast(r)
+            m = linalg.summed(rows, ["ev"], lambda x, now=now: _sums(x, now.value)).reshape(r.shape)
             size = float(np.linalg.norm(m))
             if abs(size - last) < TOLERANCE:
                 break
             last, r = size, linalg.procrustes(m)
-        self.r = r[np.argsort(-self._metric(df, vector, r), kind="stable")]
-        return self
-
-    def _metric(self, df: DataFrame, vector: str, r: np.ndarray) -> np.ndarray:
-        """Per axis: rows of its cluster (missing ones not), length of its column, or length within the cluster."""
-        now, method = df.sparkSession.sparkContext.broadcast(r), self.sort_method
-
-        def kernel(x: np.ndarray) -> np.ndarray:
-            y = _ready(x) @ now.value.T
-            own = np.zeros_like(y)
-            own[np.arange(len(y)), np.argmax(y, 1)] = 1
-            return own.sum(0) if method == "count" else (y * y).sum(0) if method == "norm" else (own * y * y).sum(0)
-
-        return linalg.summed(df, [vector], kernel)
+        now, method = context.broadcast(r), self.sort_method
+        self.significance = linalg.summed(rows, ["ev"], lambda x: _significance(x, now.value, method))
+        order = np.argsort(-self.significance, kind="stable")
+        self.r, self.significance = r[order], self.significance[order]
 
     def transform(self, df: DataFrame, vector: str = "ev", normalize: bool = True, hard: bool = False) -> DataFrame:
         """``df`` with the vector rotated, or with ``cluster`` (first of equal maxima; missing rows NULL) if ``hard``."""
@@ -81,7 +98,43 @@ class AxisAlign:
         return df.withColumn(vector, y)
 
     def fit_transform(self, df: DataFrame, vector: str = "ev", normalize: bool = True, hard: bool = False) -> DataFrame:
-        return self.fit(df, vector, normalize).transform(df, vector, normalize, hard)
+        held = written(df, "rows")
+        self._fit(held.select("id", F.col(vector).alias("ev")))
+        return self.transform(held, vector, normalize, hard)
+
+
+def grouped_align(df: DataFrame, group: str, sort_method: str = "norm", max_iter: int = 100, seed: int = 42, vector: str = "ev", most: int = 1_000_000) -> DataFrame:
+    """``(group, id, cluster)``: ``AxisAlign`` for each value of a group column by itself; a group is one task (checked)."""
+    if sort_method not in SORTS:
+        raise ValueError(f"unknown sort method: {sort_method}")
+
+    def run(table: pa.Table) -> pa.Table:
+        if table.num_rows > most:
+            raise ValueError(f"a group has more than {most} rows")
+        table = table.take(pa.array(np.lexsort((np.asarray(table.column("id")), table.column("o").to_pylist()))))
+        x = matrix(table.column(vector))
+        good = np.isfinite(x).all(1)
+        cluster = np.full(len(x), -1)
+        if good.any():
+            u = _ready(x)
+            least = np.argsort(np.asarray(table.column("id"))[good], kind="stable")
+            axes, near = [u[0]], np.zeros(len(u))
+            while len(axes) < u.shape[1]:
+                near = near + np.abs(u @ axes[-1])
+                axes.append(u[least[int(np.argmin(near[least]))]])
+            r, last = np.stack(axes), 0.0
+            for _ in range(max_iter):
+                m = _sums(x, r)
+                size = float(np.linalg.norm(m))
+                if abs(size - last) < TOLERANCE:
+                    break
+                last, r = size, linalg.procrustes(m)
+            r = r[np.argsort(-_significance(x, r, sort_method), kind="stable")]
+            cluster[good] = np.argmax(u @ r.T, 1)
+        return pa.table({group: table.column(group), "id": table.column("id"), "cluster": pa.array(cluster, pa.int64(), mask=~good)})
+
+    kind = dict(df.dtypes)[group]
+    return df.select(group, "id", vector, _order(seed).alias("o")).groupBy(group).applyInArrow(run, f"{group} {kind}, id bigint, cluster bigint")
 
 
 def _ready(x: np.ndarray) -> np.ndarray:
@@ -95,4 +148,4 @@ def canonical(df: DataFrame, cluster: str = "cluster") -> DataFrame:
     return df.join(F.broadcast(reps), cluster).select("id", "rep")
 
 
-__all__ = ["AxisAlign", "canonical", "initial_axes"]
+__all__ = ["AxisAlign", "canonical", "grouped_align", "initial_axes"]

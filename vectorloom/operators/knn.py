@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import matrix, to_numpy
-from .affinity import MOST, affinities, block, sigma
+from .affinity import MOST, affinities, block, sigma, sliced
 
 
 def nearest(anchors: DataFrame, queries: DataFrame, k: int | None = 10, kind: str = "cosine", gamma: float = 1.0) -> DataFrame:
@@ -29,19 +29,19 @@ def extrapolate_native(anchors: DataFrame, queries: DataFrame, k: int | None = 1
 
 def extrapolate(anchors: DataFrame, queries: DataFrame, k: int | None = 10, kind: str = "cosine", gamma: float = 1.0) -> DataFrame:
     """``(id, out)`` in blocks: anchors (bounded, checked) are broadcast, queries stream; nothing is shuffled."""
-    ids, a = to_numpy(anchors, MOST)
-    _, y = to_numpy(anchors, MOST, vector="out")
+    dim = anchors.select(F.size("v")).first()
+    _, both = to_numpy(anchors.select("id", F.concat("v", "out").alias("v")), MOST)
+    a, y = np.split(both, [dim[0] if dim else 0], 1)
     scale = sigma(a) if kind == "rbf" else None
     shared = queries.sparkSession.sparkContext.broadcast((a, y))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, out = shared.value
-        for b in batches:
+        for b in sliced(batches, len(x)):
             rows = matrix(b.column(1), x.shape[1])
             w = np.nan_to_num(block(x, rows, kind, gamma, scale))
             if k is not None and k < len(x):
-                # The k largest, ties by anchor order: a stable order of the negated weights.
-                at = np.argsort(-w, axis=1, kind="stable")[:, :k]
+                at = largest(w, k)
                 w = np.take_along_axis(w, at, 1)
                 got = (w[:, :, None] * out[at]).sum(1) / np.maximum(w.sum(1, keepdims=True), 1e-12)
             else:
@@ -52,6 +52,17 @@ def extrapolate(anchors: DataFrame, queries: DataFrame, k: int | None = 10, kind
     return queries.select("id", "v").mapInArrow(run, "id bigint, out array<double>")
 
 
+def largest(w: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k largest of each row, largest first, equal ones by column: without sorting whole rows."""
+    edge = np.partition(w, w.shape[1] - k, axis=1)[:, w.shape[1] - k]
+    above = w > edge[:, None]
+    # Of those equal to the k-th the first ones, as many as are missing.
+    equal = w == edge[:, None]
+    take = above | (equal & (np.cumsum(equal, 1) <= k - above.sum(1, keepdims=True)))
+    at = np.nonzero(take)[1].reshape(len(w), k)
+    return np.take_along_axis(at, np.argsort(-np.take_along_axis(w, at, 1), axis=1, kind="stable"), 1)
+
+
 def listed(x: np.ndarray) -> pa.Array:
     """A matrix as a list column."""
     n, d = x.shape

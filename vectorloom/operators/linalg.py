@@ -10,24 +10,24 @@ from pyspark.sql import DataFrame
 
 from ..sources.tables import matrix
 
-#: Size from which the leading eigenpairs come from subspace iteration rather than a full decomposition.
-DENSE = 2_000
 PIECE = 16_384
+#: Largest residual of a returned eigenpair, relative to the largest eigenvalue.
+RESIDUAL = 1e-9
 SOLVERS = ("eigh", "svd", "svd_lowrank", "lobpcg")
 
 
-def summed(df: DataFrame, columns: list[str], kernel: Callable[..., np.ndarray]) -> np.ndarray | None:
+def summed(df: DataFrame, columns: list[str], kernel: Callable[..., np.ndarray], most: int = 1 << 16) -> np.ndarray | None:
     """The sum over all rows of what ``kernel`` gives for blocks of matrices; None without rows.
 
-    Each task adds up its blocks; partial sums are cut into pieces of ``PIECE`` values that meet by position,
+    Each task adds up its blocks, of ``most`` rows at most; partial sums are cut into pieces of ``PIECE`` values that meet by position,
     so only one array of the kernel's (fixed) size reaches the driver.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for b in batches:
-            if b.num_rows:
-                part = np.asarray(kernel(*(matrix(c) for c in b.columns)), float).reshape(-1)
+        for batch in batches:
+            for s in range(0, batch.num_rows, most):
+                part = np.asarray(kernel(*(matrix(c) for c in batch.slice(s, most).columns)), float).reshape(-1)
                 total = part if total is None else total + part
         if total is not None:
             cuts = range(0, len(total), PIECE)
@@ -74,31 +74,88 @@ def signed(u: np.ndarray) -> np.ndarray:
     return u * np.where(s < 0, -1.0, 1.0)
 
 
-def subspace(apply: Callable[[np.ndarray], np.ndarray], n: int, k: int, extra: int = 10, rounds: int = 12, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Leading eigenpairs by magnitude of a symmetric operator: block iteration, then Rayleigh and Ritz."""
-    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, min(n, k + extra))))[0]
-    for _ in range(rounds):
-        q = np.linalg.qr(apply(q))[0]
-    small = q.T @ apply(q)
+def _ritz(q: np.ndarray, aq: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values and coordinates of the k leading Ritz pairs, by magnitude, of an orthonormal basis q."""
+    small = q.T @ aq
     w, v = np.linalg.eigh((small + small.T) / 2)
     order = np.argsort(-np.abs(w), kind="stable")[:k]
-    return w[order], q @ v[:, order]
+    return w[order], v[:, order]
+
+
+def krylov(apply: Callable[[np.ndarray], np.ndarray], n: int, k: int, depth: int = 4, rounds: int = 60, seed: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
+    """(values, vectors, residual) of the k leading eigenpairs: randomised block Krylov bases, restarted until the residual is small.
+
+    A block has as many vectors again as pairs are asked for, so that a cluster of close values fits in.
+    """
+    width = min(n, 2 * k + 10)
+    x = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, width)))[0]
+    for _ in range(rounds):
+        basis = [x]
+        for _ in range(depth - 1):
+            if len(basis) * width >= n:
+                break
+            basis.append(np.linalg.qr(apply(basis[-1]))[0])
+        q = np.linalg.qr(np.concatenate(basis, 1)[:, : max(width, n)])[0]
+        aq = apply(q)
+        w, v = _ritz(q, aq, width)
+        x, ax = q @ v, aq @ v
+        off = float(np.linalg.norm(ax[:, :k] - x[:, :k] * w[:k], axis=0).max()) / max(1e-300, float(np.abs(w).max()))
+        if off <= RESIDUAL:
+            break
+        x = np.linalg.qr(x)[0]
+    return w[:k], x[:, :k], off
+
+
+def subspace(apply: Callable[[np.ndarray], np.ndarray], n: int, k: int, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Leading eigenpairs (values, vectors) by magnitude of a symmetric operator that is only applied, never formed."""
+    w, v, _ = krylov(apply, n, k, rounds=rounds)
+    return w, v
+
+
+def lobpcg(apply: Callable[[np.ndarray], np.ndarray], n: int, k: int, rounds: int = 500, seed: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
+    """(values, vectors, residual): locally optimal steps over the block, its residuals and its last directions."""
+    width = min(n, 2 * k + 10)
+    x = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, width)))[0]
+    ax, p = apply(x), None
+    w, v = _ritz(x, ax, width)
+    x, ax = x @ v, ax @ v
+    for _ in range(rounds):
+        r = ax - x * w
+        off = float(np.linalg.norm(r[:, :k], axis=0).max()) / max(1e-300, float(np.abs(w).max()))
+        if off <= RESIDUAL or n <= width:
+            break
+        more = r if p is None else np.concatenate([r, p], 1)
+        more = more / np.maximum(np.linalg.norm(more, axis=0), 1e-300)
+        for _ in range(2):
+            more = more - x @ (x.T @ more)
+        u, s, _ = np.linalg.svd(more, full_matrices=False)
+        more = u[:, s > 1e-8 * s[0]]
+        q, aq = np.concatenate([x, more], 1), np.concatenate([ax, apply(more)], 1)
+        w, v = _ritz(q, aq, width)
+        p = more @ v[width:]
+        x, ax = q @ v, aq @ v
+    return w[:k], x[:, :k], off
 
 
 def solve_eig(a: np.ndarray, k: int, solver: str = "svd_lowrank", buffer: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """(vectors n x k, values) of largest magnitude of a symmetric matrix, signs fixed; reproducible."""
+    """(vectors n x k, values) of largest magnitude of a symmetric matrix, signs fixed; reproducible.
+
+    The iterative solvers stop at a small residual. Where their block would span the whole space, or where they don't get
+    there, the matrix is decomposed in full: every solver gives the same pairs.
+    """
     if solver not in SOLVERS:
         raise ValueError(f"unknown solver: {solver}")
     n = len(a)
     k = min(n, k)
     b = a + buffer * np.eye(n) if buffer else a
+    off = np.inf
+    if solver in ("svd_lowrank", "lobpcg") and n > 6 * (2 * k + 10):
+        w, v, off = (krylov if solver == "svd_lowrank" else lobpcg)(lambda q: b @ q, n, k)
     if solver == "svd":
-        u, s, _ = np.linalg.svd(b)
-        w, v = s, u
-    elif solver == "eigh" or n <= DENSE:
+        v, s, vh = np.linalg.svd(b)
+        w = s * np.where((v * vh.T).sum(0) < 0, -1.0, 1.0)
+    elif off > RESIDUAL:
         w, v = np.linalg.eigh(b)
-    else:
-        w, v = subspace(lambda q: b @ q, n, k)
     order = np.argsort(-np.abs(w), kind="stable")[:k]
     return signed(v[:, order]), w[order] - buffer
 

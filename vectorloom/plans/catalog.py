@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -14,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import color, vec
 from ..operators import affinity, align, knn, layout, linalg, mask, sampling, stats
 from ..sources import tables
+from ..sources.shared import fresh
 from ..streaming.online import VectorSum, update_from
 from .grouped import grouped_cut
 from .kernel import KernelNCut, features, fourier_native
@@ -499,15 +498,9 @@ def mask_denoised(spark, sf_dir):
 # ---- streams -------------------------------------------------------------------------------------------
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that all executors share; a temporary one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vectorloom-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
     """The vectors as a file stream of four micro-batches, in a new folder."""
-    at = _folder(spark)
+    at = fresh(spark, "stream")
     df = planted(spark, sf_dir).select("id", "v")
     for k in range(4):
         df.where(F.col("id") % 4 == k).coalesce(1).write.parquet(f"{at}/in/part={k}")
@@ -518,7 +511,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
 @register(f"WITH {PLANTED} SELECT p - 1 AS pos, round(sum(v[p]), 6) + 0.0::DOUBLE AS total FROM planted, range(1, 65) t(p) GROUP BY p")
 def stream_vector_sum(spark, sf_dir):
     stream, at = _stream(spark, sf_dir)
-    state = VectorSum()
+    state = VectorSum(f"{at}/sum")
     stream.writeStream.foreachBatch(state).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return tables.from_numpy(spark, state.total[:, None]).select(F.col("id").alias("pos"), r6(F.col("v")[0]).alias("total"))
 

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 
 from ..functions import vec
 from ..operators import linalg
-from ..operators.affinity import DISTANCE_OF, MOST, sigma, unit
+from ..operators.affinity import DISTANCE_OF, unit
 from ..operators.knn import listed
 from ..operators.sampling import SampleConfig, subsample
-from ..sources.tables import complement, matrix, to_numpy
+from ..operators.stats import scale_factor
+from ..sources.tables import complement, matrix
+from ..streaming.online import Online
 
 
 def frequencies(dim: int, size: int, kind: str, gamma: float, scale: float | None, seed: int = 0) -> np.ndarray:
@@ -30,7 +32,7 @@ def features(x: np.ndarray, w: np.ndarray, kind: str) -> np.ndarray:
     return z
 
 
-class KernelNCut:
+class KernelNCut(Online):
     """``fit_transform`` gives ``(id, ev)``. State: the frequencies, the feature sum r and the row count."""
 
     def __init__(self, n_components: int, kernel_dim: int = 1024, affinity_type: str = "cosine", affinity_focal_gamma: float = 1.0, sample_config: SampleConfig = SampleConfig(), seed: int = 0, weights: np.ndarray | None = None):
@@ -73,8 +75,7 @@ class KernelNCut:
             dim = self.anchors.selectExpr("size(v) as d").first()[0]
             scale = None
             if self.kind == "rbf":
-                x = to_numpy(self.anchors, 50 * MOST)[1]
-                scale = sigma(np.where(np.isfinite(x), x, np.nan))
+                scale = scale_factor(self.anchors).first()[0]
             self.w = frequencies(dim, self.kernel_dim, self.kind, self.gamma, scale, self.seed)
         self.r, self.total = self._sums(self.anchors)
         self.anchor_count = self.total

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import linalg
-from ..operators.affinity import DISTANCE_OF, MOST, block, sigma
+from ..operators.affinity import CELLS, DISTANCE_OF, MOST, block, sigma, sliced
 from ..operators.knn import listed
 from ..operators.sampling import SampleConfig, subsample
 from ..sources.tables import complement, matrix, reassembled, to_numpy
+from ..streaming.online import Online
 
 
 @dataclass
@@ -68,23 +69,26 @@ class LaplacianKernel:
         return self.a / np.sqrt(d[:, None] * d)
 
 
-class NystromNCut:
+class NystromNCut(Online):
     """``fit_transform`` gives ``(id, ev)``: the leading eigenvectors of the normalised affinity.
 
+    ``kernel_type`` makes the kernel of the landmarks: ``LaplacianKernel`` or a class (or function of its fields) that
+    offers what it does: ``anchors``, ``missing``, ``outer``, ``raw``, ``normalized`` and ``normalized_anchors``.
+
     Component 0 is the trivial one and is kept. Missing rows get NaN. At most d + 1 components exist when
     landmarks stand for other rows.
     """
 
-    def __init__(self, n_components: int, affinity_type: str = "cosine", affinity_focal_gamma: float = 1.0, adaptive_scaling: bool = False, sample_config: SampleConfig = SampleConfig(), eig_solver: str = "svd_lowrank"):
+    def __init__(self, n_components: int, affinity_type: str = "cosine", affinity_focal_gamma: float = 1.0, adaptive_scaling: bool = False, sample_config: SampleConfig = SampleConfig(), eig_solver: str = "svd_lowrank", kernel_type: Callable = LaplacianKernel):
         if affinity_type not in DISTANCE_OF:
             raise ValueError(f"unknown affinity: {affinity_type}")
         self.n_components, self.kind, self.gamma, self.adaptive, self.config, self.solver = n_components, affinity_type, affinity_focal_gamma, adaptive_scaling, sample_config, eig_solver
-        self.kernel: LaplacianKernel | None = None
+        self.kernel_type, self.kernel = kernel_type, None
 
     def fit(self, df: DataFrame, sample_ids: DataFrame | None = None) -> NystromNCut:
         ids = subsample(df, DISTANCE_OF[self.kind], self.config) if sample_ids is None else sample_ids
         self.ids, x = to_numpy(df.join(ids.select("id"), "id", "left_semi"), MOST)
-        self.kernel = k = LaplacianKernel(x, self.kind, self.gamma, self.adaptive, self.solver)
+        self.kernel = k = self.kernel_type(x, self.kind, self.gamma, self.adaptive, self.solver)
         n = k.normalized_anchors()
         u, w = linalg.solve_eig(n, max(self.n_components, x.shape[1] + 1), self.solver)
         self._spectrum(u, w)
@@ -100,7 +104,8 @@ class NystromNCut:
         """Embeddings of new rows; their degrees join the state, the spectrum reflects landmarks and these rows."""
         k = self.kernel
         shared = rows.sparkSession.sparkContext.broadcast(k)
-        outer = linalg.summed(rows, ["v"], lambda x: np.nan_to_num(shared.value.raw(x)).sum(0))
+        most = max(1, CELLS // len(k.anchors))
+        outer = linalg.summed(rows, ["v"], lambda x: np.nan_to_num(shared.value.raw(x)).sum(0), most)
         if outer is not None:
             k.outer = k.outer + outer
             # Rank d + 1 root of the normalised landmark block; the Gram matrix is kept in its coordinates.
@@ -114,7 +119,7 @@ class NystromNCut:
                 b = np.nan_to_num(kernel.normalized(kernel.raw(x))) @ base
                 return b.T @ b
 
-            g = linalg.summed(rows, ["v"], squares).reshape(len(w), -1)
+            g = linalg.summed(rows, ["v"], squares, most).reshape(len(w), -1)
             root = 1 / np.sqrt(w)
             lam, q = np.linalg.eigh(np.diag(w) + root[:, None] * g * root)
             order = np.argsort(-lam, kind="stable")[: self.n_components]
@@ -138,7 +143,7 @@ class NystromNCut:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kernel, t = shared.value
-            for b in batches:
+            for b in sliced(batches, len(kernel.anchors)):
                 yield pa.RecordBatch.from_arrays([b.column(0), listed(kernel.normalized(kernel.raw(matrix(b.column(1), kernel.anchors.shape[1]))) @ t)], names=["id", "ev"])
 
         return rows.select("id", "v").mapInArrow(run, "id bigint, ev array<double>")

@@ -1,61 +1,128 @@
-"""Online use: models updated by micro-batches, stateless scoring of streams."""
+"""Online use: models updated by micro-batches with state that survives a restart, stateless scoring of streams."""
 
 from __future__ import annotations
 
+import pickle
+from abc import ABC, abstractmethod
 from collections.abc import Callable
-from typing import Protocol
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-class Online(Protocol):
-    """What an online model offers; custom kernels implement it."""
+class Online(ABC):
+    """What an online model offers; custom models extend it. Its attributes are its state (``save``, ``load``)."""
 
-    def fit(self, df: DataFrame) -> Online: ...
+    @abstractmethod
+    def fit(self, df: DataFrame) -> Online:
+        """Learn from a first table."""
 
-    def update(self, rows: DataFrame) -> DataFrame: ...
+    @abstractmethod
+    def update(self, rows: DataFrame) -> DataFrame:
+        """Let new rows join the state; gives their embeddings."""
 
-    def transform(self, rows: DataFrame) -> DataFrame: ...
+    @abstractmethod
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """Embeddings of any rows, a projection: works on streams."""
 
+    def fit_transform(self, df: DataFrame) -> DataFrame:
+        return self.fit(df).transform(df)
 
-def updater(model: Online, sink: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: updates the model with each micro-batch once; a replayed batch changes nothing."""
-    seen: set[int] = set()
+    def state(self) -> dict:
+        """What must outlive the driver: all attributes but tables."""
+        return {k: v for k, v in self.__dict__.items() if not isinstance(v, DataFrame)}
 
-    def step(batch: DataFrame, number: int) -> None:
+    def save(self, spark: SparkSession, path: str) -> None:
+        save(spark, path, self.state())
+
+    def load(self, spark: SparkSession, path: str) -> Online:
+        self.__dict__.update(load(spark, path))
+        return self
+
+
+def _path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def save(spark: SparkSession, path: str, state: object) -> None:
+    """One row in a folder of the shared file system; an unfinished write leaves no ``_SUCCESS``."""
+    spark.createDataFrame([(bytearray(pickle.dumps(state)),)], "state binary").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> object:
+    return pickle.loads(bytes(spark.read.parquet(path).first().state))
+
+
+def saved(spark: SparkSession, folder: str) -> dict[int, str]:
+    """Finished states by batch number."""
+    at, fs = _path(spark, folder)
+    if not fs.exists(at):
+        return {}
+    names = [f.getPath().getName() for f in fs.listStatus(at)]
+    return {int(n): f"{folder}/{n}" for n in names if n.isdigit() and fs.exists(_path(spark, f"{folder}/{n}/_SUCCESS")[0])}
+
+
+class Durable:
+    """For ``foreachBatch``: a fold over micro-batches whose state is written beside the checkpoint after each of them.
+
+    Before a batch the state of the one before is loaded if this process doesn't hold it; a batch that was
+    recorded already is only scored. So each batch counts once, after a replay and after a restart.
+    """
+
+    def __init__(self, folder: str, get: Callable[[], object], put: Callable[[object], None], step: Callable[[DataFrame, bool], DataFrame | None], sink: Callable[[DataFrame, int], None] | None = None):
+        self.folder, self.get, self.put, self.step, self.sink, self.last = folder, get, put, step, sink, None
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        done = saved(spark, self.folder)
+        latest = max(done, default=None)
+        if latest is not None and self.last != latest:
+            self.put(load(spark, done[latest]))
+            self.last = latest
         held = batch.persist()
         try:
-            out = model.transform(held) if number in seen else model.update(held)
-            seen.add(number)
-            if sink is not None:
-                sink(out, number)
+            again = latest is not None and number <= latest
+            out = self.step(held, again)
+            if not again:
+                save(spark, f"{self.folder}/{number}", self.get())
+                self.last = number
+                for old in (k for k in done if k < number - 1):
+                    at, fs = _path(spark, done[old])
+                    fs.delete(at, True)
+            if self.sink is not None and out is not None:
+                self.sink(out, number)
         finally:
             held.unpersist()
 
-    return step
+
+def updater(model: Online, folder: str, sink: Callable[[DataFrame, int], None] | None = None) -> Durable:
+    """Updates the model with each micro-batch once."""
+    return Durable(folder, model.state, model.__dict__.update, lambda rows, again: (model.transform if again else model.update)(rows), sink)
 
 
 def update_from(stream: DataFrame, model: Online, checkpoint: str, sink: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Runs all that is available through the model."""
-    return stream.writeStream.foreachBatch(updater(model, sink)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Runs all that is available through the model. The model's state lies in ``checkpoint`` too."""
+    return stream.writeStream.foreachBatch(updater(model, f"{checkpoint}/model", sink)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 class VectorSum:
     """A running sum per coordinate over micro-batches: commutative, so any split of the rows gives the same."""
 
-    def __init__(self):
+    def __init__(self, folder: str):
         self.total: np.ndarray | None = None
-        self.seen: set[int] = set()
+        self.durable = Durable(folder, lambda: self.total, lambda x: setattr(self, "total", x), self._add)
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        if number in self.seen:
+        self.durable(batch, number)
+
+    def _add(self, batch: DataFrame, again: bool) -> None:
+        if again:
             return
         rows = batch.select(F.posexplode("v").alias("p", "x")).groupBy("p").agg(F.sum(F.nanvl("x", F.lit(0.0))).alias("s")).collect()  # d rows
         part = np.zeros(max((r.p for r in rows), default=-1) + 1)
         for r in rows:
             part[r.p] = r.s
         self.total = part if self.total is None else self.total + part if len(part) else self.total
-        self.seen.add(number)
