@@ -14,7 +14,7 @@ from ..sources.tables import to_numpy
 from .affinity import DISTANCE_OF
 from .knn import extrapolate, listed
 from .sampling import SampleConfig, subsample
-from .stats import quantile_normalize
+from .stats import quantile_normalize, quantiles
 
 Reduction = Callable[[np.ndarray, str, int], np.ndarray]  # rows, metric, seed -> layout
 
@@ -139,11 +139,12 @@ def lab_cube(df: DataFrame, q: float = 0.95, full_range: bool = True) -> DataFra
     _, mean, cov = moments(df)
     axes = signed(np.linalg.eigh(cov)[1])  # ascending: the least axis first
     turned = df.select("id", *(vec.total(F.transform(F.zip_with("v", F.array(*(F.lit(float(x)) for x in mean)), lambda a, b: a - b), lambda x, i: x * F.get(F.array(*(F.lit(float(w)) for w in axes[:, j])), i))).alias(c) for j, c in enumerate("lab")))
-    edge = turned.agg(F.percentile(F.hypot("a", "b"), q).alias("__ab"), F.percentile("l", F.array(F.lit((1 - q) / 2), F.lit((1 + q) / 2))).alias("__l"))
-    wide = F.coalesce(F.try_divide(F.lit(100.0), F.col("__l")[1] - F.col("__l")[0]), F.lit(0.0))
-    flat = F.coalesce(F.try_divide(F.lit(128.0), F.col("__ab")), F.lit(0.0)) if full_range else wide
+    far = quantiles(turned.select(F.hypot("a", "b").alias("ab")), ["ab"], [q])["ab"][0]
+    lo, hi = quantiles(turned, ["l"], [(1 - q) / 2, (1 + q) / 2])["l"]
+    wide = F.lit(100.0 / (hi - lo) if lo is not None and hi > lo else 0.0)
+    flat = F.lit(128.0 / far if far else 0.0) if full_range else wide
     rgb = color.lab_to_rgb(F.col("l") * wide + 50.0, F.col("a") * flat, F.col("b") * flat)
-    return turned.crossJoin(F.broadcast(edge)).select("id", *(c.alias(n) for c, n in zip(rgb, "rgb", strict=True)))
+    return turned.select("id", *(c.alias(n) for c, n in zip(rgb, "rgb", strict=True)))
 
 
 def rgb_from_tsne_2d(df: DataFrame, num_sample: int = 1000, affinity_type: str = "cosine", perplexity: float = 150, q: float = 0.95, knn: int = 10, seed: int = 0) -> DataFrame:
