@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
@@ -43,8 +43,8 @@ from .components import components
 
 WORDS = 3
 PERCENT = 90
-#: Members of a chunk of verified groups; tokens of a chunk of whole sets.
-CHUNK, ELEMENTS = 2000, 2_000_000
+#: Sets and tokens of a chunk of a group.
+CHUNK, ELEMENTS = 2000, 1_000_000
 SLOTS, SLICES = 1 << 22, 64
 SHARE, ROUNDS, LIST = 5, 3, 256
 FAN = 32
@@ -301,16 +301,16 @@ def profile(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        total, of = np.zeros(SLOTS, np.int64), None
+        total, of = np.zeros(SLOTS, np.int32), None  # a task has fewer tokens than that
         for batch in pieces(batches, 1):
             of = batch.schema.types[0]
             h, first = distinct(batch.column(1), words)
-            total += np.bincount((h & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+            np.add.at(total, (h & np.uint64(SLOTS - 1)).astype(np.int64), 1)
             n = np.diff(first)
             more = [pa.nulls(batch.num_rows, x.type) for x in empty]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(names(h, first), pa.int64(), mask=n == 0), *more], names=[key, "n", "node", "slot", "part", "counts"])
         if of is not None:
-            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, of), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array([TaskContext.get().partitionId()] * SLICES, pa.int32()), pa.array([blocks.squeeze(x.tobytes()) for x in np.split(total, SLICES)], pa.binary())], names=[key, "n", "node", "slot", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, of), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array([TaskContext.get().partitionId()] * SLICES, pa.int32()), pa.array([blocks.squeeze(x.astype(np.int64).tobytes()) for x in np.split(total, SLICES)], pa.binary())], names=[key, "n", "node", "slot", "part", "counts"])
 
     return docs.select(key, text).mapInArrow(run, schema)
 
@@ -337,12 +337,12 @@ def routed(docs: DataFrame, key: str, text: str, words: int, percent: int, rare:
     shared = docs.sparkSession.sparkContext.broadcast(rare)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = shared.value.astype(np.uint64) << np.uint64(56)
+        order = shared.value
         for batch in pieces(batches, 0):
             h, first = distinct(batch.column(0), words)
             node = names(h, first)
             _, once = np.unique(node, return_index=True)
-            token = order[h & np.uint64(SLOTS - 1)] | (mix(h) >> np.uint64(8))
+            token = (order[h & np.uint64(SLOTS - 1)].astype(np.uint64) << np.uint64(56)) | (mix(h) >> np.uint64(8))
             out, n = [np.zeros(0, np.uint64)], np.diff(first)
             p = np.array([routes(int(x), percent) if x else 0 for x in n[once]], np.int64)
             for i, m in zip(once.tolist(), p.tolist(), strict=True):
@@ -372,7 +372,7 @@ def fitting(hits: DataFrame, percent: int) -> DataFrame:
             first, keep = np.cumsum(sizes) - sizes, np.zeros(len(node), bool)
             for m in np.unique(sizes):
                 lists = np.nonzero(sizes == m)[0]
-                for some in np.array_split(lists, -(-len(lists) * m * m // (1 << 22))):
+                for some in np.array_split(lists, -(-len(lists) * m * m // (1 << 19))):
                     at = first[some][:, None] + np.arange(m)
                     need = -(-percent * (n[at][:, :, None] + n[at][:, None, :]) // (100 + percent))
                     left = n[at] - rank[at]
@@ -454,13 +454,18 @@ def _open(hits: DataFrame, labels: DataFrame | None) -> DataFrame:
     return out
 
 
+def _chunks(n: Column) -> Column:
+    """Chunks for sets of n tokens: about ``ELEMENTS`` tokens, and at most ``CHUNK`` sets, each."""
+    return F.ceil(F.sum(n + F.lit(ELEMENTS / CHUNK)) / ELEMENTS)
+
+
 def _hubs(open_: DataFrame, nodes: DataFrame, percent: int, turn: int) -> DataFrame:
     """``(rep, node, side, cluster, i, j)``: trees of a hub and sets that share a good part of their tokens with it."""
     first = F.min(F.struct((F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).alias("o"), F.col("node").alias("hub"), F.col("label").alias("of"))).alias("h")
     hub = open_.groupBy("k").agg(first).select("k", "h.hub", "h.of")
     near = open_.join(hub.hint("merge"), "k").where("of <> label").groupBy("hub", "node").agg(F.count("*").alias("c"), F.min("p").alias("p")).where(F.col("c") * SHARE >= F.col("p"))
     best = cut(near.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("b"), F.min("p").alias("p")).select("node", F.col("b.hub").alias("cluster"), "p"), "hubs")
-    size = best.groupBy("cluster").agg(F.ceil(F.sum("p") * F.lit(100.0 / (100 - percent) / ELEMENTS)).cast("int").alias("chunks"))
+    size = best.groupBy("cluster").agg(_chunks(F.col("p") * F.lit(100.0 / (100 - percent))).cast("int").alias("chunks"))
     member = best.join(size.hint("merge"), "cluster").select("node", "cluster", F.pmod(F.xxhash64("node", F.lit(turn)), F.col("chunks")).cast("int").alias("i"))
     lead = size.select(F.col("cluster").alias("node"), "cluster", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"))
     return cut(member.unionByName(lead).join(nodes.select("node", "rep").hint("merge"), "node").select("rep", "node", F.lit(0).alias("side"), "cluster", "i", F.col("i").alias("j")), "groups")
@@ -480,7 +485,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     docs = docs.select(key, text)
     table = cut(profile(docs, key, text, words), "sets")
     rows = table.where("slot is null").select(key, "n", "node")
-    nodes = cut(rows.where(F.col(key).isNotNull() & (F.col("n") > 0)).groupBy("node").agg(F.min(F.col(key).cast("long")).alias("rep")), "nodes")
+    nodes = cut(rows.where(F.col(key).isNotNull() & (F.col("n") > 0)).groupBy("node").agg(F.min(F.col(key).cast("long")).alias("rep"), F.first("n").alias("n")), "nodes")
     routing = cut(routed(docs, key, text, words, percent, rarity(table.where("slot is not null").select("slot", "part", "counts"))), "routes")
     several = routing.groupBy("k").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("k")
     shared = cut(routing.join(several.hint("merge"), "k").repartition("k", "node").distinct(), "shared")
@@ -503,8 +508,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     pairs = cut(_candidates(lists.join(maps.hint("merge"), "node"), percent), "pairs")
     edges = pairs.distinct()
     near = components(edges)
-    size = near.groupBy("label").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    groups = cut(near.join(size.hint("merge"), "label").join(nodes.hint("merge"), "node").select("rep", "node", F.col("label").alias("cluster"), "chunks"), "groups")
+    near = near.join(nodes.hint("merge"), "node")
+    size = near.groupBy("label").agg(_chunks(F.col("n")).alias("chunks"))
+    groups = cut(near.join(size.hint("merge"), "label").select("rep", "node", F.col("label").alias("cluster"), "chunks"), "groups")
     links = verified(fetched(docs, key, text, words, groups, whole), percent)
     found = components(links if labels is None else links.unionByName(labels.select(F.col("label").alias("a"), F.col("node").alias("b"))))
     discard(lists, maps, pairs, groups, open_, labels)
