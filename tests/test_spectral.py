@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from vectorloom.functions import color, vec
 from vectorloom.operators import affinity, align, knn, layout, linalg, mask, sampling, stats
-from vectorloom.plans.grouped import grouped_cut
+from vectorloom.plans.grouped import grouped_cut, grouped_kernel_cut, grouped_landmark_cut, grouped_sample
 from vectorloom.plans.kernel import KernelNCut
 from vectorloom.plans.nystrom import NystromNCut, exact_cut
 from vectorloom.sources import tables
+from vectorloom.streaming.online import VectorSum, updater
 
 
 def planted(n=120, d=6, seed=0):
@@ -176,3 +177,127 @@ def test_lab_cube_is_in_range(spark):
     for full in (True, False):
         got = np.array([[r.r, r.g, r.b] for r in layout.lab_cube(df, full_range=full).collect()])
         assert got.shape == (50, 3) and np.isfinite(got).all() and got.min() >= 0 and got.max() <= 1 and got.std(0).min() > 0.05
+
+
+@pytest.mark.parametrize("n", [1, 2, 9, 4000])
+def test_exact_quantiles_match_sorting(spark, monkeypatch, n):
+    monkeypatch.setattr(stats, "FETCH", 40)
+    r = np.random.default_rng(n)
+    x = np.round(r.standard_normal((n, 4)) * [1e-3, 1, 1e6, 1], 3)
+    x[:, 3] = 0
+    x[r.random((n, 4)) < 0.1] = np.nan
+    ps = [0, 0.01, 0.05, 0.5, 0.95, 1]
+    got = stats.vector_quantiles(tables.from_numpy(spark, x).repartition(3), "v", ps)
+    for j in range(4):
+        col = x[np.isfinite(x[:, j]), j]
+        assert np.isnan(got[:, j]).all() if not len(col) else np.allclose(got[:, j], np.quantile(col, ps), rtol=1e-12, atol=1e-12)
+    assert stats.vector_quantiles(tables.from_numpy(spark, x).limit(0), "v", ps).shape == (6, 0)
+
+
+def test_iterative_solvers_reach_the_residual_on_close_values():
+    r = np.random.default_rng(1)
+    q = np.linalg.qr(r.standard_normal((700, 700)))[0]
+    values = np.concatenate([[1.0], 0.03 * 0.999 ** np.arange(699)])
+    a = (q * values) @ q.T
+    for f in (linalg.krylov, linalg.lobpcg):
+        w, v, off = f(lambda x: a @ x, 700, 10)
+        assert off <= linalg.RESIDUAL and np.allclose(w, values[:10], atol=1e-9) and np.allclose(v.T @ v, np.eye(10), atol=1e-8)
+        assert np.linalg.norm(q[:, :10].T @ v) ** 2 > 10 - 1e-6
+    negative = (q * (values * np.where(np.arange(700) == 3, -1, 1))) @ q.T
+    for s in linalg.SOLVERS:
+        assert np.allclose(np.sort(linalg.solve_eig(negative, 5, s)[1]), np.sort(values[:5] * [1, 1, 1, -1, 1]), atol=1e-8)
+
+
+def test_largest_keeps_the_order_of_equal_weights():
+    w = np.array([[1.0, 3.0, 2.0, 3.0, 2.0], [0.0, 0.0, 0.0, 0.0, 0.0]])
+    assert knn.largest(w, 3).tolist() == [[1, 3, 2], [0, 1, 2]]
+    r = np.random.default_rng(0).integers(0, 5, (50, 30)).astype(float)
+    assert (knn.largest(r, 7) == np.argsort(-r, axis=1, kind="stable")[:, :7]).all()
+
+
+def test_pairs_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(affinity, "CELLS", 50)
+    x = planted(20)
+    df = tables.from_numpy(spark, x)
+    want = {"cosine": 1 - affinity.unit(x) @ affinity.unit(x).T, "euclidean": np.linalg.norm(x[:, None] - x, axis=2)}
+    for kind, d in want.items():
+        assert all(abs(r.d - d[r.i, r.j]) < 1e-7 for r in affinity.distances(df, df, kind).collect())
+    monkeypatch.setattr(affinity, "MOST", 10)
+    with pytest.raises(ValueError):
+        affinity.affinities(df)
+
+
+def test_order_of_axes_uses_the_rows_as_they_are(spark):
+    x = np.array([[1.0, 0.02]] * 10 + [[0.3, 10.0]] * 3)
+    df = tables.from_numpy(spark, x).withColumnRenamed("v", "ev")
+    for method, first in (("count", 0), ("norm", 1), ("marginal_norm", 1)):
+        r = align.AxisAlign(method).fit(df).r
+        assert np.abs(r[0]).argmax() == first
+
+
+def test_groups_match_the_same_rows_alone(spark):
+    x = planted(90)
+    df = tables.from_numpy(spark, x).withColumn("g", F.when(F.col("id") < 40, 1).otherwise(2))
+    alone = df.where("g = 2").select("id", "v")
+    config = sampling.SampleConfig("random", 20)
+    pairs = [
+        (grouped_landmark_cut(df, "g", 3, config, gamma=0.5), NystromNCut(3, affinity_focal_gamma=0.5, sample_config=config).fit_transform(alone)),
+        (grouped_kernel_cut(df, "g", 3, 256, gamma=0.5), KernelNCut(3, 256, affinity_focal_gamma=0.5).fit_transform(alone)),
+    ]
+    for grouped, single in pairs:
+        got, want = embedding(grouped.where("g = 2")), embedding(single)
+        assert np.allclose(np.abs(got), np.abs(want), atol=1e-6)
+    for method in ("random", "fps"):
+        c = sampling.SampleConfig(method, 7)
+        assert {r.id for r in grouped_sample(df, "g", c).where("g = 2").collect()} == {r.id for r in sampling.subsample(alone, "cosine", c).collect()}
+    ev = grouped_cut(df, "g", 3, gamma=0.5)
+    found = {(r.id, r.cluster) for r in align.grouped_align(ev, "g", "marginal_norm").where("g = 2").collect()}
+    single = {(r.id, r.cluster) for r in align.AxisAlign("marginal_norm").fit_transform(ev.where("g = 2").select("id", "ev"), hard=True).collect()}
+    assert found == single
+
+
+def test_core_sets_spread_almost_as_well_as_exact_farthest_points(spark, monkeypatch):
+    x = np.random.default_rng(6).standard_normal((3000, 5))
+    df = tables.from_numpy(spark, x).repartition(6)
+    radius = lambda ids: np.sqrt(((x[:, None] - x[ids]) ** 2).sum(2).min(1).max())
+    exact = radius([r.id for r in sampling.fps(df, "euclidean", 40).collect()])
+    monkeypatch.setattr(sampling, "DRIVER_ROWS", 1000)
+    cores = radius([r.id for r in sampling.fps(df, "euclidean", 40).collect()])
+    assert cores <= 1.15 * exact
+
+
+def test_stream_state_survives_a_restart(spark, tmp_path):
+    df = tables.from_numpy(spark, planted(60))
+    part = lambda k: df.where(F.col("id") % 3 == k)
+    first = VectorSum(f"{tmp_path}/sum")
+    first(part(0), 0)
+    first(part(1), 1)
+    second = VectorSum(f"{tmp_path}/sum")
+    second(part(1), 1)  # replayed
+    second(part(2), 2)
+    assert np.allclose(second.total, planted(60).sum(0))
+    make = lambda: KernelNCut(3, 64, affinity_focal_gamma=0.5).fit(part(0))
+    whole = make()
+    for k in (1, 2):
+        whole.update(part(k))
+    updater(make(), f"{tmp_path}/model")(part(1), 0)
+    model = make()
+    updater(model, f"{tmp_path}/model")(part(2), 1)
+    assert model.total == whole.total and np.allclose(embedding(model.transform(df)), embedding(whole.transform(df)))
+
+
+def test_ceildiv_is_exact_beyond_53_bits(spark):
+    rows = [(2**53 + 1, 2), (-7, 2), (7, 7), (0, 3)]
+    got = [spark.createDataFrame([(a,)], "a long").select(vec.ceildiv("a", b).alias("q")).first().q for a, b in rows]
+    assert got == [-(-a // b) for a, b in rows]
+
+
+def test_curve_of_the_layout():
+    a, b = layout._curve(0.1)
+    assert abs(a - 1.577) < 0.01 and abs(b - 0.895) < 0.01
+
+
+def test_any_reduction_and_colouring(spark):
+    df = tables.from_numpy(spark, planted(40))
+    got = layout.color_rows(df, lambda x, metric, seed: x[:, :3], lambda y, q: y.select("id", *(F.col("out")[i].alias(c) for i, c in enumerate("rgb"))), num_sample=40, knn=1)
+    assert all(np.allclose([r.r, r.g, r.b], planted(40)[r.id][:3], atol=1e-6) for r in got.collect())

@@ -56,6 +56,15 @@ def _significance(x: np.ndarray, r: np.ndarray, method: str) -> np.ndarray:
     return own.sum(0) if method == "count" else (y * y).sum(0) if method == "norm" else (own * y * y).sum(0)
 
 
+def significance(df: DataFrame, r: np.ndarray, method: str = "norm", vector: str = "ev") -> np.ndarray:
+    """Per axis (row of r): the number of its rows, or a squared length as ``sort_method`` says."""
+    if method not in SORTS:
+        raise ValueError(f"unknown sort method: {method}")
+    now = df.sparkSession.sparkContext.broadcast(r)
+    got = linalg.summed(df, [vector], lambda x: _significance(x, now.value, method))
+    return np.zeros(len(r)) if got is None else got
+
+
 class AxisAlign:
     """``fit`` finds an orthogonal R whose rows are cluster axes, in the order of ``sort_method`` (largest first).
 
@@ -85,8 +94,7 @@ class AxisAlign:
             if abs(size - last) < TOLERANCE:
                 break
             last, r = size, linalg.procrustes(m)
-        now, method = context.broadcast(r), self.sort_method
-        self.significance = linalg.summed(rows, ["ev"], lambda x: _significance(x, now.value, method))
+        self.significance = significance(rows, r, self.sort_method)
         order = np.argsort(-self.significance, kind="stable")
         self.r, self.significance = r[order], self.significance[order]
 

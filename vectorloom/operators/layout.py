@@ -59,43 +59,87 @@ def tsne(dim: int, perplexity: float = 150, steps: int = 300) -> Reduction:
     return reduce
 
 
-def umap(dim: int, neighbours: int = 150, min_dist: float = 0.1, steps: int = 200, output: str = "euclidean") -> Reduction:
-    """A fuzzy neighbour graph laid out by attraction along edges and repulsion of all pairs.
-
-    With ``output="haversine"`` the layout has two angles, read from points kept on the unit sphere.
+def _curve(min_dist: float, spread: float = 1.0) -> tuple[float, float]:
+    """(a, b) of 1 / (1 + a d^2b), fitted by least squares to 1 up to ``min_dist`` and exponential decay beyond."""
+    x = np.linspace(0, 3 * spread, 300)[1:]
+    want = np.where(x < min_dist, 1.0, np.exp(-(x - min_dist) / spread))
+    a, b = 1.0, 1.0
+    for _ in range(200):  # damped Gauss and Newton steps
+        base = a * x ** (2 * b)
+        y = 1 / (1 + base)
+        slope = np.stack([-(y**2) * x ** (2 * b), -(y**2) * base * 2 * np.log(x)], 1)
+        step = np.linalg.solve(slope.T @ slope + 1e-6 * np.eye(2), slope.T @ (want - y))
+        a, b = max(1e-3, a + 0.5 * step[0]), max(1e-3, b + 0.5 * step[1])
+    return float(a), float(b)
+
+
+def _fuzzy(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges (i, j, weight) of the symmetric fuzzy graph of each row's k nearest."""
+    n = len(d)
+    near = np.argsort(d, 1, kind="stable")[:, :k]
+    dist = np.take_along_axis(d, near, 1)
+    rho, goal = dist[:, :1], np.log2(k) if k > 1 else 1.0
+    lo, hi, s = np.zeros(n), np.full(n, np.inf), np.ones(n)
+    for _ in range(50):
+        total = np.exp(-np.maximum(0, dist - rho) / s[:, None]).sum(1)
+        lo, hi = np.where(total < goal, s, lo), np.where(total < goal, hi, s)
+        s = np.maximum(1e-9, np.where(np.isinf(hi), s * 2, (lo + hi) / 2))
+    w = np.zeros((n, n))
+    np.put_along_axis(w, near, np.exp(-np.maximum(0, dist - rho) / s[:, None]), 1)
+    w = w + w.T - w * w.T
+    i, j = np.nonzero(np.triu(w, 1))
+    return i, j, w[i, j]
+
+
+def _start(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, dim: int, draw: np.random.Generator) -> np.ndarray:
+    """Leading nontrivial eigenvectors of the normalised graph, spread over ten units, with a little noise."""
+    a = np.zeros((n, n))
+    a[i, j] = a[j, i] = w
+    s = 1 / np.sqrt(np.maximum(a.sum(1), 1e-12))
+    v = np.linalg.eigh(s[:, None] * a * s)[1][:, ::-1][:, 1 : dim + 1]
+    y = np.zeros((n, dim))
+    y[:, : v.shape[1]] = v
+    return 10 * y / max(1e-12, float(np.abs(y).max())) + draw.standard_normal((n, dim)) * 1e-4
+
+
+def umap(dim: int, neighbours: int = 150, min_dist: float = 0.1, steps: int = 200, output: str = "euclidean", negatives: int = 5) -> Reduction:
+    """A fuzzy neighbour graph laid out from its eigenvectors by sampled gradient steps.
+
+    In every step edges are drawn by their weight; their ends attract each other along the fitted curve, and each
+    first end is repelled by ``negatives`` random rows. With ``output="haversine"`` points stay on the unit sphere and
+    the layout has two angles.
     """
 
     def reduce(x: np.ndarray, metric: str, seed: int) -> np.ndarray:
         n = len(x)
         if n < 3:
             return np.zeros((n, dim))
+        draw, ball = np.random.default_rng(seed), output == "haversine"
         d = pairwise(x, metric)
         np.fill_diagonal(d, np.inf)
-        k = min(neighbours, n - 1)
-        near = np.argsort(d, 1, kind="stable")[:, :k]
-        dist = np.take_along_axis(d, near, 1)
-        rho, goal = dist[:, :1], np.log2(k) if k > 1 else 1.0
-        lo, hi, s = np.zeros(n), np.full(n, np.inf), np.ones(n)
-        for _ in range(50):
-            total = np.exp(-np.maximum(0, dist - rho) / s[:, None]).sum(1)
-            lo, hi = np.where(total < goal, s, lo), np.where(total < goal, hi, s)
-            s = np.maximum(1e-9, np.where(np.isinf(hi), s * 2, (lo + hi) / 2))
-        w = np.zeros((n, n))
-        np.put_along_axis(w, near, np.exp(-np.maximum(0, dist - rho) / s[:, None]), 1)
-        w = w + w.T - w * w.T
-        size = 3 if output == "haversine" else dim
-        y = np.random.default_rng(seed).standard_normal((n, size))
-        a = 1 / max(min_dist, 1e-3)
+        i, j, w = _fuzzy(d, min(neighbours, n - 1))
+        y = _start(n, i, j, w, 3 if ball else dim, draw)
+        a, b = _curve(min_dist)
+        share = w / w.max()
         for t in range(steps):
-            if output == "haversine":
+            if ball:
                 y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), vec.EPS)
-            sq = pairwise(y, "euclidean") ** 2
-            pull = w * np.minimum(1, a * sq) / (1 + sq)
-            push = (1 - w) / ((0.1 + sq) * (1 + sq)) / n * k
-            np.fill_diagonal(push, 0)
-            g = pull - push
-            y = y - (1 - t / steps) * np.clip((g.sum(1)[:, None] * y - g @ y) / k, -4, 4)
-        if output == "haversine":
+            rate = 1 - t / steps
+            use = draw.random(len(w)) < share
+            p, q = np.concatenate([i[use], j[use]]), np.concatenate([j[use], i[use]])
+            gap = y[p] - y[q]
+            sq = (gap**2).sum(1, keepdims=True)
+            pull = np.clip(-2 * a * b * np.where(sq > 0, sq, 1) ** (b - 1) / (1 + a * sq**b) * gap, -4, 4) * (sq > 0)
+            far = draw.integers(0, n, (negatives, len(p)))
+            move = np.zeros_like(y)
+            np.add.at(move, p, pull)
+            for other in far:
+                gap = y[p] - y[other]
+                sq = (gap**2).sum(1, keepdims=True)
+                np.add.at(move, p, np.clip(2 * b / ((0.001 + sq) * (1 + a * sq**b)) * gap, -4, 4) * (p != other)[:, None])
+            # Moves of a step are made together: they are averaged over a row's edges.
+            y = y + rate * move / np.maximum(1, np.bincount(p, minlength=n))[:, None]
+        if ball:
             y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), vec.EPS)
             return np.stack([np.arccos(np.clip(y[:, 2], -1, 1)), np.arctan2(y[:, 1], y[:, 0])], 1)
         return y - y.mean(0)
@@ -118,12 +162,22 @@ def reduced(df: DataFrame, reduction: Reduction, num_sample: int = 1000, kind: s
     return extrapolate(anchors, x, k, kind)
 
 
-def _cube(y: DataFrame, q: float) -> DataFrame:
+def color_rows(df: DataFrame, reduction: Reduction, rgb_func: Callable[[DataFrame, float], DataFrame], num_sample: int = 1000, affinity_type: str = "cosine", q: float = 0.95, knn: int = 10, seed: int = 0, transform: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Colours of all rows by any layout of a sample and any map of its coordinates to colours.
+
+    ``reduction`` takes (rows, metric, seed) and gives their layout; ``transform`` may change (id, out) before
+    ``rgb_func`` makes (id, r, g, b) of (id, out) and q.
+    """
+    y = reduced(df, reduction, num_sample, affinity_type, knn, seed)
+    return rgb_func(y if transform is None else transform(y), q)
+
+
+def rgb_of_cube(y: DataFrame, q: float) -> DataFrame:
     cols = y.select("id", *(F.col("out")[i].alias(c) for i, c in enumerate("rgb")))
     return quantile_normalize(cols, ["r", "g", "b"], q)
 
 
-def _plane(y: DataFrame, q: float) -> DataFrame:
+def rgb_of_plane(y: DataFrame, q: float) -> DataFrame:
     cols = quantile_normalize(y.select("id", F.col("out")[0].alias("x"), F.col("out")[1].alias("y")), ["x", "y"], q)
     return cols.select("id", *(c.alias(n) for c, n in zip(color.map_2d(F.col("x"), F.col("y")), "rgb", strict=True)))
 
@@ -148,27 +202,26 @@ def lab_cube(df: DataFrame, q: float = 0.95, full_range: bool = True) -> DataFra
 
 
 def rgb_from_tsne_2d(df: DataFrame, num_sample: int = 1000, affinity_type: str = "cosine", perplexity: float = 150, q: float = 0.95, knn: int = 10, seed: int = 0) -> DataFrame:
-    return _plane(reduced(df, tsne(2, min(perplexity, num_sample // 2)), num_sample, affinity_type, knn, seed), q)
+    return color_rows(df, tsne(2, min(perplexity, num_sample // 2)), rgb_of_plane, num_sample, affinity_type, q, knn, seed)
 
 
 def rgb_from_tsne_3d(df: DataFrame, num_sample: int = 1000, affinity_type: str = "cosine", perplexity: float = 150, q: float = 0.95, knn: int = 10, seed: int = 0) -> DataFrame:
-    return _cube(reduced(df, tsne(3, min(perplexity, num_sample // 2)), num_sample, affinity_type, knn, seed), q)
+    return color_rows(df, tsne(3, min(perplexity, num_sample // 2)), rgb_of_cube, num_sample, affinity_type, q, knn, seed)
 
 
 def rgb_from_euclidean_tsne_3d(df: DataFrame, num_sample: int = 1000, affinity_type: str = "cosine", perplexity: float = 150, q: float = 0.95, knn: int = 10, seed: int = 0) -> DataFrame:
-    y = reduced(df, tsne(3, min(perplexity, num_sample // 2)), num_sample, affinity_type, knn, seed)
-    return _cube(y.select("id", vec.to_euclidean("out", DISTANCE_OF[affinity_type]).alias("out")), q)
+    flat = lambda y: y.select("id", vec.to_euclidean("out", DISTANCE_OF[affinity_type]).alias("out"))
+    return color_rows(df, tsne(3, min(perplexity, num_sample // 2)), rgb_of_cube, num_sample, affinity_type, q, knn, seed, flat)
 
 
 def rgb_from_umap_2d(df: DataFrame, num_sample: int = 1000, affinity_type: str = "cosine", n_neighbors: int = 150, min_dist: float = 0.1, q: float = 0.95, knn: int = 10, seed: int = 0) -> DataFrame:
-    return _plane(reduced(df, umap(2, n_neighbors, min_dist), num_sample, affinity_type, knn, seed), q)
+    return color_rows(df, umap(2, n_neighbors, min_dist), rgb_of_plane, num_sample, affinity_type, q, knn, seed)
 
 
 def rgb_from_umap_3d(df: DataFrame, num_sample: int = 1000, affinity_type: str = "cosine", n_neighbors: int = 150, min_dist: float = 0.1, q: float = 0.95, knn: int = 10, seed: int = 0) -> DataFrame:
-    return _cube(reduced(df, umap(3, n_neighbors, min_dist), num_sample, affinity_type, knn, seed), q)
+    return color_rows(df, umap(3, n_neighbors, min_dist), rgb_of_cube, num_sample, affinity_type, q, knn, seed)
 
 
 def rgb_from_umap_sphere(df: DataFrame, num_sample: int = 1000, affinity_type: str = "cosine", n_neighbors: int = 150, min_dist: float = 0.1, q: float = 0.95, knn: int = 10, seed: int = 0) -> DataFrame:
-    y = reduced(df, umap(2, n_neighbors, min_dist, output="haversine"), num_sample, affinity_type, knn, seed)
-    xyz = color.sphere(F.col("out")[0], F.col("out")[1])
-    return _cube(y.select("id", F.array(*xyz).alias("out")), q)
+    ball = lambda y: y.select("id", F.array(*color.sphere(F.col("out")[0], F.col("out")[1])).alias("out"))
+    return color_rows(df, umap(2, n_neighbors, min_dist, output="haversine"), rgb_of_cube, num_sample, affinity_type, q, knn, seed, ball)

@@ -13,10 +13,10 @@ from ..functions import color, vec
 from ..operators import affinity, align, knn, layout, linalg, mask, sampling, stats
 from ..sources import tables
 from ..sources.shared import fresh
-from ..streaming.online import VectorSum, update_from
-from .grouped import grouped_cut
-from .kernel import KernelNCut, features, fourier_native
-from .nystrom import NystromNCut, exact_cut
+from ..streaming.online import VectorSum, update_from, updater
+from .grouped import grouped_cut, grouped_kernel_cut, grouped_landmark_cut, grouped_sample
+from .kernel import KernelNCut, features, fourier_native, frequencies
+from .nystrom import LaplacianKernel, NystromNCut, exact_cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -122,6 +122,14 @@ def l2_normalize(spark, sf_dir):
     return raw(spark, sf_dir).select("id", F.posexplode(vec.normalized("v")).alias("pos", "x")).select("id", F.col("pos").cast("long").alias("pos"), r6("x").alias("x"))
 
 
+@register(f"WITH {RAW} SELECT id, label, round(list_sum(v), 6) + 0.0::DOUBLE AS total FROM raw")
+def vector_sink(spark, sf_dir):
+    """Written as a table, then read again."""
+    at = fresh(spark, "sink")
+    tables.write(raw(spark, sf_dir), at)
+    return spark.read.parquet(at).select("id", "label", r6(vec.total("v")).alias("total"))
+
+
 @register("SELECT l_orderkey, l_linenumber, ((l_orderkey + 6) // 7)::BIGINT AS q FROM lineitem")
 def ceildiv(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", vec.ceildiv("l_orderkey", 7).alias("q"))
@@ -162,7 +170,8 @@ def quantile_normalize(spark, sf_dir):
 @register("SELECT round(quantile_cont(l_extendedprice, 0.01::DOUBLE), 6) AS lo, round(quantile_cont(l_extendedprice, 0.99::DOUBLE), 6) AS hi FROM lineitem")
 def quantile_min_max(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return df.agg(F.percentile("l_extendedprice", F.array(F.lit(0.01), F.lit(0.99))).alias("q")).select(r6(F.col("q")[0]).alias("lo"), r6(F.col("q")[1]).alias("hi"))
+    lo, hi = stats.quantiles(df, ["l_extendedprice"], [0.01, 0.99])["l_extendedprice"]
+    return spark.createDataFrame([(round(lo, 6), round(hi, 6))], "lo double, hi double")
 
 
 @register("SELECT bool_or(isnan(value)) AS has_nan, bool_or(isinf(value)) AS has_inf, max(abs(value)) AS max_abs, min(abs(value)) AS min_abs FROM events")
@@ -342,6 +351,19 @@ def fps_recursive(spark, sf_dir):
     return sampling.subsample(planted(spark, sf_dir), "cosine", sampling.SampleConfig("fps_recursive", 50, n_iter=1))
 
 
+@register("SELECT * FROM (VALUES ('fps', true, true), ('fps_recursive', true, true)) t(method, distinct_rows, spread)")
+def fps_properties(spark, sf_dir):
+    """Farthest points are distinct rows of the table and leave no row as far off as a random sample of that size does."""
+    _, x = tables.to_numpy(planted(spark, sf_dir), affinity.MOST)
+    df, u, rows = planted(spark, sf_dir), affinity.unit(x), []
+    far = lambda ids: float(np.sqrt(np.maximum(0, 2 - 2 * (u @ u[ids].T).max(1))).mean())
+    chance = far([r.id for r in sampling.random_sample(df, 12).collect()])
+    for method in ("fps", "fps_recursive"):
+        ids = [r.id for r in sampling.subsample(df, "cosine", sampling.SampleConfig(method, 12, n_iter=1)).collect()]
+        rows.append((method, len(set(ids)) == 12 and set(ids) <= set(range(len(x))), far(ids) < chance))
+    return spark.createDataFrame(rows, "method string, distinct_rows boolean, spread boolean")
+
+
 # ---- sums, random features, rotation -------------------------------------------------------------------
 
 
@@ -362,6 +384,16 @@ def gram(spark, sf_dir):
     return tables.from_numpy(spark, g).select(F.col("id").alias("i"), F.posexplode("v").alias("j", "g")).select("i", F.col("j").cast("long").alias("j"), r6("g").alias("g"))
 
 
+@register("SELECT * FROM (VALUES ('cosine', true, true, true), ('rbf', true, true, true)) t(kind, centred, of_its_width, normal)")
+def rff_frequencies(spark, sf_dir):
+    """Draws of 64 x 4096: mean, deviation and the share within one deviation, as normal draws of that width have them."""
+    rows = []
+    for kind, scale in (("cosine", None), ("rbf", 2.5)):
+        w, width = frequencies(DIM, 4096, kind, GAMMA, scale), GAMMA**-0.5 / (scale or 1.0)
+        rows.append((kind, bool(abs(w.mean()) < 0.01 * width), bool(abs(w.std() / width - 1) < 0.01), bool(abs((np.abs(w) < width).mean() - 0.6827) < 0.005)))
+    return spark.createDataFrame(rows, "kind string, centred boolean, of_its_width boolean, normal boolean")
+
+
 @register(f"WITH {RAW}, {W_SQL}, {Z_SQL} SELECT id, pos::BIGINT AS pos, round(z, 6) + 0.0::DOUBLE AS z FROM z")
 def rff_map(spark, sf_dir):
     return fourier_native(raw(spark, sf_dir), fixed_w()).select("id", F.posexplode("z").alias("pos", "z")).select("id", F.col("pos").cast("long").alias("pos"), r6("z").alias("z"))
@@ -386,15 +418,60 @@ _OWN = PLANTED + ", y AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_d
 
 @register(f"WITH {_OWN} SELECT c::BIGINT - 1 AS cluster, count(*) AS n, round(sqrt(sum(u[c] * u[c])), 6) AS marginal_norm FROM a GROUP BY c")
 def cluster_counts(spark, sf_dir):
-    y = planted(spark, sf_dir).select("id", vec.normalized("v").alias("u")).select("u", vec.argmax(F.slice("u", 1, CLUSTERS)).alias("cluster"))
-    own = F.element_at("u", (F.col("cluster") + 1).cast("int"))
-    return y.groupBy("cluster").agg(F.count("*").alias("n"), r6(F.sqrt(F.sum(own * own))).alias("marginal_norm"))
+    y, axes = planted(spark, sf_dir).select("id", vec.normalized("v").alias("ev")), np.eye(DIM)[:CLUSTERS]
+    n, own = (align.significance(y, axes, m) for m in ("count", "marginal_norm"))
+    rows = [(k, int(a), round(float(np.sqrt(b)), 6)) for k, (a, b) in enumerate(zip(n, own, strict=True)) if a]
+    return spark.createDataFrame(rows, "cluster long, n long, marginal_norm double")
 
 
-@register()
+#: Rows on one axis each, 4 label + 8 of them and of these lengths; rows of label 7 also reach to either side of axis 0.
+LENGTHS = (1.0, 8.0, 5.0, 3.0, 9.0, 6.0, 2.0, 10.0, 6.5, 4.0)
+UNEVEN = RAW + f""", ranked AS (SELECT id, label, v, row_number() OVER (PARTITION BY label ORDER BY id) - 1 AS r FROM raw),
+uneven AS (SELECT id, label, list_transform(range(0, {CLUSTERS}), lambda i: CASE WHEN i = label THEN {list(LENGTHS)}[i + 1]::DOUBLE WHEN label = 7 AND i = 0 THEN 2.0::DOUBLE - 4.0::DOUBLE * (r % 2) ELSE v[i + 1] / 1000.0::DOUBLE END) AS v FROM ranked WHERE r < 4 * label + 8)"""
+
+
+def uneven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    df = raw(spark, sf_dir).withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("id")) - 1).where(F.col("r") < 4 * F.col("label") + 8)
+    own = F.get(F.array(*(F.lit(x) for x in LENGTHS)), F.col("label"))
+    value = lambda x, i: F.when(i == F.col("label"), own).when((F.col("label") == 7) & (i == 0), 2.0 - 4.0 * (F.col("r") % 2)).otherwise(x / 1000.0)
+    return df.select("id", "label", F.transform(F.slice("v", 1, CLUSTERS), value).alias("ev"))
+
+
+def _order(metric: str) -> str:
+    return f"WITH {UNEVEN}, m AS (SELECT axis, {metric} AS m FROM uneven, range(0, {CLUSTERS}) t(axis) GROUP BY axis) SELECT axis::INT AS label, row_number() OVER (ORDER BY m DESC) - 1 AS position FROM m"
+
+
+def _positions(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    """The place of each label's axis in the order of axes."""
+    df = uneven(spark, sf_dir)
+    return align.AxisAlign(method).fit_transform(df, hard=True).groupBy("label").agg(F.min("cluster").alias("position"))
+
+
+@register(_order("sum((label = axis)::INT)"))
+def axis_order_count(spark, sf_dir):
+    return _positions(spark, sf_dir, "count")
+
+
+@register(_order("sum(v[axis + 1] * v[axis + 1])"))
+def axis_order_norm(spark, sf_dir):
+    return _positions(spark, sf_dir, "norm")
+
+
+@register(_order("sum(CASE WHEN label = axis THEN v[axis + 1] * v[axis + 1] ELSE 0.0::DOUBLE END)"))
+def axis_order_marginal_norm(spark, sf_dir):
+    return _positions(spark, sf_dir, "marginal_norm")
+
+
+@register(f"""WITH RECURSIVE {PLANTED}, u AS (SELECT id, list_transform(v[1:{CLUSTERS}], lambda x: x / sqrt(list_dot_product(v[1:{CLUSTERS}], v[1:{CLUSTERS}]))) AS u FROM planted),
+walk AS (SELECT 1 AS k, (SELECT id FROM u ORDER BY md5('42:' || id::VARCHAR), id LIMIT 1) AS pick, (SELECT list({{'id': id, 'c': 0.0::DOUBLE}} ORDER BY id) FROM u) AS near
+UNION ALL
+SELECT k + 1, list_sort(list_transform(now, lambda n: {{'c': n.c, 'id': n.id}}))[1].id, now FROM (SELECT k, (SELECT list({{'id': n.id, 'c': n.c + abs(list_dot_product(a.u, b.u))}} ORDER BY n.id) FROM (SELECT unnest(near) AS n) JOIN u a ON a.id = n.id, u b WHERE b.id = walk.pick) AS now FROM walk WHERE k < {CLUSTERS}))
+SELECT k - 1 AS axis, p - 1 AS pos, round(u[p], 6) + 0.0::DOUBLE AS x FROM walk JOIN u ON u.id = walk.pick, range(1, {CLUSTERS + 1}) t(p)""")
 def axis_align_init(spark, sf_dir):
-    axes = align.initial_axes(planted(spark, sf_dir).select("id", F.slice("v", 1, CLUSTERS).alias("ev")))
-    return tables.from_numpy(spark, axes)
+    axes = tables.from_numpy(spark, align.initial_axes(planted(spark, sf_dir).select("id", F.slice("v", 1, CLUSTERS).alias("ev"))))
+    return axes.select(F.col("id").alias("axis"), F.posexplode("v").alias("pos", "x")).select("axis", F.col("pos").cast("long").alias("pos"), r6("x").alias("x"))
 
 
 # ---- cuts ----------------------------------------------------------------------------------------------
@@ -449,6 +526,65 @@ def cut_invariants(spark, sf_dir):
     return spark.createDataFrame([("first eigenvalue", round(float(whole.eigenvalues_[0]), 6)), ("largest departure from orthonormal", round(off, 6)), ("rows without a value", float(none))], "name string, value double")
 
 
+@register("SELECT solver, 0.0::DOUBLE AS departure, 0.0::DOUBLE AS residual, 0.0::DOUBLE AS off FROM (VALUES ('eigh'), ('lobpcg'), ('svd'), ('svd_lowrank')) t(solver)")
+def eigen_solvers(spark, sf_dir):
+    """Ten leading pairs of the normalised affinity by every solver: orthonormal, small residual, the values of a full decomposition."""
+    _, x = tables.to_numpy(planted(spark, sf_dir), affinity.MOST)
+    a = affinity.block(x, x, "cosine", GAMMA)
+    a /= np.sqrt(np.outer(a.sum(0), a.sum(0)))
+    want, rows = np.linalg.eigvalsh(a)[::-1][:CLUSTERS], []
+    for s in linalg.SOLVERS:
+        u, w = linalg.solve_eig(a, CLUSTERS, s)
+        rows.append((s, *(round(float(np.abs(e).max()), 6) + 0.0 for e in (u.T @ u - np.eye(CLUSTERS), a @ u - u * w, w - want))))
+    return spark.createDataFrame(rows, "solver string, departure double, residual double, off double")
+
+
+class CubicKernel(LaplacianKernel):
+    """A kernel of one's own: the third power of the affinity, which is that of a third of gamma."""
+
+    def __init__(self, anchors, kind="cosine", gamma=1.0, adaptive=False, solver="svd_lowrank"):
+        super().__init__(anchors, kind, gamma / 3, adaptive, solver)
+
+
+@register(_BY_LABEL)
+def planted_clusters_custom(spark, sf_dir):
+    config = sampling.SampleConfig("random", LANDMARKS)
+    return _clusters(NystromNCut(CLUSTERS, affinity_focal_gamma=3 * GAMMA, sample_config=config, kernel_type=CubicKernel).fit_transform(planted(spark, sf_dir)))
+
+
+_BY_GROUP = f"WITH {RAW} SELECT g, id, min(id) OVER (PARTITION BY g, label) AS rep FROM (SELECT id, label, id % 2 AS g FROM raw)"
+
+
+def _halves(spark, sf_dir) -> DataFrame:
+    return planted(spark, sf_dir).withColumn("g", F.col("id") % 2)
+
+
+def _group_clusters(ev: DataFrame) -> DataFrame:
+    from pyspark.sql import Window
+
+    return align.grouped_align(ev, "g").select("g", "id", F.min("id").over(Window.partitionBy("g", "cluster")).alias("rep"))
+
+
+@register(_BY_GROUP)
+def grouped_clusters(spark, sf_dir):
+    return _group_clusters(grouped_cut(_halves(spark, sf_dir), "g", CLUSTERS, gamma=GAMMA))
+
+
+@register(_BY_GROUP)
+def grouped_clusters_landmarks(spark, sf_dir):
+    return _group_clusters(grouped_landmark_cut(_halves(spark, sf_dir), "g", CLUSTERS, sampling.SampleConfig("random", LANDMARKS), gamma=GAMMA))
+
+
+@register(_BY_GROUP)
+def grouped_clusters_kernel(spark, sf_dir):
+    return _group_clusters(grouped_kernel_cut(_halves(spark, sf_dir), "g", CLUSTERS, 512, gamma=GAMMA))
+
+
+@register(f"WITH {RAW}, o AS (SELECT id % 2 AS g, id, row_number() OVER (PARTITION BY id % 2 ORDER BY md5('42:' || id::VARCHAR), id) AS r FROM raw) SELECT g, id FROM o WHERE r <= 20")
+def grouped_random_sample(spark, sf_dir):
+    return grouped_sample(_halves(spark, sf_dir), "g", sampling.SampleConfig("random", 20))
+
+
 @register(f"WITH {PLANTED}, d AS (SELECT a.label, a.id, sum(exp((list_cosine_similarity(a.v, b.v) - 1.0::DOUBLE) / {GAMMA}::DOUBLE)) AS degree FROM planted a JOIN planted b USING (label) GROUP BY 1, 2) SELECT label, id, round(sqrt(degree / sum(degree) OVER (PARTITION BY label)), 6) AS c0 FROM d")
 def grouped_component0(spark, sf_dir):
     return grouped_cut(planted(spark, sf_dir), "label", 3, gamma=GAMMA).select("label", "id", r6(F.col("ev")[0]).alias("c0"))
@@ -516,17 +652,49 @@ def stream_vector_sum(spark, sf_dir):
     return tables.from_numpy(spark, state.total[:, None]).select(F.col("id").alias("pos"), r6(F.col("v")[0]).alias("total"))
 
 
+def _rest(stream: DataFrame, df: DataFrame) -> DataFrame:
+    return stream.join(F.broadcast(sample(df).select("id", F.lit(1).alias("known"))), "id", "left").where("known is null").select("id", "v")
+
+
+
 @register(_BY_LABEL)
 def stream_kernel_update(spark, sf_dir):
     """Fit on the sampled landmarks, update by micro-batches of the rest, then score all rows."""
     df = planted(spark, sf_dir).select("id", "v")
     model = KernelNCut(CLUSTERS, kernel_dim=512, affinity_focal_gamma=GAMMA).fit(df, sample(df))
     stream, at = _stream(spark, sf_dir)
-    rest = stream.join(F.broadcast(sample(df).select("id", F.lit(1).alias("known"))), "id", "left").where("known is null").select("id", "v")
-    update_from(rest, model, f"{at}/state").awaitTermination()
+    update_from(_rest(stream, df), model, f"{at}/state").awaitTermination()
+    return _clusters(model.transform(df))
+
+
+@register(_BY_LABEL)
+def stream_landmark_update(spark, sf_dir):
+    """Landmarks first, then the rest by micro-batches, by two processes: the second goes on from the stored state."""
+    df = planted(spark, sf_dir).select("id", "v")
+    make = lambda: NystromNCut(CLUSTERS, affinity_focal_gamma=GAMMA).fit(df, sample(df))
+    stream, at = _stream(spark, sf_dir)
+    first = updater(make(), f"{at}/model")
+    rest = _rest(df, df)
+    for k in range(2):
+        first(rest.where(F.col("id") % 4 == k), k)
+    model = make()
+    second = updater(model, f"{at}/model")
+    for k in range(1, 4):  # batch 1 is replayed
+        second(rest.where(F.col("id") % 4 == k), k)
     return _clusters(model.transform(df))
 
 
+@register(_BY_LABEL)
+def stream_scoring(spark, sf_dir):
+    """A fitted model scores a stream as it does a table."""
+    df = planted(spark, sf_dir).select("id", "v")
+    model = NystromNCut(CLUSTERS, affinity_focal_gamma=GAMMA, sample_config=sampling.SampleConfig("random", LANDMARKS))
+    model.fit_transform(df)
+    stream, at = _stream(spark, sf_dir)
+    model.transform(stream).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return _clusters(spark.read.schema("id bigint, ev array<double>").parquet(f"{at}/out"))
+
+
 @register()
 def lab_cube(spark, sf_dir):
     return layout.lab_cube(raw(spark, sf_dir).select("id", F.slice("v", 1, 3).alias("v")))
@@ -534,10 +702,25 @@ def lab_cube(spark, sf_dir):
 
 # ---- colours of embeddings -----------------------------------------------------------------------------
 
-for _name in ("rgb_from_tsne_2d", "rgb_from_tsne_3d", "rgb_from_euclidean_tsne_3d", "rgb_from_umap_2d", "rgb_from_umap_3d", "rgb_from_umap_sphere"):
+COLOURS = ("rgb_from_tsne_2d", "rgb_from_tsne_3d", "rgb_from_euclidean_tsne_3d", "rgb_from_umap_2d", "rgb_from_umap_3d", "rgb_from_umap_sphere")
+for _name in COLOURS:
 
     def _rgb(spark, sf_dir, f=getattr(layout, _name)):
-        return f(planted(spark, sf_dir), num_sample=300)
+        return f(planted(spark, sf_dir))
 
     _rgb.__name__ = _name
     register()(_rgb)
+
+
+@register("SELECT f, (SELECT count(*) FROM embeddings) AS n, true AS in_range, true AS apart FROM (VALUES " + ", ".join(f"('{n}')" for n in (*COLOURS, "lab_cube")) + ") t(f)")
+def colour_properties(spark, sf_dir):
+    """Every colouring: a colour in range for every row, and rows of a planted cluster nearer in colour than others."""
+    df = planted(spark, sf_dir)
+    labels, rows = {r.id: r.label for r in df.select("id", "label").collect()}, []
+    for name in (*COLOURS, "lab_cube"):
+        got = QUERIES[name](spark, sf_dir).toPandas()
+        x, own = got[["r", "g", "b"]].to_numpy(), np.array([labels[i] for i in got.id])
+        d, same = np.sqrt(((x[:, None] - x) ** 2).sum(2)), own[:, None] == own
+        apart = d[same].mean() < 0.8 * d[~same].mean() if name != "lab_cube" else True  # three coordinates know three labels
+        rows.append((name, len(x), bool(np.isfinite(x).all() and x.min() >= 0 and x.max() <= 1), bool(apart)))
+    return spark.createDataFrame(rows, "f string, n long, in_range boolean, apart boolean")

@@ -69,6 +69,24 @@ class LaplacianKernel:
         return self.a / np.sqrt(d[:, None] * d)
 
 
+def landmark_root(k: LaplacianKernel, solver: str = "svd_lowrank") -> tuple[np.ndarray, np.ndarray]:
+    """Positive eigenpairs of the normalised landmark block, at most d + 1."""
+    u, w = linalg.solve_eig(k.normalized_anchors(), k.anchors.shape[1] + 1, solver)
+    use = w > 1e-10
+    return u[:, use], w[use]
+
+
+def joint_spectrum(k: LaplacianKernel, u: np.ndarray, w: np.ndarray, g: np.ndarray, c: int) -> tuple[np.ndarray, np.ndarray]:
+    """(eigenvalues, map of normalised affinities to embeddings) of landmarks and other rows, whose Gram matrix in ``u`` is g."""
+    root = 1 / np.sqrt(w)
+    lam, q = np.linalg.eigh(np.diag(w) + root[:, None] * g * root)
+    order = np.argsort(-lam, kind="stable")[:c]
+    lam, q = lam[order], q[:, order]
+    t = (u * root) @ q / np.sqrt(lam)
+    # Signs by the embeddings of the landmarks.
+    return lam, t * np.where((k.normalized_anchors() @ t).sum(0) < 0, -1.0, 1.0)
+
+
 class NystromNCut(Online):
     """``fit_transform`` gives ``(id, ev)``: the leading eigenvectors of the normalised affinity.
 
@@ -109,9 +127,7 @@ class NystromNCut(Online):
         if outer is not None:
             k.outer = k.outer + outer
             # Rank d + 1 root of the normalised landmark block; the Gram matrix is kept in its coordinates.
-            u, w = linalg.solve_eig(k.normalized_anchors(), k.anchors.shape[1] + 1, self.solver)
-            use = w > 1e-10
-            u, w = u[:, use], w[use]
+            u, w = landmark_root(k, self.solver)
             late = rows.sparkSession.sparkContext.broadcast((k, u))
 
             def squares(x: np.ndarray) -> np.ndarray:
@@ -120,16 +136,9 @@ class NystromNCut(Online):
                 return b.T @ b
 
             g = linalg.summed(rows, ["v"], squares, most).reshape(len(w), -1)
-            root = 1 / np.sqrt(w)
-            lam, q = np.linalg.eigh(np.diag(w) + root[:, None] * g * root)
-            order = np.argsort(-lam, kind="stable")[: self.n_components]
-            if self.n_components > len(lam):
-                warnings.warn(f"only {len(lam)} components exist", stacklevel=2)
-            lam, q = lam[order], q[:, order]
-            t = (u * root) @ q / np.sqrt(lam)
-            # Signs by the embeddings of the landmarks.
-            flip = np.sign(np.where(np.abs(k.normalized_anchors() @ t).sum(0) > 0, (k.normalized_anchors() @ t).sum(0), 1.0))
-            self.eigenvalues_, self.map = lam, t * np.where(flip == 0, 1.0, flip)
+            if self.n_components > len(w):
+                warnings.warn(f"only {len(w)} components exist", stacklevel=2)
+            self.eigenvalues_, self.map = joint_spectrum(k, u, w, g, self.n_components)
         return self.transform(rows)
 
     def transform_anchors(self) -> np.ndarray:
