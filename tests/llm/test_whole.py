@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vectorloom.llm import chroma_audio, langid_kn, para_minhash, quality_mcd
+from vectorloom.llm import chroma_audio, langid_kn, para_minhash, pii_boost, quality_mcd, secret_random
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -213,3 +213,55 @@ def test_silence_gives_no_votes(spark):
     assert {x for r in prints.where("id = 2").collect() for x in r.fp} == {chroma_audio.FLAT}
     got = {(m.id, m.match_class) for m in chroma_audio.align(prints, "id", F.col("id") % 100 == 0).collect() if m.match_class is not None}
     assert got == {(100, 100), (200, 200), (200, 1)}
+
+
+#: Sentences that no template makes: (text, kind of the added span or none).
+WORDED = [
+    ("Ring me on 415-555-0132 after six.", "phone"), ("You can text (212) 555 0147 any time", "phone"), ("Her cell: 646.555.0199", "phone"),
+    ("WhatsApp 07911 123456", "phone"), ("Office 030/1234567 ext 4", "phone"), ("our hotline is 0800 1234567, free of charge", "phone"), ("the front desk (617) 555-0199 knows", "phone"),
+    ("reach jane [at] example [dot] org", "email"), ("e-mail me: bob (at) site.co.uk", "email"), ("ann at mail dot net is my address", "email"),
+    ("SSN 078-05-1120 on file", "ssn"), ("social security number: 219-09-9999", "ssn"), ("my social is 457-55-5462", "ssn"),
+    ("IBAN DE89 3704 0044 0532 0130 00", "iban"), ("pay to account GB29 NWBK 6016 1331 9268 19", "iban"), ("send it to ES91 2100 0418 4502 0005 1332 please", "iban"),
+    ("amex 378282246310005 exp 12/26", "card"), ("card no 3714 496353 98431", "card"),
+    ("between 2019-2020 and 2021-2022", None), ("ISBN 978-3-16-148410-0 is out", None), ("it cost 1 234 567 pounds", None), ("ratio 10:20:30 at 12:30", None),
+    ("the years 1999 2000 2001", None), ("tracking 1234567890123456789", None), ("serial 123-45-678 was lost", None), ("flight 415 555 0132", None), ("score 3-2, 4-1, 10-9", None),
+    ("lot 123 456 7890 items", None), ("pi is 3.14159265358979", None), ("sealed DE12 3456 7890 1234 5678 90 crates", None), ("opening 0123 456789 crates took long", None), ("rev. 2.14.3 of 2024-05-06", None),
+]
+
+
+def test_boosted_candidates_on_other_words_than_the_templates(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(WORDED)], "doc_id long, text string")
+    got = {r.doc_id: [x.kind for x in r.pii_more] for r in pii_boost.find(df, pii_boost.fit(spark)).collect()}
+    planted = [i for i, (_, k) in enumerate(WORDED) if k]
+    assert sum(WORDED[i][1] in got[i] for i in planted) >= 0.9 * len(planted)
+    assert sum(bool(got[i]) for i, (_, k) in enumerate(WORDED) if not k) <= 1
+
+
+def _token(r, letters, n):
+    return "".join(r.choice(list(letters), n))
+
+
+def test_random_tokens_of_every_alphabet_are_found_and_text_is_not(spark):
+    r = np.random.default_rng(12)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = {"base62": upper + lower + digits, "letters": upper + lower, "base64": upper + lower + digits + "+/", "url": upper + lower + digits + "-_", "mixed": upper + lower + digits + "+/-_", "base32": upper + "234567"}
+    rows, kind = [], {}
+    for name, letters in alphabets.items():
+        for n in (24, 32, 48):
+            for _ in range(20):
+                kind[len(rows)] = (name, n)
+                rows.append((len(rows), f"see {_token(r, letters, n)} there"))
+    prose = [x.text or "" for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").orderBy("doc_id").collect()]
+    words = sorted({w for t in prose for w in re.findall("[A-Za-z]{3,}", t)})
+    plain = []
+    for k in range(600):
+        some = [str(x) for x in r.choice(words, int(r.integers(4, 9)))]
+        plain.append(("-" if k % 3 == 0 else "_" if k % 3 == 1 else "").join(some if k % 3 < 2 else [w.capitalize() for w in some]))
+    rows += [(10_000 + k, f"the {t} file and 31415926535897932384626433 more") for k, t in enumerate(plain)]
+    rows += [(20_000 + k, t) for k, t in enumerate(prose)]  # text, whose letters the operator counts
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.n_more for x in secret_random.digest(secret_random.find(df)).collect()}
+    found = collections.Counter((name, n) for i, (name, n) in kind.items() if got[i])
+    # Base 32, and letters alone, tell themselves from text only in longer tokens.
+    assert all(found[name, n] >= least for name in alphabets if name not in ("base32", "letters") for n, least in ((32, 12), (48, 18))) and found["letters", 48] >= 15, found
+    assert sum(bool(got[i]) for i in got if 10_000 <= i < 20_000) <= 0.03 * sum(found.values())

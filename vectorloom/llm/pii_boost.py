@@ -49,7 +49,8 @@ PROPOSES = {
     "account": lambda t: t.rlike(r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"),
 }
 CONTEXT = 28
-SAMPLE = 1800
+FEATURES = 21
+SAMPLE = 3600
 PRECISION = 0.995
 
 
@@ -87,22 +88,40 @@ def _features(text: Column, s: Column, e: Column, m: Column, generator: int) ->
         number(m.rlike(r"^\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}$")),
         number(m.rlike(r"^(?:19|20)[0-9]{2}[-/.]|[-/.](?:19|20)[0-9]{2}$")),
         number(m.rlike(r"[\[(](?:at|dot)[\])]| at .* dot ")),
-        near(r"(?:phone|tel|tél|telefon|mobile|cell|call|fax|whatsapp)\W{0,4}(?:\w{1,8}\W{1,3})?$"),
-        near(r"(?:ssn|social security|tax id|passport)\W{0,4}(?:\w{1,8}\W{1,3})?$"),
-        near(r"(?:card|visa|mastercard|amex|iban|account)\W{0,4}(?:\w{1,8}\W{1,3})?$"),
+        near(r"(?:phone|tel|tél|telefon|mobile|cell|call|fax|whatsapp|number|ring|text|dial|office|desk|hotline|reach)\W{0,4}(?:\w{1,8}\W{1,3}){0,2}$"),
+        near(r"(?:ssn|social|tax id|passport)\W{0,4}(?:\w{1,8}\W{1,3}){0,2}$"),
+        near(r"(?:card|visa|mastercard|amex|iban|account|pay|wire)\W{0,4}(?:\w{1,8}\W{1,3}){0,2}$"),
         near(r"(?:mail|contact|write to|reach)\W{0,4}(?:\w{1,8}\W{1,3})?$"),
-        near(r"(?:version|order|isbn|invoice|page|chapter|build|part|id|no|nr|date|since)\W{0,4}$"),
+        near(r"(?:version|order|isbn|invoice|page|chapter|build|part|id|no|nr|date|since|flight|lot|tracking|serial)\W{0,4}(?:number\W{0,3})?$"),
+        number(m.rlike(r"^0[0-9]{2,4}[ /-][0-9]{6,8}$")),
+        number(F.when(F.lit(generator == 2), _checked(m)).otherwise(F.lit(False))),
     ]
 
 
+def _checked(m: Column) -> Column:
+    """Whether an account number's letters and digits, the first four moved to the end, leave 1 modulo 97."""
+    bare = F.replace(m, F.lit(" "), F.lit(""))
+    moved = F.concat(F.substr(bare, F.lit(5)), F.substr(bare, F.lit(1), F.lit(4)))
+    value = lambda x: F.when(x.rlike("[0-9]"), x.cast("int")).otherwise(F.ascii(x) - 55)
+    rest = F.aggregate(F.split(moved, ""), F.lit(0), lambda a, x: F.when(x == "", a).otherwise((a * F.when(value(x) > 9, 100).otherwise(10) + value(x)) % 97))
+    return rest == 1
+
+
 def _candidates(text: Column, gap: Column, match: Column, generator: int) -> Column:
     got = F.filter(spans.placed(gap, match), lambda x: F.length(spans.digits(x.m)).between(7, 22) if generator == 1 else F.lit(True))
     return F.transform(got, lambda x: F.struct(x.s.alias("s"), x.e.alias("e"), x.m.alias("m"), F.array(*_features(text, x.s, x.e, x.m, generator)).alias("f")))
 
 
-def _examples(rows: int) -> list[tuple[str, int]]:
+#: Words before a candidate: of the examples that trees learn from, and of those that set thresholds.
+LEADS = (
+    {"phone": ("phone: ", "call ", "tel. ", "mobile ", "fax ", "my number is ", "text me at ", "ring "), "ssn": ("ssn ", "social security no. ", "SSN: ", "tax id "), "card": ("card ", "visa ", "amex no. "), "mail": ("mail ", "contact ", "write to ", ""), "iban": ("iban ", "account ", "IBAN: ", ""), "date": ("", "on ", "date ", "since "), "order": ("order ", "invoice ", "id ", "order number ", "")},
+    {"phone": ("cell: ", "reach me on ", "telefon ", "office ", "whatsapp ", "dial ", "you can text ", "number: "), "ssn": ("my social is ", "SSN is ", "passport or tax id "), "card": ("mastercard: ", "pay by card no ", "amex "), "mail": ("e-mail ", "reach ", "my mail is "), "iban": ("pay to ", "wire to ", "the account is "), "date": ("at ", "until ", ""), "order": ("tracking ", "serial ", "lot ", "flight ", "part number ")},
+)
+
+
+def _examples(rows: int, family: int = 0) -> list[tuple[str, int]]:
     """Templated texts of one candidate each, labelled by construction; deterministic."""
-    r = random.Random(11)
+    r, lead = random.Random(11 + family), LEADS[family]
     some = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     word = lambda: "".join(r.choice(("th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ion", "sch", "ción", "eau")) for _ in range(r.randint(1, 4)))
 
@@ -111,31 +130,41 @@ def _examples(rows: int) -> list[tuple[str, int]]:
         total = sum(int(c) if i % 2 else (2 * int(c) - 9 if 2 * int(c) > 9 else 2 * int(c)) for i, c in enumerate(reversed(d)))
         return d + str(-total % 10)
 
+    def account() -> str:
+        code, body = r.choice(("DE", "FR", "ES", "GB")), r.choice(("", "NWBK")) + some(4 * r.randint(3, 5))
+        value = "".join(str(int(x, 36)) for x in body + code)
+        whole = f"{code}{98 - int(value + '00') % 97:02d}{body}"
+        return r.choice((whole, " ".join(whole[i : i + 4] for i in range(0, len(whole), 4))))
+
+    phones = (lambda: f"({some(3)}) {some(3)}-{some(4)}", lambda: f"({some(3)}) {some(3)} {some(4)}", lambda: f"{some(3)}-{some(3)}-{some(4)}", lambda: f"{some(3)}.{some(3)}.{some(4)}", lambda: f"0{some(3)} {some(r.choice((6, 7)))}", lambda: f"0{some(2)}/{some(7)}", lambda: f"0{some(4)} {some(6)}")
     good = (
-        lambda: (r.choice(("phone: ", "call ", "tel. ", "mobile ", "fax ")), r.choice((f"({some(3)}) {some(3)}-{some(4)}", f"{some(3)}-{some(3)}-{some(4)}", f"{some(3)}.{some(3)}.{some(4)}", f"0{some(3)} {some(6)}", f"0{some(2)}/{some(7)}"))),
-        lambda: (r.choice(("ssn ", "social security no. ", "SSN: ", "tax id ")), f"{some(3)}-{some(2)}-{some(4)}"),
-        lambda: (r.choice(("card ", "visa ", "amex no. ")), card(r.choice((13, 14, 15)))),
-        lambda: (r.choice(("mail ", "contact ", "write to ", "")), r.choice((f"{word()} [at] {word()} [dot] com", f"{word()}(at){word()}.org", f"{word()} at {word()} dot com"))),
-        lambda: (r.choice(("iban ", "account ", "IBAN: ")), r.choice(("DE", "FR", "ES", "GB")) + some(2) + "".join(" " + some(4) for _ in range(r.randint(3, 5)))),
+        lambda: (r.choice(lead["phone"]), r.choice(phones)()),
+        lambda: (r.choice(lead["ssn"]), f"{some(3)}-{some(2)}-{some(4)}"),
+        lambda: (r.choice(lead["phone"]), r.choice(phones)()),
+        lambda: (r.choice(lead["card"]), card(r.choice((13, 14, 15)))),
+        lambda: (r.choice(lead["mail"]), r.choice((f"{word()} [at] {word()} [dot] com", f"{word()}(at){word()}.org", f"{word()} at {word()} dot com"))),
+        lambda: (r.choice(lead["iban"]), account()),
     )
     bad = (
-        lambda: (r.choice(("", "on ", "date ", "since ")), f"20{some(2)}-{r.randint(10, 12)}-{r.randint(10, 28)}"),
-        lambda: (r.choice(("", "on ", "at ")), f"{r.randint(10, 28)}/{r.randint(10, 12)}/20{some(2)} {r.randint(10, 23)}:{some(2)}"),
+        lambda: (r.choice(lead["date"]), f"20{some(2)}-{r.randint(10, 12)}-{r.randint(10, 28)}"),
+        lambda: (r.choice(lead["date"]), f"{r.randint(10, 28)}/{r.randint(10, 12)}/20{some(2)} {r.randint(10, 23)}:{some(2)}"),
         lambda: (r.choice(("version ", "build ", "")), f"{some(2)}.{some(3)}.{some(4)}"),
-        lambda: (r.choice(("order ", "invoice ", "id ", "", f"{word()} ")), some(r.randint(7, 20))),
+        lambda: (r.choice(lead["order"]), some(r.randint(7, 20))),
+        lambda: (r.choice(lead["order"]), r.choice(phones)()),
         lambda: (r.choice(("isbn ", "")), f"978-{some(1)}-{some(4)}-{some(4)}-{some(1)}"),
         lambda: (f"{word()} ", some(16)),
         lambda: (f"{word()} ", some(r.choice((13, 14, 15)))),
-        lambda: (f"{word()} ", f"{some(3)}-{some(3)}-{some(4)}"),
+        lambda: (f"{word()} ", r.choice(phones)()),
         lambda: (f"{word()} ", f"{some(3)}-{some(2)}-{some(4)}"),
-        lambda: ("part ", "AB" + some(2) + some(4) + "XK" + some(6)),
+        lambda: (r.choice(("part ", "number ", "")), f"{r.choice(('AB', 'DE', 'XK'))}{some(2)} {some(4)} {some(4)} {some(4)}"),
         lambda: (f"{word()} ", f"{word()}@{word()}.{word()}"),
+        lambda: (f"{word()} number ", some(r.choice((8, 9, 12)))),
     )
     out = []
     for k in range(rows):
         pool = good if k % 2 else bad
-        lead, m = pool[(k // 2) % len(pool)]()
-        out.append((f"{word()} {word()} {lead}{m}, {word()} {word()}.", k % 2))
+        before, m = pool[(k // 2) % len(pool)]()
+        out.append((f"{word()} {word()} {before}{m}, {word()} {word()}.", k % 2))
     return out
 
 
@@ -144,16 +173,19 @@ _FITTED: dict[tuple, dict] = {}
 
 
 def fit(spark: SparkSession, rows: int = SAMPLE, precision: float = PRECISION) -> dict:
-    """Trees and one calibrated threshold per generator, from ``rows`` examples at most (fitted once a process)."""
+    """Trees and one calibrated threshold per generator, from ``rows`` examples at most (fitted once a process).
+
+    Two thirds of the examples teach; the others, whose contexts are worded differently, set the thresholds.
+    """
     kept = _FITTED.setdefault((rows, precision), {})
     if not kept:
-        text = "\n".join(f"{y}{t}" for t, y in _examples(rows))
+        text = "\n".join(f"{y}{family}{t}" for family, share in ((0, rows - rows // 3), (1, rows // 3)) for t, y in _examples(share, family))
         line = spark.range(1).select(F.explode(F.split(F.lit(text), "\n")).alias("l"))
-        docs = line.select(F.substr("l", F.lit(1), F.lit(1)).cast("int").alias("y"), F.substr("l", F.lit(2)).alias("t"))
-        found = docs.select("y", F.flatten(F.array(*(_candidates(F.col("t"), spans.gaps(F.col("t"), p), spans.found(F.col("t"), p), i) for i, p in enumerate(GENERATORS.values())))).alias("c"))
-        got = found.select("y", F.explode("c").alias("c")).select("y", "c.f").collect()  # a bounded sample, a few hundred KB
+        docs = line.select(F.substr("l", F.lit(1), F.lit(1)).cast("int").alias("y"), F.substr("l", F.lit(2), F.lit(1)).cast("int").alias("family"), F.substr("l", F.lit(3)).alias("t"))
+        found = docs.select("y", "family", F.flatten(F.array(*(_candidates(F.col("t"), spans.gaps(F.col("t"), p), spans.found(F.col("t"), p), i) for i, p in enumerate(GENERATORS.values())))).alias("c"))
+        got = found.select("y", "family", F.explode("c").alias("c")).select("y", "family", "c.f").collect()  # a bounded sample, a few hundred KB
         x, y = np.array([g.f for g in got]), np.array([float(g.y) for g in got])
-        learn = np.arange(len(y)) % 3 != 0
+        learn = np.array([g.family == 0 for g in got])
         trees = boost.fit(x[learn], y[learn])
         p = boost.predict(trees, x[~learn])
         cuts = [boost.threshold(p[x[~learn][:, 0] == i], y[~learn][x[~learn][:, 0] == i], precision) for i in range(len(GENERATORS))]
@@ -175,7 +207,7 @@ def find(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
                           *(c for k, p in GENERATORS.items() for c in (F.when(PROPOSES[k](t), spans.gaps(t, p)).otherwise(empty).alias(f"__g_{k}"), F.when(PROPOSES[k](t), spans.found(t, p)).otherwise(empty).alias(f"__m_{k}"))))
     base = guarded.select(*own, *(_base(k).alias(f"__b_{k}") for k in KINDS),
                           F.flatten(F.array(*(_candidates(t, F.col(f"__g_{k}"), F.col(f"__m_{k}"), i) for i, k in enumerate(GENERATORS)))).alias("__c"))
-    scored = base.select(*own, *(f"__b_{k}" for k in KINDS), F.concat(*(f"__b_{k}" for k in KINDS)).alias("__all"), F.transform("__c", lambda c: F.struct(c.s.alias("s"), c.e.alias("e"), c.m.alias("m"), c.f.alias("f"), boost.column(model["trees"], [c.f[i] for i in range(19)]).alias("score"))).alias("__c"))
+    scored = base.select(*own, *(f"__b_{k}" for k in KINDS), F.concat(*(f"__b_{k}" for k in KINDS)).alias("__all"), F.transform("__c", lambda c: F.struct(c.s.alias("s"), c.e.alias("e"), c.m.alias("m"), c.f.alias("f"), boost.column(model["trees"], [c.f[i] for i in range(FEATURES)]).alias("score"))).alias("__c"))
     cut = lambda g: F.when(g == 0, F.lit(boost.logit(model["cuts"][0]))).when(g == 1, F.lit(boost.logit(model["cuts"][1]))).otherwise(F.lit(boost.logit(model["cuts"][2])))
     kind = lambda f: F.when(f[0] == 0, F.lit("email")).when(f[0] == 2, F.lit("iban")).when(f[10] == 1, F.lit("ssn")).when(f[2] >= 13, F.lit("card")).otherwise(F.lit("phone"))
     taken = F.filter("__c", lambda c: c.score >= cut(c.f[0]))

@@ -1,11 +1,11 @@
 """Secrets: base patterns plus a battery of randomness tests with length-aware control of false discoveries.
 
-Every long token gets an inferred encoding; its symbol values take a chi-squared test of uniformity, a
-runs test and a test of serial correlation. Fisher's combination must not speak against randomness, and
-the chi-squared value must be too small for ordinary text written in that encoding. The second is a
+Every token of ``LONG`` characters gets an inferred encoding (but for plain numbers); its symbol values take a chi-squared
+test of uniformity, a runs test and a test of serial correlation. Fisher's combination must not speak against
+randomness, and the chi-squared value must be too small for ordinary text written in that encoding: chi-squared of text
+is noncentral, and how far off it is follows from the counts of the encoding's symbols in *all* texts (outside such tokens). The second is a
 p-value of the hypothesis "text"; over *all* candidates of the corpus, per class of length, the
-Benjamini-Hochberg procedure bounds the share of false discoveries. It needs only a histogram of
-p-values: a bounded number of counts goes to the driver.
+Benjamini-Hochberg procedure bounds the share of false discoveries. Both need only a bounded number of counts on the driver.
 
 Defined results: null text is empty and has no spans; empty tables give empty tables; repeated rows are
 scanned each; other columns pass through (one of a result's name gives way); whole texts are scanned by patterns linear in their length.
@@ -17,12 +17,13 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import clear, cut
+from .common import clear, cut, pieces
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -39,10 +40,11 @@ ENCODINGS = (
     ("base62", re.compile(r"[A-Za-z0-9]+\Z"), UPPER + LOWER + DIGITS),
     ("base64", re.compile(r"[A-Za-z0-9+/]+=*\Z"), UPPER + LOWER + DIGITS + "+/"),
     ("base64url", re.compile(r"[A-Za-z0-9_-]+=*\Z"), UPPER + LOWER + DIGITS + "-_"),
+    ("mixed", re.compile(r"[A-Za-z0-9+/_=-]+\Z"), UPPER + LOWER + DIGITS + "+/-_="),
 )
 VALUES = {name: {c: i for i, c in enumerate(symbols)} for name, _, symbols in ENCODINGS}
-#: Text in an encoding leaves this much of chi-squared per symbol: its symbols crowd in a few of the bins.
-TEXT_SHIFT = 1.2
+#: Least chi-squared per symbol that text is taken to leave in an encoding (also where there is no text to count).
+LEAST_SHIFT = 0.3
 #: Tokens whose combined test is below are not random.
 RANDOM_LEAST = 1e-3
 FALSE_SHARE = 0.01
@@ -57,8 +59,8 @@ _TESTED = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64()), ("encoding",
 
 
 def encoding(token: str) -> str | None:
-    """The first encoding whose symbols the token keeps to; none without both digits and letters."""
-    if sum(c.isdigit() for c in token) < 2 or sum(c.isalpha() for c in token) < 2:
+    """The first encoding whose symbols the token keeps to; none for numbers."""
+    if not any(c.isalpha() for c in token):
         return None
     return next((name for name, test, _ in ENCODINGS if test.match(token)), None)
 
@@ -67,12 +69,35 @@ def _above(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def battery(token: str, kind: str) -> tuple[float, float]:
+def bins_of(n: int) -> int:
+    """Bins of a token of n symbols."""
+    return max(4, min(16, n // 3))
+
+
+def text_shifts(counts: list[int]) -> dict[tuple[str, int], float]:
+    """{(encoding, bins): chi-squared per symbol of text} from how often each of the first 128 characters stands in all texts."""
+    out = {}
+    for name, _, symbols in ENCODINGS:
+        seen, k = [counts[ord(c)] for c in symbols], len(symbols)
+        for bins in range(4, 17):
+            total, shift = sum(seen), LEAST_SHIFT
+            if total:
+                held, size = [0] * bins, [0] * bins
+                for v in range(k):
+                    held[v * bins // k] += seen[v]
+                    size[v * bins // k] += 1
+                shift = max(shift, sum((h / total - s / k) ** 2 / (s / k) for h, s in zip(held, size, strict=True)))
+            out[name, bins] = shift
+    return out
+
+
+def battery(token: str, kind: str, shifts: dict[tuple[str, int], float] | None = None) -> tuple[float, float]:
     """(p of randomness by Fisher's combination of the three tests, p of the hypothesis "text")."""
     symbols = VALUES[kind]
     x = [symbols[c] for c in token if c in symbols]
     n, k = len(x), len(symbols)
-    bins = max(4, min(16, n // 5))
+    bins = bins_of(n)
+    shift = shifts[kind, bins] if shifts else LEAST_SHIFT
     count = [0] * bins
     for v in x:
         count[v * bins // k] += 1
@@ -99,12 +124,11 @@ def battery(token: str, kind: str) -> tuple[float, float]:
     p_serial = 2 * _above(abs(sum((p - m) * (q - m) for p, q in zip(x, x[1:], strict=False)) / var + 1 / n) * math.sqrt(n)) if var else 1e-12
     half = -sum(math.log(max(p, 1e-300)) for p in (p_chi, p_runs, p_serial))
     p_random = math.exp(-half) * (1 + half + half * half / 2) if half < 600 else 0.0
-    mean = free + n * TEXT_SHIFT
-    p_text = _above((mean - chi) / math.sqrt(2 * free + 4 * n * TEXT_SHIFT))
+    p_text = _above((free + n * shift - chi) / math.sqrt(2 * free + 4 * n * shift))
     return p_random, p_text
 
 
-def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple]]:
+def scan(text: str, shifts: dict[tuple[str, int], float]) -> tuple[list[tuple[str, int, int]], list[tuple]]:
     """Base spans sorted by start, then kind as listed; tested tokens that overlap none of them included."""
     base = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     base += [("access", m.start(), m.end()) for m in ACCESS.finditer(text)]
@@ -113,22 +137,38 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple]]:
     tested = []
     for m in LONG.finditer(text):
         if kind := encoding(m[0]):
-            p_random, p_text = battery(m[0], kind)
+            p_random, p_text = battery(m[0], kind, shifts)
             n = m.end() - m.start()
             tested.append((m.start(), m.end(), kind, sum(n >= s for s in STRATA), p_random, min(LAST, int(-math.log10(max(p_text, 1e-300)) / BIN))))
     return base, tested
 
 
+def characters(docs: DataFrame, text: str = "text") -> list[int]:
+    """How often each of the first 128 characters stands in all texts, long tokens left out: they may be random."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(256, np.int64)
+        for batch in pieces(batches, 0):
+            total += np.bincount(np.frombuffer(LONG.sub("", " ".join(batch.column(0).drop_null().to_pylist())).encode(), np.uint8), minlength=256)
+        yield pa.RecordBatch.from_arrays([pa.array(range(128), pa.int32()), pa.array(total[:128])], names=["c", "n"])
+
+    out = [0] * 128
+    for r in docs.select(text).mapInArrow(run, "c int, n bigint").groupBy("c").agg(F.sum("n").alias("n")).collect():  # 128 rows
+        out[r.c] = r.n
+    return out
+
+
 def tested(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``secret_base`` and ``secret_tested`` (all candidates with their p-values)."""
+    shifts = text_shifts(characters(docs, text))
     docs = clear(docs, "secret_base", "secret_tested", "secret_more")
     at = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField("secret_base", FOUND), T.StructField("secret_tested", TESTED)])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [scan(t or "") for t in batch.column(at).to_pylist()]
+        for batch in pieces(batches, at):
+            got = [scan(t or "", shifts) for t in batch.column(at).to_pylist()]
             base = pa.array([[{"kind": k, "s": s, "e": e} for k, s, e in b] for b, _ in got], _FOUND)
             more = pa.array([[dict(zip(("s", "e", "encoding", "stratum", "p_random", "bin"), x, strict=True)) for x in t] for _, t in got], _TESTED)
             yield pa.RecordBatch.from_arrays([*batch.columns, base, more], names=names)
