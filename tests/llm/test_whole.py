@@ -4,10 +4,11 @@ import collections
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vectorloom.llm import chroma_audio, langid_kn, para_minhash, pii_boost, quality_mcd, secret_random
+from vectorloom.llm import chroma_audio, langid_kn, para_minhash, pii_boost, quality_mcd, queries, secret_random, vector_pack
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -265,3 +266,37 @@ def test_random_tokens_of_every_alphabet_are_found_and_text_is_not(spark):
     # Base 32, and letters alone, tell themselves from text only in longer tokens.
     assert all(found[name, n] >= least for name in alphabets if name not in ("base32", "letters") for n, least in ((32, 12), (48, 18))) and found["letters", 48] >= 15, found
     assert sum(bool(got[i]) for i in got if 10_000 <= i < 20_000) <= 0.03 * sum(found.values())
+
+
+@pytest.mark.parametrize("limits", [vector_pack.CHAT, (64, 2, 20)])
+def test_conversations_keep_three_limits(spark, limits):
+    import public_tokenizers as P
+
+    path = P.path("byte_bpe_50k.json")
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").unionByName(spark.createDataFrame([(None, 0, "assistant", "of no conversation"), (9000, 0, None, None), (9000, 1, "assistant", ""), (9001, 0, "user", "word " * 5000), (9001, 1, "assistant", "answer " * 3000)], "conv_id long, turn long, role string, text string"))
+    encode = vector_pack.encoder(path)
+    want = {(r.conv_id, r.turn): (len(encode(r.text or "")) + 1, r.role == "assistant") for r in turns.collect()}
+    got = vector_pack.pack_conversations(turns, path, limits=limits).collect()
+    by, seq = collections.defaultdict(list), collections.defaultdict(list)
+    for r in got:
+        by[r.conv_id, r.turn].append(r)
+        seq[r.sequence_id].append(r)
+    assert set(by) == set(want)
+    for k, rows in by.items():
+        rows.sort(key=lambda r: r.start)
+        n, bears = want[k]
+        assert [r.start for r in rows] == [sum(x.length for x in rows[:i]) for i in range(len(rows))] and sum(r.length for r in rows) == n
+        assert all(r.bears == bears for r in rows)
+        assert len(rows) == 1 or n > min(limits[0], limits[2] if bears else limits[0])
+    for rows in seq.values():
+        rows.sort(key=lambda r: r.offset)
+        assert [r.offset for r in rows] == [sum(x.length for x in rows[:i]) for i in range(len(rows))]
+        assert sum(r.length for r in rows) <= limits[0] and len({r.run for r in rows}) <= limits[1] and sum(r.length for r in rows if r.bears) <= limits[2]
+    assert vector_pack.pack_conversations(turns.where("false"), path).count() == 0
+
+
+def test_packed_conversations_of_the_table_leave_little_room(spark):
+    got = queries.op10_chat_pack(spark, "/root/testdata/sf0.01")
+    per = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.sum(F.when(F.col("bears"), F.col("length")).otherwise(0)).alias("loss"), (F.max("run") + 1).alias("runs")).collect()
+    full = [max(r.n / vector_pack.CHAT[0], r.loss / vector_pack.CHAT[2], r.runs / vector_pack.CHAT[1]) for r in per]
+    assert np.mean(full) > 0.8

@@ -8,6 +8,10 @@ Examples are packed within pools of at most ``POOL`` neighbours of one task, so
 proportion to the input, no row is shuffled, and a lost task is simply run again with the same result.
 What a pool leaves is cut into sequences whose lengths are powers of two, so that nothing is padded.
 
+``pack_conversations`` has three limits that differ: tokens, runs of turns and the tokens of the answers, which alone bear
+loss. A conversation that fits is one run; a longer one is split between turns, and a turn is cut only where it
+exceeds a limit by itself, so that every piece bears loss throughout or not at all.
+
 Defined results: null text is empty text (one id, the end mark); empty tables give empty tables; repeated
 rows are packed each; texts of any length are cut; other columns don't take part.
 """
@@ -22,6 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import pieces
 
 TOKENS, SEGMENTS, LOSS = 2048, 512, 2048
 END = 1
@@ -143,7 +150,7 @@ def pack_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         task, used = TaskContext.get().partitionId(), 0
-        for whole in batches:
+        for whole in pieces(batches, 1, 16 << 20):
             for lo in range(0, whole.num_rows, POOL):
                 batch = whole.slice(lo, POOL)
                 keys = batch.column(0).to_pylist()
@@ -176,3 +183,76 @@ def pack_examples(examples: DataFrame, key: str, tokens: str, loss: str, limits:
                 used += 1 + max((r[3] for r in rows), default=-1)
 
     return examples.select(key, tokens, loss).mapInArrow(run, f"{key} {kind}, length bigint, sequence_id bigint, offset bigint")
+
+
+#: Limits of instruction data: tokens, runs of turns and loss-bearing tokens of a sequence; turns of a conversation that may share a run.
+CHAT, BEARS, TOGETHER = (2048, 6, 1024), "assistant", 64
+CHAT_SCHEMA = "turn bigint, start bigint, length bigint, bears boolean, run bigint, sequence_id bigint, offset bigint"
+
+Turn = tuple[object, int, int, int, bool]  # conversation, turn, start, length, bears loss
+
+
+def runs(turns: Iterator[tuple[object, object, int, int, bool]], limits: tuple[int, int, int]) -> Iterator[list[Turn]]:
+    """Runs within the limits from (conversation, group, turn, tokens, bears) in order."""
+    most, _, bearing = limits
+    run: list[Turn] = []
+    size, loss, last = 0, 0, None
+    for key, group, turn, n, bears in turns:
+        start, now = 0, (key, group)
+        while n:
+            fits = now == last and n <= most - size and (not bears or n <= bearing - loss)
+            if run and not fits:
+                yield run
+                run, size, loss = [], 0, 0
+            last = now
+            take = min(n, most - size, bearing - loss if bears else n)
+            run.append((key, turn, start, take, bears))
+            size, loss, start, n = size + take, loss + take * bears, start + take, n - take
+    if run:
+        yield run
+
+
+def pack_conversations(turns: DataFrame, path: str, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", limits: tuple[int, int, int] = CHAT) -> DataFrame:
+    """Pieces of all turns: ids of each turn's text and the end mark; those of answers bear loss. ``run`` counts within a sequence.
+
+    Turns come together by conversation and groups of ``TOGETHER`` turns: a conversation of any length is no task by itself.
+    """
+    kind = dict(turns.dtypes)[key]
+    rows = turns.select(F.col(key).alias("k"), F.col(turn).cast("bigint").alias("t"), F.coalesce(F.col(role) == BEARS, F.lit(False)).alias("b"), F.col(text).alias("x")).withColumn("g", F.floor(F.col("t") / TOGETHER))
+    dealt = rows.repartition("k", "g").sortWithinPartitions("k", "g", "t", "b", "x")
+    names = [key, *(x.split()[0] for x in CHAT_SCHEMA.split(", "))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, task, used = encoder(path), TaskContext.get().partitionId(), 0
+
+        def measured() -> Iterator[tuple[object, object, int, int, bool]]:
+            for batch in pieces(batches, 3):
+                for k, t, b, x, g in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    yield k, g, t, len(encode(x or "")) + 1, b
+
+        def placed(pool: list[list[Turn]]) -> pa.RecordBatch:
+            nonlocal used
+            size = [sum(p[3] for p in r) for r in pool]
+            share = [sum(p[3] for p in r if p[4]) / n for r, n in zip(pool, size, strict=True)]
+            out: list[list] = [[] for _ in names]
+            count: dict[int, int] = {}
+            for i, _, _, q, at in pack(size, share, limits, cut=False, powers=False):
+                number = count[q] = count.get(q, -1) + 1
+                for k, t, s, n, b in pool[i]:
+                    for column, value in zip(out, (k, t, s, n, b, number, (task << 32) + used + q, at), strict=True):
+                        column.append(value)
+                    at += n
+            used += 1 + max(count, default=-1)
+            types = [pa.int64()] * 3 + [pa.bool_()] + [pa.int64()] * 3
+            return pa.RecordBatch.from_arrays([pa.array(out[0], of), *(pa.array(c, x) for c, x in zip(out[1:], types, strict=True))], names=names)
+
+        of, pool = pa.int64() if kind == "bigint" else None, []
+        for r in runs(measured(), limits):
+            pool.append(r)
+            if len(pool) == POOL:
+                yield placed(pool)
+                pool = []
+        if pool:
+            yield placed(pool)
+
+    return dealt.mapInArrow(run, f"{key} {kind}, {CHAT_SCHEMA}")
