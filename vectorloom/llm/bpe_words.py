@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import blocks
-from .common import shuffle_parts
+from .common import block_count
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
@@ -73,7 +73,7 @@ def digest(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
 
 def _run(docs: DataFrame, path: str, key: str, text: str, digest: bool) -> DataFrame:
-    parts = shuffle_parts(docs.sparkSession)
+    parts = block_count(docs, text)
     kind = dict(docs.dtypes)[key]
     packed = blocks.blocked(docs, key, text, parts)
 

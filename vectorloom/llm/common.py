@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Spark writes array literals of this type into plans; wider constants are kept out of expressions.
 SPACES = " \t\n\x0b\f\r"
@@ -65,6 +66,12 @@ def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def block_count(docs: DataFrame, text: str, most: int = 64 << 20) -> int:
+    """Blocks of at most about ``most`` bytes of text: the shuffle partitions, or more where these would be too few."""
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(shuffle_parts(docs.sparkSession), -(-total // most))
+
+
 def release() -> None:
     """Give memory that a worker no longer uses back to the machine: workers are kept between tasks."""
     pa.default_memory_pool().release_unused()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import blocks
-from .common import shuffle_parts
+from .common import block_count
 from .sigtree_join import mix
 
 WINDOW = 50
@@ -219,7 +219,7 @@ def _answer_dictionary(table: pa.Table) -> pa.Table:
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", output: str = "digest") -> DataFrame:
     """Per document what is removed. ``output``: "digest" (counts and a hash) or "kept" (the remaining bytes)."""
-    parts = shuffle_parts(docs.sparkSession)
+    parts = block_count(docs, text)
     kind = dict(docs.dtypes)[key]
     packed = blocks.blocked(docs, key, text, parts)
 
