@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import blocks
-from .common import block_count
+from .common import block_count, freed
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
@@ -73,9 +73,9 @@ def digest(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
 
 def _run(docs: DataFrame, path: str, key: str, text: str, digest: bool) -> DataFrame:
-    parts = block_count(docs, text)
+    count, parts = block_count(docs, text)
     kind = dict(docs.dtypes)[key]
-    packed = blocks.blocked(docs, key, text, parts)
+    packed = blocks.blocked(docs, key, text, count)
 
     def ask(table: pa.Table) -> pa.Table:
         find = _pattern().findall
@@ -125,10 +125,10 @@ def _run(docs: DataFrame, path: str, key: str, text: str, digest: bool) -> DataF
         back = [hashlib.sha256(b"".join(map(table, np.frombuffer(r, "<u4").tolist()))).hexdigest() for r in rows]
         return pa.table({key: keys, "n_tokens": pa.array([len(r) // 4 for r in rows], pa.int64()), "ids_sha256": [hashlib.sha256(r).hexdigest() for r in rows], "decoded_sha256": back})
 
-    requests = packed.groupBy("block").applyInArrow(ask, blocks.REQUESTS)
-    replies = requests.groupBy("bucket").applyInArrow(encode, blocks.REQUESTS)
+    requests = packed.groupBy("block").applyInArrow(freed(ask), blocks.REQUESTS)
+    replies = requests.groupBy("bucket").applyInArrow(freed(encode), blocks.REQUESTS)
     schema = f"{key} {kind}, " + ("n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest else "ids binary")
-    return packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(build, schema)
+    return packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(freed(build), schema)
 
 
 def decoded(ids: DataFrame, path: str, column: str = "ids") -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,10 +67,27 @@ def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def block_count(docs: DataFrame, text: str, most: int = 64 << 20) -> int:
-    """Blocks of at most about ``most`` bytes of text: the shuffle partitions, or more where these would be too few."""
+def block_count(docs: DataFrame, text: str, most: int = 16 << 20) -> tuple[int, int]:
+    """(blocks of at most about ``most`` bytes of text, buckets): the shuffle partitions, or more where these would be too few.
+
+    A bucket serves what four blocks ask for, so that there are fewer messages than pairs of blocks.
+    """
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(shuffle_parts(docs.sparkSession), -(-total // most))
+    parts = shuffle_parts(docs.sparkSession)
+    return max(parts, -(-total // most)), max(parts, -(-total // (4 * most)))
+
+
+def freed(f: Callable) -> Callable:
+    """``f``, after which a worker's memory goes back to the machine."""
+
+    @functools.wraps(f)
+    def run(*tables):
+        try:
+            return f(*tables)
+        finally:
+            release()
+
+    return run
 
 
 def release() -> None:

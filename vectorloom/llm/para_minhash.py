@@ -1,9 +1,9 @@
 """Repeated passages by paragraph MinHash banding.
 
 Paragraphs are the lines of a text with at least ``MIN_WORDS`` words. Equal paragraphs are one node (a hash
-of their words in order). Band keys of MinHash values connect colliding nodes; within what they connect,
-exact Jaccard similarity of whole shingle sets decides (a signature tree walks the group); components of
-the surviving links are classes. Of each class the first occurrence, by document and position, stays; all
+of their words in order). Band keys of MinHash values bring colliding nodes together; exact Jaccard similarity of
+whole shingle sets decides every pair that shares a key (or a path of links, or a bound, see ``sigtree_join.connected``);
+components of the links are classes. Of each class the first occurrence, by document and position, stays; all
 others are removed.
 
 Lines say nothing of a passage inside a longer line or wrapped over short ones. There the paragraphs are all windows
@@ -12,7 +12,7 @@ as many words), so equal windows collide; only windows whose key stands in two d
 decides. ``dedup_runs`` removes every word of a window that a document of a smaller id holds.
 
 ``tuned`` picks the number of bands from the recall asked for at the threshold. Only keys and hashes are
-shuffled, a node of a task once a band; a paragraph that a third of all documents hold is one node.
+shuffled, a node of a piece once a band; a paragraph that a third of all documents hold is one node.
 
 Defined results: null text has no paragraphs; null ids take no part and are kept as they are; rows that
 repeat an id count as one document; empty tables give empty tables; other columns pass through.
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import blocks
-from .common import clear, cut, pieces, shuffle_parts
-from .components import components
-from .sigtree_join import CHUNK, mix, of_words, verified
+from .common import clear, cut, discard, pieces
+from .sigtree_join import FILTER, among, asked, colliding, connected, mix, of_words
 
 WORDS = 5
 PERCENT = 80
@@ -108,120 +106,59 @@ def minhash(h: np.ndarray, of: np.ndarray, n: int, bands: int, rows: int, words:
     return keys
 
 
-def stars(rows: DataFrame, parts: int) -> DataFrame:
-    """``(a, b)``: edges that connect all nodes with an equal key. ``rows``: (node bigint, keys binary of 64-bit values).
-
-    Nodes of a task that equal keys connect are one from there on: one edge each to their least node, which
-    alone goes on, once per key. A bucket connects what its keys join in the same way.
-    """
-    asks = "bucket int, keys binary, nodes binary"
-
-    def local(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(distinct nodes, the least node each is connected to)."""
-        names, at = np.unique(nodes, return_inverse=True)
-        order = np.lexsort((at, keys))
-        keys, at = keys[order], at[order]
-        first = np.ones(len(keys), bool)
-        first[1:] = keys[1:] != keys[:-1]
-        hub = at[first][np.cumsum(first) - 1]
-        far = hub != at
-        return names, names[roots(len(names), hub[far], at[far])]
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blobs = batch.column(1).to_pylist()
-            size = np.array([len(b) // 8 if b else 0 for b in blobs])
-            keys = np.frombuffer(b"".join(b for b in blobs if b), np.uint64)
-            names, root = local(keys, nodes := np.repeat(np.asarray(batch.column(0)), size))
-            nodes = root[np.searchsorted(names, nodes)]
-            order = np.lexsort((nodes, keys))
-            keys, nodes = keys[order], nodes[order]
-            new = np.ones(len(keys), bool)
-            new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
-            keys, nodes = keys[new], nodes[new]
-            bucket = (mix(keys) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            at, first = np.unique(bucket[order], return_index=True)
-            pieces = [(int(k), keys[i].tobytes(), nodes[i].tobytes()) for k, i in zip(at, np.split(order, first[1:]), strict=True)] if len(order) else []
-            # Edges found here travel as messages too, spread by their root.
-            far = root != names
-            for k in np.unique(root[far] % parts):
-                use = far & (root % parts == k)
-                pieces.append((int(k), root[use].tobytes(), b"e" + names[use].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pieces], pa.int32()), pa.array([blocks.squeeze(p[1]) for p in pieces], pa.binary()), pa.array([blocks.squeeze(p[2]) for p in pieces], pa.binary())], names=["bucket", "keys", "nodes"])
-
-    def meet(table: pa.Table) -> pa.Table:
-        keys, nodes, edges = [], [], []
-        for k, n in zip(table.column("keys").to_pylist(), table.column("nodes").to_pylist(), strict=True):
-            k, n = blocks.loosen(k), blocks.loosen(n)
-            if len(n) == len(k):
-                keys.append(np.frombuffer(k, np.uint64))
-                nodes.append(np.frombuffer(n, np.int64))
-            else:
-                edges.append((np.frombuffer(k, np.int64), np.frombuffer(n, np.int64, offset=1)))
-        if keys:
-            names, root = local(np.concatenate(keys), np.concatenate(nodes))
-            edges.append((root[root != names], names[root != names]))
-        return pa.table({"a": pa.array(np.concatenate([e[0] for e in edges]), pa.int64()), "b": pa.array(np.concatenate([e[1] for e in edges]), pa.int64())})
-
-    return rows.mapInArrow(send, asks).groupBy("bucket").applyInArrow(meet, "a bigint, b bigint")
-
-
-def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least node each of n nodes is connected to by edges a-b."""
-    label = np.arange(n)
-    while len(a):
-        la, lb = label[a], label[b]
-        open_ = la != lb
-        if not open_.any():
-            break
-        a, b, la, lb = a[open_], b[open_], la[open_], lb[open_]
-        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
-        while (label[label] != label).any():
-            label = label[label]
-    return label
-
-
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, least: int = MIN_WORDS, words: int = WORDS, recall: float = RECALL) -> DataFrame:
     """``(key, place, node, cls)`` of every paragraph with enough words; cls is the smallest node of its class."""
-    parts = shuffle_parts(docs.sparkSession)
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     bands, deep = tuned(percent, recall)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
             _, _, node, h, of, _ = paragraphs(batch.column(1), least)
-            only, first = np.unique(node, return_index=True)
+            _, first = np.unique(node, return_index=True)
+            first = np.sort(first)
             use = np.isin(of, first)
             rank = np.full(len(node), -1)
-            rank[np.sort(first)] = np.arange(len(first))
+            rank[first] = np.arange(len(first))
             keys = minhash(h[use], rank[of[use]], len(first), bands, deep, words) if len(first) else np.zeros((0, bands), np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(node[np.sort(first)], pa.int64()), pa.array([k.tobytes() for k in keys], pa.binary())], names=["node", "keys"])
+            n = np.bincount(rank[of[use]], minlength=len(first))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(node[first], bands), pa.int64()), pa.array(np.repeat(n, bands), pa.int32())], names=["k", "node", "n"])
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
             row, place, node, *_ = paragraphs(batch.column(1), least)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(place, pa.int32()), pa.array(node, pa.int64())], names=["k", "place", "node"])
 
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1):
-            _, _, node, _, _, line = paragraphs(batch.column(1), least)
-            only, first = np.unique(node, return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(only, pa.int64()), line.take(pa.array(first))], names=["node", "line"])
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 3):
-            row, _, _, h, of, _ = paragraphs(batch.column(3), 0)
-            s, at = of_words(h, row[of], batch.num_rows, words)
-            items = [np.unique(x).tobytes() for x in np.split(s[np.argsort(at, kind="stable")], np.searchsorted(np.sort(at), np.arange(1, batch.num_rows)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(items, pa.binary())], names=["node", "cluster", "chunks", "items"])
-
-    found = components(stars(rows.mapInArrow(keyed, "node bigint, keys binary"), parts))
-    size = found.groupBy("label").agg(F.count("*").alias("count"))
-    groups = cut(found.join(size, "label").select("node", F.col("label").alias("cluster"), F.ceil(F.col("count") / CHUNK).alias("chunks")), "groups")
-    texts = rows.mapInArrow(lines, "node bigint, line string").join(groups.hint("merge"), "node").groupBy("node", "cluster", "chunks").agg(F.min("line").alias("line"))
-    links = cut(verified(texts.mapInArrow(measure, "node bigint, cluster bigint, chunks bigint, items binary"), percent), "verified")
-    final = components(links)
+    def fetch(want: DataFrame, form: Callable[[np.ndarray], bytes]) -> DataFrame:
+        """The shingle sets of the wanted lines; those that nobody wants stay where they are."""
+        shared = docs.sparkSession.sparkContext.broadcast(asked(want, F.pmod("node", F.lit(FILTER)) + 1))
+
+        def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in pieces(batches, 1):
+                _, _, node, _, _, line = paragraphs(batch.column(1), least)
+                only, first = np.unique(node, return_index=True)
+                use = among(shared.value, only % FILTER)
+                yield pa.RecordBatch.from_arrays([pa.array(only[use], pa.int64()), line.take(pa.array(first[use]))], names=["node", "line"])
+
+        kind = [(c, t) for c, t in want.dtypes if c != "node"]
+        names = ["node", *(c for c, _ in kind)]
+
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at = len(names)
+            for batch in pieces(batches, at):
+                row, _, _, h, of, _ = paragraphs(batch.column(at), 0)
+                s, where = of_words(h, row[of], batch.num_rows, words)
+                s = s[np.argsort(where, kind="stable")]
+                sets = np.split(s, np.searchsorted(np.sort(where), np.arange(1, batch.num_rows)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array([form(np.unique(x)) for x in sets], pa.binary())], names=[*names, "items"])
+
+        one = rows.mapInArrow(lines, "node bigint, line string").groupBy("node").agg(F.min("line").alias("line"))
+        return one.join(want.hint("merge"), "node").select(*names, "line").mapInArrow(measure, ", ".join(["node bigint", *(f"{c} {t}" for c, t in kind), "items binary"]))
+
+    banded = cut(rows.mapInArrow(keyed, "k bigint, node bigint, n int"), "bands")
+    hits = cut(colliding(banded).withColumn("p", F.lit(bands)), "hits")
+    discard(banded)
+    final = connected(hits, fetch, percent)
+    discard(hits)
     return rows.mapInArrow(placed, "k bigint, place int, node bigint").join(final.hint("merge"), "node", "left").select(F.col("k").alias(key), "place", "node", F.coalesce("label", "node").alias("cls"))
 
 

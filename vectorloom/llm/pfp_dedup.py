@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import blocks
-from .common import block_count
+from .common import block_count, freed
 from .sigtree_join import mix
 
 WINDOW = 50
@@ -219,9 +219,9 @@ def _answer_dictionary(table: pa.Table) -> pa.Table:
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", output: str = "digest") -> DataFrame:
     """Per document what is removed. ``output``: "digest" (counts and a hash) or "kept" (the remaining bytes)."""
-    parts = block_count(docs, text)
+    count, parts = block_count(docs, text)
     kind = dict(docs.dtypes)[key]
-    packed = blocks.blocked(docs, key, text, parts)
+    packed = blocks.blocked(docs, key, text, count)
 
     def ask_parse(table: pa.Table) -> pa.Table:
         b = Block(table.column("blob").to_pylist(), parts)
@@ -285,7 +285,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", output: str
             return pa.table({key: b.ids, "kept": pa.array(kept, pa.binary())})
         return pa.table({key: b.ids, "n_bytes": pa.array([len(t) for t in b.texts], pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept]})
 
-    first = packed.groupBy("block").applyInArrow(ask_parse, MESSAGE).groupBy("bucket").applyInArrow(_answer_parse, MESSAGE)
-    second = packed.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(ask_dictionary, MESSAGE).groupBy("bucket").applyInArrow(_answer_dictionary, MESSAGE)
+    first = packed.groupBy("block").applyInArrow(freed(ask_parse), MESSAGE).groupBy("bucket").applyInArrow(freed(_answer_parse), MESSAGE)
+    second = packed.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(freed(ask_dictionary), MESSAGE).groupBy("bucket").applyInArrow(freed(_answer_dictionary), MESSAGE)
     schema = f"{key} {kind}, " + ("kept binary" if output == "kept" else "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
-    return packed.groupBy("block").cogroup(second.groupBy("block")).applyInArrow(build, schema)
+    return packed.groupBy("block").cogroup(second.groupBy("block")).applyInArrow(freed(build), schema)

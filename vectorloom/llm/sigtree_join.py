@@ -356,7 +356,7 @@ def routed(docs: DataFrame, key: str, text: str, words: int, percent: int, rare:
 
 
 def fitting(hits: DataFrame, percent: int) -> DataFrame:
-    """``(k, node, p)`` of (k, node, n, rank): without the sets of a token that fit no other of its sets. ``p``: tokens that route the set.
+    """``(k, node, n, p)`` of (k, node, n, rank): without the sets of a token that fit no other of its sets. ``p``: tokens that route the set.
 
     If the token is the first that two sets share, the tokens from it on must suffice for a link in either.
     """
@@ -381,9 +381,29 @@ def fitting(hits: DataFrame, percent: int) -> DataFrame:
                     keep[at] = fits.any(2)
             k = np.repeat(np.asarray(batch.column(0)), sizes)
             p = n - (percent * n + 99) // 100 + 1
-            yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(node[keep]), pa.array(p[keep], pa.int32())], names=["k", "node", "p"])
+            yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(node[keep]), pa.array(n[keep], pa.int32()), pa.array(p[keep], pa.int32())], names=["k", "node", "n", "p"])
 
-    return few.mapInArrow(run, "k bigint, node bigint, p int").unionByName(counted.where(F.col("c") > LIST).select("k", "node", own))
+    return few.mapInArrow(run, "k bigint, node bigint, n int, p int").unionByName(counted.where(F.col("c") > LIST).select("k", "node", "n", own))
+
+
+def colliding(rows: DataFrame) -> DataFrame:
+    """The distinct rows (k, node, ...) whose k has several nodes."""
+    several = rows.groupBy("k").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("k")
+    return rows.join(several.hint("merge"), "k").repartition("k", "node").distinct()
+
+
+def asked(want: DataFrame, bit: Column) -> np.ndarray:
+    """A filter of ``FILTER`` bits, a fixed size: those of ``bit`` (1 to ``FILTER``) are set."""
+    got = want.select(bit.alias("bit")).distinct().groupBy(F.bitmap_bucket_number("bit").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("m")).collect()
+    bits = np.zeros((FILTER // (1 << 15), 1 << 12), np.uint8)
+    for r in got:
+        bits[r.b - 1] = np.frombuffer(r.m, np.uint8)
+    return bits.ravel()
+
+
+def among(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether bit ``at`` (0 to ``FILTER`` - 1) is set."""
+    return (bits[at >> 3] >> (at & 7)) & 1 == 1
 
 
 def fetched(docs: DataFrame, key: str, text: str, words: int, want: DataFrame, form: Callable[[np.ndarray], bytes]) -> DataFrame:
@@ -392,16 +412,11 @@ def fetched(docs: DataFrame, key: str, text: str, words: int, want: DataFrame, f
     A filter of fixed size lets documents that nobody wants stay where they are.
     """
     bit = F.pmod(F.xxhash64(F.col("rep")), F.lit(FILTER)) + 1
-    got = want.select("rep").distinct().groupBy(F.bitmap_bucket_number(bit).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("m")).collect()  # of FILTER bits together
-    bits = np.zeros((FILTER // (1 << 15), 1 << 12), np.uint8)
-    for r in got:
-        bits[r.b - 1] = np.frombuffer(r.m, np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bits.ravel())
+    shared = docs.sparkSession.sparkContext.broadcast(asked(want, bit))
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.asarray(batch.column(2)) - 1
-            yield batch.filter(pa.array((shared.value[at >> 3] >> (at & 7)) & 1 == 1)).select(["rep", "t"])
+            yield batch.filter(pa.array(among(shared.value, np.asarray(batch.column(2)) - 1))).select(["rep", "t"])
 
     kind = [(c, t) for c, t in want.dtypes if c != "rep"]
     schema = ", ".join(f"{c} {t}" for c, t in kind) + ", items binary"
@@ -444,11 +459,10 @@ def _candidates(groups: DataFrame, percent: int) -> DataFrame:
 
 
 def _open(hits: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """``(k, node, p, label, c)``: of the tokens whose sets lie in different components."""
-    named = hits.withColumn("label", F.col("node")) if labels is None else hits.join(labels.hint("merge"), "node", "left").select("k", "node", "p", F.coalesce("label", "node").alias("label"))
-    named = named if labels is None else cut(named, "labelled")
+    """``hits`` (k, node, n, p) with ``label`` and the count ``c`` of its k: of the keys whose sets lie in different components."""
+    named = hits.withColumn("label", F.col("node")) if labels is None else cut(hits.join(labels.hint("merge"), "node", "left").select("k", "node", "n", "p", F.coalesce("label", "node").alias("label")), "labelled")
     several = named.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).where("lo < hi")
-    out = cut(named.join(several.select("k", "c").hint("merge"), "k").select("k", "node", "p", "label", "c"), "open")
+    out = cut(named.join(several.select("k", "c").hint("merge"), "k").select("k", "node", "n", "p", "label", "c"), "open")
     if labels is not None:
         discard(named)
     return out
@@ -459,20 +473,22 @@ def _chunks(n: Column) -> Column:
     return F.ceil(F.sum(n + F.lit(ELEMENTS / CHUNK)) / ELEMENTS)
 
 
-def _hubs(open_: DataFrame, nodes: DataFrame, percent: int, turn: int) -> DataFrame:
-    """``(rep, node, side, cluster, i, j)``: trees of a hub and sets that share a good part of their tokens with it."""
+def _hubs(open_: DataFrame, turn: int) -> DataFrame:
+    """``(node, side, cluster, i, j)``: trees of a hub and sets that share a good part of their keys with it."""
     first = F.min(F.struct((F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).alias("o"), F.col("node").alias("hub"), F.col("label").alias("of"))).alias("h")
     hub = open_.groupBy("k").agg(first).select("k", "h.hub", "h.of")
-    near = open_.join(hub.hint("merge"), "k").where("of <> label").groupBy("hub", "node").agg(F.count("*").alias("c"), F.min("p").alias("p")).where(F.col("c") * SHARE >= F.col("p"))
-    best = cut(near.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("b"), F.min("p").alias("p")).select("node", F.col("b.hub").alias("cluster"), "p"), "hubs")
-    size = best.groupBy("cluster").agg(_chunks(F.col("p") * F.lit(100.0 / (100 - percent))).cast("int").alias("chunks"))
+    near = open_.join(hub.hint("merge"), "k").where("of <> label").groupBy("hub", "node").agg(F.count("*").alias("c"), F.min("p").alias("p"), F.min("n").alias("n")).where(F.col("c") * SHARE >= F.col("p"))
+    best = cut(near.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("b"), F.min("n").alias("n")).select("node", F.col("b.hub").alias("cluster"), "n"), "hubs")
+    size = best.groupBy("cluster").agg(_chunks(F.col("n")).cast("int").alias("chunks"))
     member = best.join(size.hint("merge"), "cluster").select("node", "cluster", F.pmod(F.xxhash64("node", F.lit(turn)), F.col("chunks")).cast("int").alias("i"))
     lead = size.select(F.col("cluster").alias("node"), "cluster", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"))
-    return cut(member.unionByName(lead).join(nodes.select("node", "rep").hint("merge"), "node").select("rep", "node", F.lit(0).alias("side"), "cluster", "i", F.col("i").alias("j")), "groups")
+    out = cut(member.unionByName(lead).select("node", F.lit(0).alias("side"), "cluster", "i", F.col("i").alias("j")), "groups")
+    discard(best)
+    return out
 
 
 def _lists(open_: DataFrame) -> DataFrame:
-    """``(cluster, i, j, side, node, label)``: the sets of each open token; equal lists of sets once, long ones as pairs of chunks."""
+    """``(cluster, i, j, side, node, label)``: the sets of each open key; equal lists of sets once, long ones as pairs of chunks."""
     few = open_.where(F.col("c") <= LIST).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("node", "label"))).alias("all"))
     once = few.groupBy(F.xxhash64("all").alias("cluster")).agg(F.first("all").alias("all")).select("cluster", F.explode("all").alias("x"))
     one = once.select("cluster", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "x.node", "x.label")
@@ -480,40 +496,55 @@ def _lists(open_: DataFrame) -> DataFrame:
     return one.unionByName(many.select("*", *_paired()).select("cluster", "p.i", "p.j", "side", "node", "label"))
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``(key, n_shingles, component_id)``: the smallest id reachable by links of at least ``percent`` similarity."""
-    docs = docs.select(key, text)
-    table = cut(profile(docs, key, text, words), "sets")
-    rows = table.where("slot is null").select(key, "n", "node")
-    nodes = cut(rows.where(F.col(key).isNotNull() & (F.col("n") > 0)).groupBy("node").agg(F.min(F.col(key).cast("long")).alias("rep"), F.first("n").alias("n")), "nodes")
-    routing = cut(routed(docs, key, text, words, percent, rarity(table.where("slot is not null").select("slot", "part", "counts"))), "routes")
-    several = routing.groupBy("k").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("k")
-    shared = cut(routing.join(several.hint("merge"), "k").repartition("k", "node").distinct(), "shared")
-    hits = cut(fitting(shared, percent), "hits")
-    discard(routing, shared)
+def connected(hits: DataFrame, fetch: Callable[[DataFrame, Callable[[np.ndarray], bytes]], DataFrame], percent: int) -> DataFrame:
+    """``(node, label)`` of the sets that link with others: the components of all links between sets that share a key.
+
+    ``hits``: (k, node, n, p), a written table of the keys k that several sets have, with the tokens n and the keys p of
+    a set. ``fetch`` gives a table with a column ``node`` the ``items`` of its sets, in the form it is told.
+    """
     whole = lambda s: s.tobytes()
+    short = lambda s: np.concatenate([np.array([len(s)], np.uint64), bitmap(s, width(len(s)))]).tobytes()
     labels, open_ = None, _open(hits, None)
+
+    def merged(links: DataFrame) -> DataFrame:
+        return components(links if labels is None else links.unionByName(labels.select(F.col("label").alias("a"), F.col("node").alias("b"))))
+
     for turn in range(ROUNDS):
         if turn and open_.where(F.col("c") > CHUNK).isEmpty():
             break
-        groups = _hubs(open_, nodes, percent, turn)
-        links = trees(fetched(docs, key, text, words, groups, whole), percent)
-        found = components(links if labels is None else links.unionByName(labels.select(F.col("label").alias("a"), F.col("node").alias("b"))))
+        groups = _hubs(open_, turn)
+        if groups.isEmpty():
+            break
+        found = merged(trees(fetch(groups, whole), percent))
         discard(groups, labels, open_)
         labels, open_ = found, _open(hits, found)
-    discard(hits)
     lists = cut(_lists(open_), "lists")
-    short = lambda s: np.concatenate([np.array([len(s)], np.uint64), bitmap(s, width(len(s)))]).tobytes()
-    maps = cut(fetched(docs, key, text, words, cut(lists.select("node").distinct().join(nodes.hint("merge"), "node").select("rep", "node"), "asked"), short), "maps")
+    maps = cut(fetch(cut(lists.select("node").distinct(), "asked"), short), "maps")
     pairs = cut(_candidates(lists.join(maps.hint("merge"), "node"), percent), "pairs")
-    edges = pairs.distinct()
-    near = components(edges)
-    near = near.join(nodes.hint("merge"), "node")
+    near = components(pairs.distinct()).join(open_.groupBy("node").agg(F.min("n").alias("n")).hint("merge"), "node")
     size = near.groupBy("label").agg(_chunks(F.col("n")).alias("chunks"))
-    groups = cut(near.join(size.hint("merge"), "label").select("rep", "node", F.col("label").alias("cluster"), "chunks"), "groups")
-    links = verified(fetched(docs, key, text, words, groups, whole), percent)
-    found = components(links if labels is None else links.unionByName(labels.select(F.col("label").alias("a"), F.col("node").alias("b"))))
+    groups = cut(near.join(size.hint("merge"), "label").select("node", F.col("label").alias("cluster"), "chunks"), "groups")
+    found = merged(verified(fetch(groups, whole), percent))
     discard(lists, maps, pairs, groups, open_, labels)
+    return found
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``(key, n_shingles, component_id)``: the smallest id reachable by links of at least ``percent`` similarity."""
+    docs = docs.select(key, text)
+    table = cut(profile(docs, key, text, words), "sets")
+    rows = table.where("slot is null").select(key, "n", "node")
+    nodes = cut(rows.where(F.col(key).isNotNull() & (F.col("n") > 0)).groupBy("node").agg(F.min(F.col(key).cast("long")).alias("rep")), "nodes")
+    routing = cut(routed(docs, key, text, words, percent, rarity(table.where("slot is not null").select("slot", "part", "counts"))), "routes")
+    shared = cut(colliding(routing), "shared")
+    hits = cut(fitting(shared, percent), "hits")
+    discard(routing, shared)
+
+    def fetch(want: DataFrame, form: Callable[[np.ndarray], bytes]) -> DataFrame:
+        return fetched(docs, key, text, words, cut(want.join(nodes.hint("merge"), "node"), "want"), form)
+
+    found = connected(hits, fetch, percent)
+    discard(hits)
     named = nodes.join(found.hint("merge"), "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("least"))
     final = cut(named.join(least.hint("merge"), "label").select("node", "least"), "classes")
