@@ -117,13 +117,20 @@ def _run(docs: DataFrame, path: str, key: str, text: str, digest: bool) -> DataF
         ids: dict[str, bytes] = {}
         for i, asked in by.items():
             ids.update(zip(map(bytes.decode, sorted(asked)), _split(blocks.loosen(replies[i])), strict=True))
-        get = ids.__getitem__
-        keys, rows = whole.column("k"), [b"".join(map(get, find(t))) for t in texts]
+        keys, get = whole.column("k"), ids.__getitem__
         if not digest:
-            return pa.table({key: keys, "ids": pa.array(rows, pa.binary())})
+            return pa.table({key: keys, "ids": pa.array([b"".join(map(get, find(t))) for t in texts], pa.binary())})
+        # Ids are decoded through the token-byte table, those of each distinct pre-token once.
         table = {r: t for t, r in read_ranks(path).items()}.__getitem__
-        back = [hashlib.sha256(b"".join(map(table, np.frombuffer(r, "<u4").tolist()))).hexdigest() for r in rows]
-        return pa.table({key: keys, "n_tokens": pa.array([len(r) // 4 for r in rows], pa.int64()), "ids_sha256": [hashlib.sha256(r).hexdigest() for r in rows], "decoded_sha256": back})
+        undo = {w: b"".join(map(table, np.frombuffer(x, "<u4").tolist())) for w, x in ids.items()}.__getitem__
+        counts, forward, back = [], [], []
+        for t in texts:
+            found = find(t)
+            row = b"".join(map(get, found))
+            counts.append(len(row) // 4)
+            forward.append(hashlib.sha256(row).hexdigest())
+            back.append(hashlib.sha256(b"".join(map(undo, found))).hexdigest())
+        return pa.table({key: keys, "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": forward, "decoded_sha256": back})
 
     requests = packed.groupBy("block").applyInArrow(freed(ask), blocks.REQUESTS)
     replies = requests.groupBy("bucket").applyInArrow(freed(encode), blocks.REQUESTS)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import functools
+import inspect
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -78,16 +78,24 @@ def block_count(docs: DataFrame, text: str, most: int = 16 << 20) -> tuple[int,
 
 
 def freed(f: Callable) -> Callable:
-    """``f``, after which a worker's memory goes back to the machine."""
+    """``f`` of one table or two, after which a worker's memory goes back to the machine."""
+    if len(inspect.signature(f).parameters) == 1:
 
-    @functools.wraps(f)
-    def run(*tables):
+        def one(table: pa.Table) -> pa.Table:
+            try:
+                return f(table)
+            finally:
+                release()
+
+        return one
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
         try:
-            return f(*tables)
+            return f(left, right)
         finally:
             release()
 
-    return run
+    return two
 
 
 def release() -> None:
