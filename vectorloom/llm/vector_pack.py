@@ -18,7 +18,7 @@ rows are packed each; texts of any length are cut; other columns don't take part
 
 from __future__ import annotations
 
-import base64
+import json
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -33,7 +33,6 @@ from .common import pieces
 TOKENS, SEGMENTS, LOSS = 2048, 512, 2048
 END = 1
 POOL = 4096
-SPECIAL = "<|endoftext|>"
 
 Piece = tuple[int, int, int, int, int]  # example, start, length, sequence, offset
 
@@ -117,20 +116,37 @@ def pack(tokens: Sequence[int], loss: Sequence[float] | None = None, limits: tup
     return out
 
 
+def ranks_of(model: dict) -> dict[bytes, int] | None:
+    """Token bytes to rank of a vocabulary file's content, if it is plain byte-level BPE whose merges are in the order of their ids."""
+    own, before = model["model"], model["pre_tokenizer"] or {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+    if own.get("type") != "BPE" or not plain or model["normalizer"] or own.get("continuing_subword_prefix") or own.get("end_of_word_suffix"):
+        return None
+    # Bytes that print stand for themselves, the others for code points from 256 on.
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in prints} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in prints)}
+    if any(x not in byte for token in own["vocab"] for x in token):
+        return None
+    ranks = {bytes(byte[x] for x in token): i for token, i in own["vocab"].items()}
+    ids = [own["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m)) for m in own["merges"]]
+    return ranks if None not in ids and ids == sorted(ids) and len(ids) + 256 == len(ranks) else None
+
+
 def encoder(path: str):
-    """``text -> ids`` as the tokenizers library gives for the byte-level vocabulary file at ``path``.
+    """``text -> ids`` as the tokenizers library gives for the vocabulary file at ``path``.
 
-    The rank file of the same vocabulary beside it encodes faster; the end-of-text string in a text is
-    its special id, as the library reads it.
+    Plain byte-level BPE (by the file's content) is encoded by its ranks, which is faster; the strings of special tokens in a
+    text are their ids, as the library reads them.
     """
-    import public_tokenizers
-    import tiktoken
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)
+    if ranks := ranks_of(model):
+        import public_tokenizers
+        import tiktoken
 
-    if path.endswith(".json") and "byte_bpe_50k" in path:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path[:-4] + "tiktoken", "rb"))}
-        special = {SPECIAL: len(ranks)}
+        special = {x["content"]: x["id"] for x in model["added_tokens"]}
         own = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        return lambda text: own.encode(text, allowed_special={SPECIAL}) if SPECIAL in text else own.encode_ordinary(text)
+        return lambda text: own.encode(text, allowed_special="all") if any(x in text for x in special) else own.encode_ordinary(text)
     from tokenizers import Tokenizer
 
     other = Tokenizer.from_file(path)
