@@ -301,3 +301,14 @@ def test_any_reduction_and_colouring(spark):
     df = tables.from_numpy(spark, planted(40))
     got = layout.color_rows(df, lambda x, metric, seed: x[:, :3], lambda y, q: y.select("id", *(F.col("out")[i].alias(c) for i, c in enumerate("rgb"))), num_sample=40, knn=1)
     assert all(np.allclose([r.r, r.g, r.b], planted(40)[r.id][:3], atol=1e-6) for r in got.collect())
+
+
+def test_models_are_stored_and_loaded(spark, tmp_path):
+    df = tables.from_numpy(spark, planted(60))
+    for k, make in enumerate((lambda: NystromNCut(3, affinity_focal_gamma=0.5, sample_config=sampling.SampleConfig("random", 20)), lambda: KernelNCut(3, 64, affinity_focal_gamma=0.5))):
+        model = make()
+        model.fit_transform(df)
+        want = embedding(model.transform(df))
+        model.save(spark, f"{tmp_path}/{k}")
+        loaded = embedding(make().load(spark, f"{tmp_path}/{k}").transform(df))
+        assert np.allclose(loaded, want, atol=1e-8)

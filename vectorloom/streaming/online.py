@@ -31,7 +31,7 @@ class Online(ABC):
         return self.fit(df).transform(df)
 
     def state(self) -> dict:
-        """What must outlive the driver: all attributes but tables."""
+        """What must outlive the driver: all attributes but tables (an update of a loaded model needs its anchors set again)."""
         return {k: v for k, v in self.__dict__.items() if not isinstance(v, DataFrame)}
 
     def save(self, spark: SparkSession, path: str) -> None:
