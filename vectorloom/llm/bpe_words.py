@@ -12,8 +12,11 @@ tied ids are encoded each; whole texts are taken, of any length; other columns d
 from __future__ import annotations
 
 import base64
+import collections
 import hashlib
+import itertools
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +65,19 @@ def _join(words: list[bytes]) -> bytes:
     return len(words).to_bytes(4, "little") + np.array([len(w) for w in words], "<u4").tobytes() + b"".join(words)
 
 
+def _placed(parts: list[bytes], unit: str) -> Callable[[np.ndarray], bytes]:
+    """Numbers of parts to the parts one after the other, moved in whole items of type ``unit``."""
+    data = np.frombuffer(b"".join(parts), unit)
+    size = np.array([len(x) for x in parts], np.int64) // data.itemsize
+    start = np.cumsum(size) - size
+
+    def put(at: np.ndarray) -> bytes:
+        n = size[at]
+        return data[np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes()
+
+    return put
+
+
 def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, ids binary)``: little-endian 32-bit ids of every text; see ``digest`` for the query's columns."""
     return _run(docs, path, key, text, digest=False)
@@ -105,32 +121,30 @@ def _run(docs: DataFrame, path: str, key: str, text: str, digest: bool) -> DataF
         find = _pattern().findall
         replies = {b: r for b, r in zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), strict=True)}
         whole = blocks.take(bodies.column("blob").to_pylist())
+        # Pre-tokens by number: each text is split once, positions are kept as arrays.
+        number: dict[str, int] = collections.defaultdict(itertools.count().__next__)
+        get = number.__getitem__
+        texts = [np.fromiter(map(get, find(t)), np.uint32) for t in whole.column("t").to_pylist()]
         # The same distinct pre-tokens in the same order as asked, so that answers need no words.
-        texts = whole.column("t").to_pylist()
-        words: set[str] = set()
-        for t in texts:
-            words.update(find(t))
-        by: dict[int, list[bytes]] = {}
-        for w in map(str.encode, words):
-            by.setdefault(zlib.crc32(w) % parts, []).append(w)
-        del words
-        ids: dict[str, bytes] = {}
-        for i, asked in by.items():
-            ids.update(zip(map(bytes.decode, sorted(asked)), _split(blocks.loosen(replies[i])), strict=True))
-        keys, get = whole.column("k"), ids.__getitem__
+        by: dict[int, list[tuple[bytes, int]]] = {}
+        for w, i in number.items():
+            w = w.encode()
+            by.setdefault(zlib.crc32(w) % parts, []).append((w, i))
+        ids: list[bytes] = [b""] * len(number)
+        for bucket, asked in by.items():
+            for (_, i), x in zip(sorted(asked), _split(blocks.loosen(replies[bucket])), strict=True):
+                ids[i] = x
+        del number, by, replies
+        keys, forward = whole.column("k"), _placed(ids, "<u4")
         if not digest:
-            return pa.table({key: keys, "ids": pa.array([b"".join(map(get, find(t))) for t in texts], pa.binary())})
+            return pa.table({key: keys, "ids": pa.array([forward(t) for t in texts], pa.binary())})
         # Ids are decoded through the token-byte table, those of each distinct pre-token once.
         table = {r: t for t, r in read_ranks(path).items()}.__getitem__
-        undo = {w: b"".join(map(table, np.frombuffer(x, "<u4").tolist())) for w, x in ids.items()}.__getitem__
-        counts, forward, back = [], [], []
-        for t in texts:
-            found = find(t)
-            row = b"".join(map(get, found))
-            counts.append(len(row) // 4)
-            forward.append(hashlib.sha256(row).hexdigest())
-            back.append(hashlib.sha256(b"".join(map(undo, found))).hexdigest())
-        return pa.table({key: keys, "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": forward, "decoded_sha256": back})
+        back = _placed([b"".join(map(table, np.frombuffer(x, "<u4").tolist())) for x in ids], "u1")
+        rows = ((forward(t), back(t)) for t in texts)
+        got = [(len(a) // 4, hashlib.sha256(a).hexdigest(), hashlib.sha256(b).hexdigest()) for a, b in rows]
+        n, one, two = zip(*got, strict=True) if got else ((), (), ())
+        return pa.table({key: keys, "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(one, pa.string()), "decoded_sha256": pa.array(two, pa.string())})
 
     requests = packed.groupBy("block").applyInArrow(freed(ask), blocks.REQUESTS)
     replies = requests.groupBy("bucket").applyInArrow(freed(encode), blocks.REQUESTS)
