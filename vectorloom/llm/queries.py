@@ -72,13 +72,51 @@ def op10_chat_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_pack.pack_conversations(read_table(spark, sf_dir, "conversations"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii_boost, op2_quality_mcd, op3_pfp_dedup, op4_secret_random, op5_bpe_words, op6_langid_kn, op7_chroma_audio, op8_sigtree_join, op9_para_minhash, op10_vector_pack, op10_chat_pack)}
+def op1_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of ``op1_pii_boost`` that SQL can express."""
+    return op1_pii_boost(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def op2_base_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of ``op2_quality_mcd`` that SQL can express."""
+    return op2_quality_mcd(spark, sf_dir).drop("kept", "distance")
+
+
+def op4_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of ``op4_secret_random`` that SQL can express."""
+    return op4_secret_random(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii_boost, op2_quality_mcd, op3_pfp_dedup, op4_secret_random, op5_bpe_words, op6_langid_kn, op7_chroma_audio, op8_sigtree_join, op9_para_minhash, op10_vector_pack, op10_chat_pack, op1_base_counts, op2_base_rules, op4_base_counts)}
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "list_filter(string_split_regex(" + _LOWER + r", '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+_ANY_CASE = "|".join("".join(f"[{x.upper()}{x}]" if x.isalpha() else x for x in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+
 #: Results that follow from their contract alone, whatever the method.
 ORACLE_SQL: dict[str, str] = {
+    "op1_base_counts": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS n_email, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ip,
+  list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS card, list_transform(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g'))) AS phone FROM t)
+SELECT doc_id, n_email::BIGINT AS n_email, len(list_filter(ip, lambda x: len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) > 3 OR (length(ltrim(p, '0')) = 3 AND ltrim(p, '0') > '255'))) = 0))::BIGINT AS n_ip,
+  len(list_filter(card, lambda d: length(d) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(d, length(d) - i + 1, 1)::INT WHEN substr(d, length(d) - i + 1, 1)::INT > 4 THEN 2 * substr(d, length(d) - i + 1, 1)::INT - 9 ELSE 2 * substr(d, length(d) - i + 1, 1)::INT END)) % 10 = 0))::BIGINT AS n_card,
+  len(list_filter(phone, lambda n: n BETWEEN 8 AND 15))::BIGINT AS n_phone FROM m
+""",
+    "op2_base_rules": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+x AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) >= 3),
+y AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM x),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM y, range(0, 3) t(k) WHERE c > 1 GROUP BY doc_id),
+s AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN r USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s
+""",
+    "op4_base_counts": rf"""
+SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '({_ANY_CASE})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6))::BIGINT AS n_assign,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20))::BIGINT AS n_access, len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 24))::BIGINT AS n_hex FROM documents
+""",
     "op3_pfp_dedup": """
 WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
 win AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS w FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS p FROM b)),
