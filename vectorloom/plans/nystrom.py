@@ -9,7 +9,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..operators import linalg
 from ..operators.affinity import CELLS, DISTANCE_OF, MOST, block, sigma, sliced
