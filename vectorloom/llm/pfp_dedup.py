@@ -12,7 +12,9 @@ bytes, falls apart by trigger and is found in two levels:
 
 Phrases of a block of documents are distinct before they are shuffled and answers are a few bits a phrase,
 so a passage that a third of all documents hold costs one entry per block. The dictionary gets bytes only
-of phrases whose trigger has several. Documents reach their block once, compressed.
+of phrases whose trigger has several; their windows are sorted in slices by a hash, so that a trigger that stands in
+very many phrases costs their bytes and no arrays over all their windows. Documents reach their block once, compressed;
+what they keep is put together in runs of ``PIECE`` bytes.
 
 Defined results: null text is empty; null ids are neither removed nor cause removals; rows that repeat an
 id don't remove each other; texts below ``WINDOW`` bytes stay; empty tables give empty tables; other columns
@@ -22,6 +24,7 @@ don't take part; whole texts of any length.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,8 @@ from .sigtree_join import mix
 WINDOW = 50
 TRIGGER = 20
 REACH = WINDOW - TRIGGER + 1
-PIECE = 1 << 20  # bytes parsed at a time
+PIECE = 1 << 19  # bytes parsed, or put together, at a time
+SLICE = 1 << 16  # windows sorted at a time
 
 _B = 0xD6E8FEB86659FD93
 _INV = pow(_B, -1, 1 << 64)
@@ -58,15 +62,19 @@ class Parse:
     def __init__(self, texts: list[bytes]):
         self.size = np.array([len(t) for t in texts], np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.size)])
-        self.bytes = np.frombuffer(b"".join(texts) + bytes(8), np.uint8)
-        parts, lo = [], 0
-        while lo < len(texts):
+        self.bytes = np.frombuffer(b"".join([*texts, bytes(8)]), np.uint8)
+        parts = [self._piece(lo, hi) for lo, hi in self.runs()]
+        self.first, self.last, self.trigger, self.key, self.hash, self.doc = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 6
+
+    def runs(self) -> Iterator[tuple[int, int]]:
+        """Ranges of documents of about ``PIECE`` bytes, a longer document alone."""
+        lo = 0
+        while lo < len(self.size):
             hi = lo + 1
-            while hi < len(texts) and self.start[hi + 1] - self.start[lo] <= PIECE:
+            while hi < len(self.size) and self.start[hi + 1] - self.start[lo] <= PIECE:
                 hi += 1
-            parts.append(self._piece(lo, hi))
+            yield lo, hi
             lo = hi
-        self.first, self.last, self.trigger, self.key, self.hash, self.doc = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 6
 
     def _piece(self, lo: int, hi: int):
         a, n = int(self.start[lo]), int(self.start[hi] - self.start[lo])
@@ -100,7 +108,8 @@ class Parse:
         with np.errstate(over="ignore"):
             body = (total[last + WINDOW] - total[first]) * back[first]
             shape = ((t - first) * 128 + (last - first)).astype(np.uint64)
-            return first + a, last + a, t + a, least[first] >> np.uint64(6), mix(body + shape * np.uint64(_B)), d
+            place = np.int32 if self.start[-1] < 1 << 31 else np.int64
+            return (first + a).astype(place), (last + a).astype(place), (t + a).astype(place), least[first] >> np.uint64(6), mix(body + shape * np.uint64(_B)), d.astype(place)
 
 
 def _planes(x: np.ndarray, width: int) -> bytes:
@@ -119,26 +128,48 @@ class Block:
     def __init__(self, blobs: list[bytes], parts: int):
         table = blocks.take(blobs)
         self.ids = table.column("k")
-        self.texts = [t.encode() for t in table.column("t").to_pylist()]
+        self.texts = table.column("t").cast(pa.binary()).to_pylist()
+        del table
         known = np.asarray(self.ids.combine_chunks().is_valid())
         self.parse = x = Parse([t if k else b"" for t, k in zip(self.texts, known, strict=True)])
         self.id = np.asarray(self.ids.combine_chunks().fill_null(0)).astype(np.int64)
-        bucket = (x.key % np.uint64(parts)).astype(np.int64)
+        bucket = (x.key % np.uint64(parts)).astype(np.int32)
         short = (x.key // np.uint64(parts)) & np.uint64((1 << 48) - 1)
         code = x.hash & np.uint64((1 << 48) - 1)
         doc = self.id[x.doc]
-        order = np.lexsort((doc, code, short, bucket))
+        order = np.lexsort((doc, code, short, bucket)).astype(np.int32 if len(doc) < 1 << 31 else np.int64)
         new = np.ones(len(order), bool)
         o = order
         new[1:] = (code[o[1:]] != code[o[:-1]]) | (short[o[1:]] != short[o[:-1]]) | (bucket[o[1:]] != bucket[o[:-1]])
         self.head = order[new]  # an occurrence in the least document of each distinct phrase
-        self.of = np.empty(len(order), np.int64)
+        self.of = np.empty(len(order), order.dtype)
         self.of[order] = np.cumsum(new) - 1
         self.bucket, self.short, self.code, self.doc = bucket[self.head], short[self.head], code[self.head], doc[self.head]
         self.later = doc > self.doc[self.of]  # a smaller document of the block has the phrase
         self.buckets, first = np.unique(self.bucket, return_index=True)
         self.slices = [slice(s, e) for s, e in zip(first, np.append(first[1:], len(self.bucket))[: len(first)], strict=True)]
 
+    def covered(self, whole: np.ndarray, mask: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each document and which of its bytes go. Per distinct phrase, ``whole``: an earlier block has it; ``mask``: the windows that go, as bits."""
+        x = self.parse
+        for lo, hi in x.runs():
+            s, p = x.start[lo], slice(*np.searchsorted(x.doc, np.array([lo, hi], x.doc.dtype)))
+            first, last, of = x.first[p] - s, x.last[p] - s, self.of[p]
+            full = whole[of] | self.later[p]
+            # Starts of covered windows: +1 and -1 at the ends of the bytes they cover.
+            step = np.zeros(x.start[hi] - s + 1, np.int32)
+            np.add.at(step, first[full], 1)
+            np.add.at(step, last[full] + WINDOW, -1)
+            some = np.nonzero(~full & (mask[of] > 0))[0]
+            m = mask[of[some]]
+            for k in range(REACH):
+                at = first[some[(m >> np.uint64(k)) & np.uint64(1) > 0]] + k
+                np.add.at(step, at, 1)
+                np.add.at(step, at + WINDOW, -1)
+            goes = np.cumsum(step[:-1], dtype=np.int32) > 0
+            for i in range(lo, hi):
+                yield i, goes[x.start[i] - s : x.start[i + 1] - s]
+
 
 def _message(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([r[1] for r in rows], pa.int32()), "kind": pa.array([r[2] for r in rows], pa.int32()), "blob": pa.array([blocks.squeeze(r[3]) for r in rows], pa.binary())})
@@ -169,23 +200,69 @@ def _answer_parse(table: pa.Table) -> pa.Table:
     return _message([(b, k, 1, x.tobytes()) for b, k, x in zip(table.column("bucket").to_pylist(), table.column("block").to_pylist(), np.split(bits, cuts), strict=True)])
 
 
-def _suffix_order(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order of the windows that start at ``at``, whether each equals the one before in that order)."""
-    word = np.zeros(len(data) - 7, np.uint64)
-    for k in range(8):
-        word = (word << np.uint64(8)) | data[k : len(data) - 7 + k]
-    whole, rest = divmod(WINDOW, 8)
-    columns = [word[at + 8 * k] for k in range(whole)]
-    if rest:
-        columns.append(word[at + 8 * whole] >> np.uint64(64 - 8 * rest))
-    order = np.lexsort(columns[::-1])
-    same = np.ones(len(at), bool)
-    for c in columns:
+def _suffix_order(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the windows with these words, whether each equals the one before in that order)."""
+    order = np.lexsort(words[::-1])
+    same = np.ones(len(order), bool)
+    for c in words:
         same[1:] &= c[order[1:]] == c[order[:-1]]
     same[:1] = False
     return order, same
 
 
+def _words(data: bytes, at: np.ndarray) -> list[np.ndarray]:
+    """The bytes of the windows that start at ``at``, as big-endian words."""
+    word = np.ndarray(len(data) - 7, ">u8", data, strides=(1,))
+    whole, rest = divmod(WINDOW, 8)
+    out = [word[at + 8 * k].astype(np.uint64) for k in range(whole)]
+    if rest:
+        out.append(word[at + 8 * whole].astype(np.uint64) >> np.uint64(64 - 8 * rest))
+    return out
+
+
+def _windows(size: np.ndarray, lo: int, hi: int, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(phrase, place in it, start of its bytes) of the windows of the phrases from lo to hi."""
+    n = size[lo:hi] - (WINDOW - 1)
+    owner = np.repeat(np.arange(lo, hi), n)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    return owner, place, start[owner] + place
+
+
+def _masks(size: np.ndarray, doc: np.ndarray, data: bytes) -> np.ndarray:
+    """Per phrase the windows that a smaller document's phrase holds, as bits; phrases of ``size`` bytes follow each other in ``data``.
+
+    Equal windows have the same hash, so windows fall into slices of about ``SLICE`` by it, and each is sorted by itself.
+    """
+    start = np.cumsum(size) - size
+    upto = np.cumsum(size - (WINDOW - 1))
+    total = int(upto[-1]) if len(upto) else 0
+    slices = max(1, -(-total // SLICE))
+    cuts = [0, *(np.nonzero(np.diff(upto // SLICE))[0] + 1).tolist(), len(size)]
+    of = np.zeros(total, np.uint16 if slices < 1 << 16 else np.uint32)
+    if slices > 1:
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            *_, at = _windows(size, lo, hi, start)
+            h = np.zeros(len(at), np.uint64)
+            with np.errstate(over="ignore"):
+                for c in _words(data, at):
+                    h = mix(h * np.uint64(_B) + c)
+            of[upto[hi - 1] - len(at) : upto[hi - 1]] = h % np.uint64(slices)
+    out = np.zeros(len(size), np.uint64)
+    for k in range(slices):
+        pick = np.nonzero(of == k)[0]
+        if not len(pick):
+            continue
+        owner = np.searchsorted(upto, pick, "right")
+        place = pick - upto[owner] + size[owner] - (WINDOW - 1)
+        order, same = _suffix_order(_words(data, start[owner] + place))
+        heads = np.nonzero(~same)[0]
+        of_order = doc[owner[order]]
+        least = np.minimum.reduceat(of_order, heads)[np.cumsum(~same) - 1]
+        goes = order[least < of_order]
+        np.bitwise_or.at(out, owner[goes], np.uint64(1) << place[goes].astype(np.uint64))
+    return out
+
+
 def _answer_dictionary(table: pa.Table) -> pa.Table:
     """Forwarded messages as they are; for phrases, the windows that a smaller document holds, as bits."""
     rows, asks = [], []
@@ -198,20 +275,7 @@ def _answer_dictionary(table: pa.Table) -> pa.Table:
         asks.append((bucket, block, n, np.frombuffer(data, np.uint8, n, 8), np.frombuffer(data, "<i8", n, 8 + n), data[8 + 9 * n :]))
     if asks:
         size = np.concatenate([a[3] for a in asks]).astype(np.int64)
-        doc = np.concatenate([a[4] for a in asks])
-        data = np.frombuffer(b"".join(a[5] for a in asks) + bytes(16), np.uint8)
-        windows = size - (WINDOW - 1)
-        owner = np.repeat(np.arange(len(size)), windows)
-        begin = np.cumsum(windows) - windows
-        place = np.arange(len(owner)) - begin[owner]
-        at = (np.cumsum(size) - size)[owner] + place
-        order, same = _suffix_order(data, at)
-        group = np.cumsum(~same) - 1
-        heads = np.nonzero(~same)[0]
-        least = np.minimum.reduceat(doc[owner[order]], heads)[group]
-        covered = np.empty(len(order), bool)
-        covered[order] = least < doc[owner[order]]
-        mask = np.add.reduceat(covered.astype(np.uint64) << place.astype(np.uint64), begin)
+        mask = _masks(size, np.concatenate([a[4] for a in asks]), b"".join(a[5] for a in asks) + bytes(16))
         for (bucket, block, *_), m in zip(asks, np.split(mask, np.cumsum([a[2] for a in asks])[:-1]), strict=True):
             rows.append((bucket, block, 2, m.astype("<u4").tobytes()))
     return _message(rows)
@@ -242,7 +306,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", output: str
             rows.append((bucket, block, 1, bits[bucket]))
             use = b.head[s][np.frombuffer(bits[bucket], np.uint8) & 2 > 0]
             if len(use):
-                size = x.last[use] - x.first[use] + WINDOW
+                size = x.last[use].astype(np.int64) - x.first[use] + WINDOW
                 bytes_ = x.bytes[np.repeat(x.first[use] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
                 rows.append((bucket, block, 2, len(use).to_bytes(8, "little") + size.astype(np.uint8).tobytes() + b.id[x.doc[use]].astype("<i8").tobytes() + bytes_.tobytes()))
         return _message(rows)
@@ -261,26 +325,12 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", output: str
                 part = np.zeros(len(bits), np.uint64)
                 part[bits & 2 > 0] = np.frombuffer(got[bucket, 2], "<u4")
                 mask[s] = part
-        full = whole[b.of] | b.later
-        # Starts of covered windows: +1 and -1 at the ends of the bytes they cover.
-        step = np.zeros(len(x.bytes) + 1, np.int32)
-        np.add.at(step, x.first[full], 1)
-        np.add.at(step, x.last[full] + WINDOW, -1)
-        some = np.nonzero(~full & (mask[b.of] > 0))[0]
-        m = mask[b.of[some]]
-        for k in range(REACH):
-            at = x.first[some[(m >> np.uint64(k)) & np.uint64(1) > 0]] + k
-            np.add.at(step, at, 1)
-            np.add.at(step, at + WINDOW, -1)
-        covered = np.cumsum(step[:-1]) > 0
         removed, runs, kept = [], [], []
-        for i, t in enumerate(b.texts):
-            s, e = x.start[i], x.start[i + 1]
-            c = covered[s:e]
+        for i, c in b.covered(whole, mask):
             n = int(c.sum())
             removed.append(n)
             runs.append(int(c[0]) + int((c[1:] & ~c[:-1]).sum()) if n else 0)
-            kept.append(x.bytes[s:e][~c].tobytes() if n else t)
+            kept.append(x.bytes[x.start[i] : x.start[i + 1]][~c].tobytes() if n else b.texts[i])
         if output == "kept":
             return pa.table({key: b.ids, "kept": pa.array(kept, pa.binary())})
         return pa.table({key: b.ids, "n_bytes": pa.array([len(t) for t in b.texts], pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept]})
