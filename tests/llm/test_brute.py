@@ -378,6 +378,32 @@ def test_large_groups_are_split_into_chunks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in sigtree_join.join(df).collect()} == want
 
 
+def test_candidates_are_connected_without_all_pairs(spark):
+    draw = np.random.default_rng(6)
+    tokens = lambda n: draw.integers(0, 1 << 63, n, dtype=np.uint64)
+    n, bases = 240, [tokens(125), tokens(110)]
+    bases += [np.concatenate([bases[0], tokens(8)])]  # its bitmap is twice as wide
+    sets = [np.unique(np.concatenate([draw.choice(b := bases[i % 3], len(b) - 6, replace=False), tokens(6)])) for i in range(n)]
+    label = [k - k % 5 if k < 60 else k for k in range(n)]
+    form = lambda s: np.concatenate([np.array([len(s)], np.uint64), sigtree_join.bitmap(s, sigtree_join.width(len(s)))]).tobytes()
+    rows = [(g, 0, g, k % 2 * g, k, label[k], form(s)) for g in (0, 1) for k, s in enumerate(sets)]
+    groups = spark.createDataFrame(rows, "cluster long, i int, j int, side int, node long, label long, items binary")
+    got = [(r.a, r.b) for r in sigtree_join._candidates(groups.where("cluster = 0"), 80).collect()]
+    cross = [(r.a, r.b) for r in sigtree_join._candidates(groups.where("cluster = 1"), 80).collect()]
+
+    def let_through(x, y):
+        bits = min(sigtree_join.width(len(sets[x])), sigtree_join.width(len(sets[y])))
+        p, q = (sigtree_join.bitmap(sets[k], bits) for k in (x, y))
+        least = sigtree_join.needed(len(sets[x]), len(sets[y]), 80)
+        return label[x] != label[y] and len(sets[x]) - np.bitwise_count(p & ~q).sum() >= least and len(sets[y]) - np.bitwise_count(q & ~p).sum() >= least
+
+    pairs = [(x, y) for x in range(n) for y in range(x) if let_through(x, y)]
+    assert len(pairs) > 20 * n
+    roots = lambda edges: para_minhash.roots(n, *np.array(edges).T).tolist()
+    assert roots(got) == roots(pairs) and len(got) < n
+    assert roots(cross) == roots([(x, y) for x, y in pairs if (x + y) % 2]) and len(cross) < n
+
+
 def test_components_of_a_long_path(spark):
     df = spark.createDataFrame([((i * 37) % 101, ((i + 1) * 37) % 101) for i in range(100)] + [(200, 201), (300, 300)], "a long, b long")
     got = {r.node: r.label for r in components.components(df).collect()}

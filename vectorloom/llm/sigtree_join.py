@@ -15,9 +15,9 @@ that fit no other set of it by size and by the token's rank are dropped from it
 1. Sets that share at least a ``SHARE``-th of a set's routing tokens with the least set that has them (its hub)
    form a tree of whole sets with that hub; rounds with other hubs follow while a token has more than ``CHUNK`` sets in
    different components.
-2. For each routing token whose sets still lie in different components, a tree of their bitmaps finds all pairs that
-   may link; tokens with the same sets make one tree, tokens with more than ``LIST`` sets pairs of chunks.
-3. Whole sets decide these pairs. Nothing is left out: a pair is pruned by a bound or by a path of links.
+2. For each routing token whose sets still lie in different components, a tree of their bitmaps connects all pairs that
+   may link, by a forest of them; tokens with the same sets make one tree, tokens with more than ``LIST`` sets pairs of chunks.
+3. Whole sets decide all pairs within what these forests connect. Nothing is left out: a pair is pruned by a bound or by a path of links.
 
 Equal sets count once from the start. No task holds more than a chunk; a chunk of whole sets has about ``ELEMENTS`` tokens.
 
@@ -151,8 +151,8 @@ class Tree:
     def children(self, level: int, k: int) -> range:
         return range(k * self.fan, min((k + 1) * self.fan, len(self.levels[level - 1][2])))
 
-    def pairs(self, percent: int, root: Callable[[], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Dual traversal: member pairs that the largest possible overlap doesn't rule out and whose ``root`` differs."""
+    def pairs(self, percent: int, *roots: Callable[[], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Dual traversal: member pairs that the largest possible overlap doesn't rule out and of which each of ``roots`` differs."""
         maps, _, size, *_ = self.levels[0]
         stack = [(len(self.levels) - 1, 0, 0)] if len(self.levels) > 1 else []
         while stack:
@@ -164,15 +164,15 @@ class Tree:
             # A member of x misses at least the bits that all of x share and none of y has.
             if hi[x] - np.bitwise_count(ands[x] & ~ors[y]).sum() < need or hi[y] - np.bitwise_count(ands[y] & ~ors[x]).sum() < need:
                 continue
-            now = root()
-            if (now[s[x] : e[x]] == now[s[x]]).all() and (now[s[y] : e[y]] == now[s[x]]).all():
+            nows = [root() for root in roots]
+            if any((now[s[x] : e[x]] == now[s[x]]).all() and (now[s[y] : e[y]] == now[s[x]]).all() for now in nows):
                 continue
             if level > 1:
                 a, b = self.children(level, x), self.children(level, y)
                 stack.extend((level - 1, i, j) for i in a for j in b if x != y or i <= j)
                 continue
             i, j = (k.ravel() for k in np.meshgrid(np.arange(s[x], e[x]), np.arange(s[y], e[y]), indexing="ij"))
-            use = (now[i] != now[j]) & ((i < j) if x == y else True)
+            use = np.logical_and.reduce([now[i] != now[j] for now in nows]) & ((i < j) if x == y else True)
             i, j = i[use], j[use]
             least = -(-percent * (size[i] + size[j]) // (100 + percent))
             use = (np.minimum(size[i], size[j]) >= least) & (size[i] - np.bitwise_count(maps[i] & ~maps[j]).sum(1) >= least) & (size[j] - np.bitwise_count(maps[j] & ~maps[i]).sum(1) >= least)
@@ -420,25 +420,32 @@ def fetched(docs: DataFrame, key: str, text: str, words: int, want: DataFrame, f
 
 
 def _candidates(groups: DataFrame, percent: int) -> DataFrame:
-    """``(a, b)``: pairs of different labels that trees of bitmaps let through. ``groups``: (cluster, i, j, side, node, label, items); items: size and bitmap."""
+    """``(a, b)``: edges of a forest over the pairs of different labels that trees of bitmaps let through.
+
+    ``groups``: (cluster, i, j, side, node, label, items); items: size and bitmap. Only the components of the pairs count, so
+    a group gives fewer edges than it has sets, and pairs that these edges connect already aren't looked at.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         items = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
         node, label = np.asarray(table.column("node")), np.asarray(table.column("label"))
         side = np.asarray(table.column("side")) if table.column("i")[0].as_py() != table.column("j")[0].as_py() else np.arange(len(node))
         size, bits = np.array([x[0] for x in items], np.int64), np.array([64 * (len(x) - 1) for x in items])
-        out = []
+        union, out = Union(len(node)), []
         # Sizes of a link differ by less than a factor of two, so widths by one step.
         for w in np.unique(bits):
             at = np.nonzero((bits == w) | (bits == 2 * w))[0]
             at = at[np.lexsort((node[at], [items[i][1] for i in at], size[at]))]
             tree = Tree(size[at], np.stack([folded(items[i][1:], w) for i in at]))
-            for i, j in tree.pairs(percent, lambda l=label[at]: l):
+            for i, j in tree.pairs(percent, lambda l=label[at]: l, lambda at=at: union.flat()[at]):
                 i, j = at[i], at[j]
                 use = ((bits[i] == w) | (bits[j] == w)) & (side[i] != side[j])
-                out.append(np.stack([np.minimum(node[i[use]], node[j[use]]), np.maximum(node[i[use]], node[j[use]])]))
-        found = np.unique(np.concatenate(out, 1), axis=1) if out else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+                for x, y in zip(i[use].tolist(), j[use].tolist(), strict=True):
+                    if union.find(x) != union.find(y):
+                        union.join(x, y)
+                        out.append((node[x], node[y]))
+        found = np.array(out, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
 
     return groups.groupBy("cluster", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
