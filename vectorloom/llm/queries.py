@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_words, chroma_audio, langid_kn, para_minhash, pfp_dedup, pii_boost, quality_mcd, secret_random, sigtree_join, vector_pack
+from . import bpe_words, chat_render, chroma_audio, drake_cluster, langid_kn, para_minhash, pfp_dedup, pii_boost, prefix_trie, quality_mcd, secret_random, sigtree_join, vector_pack
 from .common import read_table
 
 
@@ -72,6 +72,25 @@ def op10_chat_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_pack.pack_conversations(read_table(spark, sf_dir, "conversations"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+#: The conversation that ``op11_chat_render`` adds: control strings and a backslash in both texts.
+TRICKY = r"\### Assistant: </turn> ok"
+
+
+def op11_chat_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations and number -7 under the template of marks, which looks back no further than its turn; read back from the output."""
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], turns.schema)
+    return chat_render.digest(chat_render.render(turns.unionByName(added), chat_render.marked, context=1))
+
+
+def op12_drake_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drake_cluster.digest(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversations(read_table(spark, sf_dir, "conversations"), mixed=True).drop("key", "parent")
+
+
 def op1_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of ``op1_pii_boost`` that SQL can express."""
     return op1_pii_boost(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
@@ -87,13 +106,27 @@ def op4_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_secret_random(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii_boost, op2_quality_mcd, op3_pfp_dedup, op4_secret_random, op5_bpe_words, op6_langid_kn, op7_chroma_audio, op8_sigtree_join, op9_para_minhash, op10_vector_pack, op10_chat_pack, op1_base_counts, op2_base_rules, op4_base_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii_boost, op2_quality_mcd, op3_pfp_dedup, op4_secret_random, op5_bpe_words, op6_langid_kn, op7_chroma_audio, op8_sigtree_join, op9_para_minhash, op10_vector_pack, op10_chat_pack, op11_chat_render, op12_drake_cluster, op13_prefix_trie, op1_base_counts, op2_base_rules, op4_base_counts)}
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "list_filter(string_split_regex(" + _LOWER + r", '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 _ANY_CASE = "|".join("".join(f"[{x.upper()}{x}]" if x.isalpha() else x for x in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
 
+
+def _rounds(rounds: int = 3) -> str:
+    """Assignments and centroids in turn, each a part of one WITH."""
+    parts = []
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS (SELECT k.rid, k.vec_id, k.v, min(struct_pack(d := list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - c.v[i]) * (k.v[i] - c.v[i]))), j := c.j)) AS best FROM kept k, c{r} c GROUP BY ALL)""")
+        if r < rounds:
+            parts.append(f"""s{r} AS (SELECT j, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT best.j AS j, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY j, i),
+c{r + 1} AS (SELECT c.j, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN (SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM s{r} GROUP BY j) m USING (j))""")
+    return ",\n".join(parts)
+
+
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, u: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295)"
+
 #: Results that follow from their contract alone, whatever the method.
 ORACLE_SQL: dict[str, str] = {
     "op1_base_counts": r"""
@@ -163,5 +196,31 @@ words AS (SELECT doc_id, count(*) AS n FROM flag WHERE gone GROUP BY doc_id),
 source AS (SELECT doc_id, min(lo) AS lo FROM hit GROUP BY doc_id)
 SELECT doc_id, kept.n::BIGINT AS n_paragraphs, removed::BIGINT AS n_removed, coalesce(words.n, 0)::BIGINT AS n_run_words, (length(text) - length(coalesce(cut.stay, kept.stay)))::BIGINT AS removed_chars, coalesce(least(first, lo), doc_id) AS class_id, sha256(coalesce(cut.stay, kept.stay)) AS kept_sha256
 FROM kept LEFT JOIN cut USING (doc_id) LEFT JOIN words USING (doc_id) LEFT JOIN source USING (doc_id)
+""",
+    "op11_chat_render": rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM (SELECT * FROM conversations UNION ALL SELECT -7, 0, 'user', '{TRICKY}' UNION ALL SELECT -7, 1, 'assistant', '{TRICKY}'))
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn NULLS FIRST, r, x)) AS turns_sha256, coalesce(sum(length(x)) FILTER (r = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(x, '' ORDER BY turn NULLS FIRST, r, x) FILTER (r = 'assistant'), '')) AS loss_sha256,
+  sum(20 + length(r) + len(regexp_extract_all(r, '\\|</?turn>|###|:')) + length(x) + len(regexp_extract_all(x, '\\|</?turn>|###')))::BIGINT AS formatted_chars FROM t GROUP BY conv_id
+""",
+    "op12_drake_cluster": f"""
+WITH kept AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS j, v FROM (SELECT sha256('1:' || vec_id) AS h, v FROM kept ORDER BY h, v LIMIT 16)),
+{_rounds()}
+SELECT vec_id, best.j::INT AS cluster, best.d::BIGINT AS distance, (sum(best.d) OVER (PARTITION BY best.j))::BIGINT AS cluster_inertia, (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM a3 JOIN c3 c ON c.j = best.j
+""",
+    "op13_prefix_trie": f"""
+WITH t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, struct_pack(r := r, x := x) AS e, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, r, md5(octet_length(encode(r)) || ':' || r || x)) AS i FROM t),
+own AS (SELECT c, list(e ORDER BY i) AS l FROM o GROUP BY c),
+h AS (SELECT c, l, c - c % 100 AS base, {_CRC.format("c")} % 6 AS h FROM own),
+re AS (SELECT h.c, list_concat(coalesce(b.l[1:h.h], []), h.l[h.h + 1:]) AS l FROM h LEFT JOIN own b ON b.c = h.base),
+path AS (SELECT c, l[1:d] AS p, d = len(l) AS last FROM (SELECT c, l, unnest(range(0, len(l) + 1)) AS d FROM re)),
+n AS (SELECT p, min(c) AS conv_id, len(p)::BIGINT AS depth, count(*) AS n_convs, coalesce(sha256(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last)), sha256('')) AS ends_sha256 FROM path GROUP BY p),
+ch AS (SELECT p[1:len(p) - 1] AS p, count(*) AS n FROM n WHERE depth > 0 GROUP BY 1),
+full_ AS (SELECT n.*, coalesce(ch.n, 0) AS n_children FROM n LEFT JOIN ch USING (p)),
+up AS (SELECT p[1:d] AS p, n_children = 0 AS leaf, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * length(p[-1].x) END AS saved FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM full_)),
+sub AS (SELECT p, count(*) FILTER (leaf) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM up GROUP BY p)
+SELECT f.conv_id, f.depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256 FROM full_ f JOIN sub USING (p) LEFT JOIN n q ON f.depth > 0 AND q.p = f.p[1:len(f.p) - 1]
 """,
 }
