@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vec
-from ..sources.tables import matrix, to_numpy
+from ..sources.shared import remove, written
+from ..sources.tables import matrix
 
 METHODS = ("full", "random", "fps", "fps_recursive")
-#: Rows beyond which farthest points are chosen from per-task core sets.
-DRIVER_ROWS = 1_000_000
+#: Farthest rows that a task gives in a pass, at most; those of all tasks together, about; chosen points after which distances are written.
+POOL, POOLED, KEEP = 1024, 100_000, 256
 
 
 @dataclass(frozen=True)
@@ -72,39 +73,110 @@ def principal(df: DataFrame, dim: int, vector: str = "v") -> DataFrame:
     return df.select("id", vector).mapInArrow(run, "id bigint, v array<double>")
 
 
-def fps(df: DataFrame, distance: str, n: int, dim: int = 12, core: int | None = None) -> DataFrame:
-    """``(id)`` of n farthest points among the finite rows, in at most ``dim`` directions.
+def fps(df: DataFrame, distance: str, n: int, dim: int = 12, pool: int = POOL, keep: int = KEEP) -> DataFrame:
+    """``(id)`` of n farthest points among the finite rows, in at most ``dim`` directions: the exact greedy choice at any size.
 
-    Up to ``DRIVER_ROWS`` rows the choice is exact; beyond, every task gives the farthest points of its rows
-    (``core``, at least 4n over the tasks) and the choice is made among these.
+    Distances to the chosen points only fall, so a row's last known distance is a bound. In a pass each task evaluates the rows whose bound may be
+    among its ``pool`` farthest, gives these and the last of them as an edge; all its other rows come after that edge. The driver chooses among what the
+    tasks gave, farthest first, smaller id first, as long as the choice comes before every task's edge; then the next pass learns of the new points.
+    After ``keep`` points the rows are written with their distances. The choice doesn't depend on partitions.
     """
     rows = df.select("id", vec.to_euclidean("v", distance).alias("v")).where(vec.finite("v"))
     first = rows.select(F.size("v")).first()
-    if first is None:
+    if first is None or n < 1:
         return df.select("id").limit(0)
     if first[0] > dim:
         rows = principal(rows, dim)
-    many = rows.count()
-    if many > DRIVER_ROWS:
-        parts = max(1, rows.rdd.getNumPartitions())
-        each = core or max(64, -(-4 * n // parts))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, x = np.zeros(0, np.int64), None
-            for b in batches:
-                ids, v = np.asarray(b.column(0)), matrix(b.column(1))
-                held, x = np.concatenate([held, ids]), v if x is None else np.concatenate([x, v])
-                keep = farthest(x, each)
-                held, x = held[keep], x[keep]
-            if x is not None:
-                from .knn import listed
-
-                yield pa.RecordBatch.from_arrays([pa.array(held), listed(x)], names=["id", "v"])
-
-        rows = rows.mapInArrow(run, "id bigint, v array<double>")
-    ids, x = to_numpy(rows, max(DRIVER_ROWS, 64 * n))
-    chosen = np.sort(ids[farthest(x, n)])
-    return df.sparkSession.createDataFrame(pa.table({"id": pa.array(chosen, pa.int64())}))
+    held = written(rows.withColumn("near", F.lit(float("inf"))), "fps")
+    seed = held.agg(F.min(F.struct("id", "v")).alias("s")).first().s
+    ids, points, known = [seed.id], [np.array(seed.v)], 0
+    each = max(16, min(pool, POOLED // max(1, held.rdd.getNumPartitions())))
+    while len(ids) < n:
+        if len(ids) - known > keep:
+            fresh = written(_nearer(held, ids[known:], np.array(points[known:])), "fps")
+            remove(held)
+            held, known = fresh, len(ids)
+        more = _choices(held, ids[known:], np.array(points[known:]), each, n - len(ids))
+        if not more:
+            break
+        ids += [i for i, _ in more]
+        points += [x for _, x in more]
+    remove(held)
+    return df.sparkSession.createDataFrame(pa.table({"id": pa.array(sorted(ids), pa.int64())}))
+
+
+def _evaluated(near: np.ndarray, x: np.ndarray, ids: np.ndarray, chosen: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Squared distances to the nearest of old and new points; -1 for the chosen rows."""
+    for p in points:
+        near = np.minimum(near, ((x - p) ** 2).sum(1))
+    return np.where(np.isin(ids, chosen), -1.0, near)
+
+
+def _nearer(held: DataFrame, ids: list[int], points: np.ndarray) -> DataFrame:
+    """The rows with their distances up to date, chosen ones left out."""
+    shared = held.sparkSession.sparkContext.broadcast((np.array(ids), points))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen, new = shared.value
+        for b in batches:
+            near = _evaluated(np.asarray(b.column(2)), matrix(b.column(1)), np.asarray(b.column(0)), chosen, new)
+            rows = pa.array(np.nonzero(near >= 0)[0])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(near[near >= 0])], names=["id", "v", "near"])
+
+    return held.mapInArrow(run, "id bigint, v array<double>, near double")
+
+
+def _choices(held: DataFrame, ids: list[int], points: np.ndarray, pool: int, n: int) -> list[tuple[int, np.ndarray]]:
+    """The next choices, at most n, that one pass can be sure of; none if no rows are left."""
+    shared = held.sparkSession.sparkContext.broadcast((np.array(ids), points))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen, new = shared.value
+        best, more = None, False
+        for b in batches:
+            names, bound = np.asarray(b.column(0)), np.asarray(b.column(2))
+            order = np.argsort(-bound, kind="stable")
+            for s in range(0, len(order), 4096):
+                at = order[s : s + 4096]
+                if best is not None and len(best[0]) == pool:
+                    at = at[bound[at] >= best[1][-1]]  # the others cannot come before the pool's last
+                    more |= len(at) < min(4096, len(order) - s)
+                if not len(at):
+                    break
+                x = matrix(b.column(1).take(pa.array(at)))
+                near = _evaluated(bound[at], x, names[at], chosen, new)
+                good = near >= 0
+                got = (names[at][good], near[good], x[good])
+                best = got if best is None else tuple(np.concatenate(z) for z in zip(best, got, strict=True))
+                rank = np.lexsort((best[0], -best[1]))
+                more |= len(rank) > pool
+                best = tuple(z[rank[:pool]] for z in best)
+        if best is not None and len(best[0]):
+            from .knn import listed
+
+            last = np.zeros(len(best[0]), bool)
+            last[-1] = more
+            yield pa.RecordBatch.from_arrays([pa.array(best[0]), pa.array(best[1]), listed(best[2]), pa.array(last)], names=["id", "near", "v", "edge"])
+
+    got = held.mapInArrow(run, "id bigint, near double, v array<double>, edge boolean").toArrow()  # the pools: bounded by POOLED
+    if not got.num_rows:
+        return []
+    names, near, x, edge = np.asarray(got.column(0)), got.column(1).to_numpy().copy(), matrix(got.column(2)), got.column(3).to_numpy(zero_copy_only=False)
+    # The first of the edges, farthest first: what comes before it comes before all rows that no task gave.
+    edges = sorted((-near[i], names[i]) for i in np.nonzero(edge)[0])
+    out: list[tuple[int, np.ndarray]] = []
+    while len(out) < n:
+        top = near.max(initial=-1.0)
+        if top < 0:
+            break
+        at = np.nonzero(near == top)[0]
+        i = at[np.argmin(names[at])]
+        if edges and (-top, names[i]) > edges[0]:
+            break
+        out.append((int(names[i]), x[i]))
+        near = np.where(near < 0, near, np.minimum(near, ((x - x[i]) ** 2).sum(1)))
+        near[i] = -1.0
+    return out
 
 
 def subsample(df: DataFrame, distance: str = "cosine", config: SampleConfig = SampleConfig()) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import color, vec
-from ..operators import affinity, align, knn, layout, linalg, mask, sampling, stats
+from ..operators import affinity, align, knn, layout, linalg, mask, neighbours, sampling, stats
 from ..sources import tables
 from ..sources.shared import fresh
 from ..streaming.online import VectorSum, update_from, updater
@@ -317,6 +317,32 @@ def knn_with_subsampling(spark, sf_dir):
     return _outs(knn.extrapolate_with_subsampling(full, df, sampling.SampleConfig("random", LANDMARKS), 10))
 
 
+#: Every row as an anchor of every row.
+ALL_NEAR = RAW + ", s AS (SELECT q.id, a.id AS anchor_id, a.v AS o, exp(list_cosine_similarity(a.v, q.v) - 1.0::DOUBLE) AS w FROM raw a, raw q), near AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY w DESC, anchor_id) AS rank FROM s)"
+
+
+@register(f"WITH {ALL_NEAR} SELECT id, anchor_id, rank::BIGINT AS rank, round(w, 6) AS w FROM near WHERE rank <= 10")
+def knn_cells(spark, sf_dir):
+    """Neighbours among all rows, none of which are broadcast: cells of at most 64 rows."""
+    df = raw(spark, sf_dir)
+    near = neighbours.nearest_of_many(df, df, 10, block=64)
+    return near.select("id", "anchor_id", "rank", r6(F.exp(-F.col("d2") / 2)).alias("w"))
+
+
+@register(f"WITH {ALL_NEAR} {_MEAN} WHERE rank <= 10 GROUP BY id")
+def knn_extrapolate_cells(spark, sf_dir):
+    """Extrapolation from more anchors than may be broadcast."""
+    df = raw(spark, sf_dir)
+    return _outs(knn.extrapolate(df.withColumn("out", F.slice("v", 1, 3)), df, 10, most=100))
+
+
+@register(f"WITH {ALL_NEAR} {_MEAN} GROUP BY id")
+def dense_extrapolate_tiles(spark, sf_dir):
+    """The same from all anchors, in tiles."""
+    df = raw(spark, sf_dir)
+    return _outs(knn.extrapolate(df.withColumn("out", F.slice("v", 1, 3)), df, None, most=100))
+
+
 # ---- sampling ------------------------------------------------------------------------------------------
 
 
@@ -330,17 +356,27 @@ def full_sample(spark, sf_dir):
     return sampling.subsample(raw(spark, sf_dir))
 
 
-@register(f"""WITH RECURSIVE {RAW}, low AS (SELECT id, list_slice(v, 1, 8) AS v FROM raw),
+_FARTHEST = f"""WITH RECURSIVE {RAW}, low AS (SELECT id, list_slice(v, 1, 8) AS v FROM raw),
 walk AS (SELECT 1 AS k, (SELECT min(id) FROM low) AS pick, (SELECT list({{'id': id, 'd': CASE WHEN id = (SELECT min(id) FROM low) THEN -1.0::DOUBLE ELSE list_distance(v, (SELECT v FROM low ORDER BY id LIMIT 1)) END}} ORDER BY id) FROM low) AS near
 UNION ALL
 SELECT k + 1, p.id, (SELECT list({{'id': n.id, 'd': CASE WHEN n.id = p.id THEN -1.0::DOUBLE ELSE least(n.d, list_distance(a.v, b.v)) END}} ORDER BY n.id) FROM (SELECT unnest(near) AS n) JOIN low a ON a.id = n.id, low b WHERE b.id = p.id)
 FROM (SELECT k, near, list_sort(list_transform(near, lambda n: {{'d': -n.d, 'id': n.id}}))[1] AS p FROM walk WHERE k < 20))
-SELECT pick AS id FROM walk""")
+SELECT pick AS id FROM walk"""
+
+
+@register(_FARTHEST)
 def fps_lowdim(spark, sf_dir):
     low = raw(spark, sf_dir).select("id", F.slice("v", 1, 8).alias("v"))
     return sampling.subsample(low, "euclidean", sampling.SampleConfig("fps", 20))
 
 
+@register(_FARTHEST)
+def fps_passes(spark, sf_dir):
+    """The same choice by many passes: pools of 16 rows a task, distances written after every 5 points."""
+    low = raw(spark, sf_dir).select("id", F.slice("v", 1, 8).alias("v"))
+    return sampling.fps(low.repartition(3), "euclidean", 20, pool=16, keep=5)
+
+
 @register()
 def fps_reduced(spark, sf_dir):
     return sampling.subsample(raw(spark, sf_dir), "cosine", sampling.SampleConfig("fps", LANDMARKS))
@@ -513,7 +549,32 @@ def planted_clusters_kernel(spark, sf_dir):
 
 @register(_BY_LABEL)
 def planted_clusters_exact(spark, sf_dir):
-    return _clusters(exact_cut(planted(spark, sf_dir), CLUSTERS, gamma=GAMMA)[0])
+    """All rows in tiles of 64 columns, bases as tables."""
+    return _clusters(exact_cut(planted(spark, sf_dir), CLUSTERS, gamma=GAMMA, held=64)[0])
+
+
+@register(f"WITH {AFF}, t AS (SELECT sum(degree) AS t FROM deg) SELECT id, round(sqrt(degree / t), 6) AS c0 FROM deg, t")
+def component0_tiles(spark, sf_dir):
+    """The trivial component of a cut in tiles, by locally optimal steps over distributed bases."""
+    ev, _ = exact_cut(planted(spark, sf_dir), 3, gamma=GAMMA, solver="lobpcg", held=100)
+    return ev.select("id", r6(F.col("ev")[0]).alias("c0"))
+
+
+@register(f"WITH {AFF}, t AS (SELECT sum(degree) AS t FROM deg) SELECT id, round(sqrt(degree / t), 6) AS c0 FROM deg, t")
+def component0_tiles_transform(spark, sf_dir):
+    """A full cut of more rows than may be landmarks at once, and rows projected by it."""
+    df = planted(spark, sf_dir)
+    model = NystromNCut(3, affinity_focal_gamma=GAMMA, eig_solver="lobpcg").fit(df, most=100)
+    return model.transform(df).select("id", r6(F.col("ev")[0]).alias("c0"))
+
+
+@register("SELECT i::BIGINT AS i, j::BIGINT AS j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS g FROM range(10) a(i), range(10) b(j)")
+def exact_gram(spark, sf_dir):
+    """Products of the eigenvectors of a cut in tiles, summed over all rows."""
+    ev, _ = exact_cut(planted(spark, sf_dir), CLUSTERS, gamma=GAMMA, held=128)
+    each = ev.select("id", F.posexplode("ev").alias("i", "x"))
+    pairs = each.join(each.select("id", F.col("i").alias("j"), F.col("x").alias("y")), "id")
+    return pairs.groupBy(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).agg(r6(F.sum(F.col("x") * F.col("y"))).alias("g"))
 
 
 @register("SELECT * FROM (VALUES ('first eigenvalue', 1.0::DOUBLE), ('largest departure from orthonormal', 0.0::DOUBLE), ('rows without a value', 0.0::DOUBLE)) t(name, value)")

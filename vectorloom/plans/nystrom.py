@@ -9,11 +9,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..operators import linalg
+from ..functions import vec
+from ..operators import linalg, tall, tiles
 from ..operators.affinity import CELLS, DISTANCE_OF, MOST, block, sigma, sliced
-from ..operators.knn import listed
+from ..operators.knn import few, listed
 from ..operators.sampling import SampleConfig, subsample
+from ..operators.stats import scale_factor
+from ..sources.shared import remove, written
 from ..sources.tables import complement, matrix, reassembled, to_numpy
 from ..streaming.online import Online
 
@@ -100,9 +104,17 @@ class NystromNCut(Online):
         if affinity_type not in DISTANCE_OF:
             raise ValueError(f"unknown affinity: {affinity_type}")
         self.n_components, self.kind, self.gamma, self.adaptive, self.config, self.solver = n_components, affinity_type, affinity_focal_gamma, adaptive_scaling, sample_config, eig_solver
-        self.kernel_type, self.kernel = kernel_type, None
-
-    def fit(self, df: DataFrame, sample_ids: DataFrame | None = None) -> NystromNCut:
+        self.kernel_type, self.kernel, self.full = kernel_type, None, None
+
+    def fit(self, df: DataFrame, sample_ids: DataFrame | None = None, most: int = MOST) -> NystromNCut:
+        """Learn from the sample. All of a table beyond ``most`` rows are landmarks in tiles (for the kernel of this module, without adaptive scaling)."""
+        self.full = None
+        if sample_ids is None and self.config.method == "full" and not few(df, most):
+            if self.adaptive or self.kernel_type is not LaplacianKernel:
+                raise ValueError(f"more than {most} landmarks: sample them, or use the kernel as it is")
+            self.full = tiled_spectrum(df, self.n_components, self.kind, self.gamma, solver=self.solver)
+            self.eigenvalues_ = self.full[2]
+            return self
         ids = subsample(df, DISTANCE_OF[self.kind], self.config) if sample_ids is None else sample_ids
         self.ids, x = to_numpy(df.join(ids.select("id"), "id", "left_semi"), MOST)
         self.kernel = k = self.kernel_type(x, self.kind, self.gamma, self.adaptive, self.solver)
@@ -119,6 +131,8 @@ class NystromNCut(Online):
 
     def update(self, rows: DataFrame) -> DataFrame:
         """Embeddings of new rows; their degrees join the state, the spectrum reflects landmarks and these rows."""
+        if self.full is not None:
+            raise ValueError("a cut of all rows in tiles isn't updated: sample landmarks")
         k = self.kernel
         shared = rows.sparkSession.sparkContext.broadcast(k)
         most = max(1, CELLS // len(k.anchors))
@@ -146,7 +160,9 @@ class NystromNCut(Online):
         return v
 
     def transform(self, rows: DataFrame) -> DataFrame:
-        """``(id, ev)`` of any rows by the fitted map: a projection without a shuffle; works on streams."""
+        """``(id, ev)`` of any rows by the fitted map: a projection without a shuffle; works on streams (after a cut in tiles: a product in tiles)."""
+        if self.full is not None:
+            return self._transform_tiles(rows)
         shared = rows.sparkSession.sparkContext.broadcast((self.kernel, self.map))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,8 +172,21 @@ class NystromNCut(Online):
 
         return rows.select("id", "v").mapInArrow(run, "id bigint, ev array<double>")
 
-    def fit_transform(self, df: DataFrame, sample_ids: DataFrame | None = None) -> DataFrame:
-        self.fit(df, sample_ids)
+    def _transform_tiles(self, rows: DataFrame) -> DataFrame:
+        good, table, w, scale = self.full
+        inverse = F.array(*(F.lit(float(1 / e) if abs(e) > 1e-12 else 0.0) for e in w))
+        both = good.join(table, "id").select("id", "v", F.concat(F.zip_with(F.transform("x", lambda e: e * F.col("s")), inverse, lambda a, b: a * b), F.array(F.lit(1.0))).alias("a"))
+        got = tiles.product(rows.select("id", "v").where(vec.finite("v")), both, self.kind, self.gamma, scale)
+        c = len(w)
+        ev = F.transform(F.slice("y", 1, c), lambda e: e / F.sqrt(F.element_at("y", -1)))
+        missing = F.array_repeat(F.lit(float("nan")), c)
+        return rows.select("id").join(got.select("id", ev.alias("ev")), "id", "left").select("id", F.coalesce("ev", missing).alias("ev"))
+
+    def fit_transform(self, df: DataFrame, sample_ids: DataFrame | None = None, most: int = MOST) -> DataFrame:
+        self.fit(df, sample_ids, most)
+        if self.full is not None:
+            missing = F.array_repeat(F.lit(float("nan")), len(self.eigenvalues_))
+            return df.select("id").join(self.full[1].withColumnRenamed("x", "ev"), "id", "left").select("id", F.coalesce("ev", missing).alias("ev"))
         spark = df.sparkSession
         anchors = spark.createDataFrame(pa.table({"id": pa.array(self.ids, pa.int64())}))
         rest = complement(df.select("id", "v"), anchors)
@@ -167,36 +196,39 @@ class NystromNCut(Online):
         return own if new is None else reassembled(own, new)
 
 
-def exact_cut(df: DataFrame, k: int, kind: str = "cosine", gamma: float = 1.0, rounds: int = 30) -> tuple[DataFrame, np.ndarray]:
-    """Full-graph cut without its matrix: block iteration, each task forms its rows' affinities block by block.
+def exact_cut(df: DataFrame, k: int, kind: str = "cosine", gamma: float = 1.0, rounds: int = 30, solver: str = "svd_lowrank", held: int = tiles.HELD) -> tuple[DataFrame, np.ndarray]:
+    """Full-graph cut of any number of rows: ``(id, ev)`` and the eigenvalues.
 
-    Returns ``(id, ev)`` and the eigenvalues. The vectors of all rows must fit on an executor (checked).
+    The affinity is formed in tiles for each product and never stored, bases are tables: no task holds more than a piece of ``held`` rows, the driver
+    matrices of the basis' width. Missing rows get NaN and leave the others unaffected.
     """
-    ids, x = to_numpy(df, 50 * MOST)
-    if not np.isfinite(x).all():
-        raise ValueError("missing rows: filter them first")
-    scale = sigma(x) if kind == "rbf" else None
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(x)
-    place = spark.createDataFrame(pa.table({"at": pa.array(np.arange(0, len(x), 1024))})).repartition(max(1, min(len(x) // 1024, 1024)))
-
-    def times(q: np.ndarray) -> np.ndarray:
-        now = spark.sparkContext.broadcast(q)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for s in b.column(0).to_pylist():
-                    rows = shared.value[s : s + 1024]
-                    got = sum(block(shared.value[o : o + 4096], rows, kind, gamma, scale) @ now.value[o : o + 4096] for o in range(0, len(shared.value), 4096))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(s, s + len(rows))), listed(got)], names=["i", "y"])
-
-        t = place.mapInArrow(run, "i bigint, y array<double>").toArrow()
-        out = np.empty_like(q)
-        out[np.asarray(t.column(0))] = matrix(t.column(1))
-        now.unpersist()
-        return out
-
-    d = times(np.ones((len(x), 1)))[:, 0]
-    s = 1 / np.sqrt(d)
-    w, v = linalg.subspace(lambda q: s[:, None] * times(s[:, None] * q), len(x), k, rounds=rounds)
-    return spark.createDataFrame(pa.table({"id": pa.array(ids, pa.int64()), "ev": listed(linalg.signed(v))})), w
+    good, table, w, _ = tiled_spectrum(df, k, kind, gamma, rounds, solver, held)
+    remove(good)
+    missing = F.array_repeat(F.lit(float("nan")), len(w))
+    return df.select("id").join(table.withColumnRenamed("x", "ev"), "id", "left").select("id", F.coalesce("ev", missing).alias("ev")), w
+
+
+def tiled_spectrum(df: DataFrame, k: int, kind: str, gamma: float, rounds: int = 30, solver: str = "svd_lowrank", held: int = tiles.HELD) -> tuple[DataFrame, DataFrame, np.ndarray, float | None]:
+    """Of the finite rows: ``(id, v, s)`` with s one over the degree's root, ``(id, x)`` of eigenvectors, both written; the values; the scale of "rbf"."""
+    if solver not in linalg.SOLVERS:
+        raise ValueError(f"unknown solver: {solver}")
+    rows = written(df.select("id", "v").where(vec.finite("v")), "cut")
+    scale = scale_factor(rows).first()[0] if kind == "rbf" else None
+    ones = rows.withColumn("a", F.array(F.lit(1.0)))
+    n = rows.count()
+    degree = tiles.product(rows, ones, kind, gamma, scale, held, sizes=(n, n)).select("id", (1 / F.sqrt(F.col("y")[0])).alias("s"))
+    good = written(rows.join(degree, "id"), "degrees")
+    remove(rows)
+
+    def apply(basis: DataFrame) -> DataFrame:
+        columns = good.join(basis, "id").select("id", "v", F.transform("x", lambda e: e * F.col("s")).alias("a"))
+        return tiles.product(good, columns, kind, gamma, scale, held, sizes=(n, n))
+
+    find = tall.lobpcg if solver == "lobpcg" else tall.krylov
+    w, x, off = find(apply, good.select("id"), k, rounds=rounds)
+    if off > 1e-6:
+        warnings.warn(f"eigenvectors have a residual of {off:.1e}", stacklevel=3)
+    flip = tall.signs(x)
+    table = written(x.select("id", F.zip_with("x", F.array(*(F.lit(float(f)) for f in flip)), lambda a, b: a * b).alias("x")), "spectrum")
+    remove(x)
+    return good, table, w, scale
