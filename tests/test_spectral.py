@@ -256,14 +256,12 @@ def test_groups_match_the_same_rows_alone(spark):
     assert found == single
 
 
-def test_core_sets_spread_almost_as_well_as_exact_farthest_points(spark, monkeypatch):
+def test_pools_of_tasks_lead_to_the_exact_farthest_points(spark):
     x = np.random.default_rng(6).standard_normal((3000, 5))
     df = tables.from_numpy(spark, x).repartition(6)
-    radius = lambda ids: np.sqrt(((x[:, None] - x[ids]) ** 2).sum(2).min(1).max())
-    exact = radius([r.id for r in sampling.fps(df, "euclidean", 40).collect()])
-    monkeypatch.setattr(sampling, "DRIVER_ROWS", 1000)
-    cores = radius([r.id for r in sampling.fps(df, "euclidean", 40).collect()])
-    assert cores <= 1.15 * exact
+    want = sorted(sampling.farthest(x, 40).tolist())
+    for pool in (1024, 20):
+        assert [r.id for r in sampling.fps(df, "euclidean", 40, pool=pool).orderBy("id").collect()] == want
 
 
 def test_stream_state_survives_a_restart(spark, tmp_path):

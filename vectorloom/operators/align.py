@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from ..functions import vec
 from ..sources.shared import remove, written
 from ..sources.tables import matrix
-from . import linalg
+from . import groups, linalg
 
 SORTS = ("count", "norm", "marginal_norm")
 TOLERANCE = 1.19e-7
+#: Bytes allowed for the axes of a group when groups are dealt to passes.
+_MODEL = 1 << 16
 
 
 def initial_axes(df: DataFrame, vector: str = "ev", seed: int = 42) -> np.ndarray:
@@ -111,11 +113,57 @@ class AxisAlign:
         return self.transform(held, vector, normalize, hard)
 
 
-def grouped_align(df: DataFrame, group: str, sort_method: str = "norm", max_iter: int = 100, seed: int = 42, vector: str = "ev", most: int = 1_000_000) -> DataFrame:
-    """``(group, id, cluster)``: ``AxisAlign`` for each value of a group column by itself; a group is one task (checked)."""
+def grouped_align(df: DataFrame, group: str, sort_method: str = "norm", max_iter: int = 100, seed: int = 42, vector: str = "ev", most: int = 1_000_000, large: int = groups.LARGE) -> DataFrame:
+    """``(group, id, cluster)``: ``AxisAlign`` for each value of a group column by itself.
+
+    Groups of up to ``large`` rows are a call each (checked against ``most``); the passes over larger ones are shared by all of them.
+    """
     if sort_method not in SORTS:
         raise ValueError(f"unknown sort method: {sort_method}")
+    small, many = groups.parted(df.select(group, "id", vector), group, vector, large, seed)
+    own = _aligned_at_once(small, group, sort_method, max_iter, seed, vector, most)
+    return own if many is None else own.unionByName(_aligned_in_passes(many, sort_method, max_iter))
+
+
+def _aligned_in_passes(many: groups.Large, sort_method: str, max_iter: int) -> DataFrame:
+    out = None
+    for ks, rows in many.runs(_MODEL):
+        first = rows.where(vec.finite("v")).groupBy("k").agg(F.min(F.struct("o", "id", "v")).alias("b")).collect()  # a row for each group of the run
+        axes = {r.k: _ready(np.array(r.b.v)[None]) for r in first}
+        d = max((a.shape[1] for a in axes.values()), default=0)
+        for _ in range(1, d):
+            # Again and again the row least correlated with those chosen.
+            more = groups.least(rows, axes, lambda a, ids, x: sum(np.abs(x @ row) for row in a) / np.maximum(np.linalg.norm(x, axis=1), vec.EPS))
+            axes = {k: np.concatenate([a, _ready(more[k][None])]) for k, a in axes.items()}
+        r, last, open_ = dict(axes), dict.fromkeys(axes, 0.0), set(axes)
+        for _ in range(max_iter):
+            if not open_:
+                break
+            for k, m in groups.sums(rows, {k: r[k] for k in open_}, lambda a, ids, x: _sums(x, a)).items():
+                m = m.reshape(r[k].shape)
+                size = float(np.linalg.norm(m))
+                if abs(size - last[k]) < TOLERANCE:
+                    open_.discard(k)
+                else:
+                    last[k], r[k] = size, linalg.procrustes(m)
+        worth = groups.sums(rows, r, lambda a, ids, x: _significance(x, a, sort_method))
+        r = {k: a[np.argsort(-worth[k], kind="stable")] for k, a in r.items()}
+        r |= {k: None for k in ks if k not in r}  # no finite row
+        got = many.named(groups.mapped(rows, r, _cluster), "id", F.when(F.col("y")[0] >= 0, F.col("y")[0].cast("bigint")).alias("cluster"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def _cluster(r: np.ndarray | None, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The cluster of each row, -1 for missing ones."""
+    out = np.full((len(x), 1), -1.0)
+    good = np.isfinite(x).all(1)
+    if good.any():
+        out[good, 0] = np.argmax(_ready(x) @ r.T, 1)
+    return out
+
 
+def _aligned_at_once(df: DataFrame, group: str, sort_method: str, max_iter: int, seed: int, vector: str, most: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         if table.num_rows > most:
             raise ValueError(f"a group has more than {most} rows")

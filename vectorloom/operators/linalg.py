@@ -59,6 +59,38 @@ def moments(df: DataFrame, vector: str = "v") -> tuple[float, np.ndarray, np.nda
     return g[0, 0], mean, g[1:, 1:] / n - np.outer(mean, mean)
 
 
+def leading(df: DataFrame, dim: int, vector: str = "v", wide: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, directions, variances) of the ``dim`` directions of largest variance of the finite rows.
+
+    Up to ``wide`` coordinates the covariance is summed in one pass. Beyond, it is only applied: a block of random directions, and what passes
+    over the rows make of it, span the leading ones (a randomised range finder, repeated until its residual is small);
+    a task then holds a matrix of a few dozen columns instead of a square one.
+    """
+    first = df.select(vector).first()
+    d = len(first[0]) if first is not None else 0
+    if d <= wide:
+        _, mean, cov = moments(df, vector)
+        w, u = np.linalg.eigh(cov)
+        return mean, u[:, ::-1][:, :dim], w[::-1][:dim]
+    good = lambda x: x[np.isfinite(x).all(1)]
+    total = summed(df, [vector], lambda x: np.append(good(x).sum(0), len(good(x))))
+    n = max(1.0, total[-1])
+    mean = total[:-1] / n
+
+    def apply(q: np.ndarray) -> np.ndarray:
+        now = df.sparkSession.sparkContext.broadcast((mean, q))
+
+        def kernel(x: np.ndarray) -> np.ndarray:
+            m, q = now.value
+            x = good(x) - m
+            return x.T @ (x @ q)
+
+        return summed(df, [vector], kernel).reshape(q.shape) / n
+
+    w, u, _ = krylov(apply, d, min(dim, d), rounds=20, tolerance=1e-6)
+    return mean, u, w
+
+
 def gram(df: DataFrame, vector: str = "v") -> np.ndarray:
     """``sum of x x'`` over rows, non-finite elements as 0."""
     g = summed(df, [vector], lambda x: np.nan_to_num(x, posinf=0, neginf=0).T @ np.nan_to_num(x, posinf=0, neginf=0))
@@ -82,7 +114,7 @@ def _ritz(q: np.ndarray, aq: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray
     return w[order], v[:, order]
 
 
-def krylov(apply: Callable[[np.ndarray], np.ndarray], n: int, k: int, depth: int = 4, rounds: int = 60, seed: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
+def krylov(apply: Callable[[np.ndarray], np.ndarray], n: int, k: int, depth: int = 4, rounds: int = 60, seed: int = 0, tolerance: float = RESIDUAL) -> tuple[np.ndarray, np.ndarray, float]:
     """(values, vectors, residual) of the k leading eigenpairs: randomised block Krylov bases, restarted until the residual is small.
 
     A block has as many vectors again as pairs are asked for, so that a cluster of close values fits in.
@@ -100,7 +132,7 @@ def krylov(apply: Callable[[np.ndarray], np.ndarray], n: int, k: int, depth: int
         w, v = _ritz(q, aq, width)
         x, ax = q @ v, aq @ v
         off = float(np.linalg.norm(ax[:, :k] - x[:, :k] * w[:k], axis=0).max()) / max(1e-300, float(np.abs(w).max()))
-        if off <= RESIDUAL:
+        if off <= tolerance:
             break
         x = np.linalg.qr(x)[0]
     return w[:k], x[:, :k], off

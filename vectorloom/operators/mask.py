@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vec
+from ..sources.shared import written
+from .connect import components
 from .stats import heatmap
 
+#: Pixels of a tile's side.
+TILE = 512
+
 
 def prompt_distance(df: DataFrame, prompt: list[float], vector: str = "v") -> DataFrame:
     """``df`` with ``dist``: one minus the cosine to the prompt, a projection with a literal."""
@@ -31,12 +38,25 @@ def least(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def areas(df: DataFrame, flag: str = "mask") -> DataFrame:
+def areas(df: DataFrame, flag: str = "mask", tile: int = TILE) -> DataFrame:
     """``df (img, y, x, mask)`` with ``comp``: the smallest y * 1e6 + x of its 8-connected area; NULL where the mask is 0.
 
-    One image is one group: images are bounded, rows of different images never meet.
+    Areas are found in tiles of ``tile`` x ``tile`` pixels, each by itself; where lit pixels of two tiles touch, their areas are one, and the
+    areas that such borders connect get the least name. So an image of any size is many tasks.
     """
-
+    part = [F.floor(F.col(c) / tile).cast("int").alias(f"t{c}") for c in "yx"]
+    local = written(df.select("img", "y", "x", flag, *part).groupBy("img", "ty", "tx").applyInArrow(_tile(flag), f"img int, y int, x int, {flag} int, comp bigint"), "areas")
+    edge = lambda c: F.pmod(F.col(c), F.lit(tile)).isin(0, tile - 1)
+    border = local.where(F.col("comp").isNotNull() & (edge("y") | edge("x"))).select("img", "y", "x", "comp")
+    steps = F.explode(F.array(*(F.struct(F.lit(b).alias("dy"), F.lit(a).alias("dx")) for b, a in ((0, 1), (1, -1), (1, 0), (1, 1))))).alias("s")
+    near = border.select("img", F.col("comp").alias("a"), "y", "x", steps).select("img", "a", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"))
+    touching = near.join(border, ["img", "y", "x"]).where("a != comp")
+    joined = components(touching.select(F.struct("img", F.col("a").alias("comp")).alias("u"), F.struct("img", "comp").alias("v")))
+    names = joined.select(F.col("u.img").alias("img"), F.col("u.comp").alias("comp"), F.col("label.comp").alias("whole"))
+    return local.join(names, ["img", "comp"], "left").select("img", "y", "x", flag, F.coalesce("whole", "comp").alias("comp"))
+
+
+def _tile(flag: str) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         y, x, m = (np.asarray(table.column(c)).astype(np.int64) for c in ("y", "x", flag))
         name = y * 1_000_000 + x
@@ -52,7 +72,7 @@ def areas(df: DataFrame, flag: str = "mask") -> DataFrame:
         comp[lit] = known[least(len(known), *np.concatenate(ends, 1))] if len(lit) else 0
         return pa.table({"img": table.column("img"), "y": table.column("y"), "x": table.column("x"), flag: table.column(flag), "comp": pa.array(comp, pa.int64(), mask=m == 0)})
 
-    return df.select("img", "y", "x", flag).groupBy("img").applyInArrow(run, f"img int, y int, x int, {flag} int, comp bigint")
+    return run
 
 
 def clean_mask(df: DataFrame, min_area: int = 500, flag: str = "mask") -> DataFrame:
@@ -62,9 +82,9 @@ def clean_mask(df: DataFrame, min_area: int = 500, flag: str = "mask") -> DataFr
     return found.join(size, ["img", "comp"], "left").select("img", "y", "x", F.when(F.col("area") >= min_area, 255).otherwise(0).alias(flag))
 
 
-def area_table(df: DataFrame, flag: str = "mask") -> DataFrame:
+def area_table(df: DataFrame, flag: str = "mask", tile: int = TILE) -> DataFrame:
     """``(img, comp, area, y0, y1, x0, x1)`` of every connected area."""
-    return areas(df, flag).where("comp is not null").groupBy("img", "comp").agg(F.count("*").alias("area"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
+    return areas(df, flag, tile).where("comp is not null").groupBy("img", "comp").agg(F.count("*").alias("area"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
 
 
 def get_mask(df: DataFrame, prompt: list[float], threshold: float = 0.5, gamma: float = 1.0, denoise: bool = True, denoise_area: int = 3, vector: str = "v") -> DataFrame:

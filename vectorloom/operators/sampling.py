@@ -56,13 +56,11 @@ def farthest(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def principal(df: DataFrame, dim: int, vector: str = "v") -> DataFrame:
-    """Rows projected on their ``dim`` leading directions: one partial aggregate of moments, one projection."""
-    from .linalg import moments
+    """Rows projected on their ``dim`` leading directions: a partial aggregate of moments (a few passes for wide vectors), one projection."""
     from .knn import listed
+    from .linalg import leading
 
-    n, mean, cov = moments(df, vector)
-    _, u = np.linalg.eigh(cov)
-    axes = u[:, ::-1][:, :dim]
+    mean, axes, _ = leading(df, dim, vector)
     shared = df.sparkSession.sparkContext.broadcast((mean, axes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -111,10 +111,14 @@ def quantiles(df: DataFrame, columns: list[str], probabilities: list[float], acc
 
 def quantile_normalize(df: DataFrame, columns: list[str], q: float = 0.95, accuracy: int | None = None) -> DataFrame:
     """Each column to ``(x - Q(1-q)) / (Q(q) - Q(1-q))`` in [0, 1]; a constant column becomes 0."""
-    edge = quantiles(df, columns, [1 - q, q], accuracy)
+    return normalize_between(df, quantiles(df, columns, [1 - q, q], accuracy))
+
+
+def normalize_between(df: DataFrame, edge: dict[str, list[float]]) -> DataFrame:
+    """Columns to their place between two edges, in [0, 1]; 0 where these are one."""
     lit = lambda x: F.lit(x).cast("double")
     scaled = lambda c: F.coalesce(clamp(F.try_divide(F.col(c) - lit(edge[c][0]), lit(edge[c][1]) - lit(edge[c][0]))), F.lit(0.0))
-    return df.select(*(scaled(c).alias(c) if c in columns else c for c in df.columns))
+    return df.select(*(scaled(c).alias(c) if c in edge else c for c in df.columns))
 
 
 def normal_tail(c: float = 2.0) -> tuple[float, float]:

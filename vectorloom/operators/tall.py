@@ -117,6 +117,20 @@ def krylov(apply: Apply, ids: DataFrame, k: int, depth: int = 3, rounds: int = 3
         x = fresh  # Ritz vectors of an orthonormal basis
 
 
+def _steps(both: DataFrame, w: np.ndarray, v: np.ndarray, late: np.ndarray | None) -> DataFrame:
+    """``(id, x)``: the block, its residuals and, if given, its last directions, side by side."""
+    shared = both.sparkSession.sparkContext.broadcast((w, v, late))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, v, late = shared.value
+        for b in batches:
+            x, y = matrix(b.column(1), len(v)), matrix(b.column(2), len(v))
+            now = x @ v
+            yield pa.RecordBatch.from_arrays([b.column(0), listed(np.concatenate([now, y @ v - now * w, *([] if late is None else [x @ late])], 1))], names=["id", "x"])
+
+    return both.select("id", "x", "y").mapInArrow(run, "id bigint, x array<double>")
+
+
 def lobpcg(apply: Apply, ids: DataFrame, k: int, rounds: int = 60, seed: int = 0, tolerance: float = linalg.RESIDUAL) -> tuple[np.ndarray, DataFrame, float]:
     """The same by locally optimal steps: the block, its residuals and its last directions; one product a step over three blocks' width."""
     n = ids.count()
@@ -132,15 +146,9 @@ def lobpcg(apply: Apply, ids: DataFrame, k: int, rounds: int = 60, seed: int = 0
             remove(q)
             remove(both)
             return w[:k], fresh, off
-        x = times(both, v)
-        y = times(both, v, "y")
-        residual = y.join(x.withColumnRenamed("x", "z"), "id").select("id", F.zip_with("x", F.zip_with("z", F.array(*(F.lit(float(e)) for e in w)), lambda a, b: a * b), lambda a, b: a - b).alias("x"))
-        parts = [x, residual]
-        if v.shape[0] > width:
-            late = v.copy()
-            late[:width] = 0  # directions of this step: what the block itself didn't hold
-            parts.append(times(both, late))
-        fresh = orthonormal(_beside(*parts))
+        late = v.copy()
+        late[:width] = 0  # directions of this step: what the block itself didn't hold
+        fresh = orthonormal(_steps(both, w, v, late if v.shape[0] > width else None))
         remove(q)
         remove(both)
         q = fresh

@@ -13,7 +13,7 @@ from ..functions import color, vec
 from ..operators import affinity, align, knn, layout, linalg, mask, neighbours, sampling, stats
 from ..sources import tables
 from ..sources.shared import fresh
-from ..streaming.online import VectorSum, update_from, updater
+from ..streaming.online import Quantiles, VectorSum, once, update_from
 from .grouped import grouped_cut, grouped_kernel_cut, grouped_landmark_cut, grouped_sample
 from .kernel import KernelNCut, features, fourier_native, frequencies
 from .nystrom import LaplacianKernel, NystromNCut, exact_cut
@@ -93,9 +93,12 @@ def chunked_scan(spark, sf_dir):
     return tables.chunked(raw(spark, sf_dir), rows=128).groupBy("chunk").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
-@register(f"WITH {W_SQL} SELECT r AS id, c::BIGINT AS pos, round(f[r + 1], 6) + 0.0::DOUBLE AS x FROM w, range(64) t(r)")
+@register(f"WITH {RAW}, {SAMPLE}, s AS (SELECT row_number() OVER (ORDER BY id) - 1 AS id, v FROM raw WHERE id IN (SELECT id FROM sample)) SELECT id, (p - 1)::BIGINT AS pos, round(v[p], 6) + 0.0::DOUBLE AS x FROM s, range(1, 65) t(p)")
 def numpy_source(spark, sf_dir):
-    return tables.from_numpy(spark, fixed_w()).select("id", F.posexplode("v").alias("pos", "x")).select("id", F.col("pos").cast("long").alias("pos"), r6("x").alias("x"))
+    """A matrix of sampled rows, ids by position."""
+    df = raw(spark, sf_dir)
+    _, x = tables.to_numpy(tables.lookup(df, sample(df)), LANDMARKS)
+    return tables.from_numpy(spark, x).select("id", F.posexplode("v").alias("pos", "x")).select("id", F.col("pos").cast("long").alias("pos"), r6("x").alias("x"))
 
 
 @register(f"WITH {RAW}, {SAMPLE} SELECT id, round(v[1], 6) + 0.0::DOUBLE AS x0 FROM raw WHERE id IN (SELECT id FROM sample)")
@@ -377,6 +380,33 @@ def fps_passes(spark, sf_dir):
     return sampling.fps(low.repartition(3), "euclidean", 20, pool=16, keep=5)
 
 
+#: The projector on the directions whose variance is over ``least``, by an iteration for the sign of a matrix: 0.02 parts the nine that tell the labels apart from the others.
+_PROJECTOR = """
+u AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM planted),
+col AS (SELECT p, list(u[p] ORDER BY id) AS c FROM u, range(1, 65) t(p) GROUP BY p),
+mid AS (SELECT list(list_transform(c, lambda x: x - list_avg(c)) ORDER BY p) AS m FROM col),
+cov AS (SELECT list_transform(m, lambda a: list_transform(m, lambda b: list_dot_product(a, b) / len(a))) AS c FROM mid),
+part AS (SELECT list_transform(c, lambda r, i: list_transform(r, lambda x, j: x - CASE WHEN i = j THEN 0.02::DOUBLE ELSE 0.0::DOUBLE END)) AS a FROM cov),
+walk_ AS (SELECT 0 AS k, list_transform(a, lambda r: list_transform(r, lambda x: x / sqrt(list_sum(list_transform(a, lambda q: list_dot_product(q, q)))))) AS s FROM part
+  UNION ALL SELECT k + 1, list_transform(s, lambda r, i: list_transform(r, lambda x, j: 1.5::DOUBLE * x - 0.5::DOUBLE * list_dot_product(list_transform(s, lambda q: list_dot_product(r, q)), s[j]))) FROM walk_ WHERE k < 30),
+proj AS (SELECT list_transform(s, lambda r, i: list_transform(r, lambda x, j: (x + CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) / 2)) AS p FROM walk_ WHERE k = 30)
+"""
+
+
+@register(f"WITH RECURSIVE {PLANTED}, {_PROJECTOR} SELECT round(list_sum(list_transform(range(1, 65), lambda i: p[i][i])))::BIGINT AS directions, round(list_sum(list_transform(range(1, 65), lambda i: list_dot_product(p[i], c[i]))), 6) AS variance FROM proj, cov")
+def pca_wide(spark, sf_dir):
+    """The variance that a randomised range finder captures: the covariance is applied to a few dozen vectors, never formed."""
+    unit = planted(spark, sf_dir).select(vec.normalized("v").alias("v"))
+    _, axes, variances = linalg.leading(unit, 9, wide=0)
+    return spark.createDataFrame([(axes.shape[1], round(float(variances.sum()), 6))], "directions bigint, variance double")
+
+
+@register(f"WITH RECURSIVE {PLANTED}, {_PROJECTOR}, low AS (SELECT id, list_transform(p, lambda r: list_dot_product(r, u)) AS v FROM u, proj), " + _FARTHEST.split("AS v FROM raw),", 1)[1])
+def fps_projected(spark, sf_dir):
+    """Farthest points of rows of 64 coordinates in their nine leading directions."""
+    return sampling.subsample(planted(spark, sf_dir), "cosine", sampling.SampleConfig("fps", 20, fps_dim=9))
+
+
 @register()
 def fps_reduced(spark, sf_dir):
     return sampling.subsample(raw(spark, sf_dir), "cosine", sampling.SampleConfig("fps", LANDMARKS))
@@ -422,10 +452,11 @@ def gram(spark, sf_dir):
 
 @register("SELECT * FROM (VALUES ('cosine', true, true, true), ('rbf', true, true, true)) t(kind, centred, of_its_width, normal)")
 def rff_frequencies(spark, sf_dir):
-    """Draws of 64 x 4096: mean, deviation and the share within one deviation, as normal draws of that width have them."""
-    rows = []
-    for kind, scale in (("cosine", None), ("rbf", 2.5)):
-        w, width = frequencies(DIM, 4096, kind, GAMMA, scale), GAMMA**-0.5 / (scale or 1.0)
+    """Draws for the table's vectors and, for "rbf", its scale: mean, deviation and the share within one deviation, as normal draws of that width have them."""
+    rows, df = [], raw(spark, sf_dir)
+    dim = df.select(F.size("v")).first()[0]
+    for kind, scale in (("cosine", None), ("rbf", stats.scale_factor(df).first()[0])):
+        w, width = frequencies(dim, 4096, kind, GAMMA, scale), GAMMA**-0.5 / (scale or 1.0)
         rows.append((kind, bool(abs(w.mean()) < 0.01 * width), bool(abs(w.std() / width - 1) < 0.01), bool(abs((np.abs(w) < width).mean() - 0.6827) < 0.005)))
     return spark.createDataFrame(rows, "kind string, centred boolean, of_its_width boolean, normal boolean")
 
@@ -620,10 +651,10 @@ def _halves(spark, sf_dir) -> DataFrame:
     return planted(spark, sf_dir).withColumn("g", F.col("id") % 2)
 
 
-def _group_clusters(ev: DataFrame) -> DataFrame:
+def _group_clusters(ev: DataFrame, **options) -> DataFrame:
     from pyspark.sql import Window
 
-    return align.grouped_align(ev, "g").select("g", "id", F.min("id").over(Window.partitionBy("g", "cluster")).alias("rep"))
+    return align.grouped_align(ev, "g", **options).select("g", "id", F.min("id").over(Window.partitionBy("g", "cluster")).alias("rep"))
 
 
 @register(_BY_GROUP)
@@ -641,6 +672,28 @@ def grouped_clusters_kernel(spark, sf_dir):
     return _group_clusters(grouped_kernel_cut(_halves(spark, sf_dir), "g", CLUSTERS, 512, gamma=GAMMA))
 
 
+@register(_BY_GROUP)
+def large_groups_landmarks(spark, sf_dir):
+    """The same with every group treated as a large one: passes shared by all groups, none of which a task holds."""
+    ev = grouped_landmark_cut(_halves(spark, sf_dir), "g", CLUSTERS, sampling.SampleConfig("random", LANDMARKS), gamma=GAMMA, large=0)
+    return _group_clusters(ev, large=0)
+
+
+@register(_BY_GROUP)
+def large_groups_kernel(spark, sf_dir):
+    return _group_clusters(grouped_kernel_cut(_halves(spark, sf_dir), "g", CLUSTERS, 256, gamma=GAMMA, large=0), large=0)
+
+
+@register(_BY_GROUP)
+def large_groups_exact(spark, sf_dir):
+    return _group_clusters(grouped_cut(_halves(spark, sf_dir), "g", CLUSTERS, gamma=GAMMA, large=0, held=128), large=0)
+
+
+@register(f"WITH {RAW}, o AS (SELECT id % 2 AS g, id, row_number() OVER (PARTITION BY id % 2 ORDER BY md5('42:' || id::VARCHAR), id) AS r FROM raw) SELECT g, id FROM o WHERE r <= 20")
+def large_groups_random_sample(spark, sf_dir):
+    return grouped_sample(_halves(spark, sf_dir), "g", sampling.SampleConfig("random", 20), large=0)
+
+
 @register(f"WITH {RAW}, o AS (SELECT id % 2 AS g, id, row_number() OVER (PARTITION BY id % 2 ORDER BY md5('42:' || id::VARCHAR), id) AS r FROM raw) SELECT g, id FROM o WHERE r <= 20")
 def grouped_random_sample(spark, sf_dir):
     return grouped_sample(_halves(spark, sf_dir), "g", sampling.SampleConfig("random", 20))
@@ -680,6 +733,13 @@ def prompt_mask(spark, sf_dir):
     return mask.get_mask(df, p, denoise=False)
 
 
+@register(f"WITH RECURSIVE {_MASK}{_COMP} SELECT img, comp, count(*) AS area, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM comp GROUP BY img, comp")
+def mask_areas_tiles(spark, sf_dir):
+    """Areas of images in tiles of 4 x 4 pixels, joined across their borders."""
+    df, p = _prompted(spark, sf_dir)
+    return mask.area_table(mask.get_mask(df, p, denoise=False), tile=4)
+
+
 @register(f"WITH RECURSIVE {_MASK}{_COMP} SELECT img, comp, count(*) AS area, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM comp GROUP BY img, comp")
 def mask_areas(spark, sf_dir):
     df, p = _prompted(spark, sf_dir)
@@ -728,23 +788,70 @@ def stream_kernel_update(spark, sf_dir):
     return _clusters(model.transform(df))
 
 
+def _again(spark: SparkSession, at: str, df: DataFrame, part: int) -> None:
+    """One more file for the stream in ``at``: rows that may have come before."""
+    df.select("id", "v").coalesce(1).write.parquet(f"{at}/in/part={part}")
+
+
 @register(_BY_LABEL)
 def stream_landmark_update(spark, sf_dir):
-    """Landmarks first, then the rest by micro-batches, by two processes: the second goes on from the stored state."""
+    """Landmarks first, then the rest by micro-batches of two runs of a stream: the second, with a new model, goes on from the checkpoint and the stored state."""
     df = planted(spark, sf_dir).select("id", "v")
     make = lambda: NystromNCut(CLUSTERS, affinity_focal_gamma=GAMMA).fit(df, sample(df))
-    stream, at = _stream(spark, sf_dir)
-    first = updater(make(), f"{at}/model")
-    rest = _rest(df, df)
+    at = fresh(spark, "stream")
     for k in range(2):
-        first(rest.where(F.col("id") % 4 == k), k)
+        _again(spark, at, df.where(F.col("id") % 4 == k), k)
+    read = lambda: spark.readStream.schema("id bigint, v array<double>").option("maxFilesPerTrigger", 1).parquet(f"{at}/in/part=*").select("id", "v")
+    update_from(_rest(read(), df), make(), f"{at}/state").awaitTermination()
+    for k in range(2, 4):
+        _again(spark, at, df.where(F.col("id") % 4 == k), k)
     model = make()
-    second = updater(model, f"{at}/model")
-    for k in range(1, 4):  # batch 1 is replayed
-        second(rest.where(F.col("id") % 4 == k), k)
+    update_from(_rest(read(), df), model, f"{at}/state").awaitTermination()
+    return _clusters(model.transform(df))
+
+
+@register(_BY_LABEL)
+def stream_landmark_history(spark, sf_dir):
+    """Four micro-batches and a fifth that repeats rows of all of them: the spectrum is that of every row once."""
+    df = planted(spark, sf_dir).select("id", "v")
+    stream, at = _stream(spark, sf_dir)
+    _again(spark, at, df.where(F.col("id") % 3 == 0), 4)
+    model = NystromNCut(CLUSTERS, affinity_focal_gamma=GAMMA, history=f"{at}/history").fit(df, sample(df))
+    update_from(stream, model, f"{at}/state").awaitTermination()
+    model.refresh(spark)
     return _clusters(model.transform(df))
 
 
+@register(f"WITH {PLANTED} SELECT p - 1 AS pos, round(sum(v[p]), 6) + 0.0::DOUBLE AS total FROM planted, range(1, 65) t(p) GROUP BY p")
+def stream_distinct_sum(spark, sf_dir):
+    """Rows that are fed again, in the same run and after a restart, count once."""
+    df = planted(spark, sf_dir).select("id", "v")
+    stream, at = _stream(spark, sf_dir)
+    _again(spark, at, df.where(F.col("id") % 3 == 0), 4)
+    state = VectorSum(f"{at}/sum")
+    run = lambda s, f: once(s).writeStream.foreachBatch(f).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    run(stream, state)
+    _again(spark, at, df.where(F.col("id") % 5 == 0), 5)
+    state = VectorSum(f"{at}/sum")
+    run(stream, state)
+    return tables.from_numpy(spark, state.total[:, None]).select(F.col("id").alias("pos"), r6(F.col("v")[0]).alias("total"))
+
+
+@register("SELECT p::DOUBLE AS p, count(*)::BIGINT AS n, true AS within FROM events, (VALUES (0.05), (0.25), (0.5), (0.75), (0.95)) t(p) GROUP BY p")
+def stream_quantiles(spark, sf_dir):
+    """Quantiles of ``events.value`` from a sketch of a stream's micro-batches; their exact ranks are within a hundredth."""
+    events, at = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "value"), fresh(spark, "stream")
+    for k in range(4):
+        events.where(F.col("event_id") % 4 == k).coalesce(1).write.parquet(f"{at}/in/part={k}")
+    stream = spark.readStream.schema("event_id bigint, value double").option("maxFilesPerTrigger", 1).parquet(f"{at}/in/part=*")
+    sketch, ps = Quantiles(f"{at}/sketch", ["value"]), [0.05, 0.25, 0.5, 0.75, 0.95]
+    stream.select("value").writeStream.foreachBatch(sketch).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    found = spark.createDataFrame(list(zip(ps, sketch.values(spark, ps)["value"], strict=True)), "p double, x double")
+    ranks = events.crossJoin(F.broadcast(found)).groupBy("p", "x").agg(F.count("*").alias("n"), F.sum((F.col("value") < F.col("x")).cast("long")).alias("below"), F.sum((F.col("value") <= F.col("x")).cast("long")).alias("upto"))
+    # The place asked for lies between the ranks of the value's first and last row, give or take a hundredth.
+    return ranks.select("p", "n", ((F.col("below") / F.col("n") <= F.col("p") + 0.01) & (F.col("upto") / F.col("n") >= F.col("p") - 0.01)).alias("within"))
+
+
 @register(_BY_LABEL)
 def stream_scoring(spark, sf_dir):
     """A fitted model scores a stream as it does a table."""

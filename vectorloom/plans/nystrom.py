@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vec
@@ -19,7 +20,7 @@ from ..operators.sampling import SampleConfig, subsample
 from ..operators.stats import scale_factor
 from ..sources.shared import remove, written
 from ..sources.tables import complement, matrix, reassembled, to_numpy
-from ..streaming.online import Online
+from ..streaming.online import Online, exists
 
 
 @dataclass
@@ -100,11 +101,11 @@ class NystromNCut(Online):
     landmarks stand for other rows.
     """
 
-    def __init__(self, n_components: int, affinity_type: str = "cosine", affinity_focal_gamma: float = 1.0, adaptive_scaling: bool = False, sample_config: SampleConfig = SampleConfig(), eig_solver: str = "svd_lowrank", kernel_type: Callable = LaplacianKernel):
+    def __init__(self, n_components: int, affinity_type: str = "cosine", affinity_focal_gamma: float = 1.0, adaptive_scaling: bool = False, sample_config: SampleConfig = SampleConfig(), eig_solver: str = "svd_lowrank", kernel_type: Callable = LaplacianKernel, history: str | None = None):
         if affinity_type not in DISTANCE_OF:
             raise ValueError(f"unknown affinity: {affinity_type}")
         self.n_components, self.kind, self.gamma, self.adaptive, self.config, self.solver = n_components, affinity_type, affinity_focal_gamma, adaptive_scaling, sample_config, eig_solver
-        self.kernel_type, self.kernel, self.full = kernel_type, None, None
+        self.kernel_type, self.kernel, self.full, self.history = kernel_type, None, None, history
 
     def fit(self, df: DataFrame, sample_ids: DataFrame | None = None, most: int = MOST) -> NystromNCut:
         """Learn from the sample. All of a table beyond ``most`` rows are landmarks in tiles (for the kernel of this module, without adaptive scaling)."""
@@ -129,30 +130,69 @@ class NystromNCut(Online):
         c = min(self.n_components, u.shape[1])
         self.eigenvalues_, self.map = w[:c], u[:, :c] / np.where(np.abs(w[:c]) < 1e-12, np.inf, w[:c])
 
+    def state(self) -> dict:
+        if self.full is not None:
+            raise ValueError("a cut of all rows in tiles has tables for its state: write them")
+        return super().state()
+
     def update(self, rows: DataFrame) -> DataFrame:
-        """Embeddings of new rows; their degrees join the state, the spectrum reflects landmarks and these rows."""
+        """Embeddings of new rows, whose degrees join the state.
+
+        The spectrum reflects landmarks and these rows; with a ``history`` (a folder), landmarks and all rows ever fed, each id once.
+        """
         if self.full is not None:
             raise ValueError("a cut of all rows in tiles isn't updated: sample landmarks")
+        if self.history is not None:
+            self.absorb(rows)
+            self.refresh(rows.sparkSession)
+        else:
+            self._learn(rows, self.kernel.outer)
+        return self.transform(rows)
+
+    def absorb(self, rows: DataFrame) -> None:
+        """Keep rows whose ids are neither landmarks' nor in the history. A batch fed again, or a row fed twice, changes nothing; rows of one id count once, the least vector of them."""
+        spark = rows.sparkSession
+        marks = spark.createDataFrame(pa.table({"id": pa.array(self.ids, pa.int64())}))
+        new = rows.join(F.broadcast(marks), "id", "left_anti").groupBy("id").agg(F.min("v").alias("v"))
+        known = self.fed(spark)
+        if known is not None:
+            new = new.join(known.select("id"), "id", "left_anti")
+        new.write.parquet(f"{self.history}/{uuid.uuid4().hex}")
+
+    def fed(self, spark: SparkSession) -> DataFrame | None:
+        """``(id, v)`` of the history; None before the first batch."""
+        if not exists(spark, self.history):
+            return None
+        return spark.read.schema("id bigint, v array<double>").option("recursiveFileLookup", "true").parquet(self.history)
+
+    def refresh(self, spark: SparkSession) -> None:
+        """Degrees and spectrum of landmarks and history by two passes over it: the same as one update with all of its rows."""
+        rows = self.fed(spark)
+        if rows is not None:
+            self._learn(rows, np.zeros(len(self.kernel.anchors)))
+
+    def _learn(self, rows: DataFrame, before: np.ndarray) -> None:
+        """Degrees: those before and those to ``rows``; spectrum: that of landmarks and ``rows``."""
         k = self.kernel
         shared = rows.sparkSession.sparkContext.broadcast(k)
         most = max(1, CELLS // len(k.anchors))
         outer = linalg.summed(rows, ["v"], lambda x: np.nan_to_num(shared.value.raw(x)).sum(0), most)
-        if outer is not None:
-            k.outer = k.outer + outer
-            # Rank d + 1 root of the normalised landmark block; the Gram matrix is kept in its coordinates.
-            u, w = landmark_root(k, self.solver)
-            late = rows.sparkSession.sparkContext.broadcast((k, u))
-
-            def squares(x: np.ndarray) -> np.ndarray:
-                kernel, base = late.value
-                b = np.nan_to_num(kernel.normalized(kernel.raw(x))) @ base
-                return b.T @ b
-
-            g = linalg.summed(rows, ["v"], squares, most).reshape(len(w), -1)
-            if self.n_components > len(w):
-                warnings.warn(f"only {len(w)} components exist", stacklevel=2)
-            self.eigenvalues_, self.map = joint_spectrum(k, u, w, g, self.n_components)
-        return self.transform(rows)
+        if outer is None:
+            return
+        k.outer = before + outer
+        # Rank d + 1 root of the normalised landmark block; the Gram matrix is kept in its coordinates.
+        u, w = landmark_root(k, self.solver)
+        late = rows.sparkSession.sparkContext.broadcast((k, u))
+
+        def squares(x: np.ndarray) -> np.ndarray:
+            kernel, base = late.value
+            b = np.nan_to_num(kernel.normalized(kernel.raw(x))) @ base
+            return b.T @ b
+
+        g = linalg.summed(rows, ["v"], squares, most).reshape(len(w), -1)
+        if self.n_components > len(w):
+            warnings.warn(f"only {len(w)} components exist", stacklevel=3)
+        self.eigenvalues_, self.map = joint_spectrum(k, u, w, g, self.n_components)
 
     def transform_anchors(self) -> np.ndarray:
         v = self.kernel.normalized_anchors() @ self.map
