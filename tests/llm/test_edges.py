@@ -90,3 +90,14 @@ def test_digest_of_no_spans_is_that_of_the_empty_string(docs):
     none = hashlib.sha256(b"").hexdigest()
     got = pii_boost.digest(pii_boost.find(docs, pii_boost.fit(docs.sparkSession))).where("doc_id = 2").first()
     assert (got.base_sha256, got.spans) == (none, "")
+
+
+def test_columns_of_our_names_pass_through_passages(spark):
+    line = " ".join(f"w{i}" for i in range(60))
+    names = ["first", "From", "stay", "__k", "places", "__own0", "n_gone", "__gone"]
+    rows = [(i, f"{line}\n{i} own words", *(f"{n}{i}" for n in names)) for i in (1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    for f in (para_minhash.dedup, para_minhash.dedup_runs):
+        got = {r.doc_id: r for r in f(df).collect()}
+        assert list(got[2].__fields__) == df.columns and tuple(got[2])[2:] == rows[1][2:]
+        assert got[1].text == rows[0][1] and got[2].text.strip() == "2 own words"

@@ -43,6 +43,8 @@ RUN = 50
 RECALL = 0.999
 SEED = 7
 RUN_COLUMNS = ("stay", "n_gone", "from")
+#: Names of our own columns, which the caller's may carry too.
+OURS = {*RUN_COLUMNS, "places", "first", "__kept", "__gone", "__lo", "__k"}
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -246,12 +248,19 @@ def without(found: DataFrame, text: str = "text"):
     return F.when(F.col("places").isNull(), F.col(text)).otherwise(F.array_join(stay, "\n"))
 
 
+def _aside(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, list]:
+    """``docs`` with other names for columns that are called as ours are, and the columns under their own names again."""
+    names = [f"__own{i}" if c not in (key, text) and (c.lower() in OURS or c.startswith("__own")) else c for i, c in enumerate(docs.columns)]
+    back = [F.col(f"`{n}`").alias(c) for n, c in zip(names, docs.columns, strict=True)]
+    return (docs if names == docs.columns else docs.toDF(*names)), back
+
+
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` without repeated paragraphs; documents of which no word is left go."""
-    docs = clear(docs, "places", "first")
+    docs, back = _aside(docs, key, text)
     found = marked(docs, key, text, **options)
     kept = found.withColumn("__kept", without(found, text))
-    return kept.where(F.col("places").isNull() | F.col("__kept").rlike(r"[^\x20\x09-\x0D]")).withColumn(text, F.col("__kept")).select(docs.columns)
+    return kept.where(F.col("places").isNull() | F.col("__kept").rlike(r"[^\x20\x09-\x0D]")).withColumn(text, F.col("__kept")).select(back)
 
 
 def digest(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -382,9 +391,9 @@ def marked_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", run: i
 
 def dedup_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
     """``docs`` without runs of words that an earlier document holds; documents of which no word is left go."""
-    own = clear(docs, *RUN_COLUMNS, "__gone", "__lo").columns
+    docs, back = _aside(docs, key, text)
     found = marked_runs(docs, key, text, run)
-    return found.where(F.col("stay").isNull() | F.col("stay").rlike(r"[^\x20\x09-\x0D]")).withColumn(text, F.coalesce("stay", text)).select(own)
+    return found.where(F.col("stay").isNull() | F.col("stay").rlike(r"[^\x20\x09-\x0D]")).withColumn(text, F.coalesce("stay", text)).select(back)
 
 
 def digest_all(docs: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN, **options) -> DataFrame:
