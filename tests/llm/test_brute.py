@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import random
 import re
 import tracemalloc
 import zlib
@@ -174,6 +175,19 @@ def test_byte_strings(spark, docs, texts):
     assert all(sha(bytes(kept[k])) == v[3] for k, v in want.items())
 
 
+@pytest.mark.parametrize("hot", [1, 3])
+def test_byte_strings_of_hot_triggers(spark, docs, texts, hot):
+    r = random.Random(hot)
+    word = lambda n: "".join(r.choice("abcd") for _ in range(n))
+    # One passage with many beginnings, endings and documents that share a side of it.
+    middle, sides = word(24), [word(40) for _ in range(4)]
+    odd = {6000 + i: r.choice(sides) + middle + r.choice(sides) + word(r.randint(0, 60)) for i in range(120)}
+    both = docs.where("doc_id < 100").select("doc_id", "text").unionByName(spark.createDataFrame(list(odd.items()), "doc_id long, text string"))
+    want = plain_removed({**{k: t for k, t in texts.items() if k < 100}, **odd})
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in pfp_dedup.dedup(both, hot=hot).collect()}
+    assert got == want
+
+
 def peak(f):
     """(result, most bytes held meanwhile)."""
     tracemalloc.start()

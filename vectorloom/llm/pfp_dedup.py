@@ -12,8 +12,10 @@ bytes, falls apart by trigger and is found in two levels:
 
 Phrases of a block of documents are distinct before they are shuffled and answers are a few bits a phrase,
 so a passage that a third of all documents hold costs one entry per block. The dictionary gets bytes only
-of phrases whose trigger has several; their windows are sorted in slices by a hash, so that a trigger that stands in
-very many phrases costs their bytes and no arrays over all their windows. Documents reach their block once, compressed;
+of phrases whose trigger has several; their windows are sorted in slices by a hash, so that many phrases cost their
+bytes and no arrays over all their windows. A trigger of more than ``HOT`` phrases is dealt on by what stands beside it: windows that reach
+``CONTEXT`` bytes beyond the trigger meet by these bytes, the others, which reach as far before it, by those before. Equal windows agree in both, so a
+phrase goes to two places at most, and a trigger that a third of the text shares is many tasks. Documents reach their block once, compressed;
 what they keep is put together in runs of ``PIECE`` bytes.
 
 Defined results: null text is empty; null ids are neither removed nor cause removals; rows that repeat an
@@ -39,6 +41,10 @@ TRIGGER = 20
 REACH = WINDOW - TRIGGER + 1
 PIECE = 1 << 19  # bytes parsed, or put together, at a time
 SLICE = 1 << 16  # windows sorted at a time
+PICKS = 16  # parts in which windows are dealt to slices
+HOT = 1 << 14  # phrases of a trigger that meet in one place
+CONTEXT = 10  # bytes beside a trigger that part its phrases
+RIGHT, LEFT = 3, 4  # kinds of messages: windows with the context after the trigger, or before it
 
 _B = 0xD6E8FEB86659FD93
 _INV = pow(_B, -1, 1 << 64)
@@ -126,6 +132,7 @@ class Block:
     """The phrases of a block with what it asks: distinct (key, hash) by bucket, each with its least document."""
 
     def __init__(self, blobs: list[bytes], parts: int):
+        self.parts = parts
         table = blocks.take(blobs)
         self.ids = table.column("k")
         self.texts = table.column("t").cast(pa.binary()).to_pylist()
@@ -149,6 +156,32 @@ class Block:
         self.buckets, first = np.unique(self.bucket, return_index=True)
         self.slices = [slice(s, e) for s, e in zip(first, np.append(first[1:], len(self.bucket))[: len(first)], strict=True)]
 
+    def beside(self, use: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(bucket, kind, which of them) for phrases of hot triggers: where the windows of each side meet."""
+        x = self.parse
+        t, first, last = (a[use].astype(np.int64) for a in (x.trigger, x.first, x.last))
+        for kind, has, at in ((RIGHT, t - last <= REACH - 1 - CONTEXT, t + TRIGGER), (LEFT, t - first > REACH - 1 - CONTEXT, t - CONTEXT)):
+            own = np.nonzero(has)[0]
+            if not len(own):
+                continue
+            h = x.key[use[own]] + np.uint64(kind)
+            with np.errstate(over="ignore"):
+                for i in range(CONTEXT):
+                    h = mix(h * np.uint64(_B) + x.bytes[at[own] + i].astype(np.uint64))
+            bucket = (h % np.uint64(self.parts)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            to, start = np.unique(bucket[order], return_index=True)
+            for b, rows in zip(to.tolist(), np.split(own[order], start[1:]), strict=True):
+                yield b, kind, rows
+
+    def asked(self, use: np.ndarray, places: bool = False) -> bytes:
+        """What the dictionary needs of phrases: their number, sizes, their triggers' places if asked for, documents and bytes."""
+        x = self.parse
+        size = x.last[use].astype(np.int64) - x.first[use] + WINDOW
+        text = x.bytes[np.repeat(x.first[use] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        place = (x.trigger[use] - x.first[use]).astype(np.uint8).tobytes() if places else b""
+        return len(use).to_bytes(8, "little") + size.astype(np.uint8).tobytes() + place + self.id[x.doc[use]].astype("<i8").tobytes() + text.tobytes()
+
     def covered(self, whole: np.ndarray, mask: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """Each document and which of its bytes go. Per distinct phrase, ``whole``: an earlier block has it; ``mask``: the windows that go, as bits."""
         x = self.parse
@@ -175,8 +208,8 @@ def _message(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([r[1] for r in rows], pa.int32()), "kind": pa.array([r[2] for r in rows], pa.int32()), "blob": pa.array([blocks.squeeze(r[3]) for r in rows], pa.binary())})
 
 
-def _answer_parse(table: pa.Table) -> pa.Table:
-    """A byte a phrase: 1 if a smaller document has it, 2 if it is the first and its trigger has others."""
+def _answer_parse(table: pa.Table, hot: int = HOT) -> pa.Table:
+    """A byte a phrase: 1 if a smaller document has it; if it is the first, 2 where its trigger has others, 4 where it has very many."""
     sizes, key, code, doc = [], [], [], []
     for blob in table.column("blob").to_pylist():
         data = blocks.loosen(blob)
@@ -193,9 +226,9 @@ def _answer_parse(table: pa.Table) -> pa.Table:
     other[1:] = other_key[1:] | (code[1:] != code[:-1])
     least = doc[other][np.cumsum(other) - 1]
     group = np.cumsum(other_key) - 1
-    several = np.bincount(group, other)[group] > 1
+    phrases = np.bincount(group, other)[group]
     bits = np.empty(len(key), np.uint8)
-    bits[order] = (least < doc) | (((least == doc) & several) << 1)
+    bits[order] = np.where(least < doc, 1, np.where(phrases > hot, 4, np.where(phrases > 1, 2, 0)))
     cuts = np.cumsum(sizes)[:-1]
     return _message([(b, k, 1, x.tobytes()) for b, k, x in zip(table.column("bucket").to_pylist(), table.column("block").to_pylist(), np.split(bits, cuts), strict=True)])
 
@@ -248,18 +281,22 @@ def _masks(size: np.ndarray, doc: np.ndarray, data: bytes) -> np.ndarray:
                     h = mix(h * np.uint64(_B) + c)
             of[upto[hi - 1] - len(at) : upto[hi - 1]] = h % np.uint64(slices)
     out = np.zeros(len(size), np.uint64)
-    for k in range(slices):
-        pick = np.nonzero(of == k)[0]
-        if not len(pick):
-            continue
-        owner = np.searchsorted(upto, pick, "right")
-        place = pick - upto[owner] + size[owner] - (WINDOW - 1)
-        order, same = _suffix_order(_words(data, start[owner] + place))
-        heads = np.nonzero(~same)[0]
-        of_order = doc[owner[order]]
-        least = np.minimum.reduceat(of_order, heads)[np.cumsum(~same) - 1]
-        goes = order[least < of_order]
-        np.bitwise_or.at(out, owner[goes], np.uint64(1) << place[goes].astype(np.uint64))
+    for part in range(min(PICKS, slices)):
+        # The windows of every PICKS-th slice, in the order of slices: all are picked once, whatever their number.
+        picked = np.nonzero(of % PICKS == part)[0]
+        picked = picked[np.argsort(of[picked], kind="stable")]
+        edges = np.nonzero(np.diff(of[picked]))[0] + 1
+        for pick in np.split(picked, edges):
+            if not len(pick):
+                continue
+            owner = np.searchsorted(upto, pick, "right")
+            place = pick - upto[owner] + size[owner] - (WINDOW - 1)
+            order, same = _suffix_order(_words(data, start[owner] + place))
+            heads = np.nonzero(~same)[0]
+            of_order = doc[owner[order]]
+            least = np.minimum.reduceat(of_order, heads)[np.cumsum(~same) - 1]
+            goes = order[least < of_order]
+            np.bitwise_or.at(out, owner[goes], np.uint64(1) << place[goes].astype(np.uint64))
     return out
 
 
@@ -272,17 +309,28 @@ def _answer_dictionary(table: pa.Table) -> pa.Table:
             rows.append((bucket, block, 1, data))
             continue
         n = int.from_bytes(data[:8], "little")
-        asks.append((bucket, block, n, np.frombuffer(data, np.uint8, n, 8), np.frombuffer(data, "<i8", n, 8 + n), data[8 + 9 * n :]))
+        rest = 8 + n if kind == 2 else 8 + 2 * n
+        asks.append((bucket, block, n, np.frombuffer(data, np.uint8, n, 8), np.frombuffer(data, "<i8", n, rest), data[rest + 8 * n :], kind, data[8 + n : rest]))
     if asks:
         size = np.concatenate([a[3] for a in asks]).astype(np.int64)
         mask = _masks(size, np.concatenate([a[4] for a in asks]), b"".join(a[5] for a in asks) + bytes(16))
-        for (bucket, block, *_), m in zip(asks, np.split(mask, np.cumsum([a[2] for a in asks])[:-1]), strict=True):
-            rows.append((bucket, block, 2, m.astype("<u4").tobytes()))
+        for (bucket, block, *_, kind, place), m in zip(asks, np.split(mask, np.cumsum([a[2] for a in asks])[:-1]), strict=True):
+            if kind != 2:
+                # Windows from this one on reach the context after the trigger; the others are the other side's.
+                right = np.maximum(0, np.frombuffer(place, np.uint8).astype(np.int64) - (REACH - 1 - CONTEXT)).astype(np.uint64)
+                after = (m >> right) << right
+                m = after if kind == RIGHT else m ^ after
+            rows.append((bucket, block, kind, m.astype("<u4").tobytes()))
     return _message(rows)
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", output: str = "digest") -> DataFrame:
-    """Per document what is removed. ``output``: "digest" (counts and a hash) or "kept" (the remaining bytes)."""
+def _hot(b: Block, bits: dict[int, bytes]) -> np.ndarray:
+    """The block's distinct phrases that are first in a trigger of very many."""
+    return np.concatenate([np.zeros(0, np.int64), *(s.start + np.nonzero(np.frombuffer(bits[k], np.uint8) & 4)[0] for k, s in zip(b.buckets.tolist(), b.slices, strict=True))])
+
+
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", output: str = "digest", hot: int = HOT) -> DataFrame:
+    """Per document what is removed. ``output``: "digest" (counts and a hash) or "kept" (the remaining bytes). ``hot``: phrases of a trigger that meet in one place."""
     count, parts = block_count(docs, text)
     kind = dict(docs.dtypes)[key]
     packed = blocks.blocked(docs, key, text, count)
@@ -301,14 +349,15 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", output: str
         b = Block(bodies.column("blob").to_pylist(), parts)
         block = bodies.column("block")[0].as_py()
         bits = {k: blocks.loosen(x) for k, x in zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), strict=True)}
-        rows, x = [], b.parse
+        rows = []
         for bucket, s in zip(b.buckets.tolist(), b.slices, strict=True):
             rows.append((bucket, block, 1, bits[bucket]))
             use = b.head[s][np.frombuffer(bits[bucket], np.uint8) & 2 > 0]
             if len(use):
-                size = x.last[use].astype(np.int64) - x.first[use] + WINDOW
-                bytes_ = x.bytes[np.repeat(x.first[use] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-                rows.append((bucket, block, 2, len(use).to_bytes(8, "little") + size.astype(np.uint8).tobytes() + b.id[x.doc[use]].astype("<i8").tobytes() + bytes_.tobytes()))
+                rows.append((bucket, block, 2, b.asked(use)))
+        hot = _hot(b, bits)
+        for bucket, side, own in b.beside(b.head[hot]):
+            rows.append((bucket, block, side, b.asked(b.head[hot[own]], True)))
         return _message(rows)
 
     def build(bodies: pa.Table, answers: pa.Table) -> pa.Table:
@@ -325,6 +374,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", output: str
                 part = np.zeros(len(bits), np.uint64)
                 part[bits & 2 > 0] = np.frombuffer(got[bucket, 2], "<u4")
                 mask[s] = part
+        hot = _hot(b, {k: v for (k, which), v in got.items() if which == 1})
+        for bucket, side, own in b.beside(b.head[hot]):
+            mask[hot[own]] |= np.frombuffer(got[bucket, side], "<u4").astype(np.uint64)
         removed, runs, kept = [], [], []
         for i, c in b.covered(whole, mask):
             n = int(c.sum())
@@ -335,7 +387,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", output: str
             return pa.table({key: b.ids, "kept": pa.array(kept, pa.binary())})
         return pa.table({key: b.ids, "n_bytes": pa.array([len(t) for t in b.texts], pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept]})
 
-    first = packed.groupBy("block").applyInArrow(freed(ask_parse), MESSAGE).groupBy("bucket").applyInArrow(freed(_answer_parse), MESSAGE)
+    first = packed.groupBy("block").applyInArrow(freed(ask_parse), MESSAGE).groupBy("bucket").applyInArrow(freed(lambda table: _answer_parse(table, hot)), MESSAGE)
     second = packed.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(freed(ask_dictionary), MESSAGE).groupBy("bucket").applyInArrow(freed(_answer_dictionary), MESSAGE)
     schema = f"{key} {kind}, " + ("kept binary" if output == "kept" else "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     return packed.groupBy("block").cogroup(second.groupBy("block")).applyInArrow(freed(build), schema)
