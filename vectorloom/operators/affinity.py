@@ -78,6 +78,25 @@ def normalized(pairs: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFra
     return pairs.join(r, "i").join(c, "j").select("i", "j", F.try_divide(F.col("w"), F.sqrt(F.col("di") * F.col("dj"))).alias("w"))
 
 
+def normalized_affinities(df: DataFrame, kind: str = "cosine", gamma: float = 1.0) -> DataFrame:
+    """``(i, j, w)`` of a bounded table, divided by the root of both degrees where they are formed: degrees first, then the pairs, which are never shuffled."""
+    if kind not in DISTANCE_OF:
+        raise ValueError(f"unknown affinity: {kind}")
+    ids, x = to_numpy(df, MOST)
+    scale = sigma(x) if kind == "rbf" else None
+    got = block_degrees(df, x, kind, gamma).toArrow()  # a number for each of the bounded rows
+    order = np.argsort(np.asarray(got.column("id")), kind="stable")
+    degree = np.asarray(got.column("degree"))[order]
+    shared = df.sparkSession.sparkContext.broadcast((x, degree))
+
+    def value(rows: np.ndarray, _: np.ndarray) -> np.ndarray:
+        y, d = shared.value
+        w = block(y, rows, kind, gamma, scale)
+        return w / np.sqrt(np.nansum(w, 1)[:, None] * d)
+
+    return _pairs(df, df, "w", value)
+
+
 def sigma(x: np.ndarray, c: float = 2.0) -> float:
     """The same scale for a bounded matrix."""
     lo, hi = np.nanquantile(x, normal_tail(c), axis=0)

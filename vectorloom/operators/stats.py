@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vec import clamp, null_nan
+from ..sources.shared import remove, written
 from ..sources.tables import matrix
 from . import linalg
 
@@ -31,7 +32,17 @@ def _doubles(u: np.ndarray) -> np.ndarray:
 def vector_quantiles(df: DataFrame, vector: str, probabilities: list[float]) -> np.ndarray:
     """Exact, linearly interpolated quantiles per coordinate (probabilities x d); NaN and NULL ignored, NaN where nothing is left.
 
-    A radix selection: passes count the next ``DIGIT`` bits of the values that may still be the wanted ones (partial
+    The column is written once: its passes don't form it again.
+    """
+    held = written(df.select(F.col(vector).cast("array<double>").alias("v")), "quantiles")
+    try:
+        return _selected(held, "v", probabilities)
+    finally:
+        remove(held)
+
+
+def _selected(df: DataFrame, vector: str, probabilities: list[float]) -> np.ndarray:
+    """A radix selection: passes count the next ``DIGIT`` bits of the values that may still be the wanted ones (partial
     aggregates of fixed size); the last few of these values are fetched. No task ever holds or sorts a column.
     """
     first = df.select(F.size(vector).alias("d")).where("d >= 0").first()

@@ -268,9 +268,7 @@ def degree_block(spark, sf_dir):
 
 @register(f"WITH {AFF} SELECT i, j, round(w / sqrt(d.degree * e.degree), 8) + 0.0::DOUBLE AS w FROM aff JOIN deg d ON d.id = i JOIN deg e ON e.id = j")
 def normalized_affinity(spark, sf_dir):
-    pairs = affinity.affinities(planted(spark, sf_dir), gamma=GAMMA)
-    d = affinity.degrees(pairs)
-    return affinity.normalized(pairs, d, d).select("i", "j", r6("w", 8).alias("w"))
+    return affinity.normalized_affinities(planted(spark, sf_dir), gamma=GAMMA).select("i", "j", r6("w", 8).alias("w"))
 
 
 # ---- nearest neighbours --------------------------------------------------------------------------------
@@ -863,9 +861,26 @@ def stream_scoring(spark, sf_dir):
     return _clusters(spark.read.schema("id bigint, ev array<double>").parquet(f"{at}/out"))
 
 
-@register()
+#: Eigenvectors of a symmetric matrix of three rows in closed form: values by angles, vectors as cross products of two rows, signs by their sums.
+_AXES = """
+a AS (SELECT var_pop(x) AS xx, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, var_pop(y) AS yy, covar_pop(y, z) AS yz, var_pop(z) AS zz, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, (var_pop(x) + var_pop(y) + var_pop(z)) / 3 AS q FROM xyz),
+s AS (SELECT *, sqrt(((xx - q) ** 2 + (yy - q) ** 2 + (zz - q) ** 2 + 2 * (xy ** 2 + xz ** 2 + yz ** 2)) / 6) AS p FROM a),
+t AS (SELECT *, acos(least(1, greatest(-1, ((xx - q) * ((yy - q) * (zz - q) - yz ** 2) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * p ** 3)))) / 3 AS phi FROM s),
+w AS (SELECT *, q + 2 * p * cos(phi + 2 * pi() / 3) AS w0, q + 2 * p * cos(phi) AS w2 FROM t),
+e AS (SELECT *, unnest([{'j': 0, 'w': w0}, {'j': 1, 'w': 3 * q - w0 - w2}, {'j': 2, 'w': w2}]) AS e FROM w),
+c3 AS (SELECT e.j AS j, mx, my, mz, [xy * yz - xz * (yy - e.w), xz * xy - (xx - e.w) * yz, (xx - e.w) * (yy - e.w) - xy ** 2] AS u FROM e),
+axis AS (SELECT j, mx, my, mz, list_transform(u, lambda x: x * CASE WHEN list_sum(u) < 0 THEN -1 ELSE 1 END / sqrt(list_dot_product(u, u))) AS u FROM c3),
+turned AS (SELECT id, sum(d) FILTER (j = 0) AS l, sum(d) FILTER (j = 1) AS a, sum(d) FILTER (j = 2) AS b FROM (SELECT id, j, (x - mx) * u[1] + (y - my) * u[2] + (z - mz) * u[3] AS d FROM xyz, axis) GROUP BY id),
+scale_ AS (SELECT quantile_cont(sqrt(a * a + b * b), 0.95) AS far, quantile_cont(l, 0.025) AS lo, quantile_cont(l, 0.975) AS hi FROM turned),
+lab AS (SELECT id, (l * 100.0::DOUBLE / (hi - lo) + 50 + 16) / 116.0::DOUBLE AS fy, a * 128.0::DOUBLE / far AS la, b * 128.0::DOUBLE / far AS lb FROM turned, scale_),
+"""
+
+
+@register(f"WITH {RAW}, {XYZ}, {_AXES} {_LAB[_LAB.index('f AS'):]} SELECT id, {_SRGB('r')}, {_SRGB('g')}, {_SRGB('b')} FROM l")
 def lab_cube(spark, sf_dir):
-    return layout.lab_cube(raw(spark, sf_dir).select("id", F.slice("v", 1, 3).alias("v")))
+    """Three coordinates as colours, turned to their principal axes."""
+    got = layout.lab_cube(raw(spark, sf_dir).select("id", F.slice("v", 1, 3).alias("v")))
+    return got.select("id", *(r6(c).alias(c) for c in "rgb"))
 
 
 # ---- colours of embeddings -----------------------------------------------------------------------------
