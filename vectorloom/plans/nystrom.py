@@ -22,6 +22,9 @@ from ..sources.shared import remove, written
 from ..sources.tables import complement, matrix, reassembled, to_numpy
 from ..streaming.online import Online, exists
 
+#: Rows up to which a cut of all of them is one matrix, on the driver.
+FULL = 5_000
+
 
 @dataclass
 class LaplacianKernel:
@@ -107,12 +110,11 @@ class NystromNCut(Online):
         self.n_components, self.kind, self.gamma, self.adaptive, self.config, self.solver = n_components, affinity_type, affinity_focal_gamma, adaptive_scaling, sample_config, eig_solver
         self.kernel_type, self.kernel, self.full, self.history = kernel_type, None, None, history
 
-    def fit(self, df: DataFrame, sample_ids: DataFrame | None = None, most: int = MOST) -> NystromNCut:
-        """Learn from the sample. All of a table beyond ``most`` rows are landmarks in tiles (for the kernel of this module, without adaptive scaling)."""
+    def fit(self, df: DataFrame, sample_ids: DataFrame | None = None, most: int = FULL) -> NystromNCut:
+        """Learn from the sample. Where all of more than ``most`` rows are landmarks, they are in tiles (adaptive scaling and other kernels have no tiles: up to ``MOST`` rows)."""
         self.full = None
-        if sample_ids is None and self.config.method == "full" and not few(df, most):
-            if self.adaptive or self.kernel_type is not LaplacianKernel:
-                raise ValueError(f"more than {most} landmarks: sample them, or use the kernel as it is")
+        plain = self.kernel_type is LaplacianKernel and not self.adaptive
+        if plain and sample_ids is None and self.config.method == "full" and not few(df, most):
             self.full = tiled_spectrum(df, self.n_components, self.kind, self.gamma, solver=self.solver)
             self.eigenvalues_ = self.full[2]
             return self
@@ -222,7 +224,7 @@ class NystromNCut(Online):
         missing = F.array_repeat(F.lit(float("nan")), c)
         return rows.select("id").join(got.select("id", ev.alias("ev")), "id", "left").select("id", F.coalesce("ev", missing).alias("ev"))
 
-    def fit_transform(self, df: DataFrame, sample_ids: DataFrame | None = None, most: int = MOST) -> DataFrame:
+    def fit_transform(self, df: DataFrame, sample_ids: DataFrame | None = None, most: int = FULL) -> DataFrame:
         self.fit(df, sample_ids, most)
         if self.full is not None:
             missing = F.array_repeat(F.lit(float("nan")), len(self.eigenvalues_))
