@@ -123,6 +123,31 @@ def test_rare_grams_give_their_mass_to_shorter_ones(spark, monkeypatch):
         assert abs(every.sum() - 1) < 1e-9
 
 
+def test_grams_of_any_rarity_are_kept(spark):
+    r = np.random.default_rng(6)
+    common = " ".join(["abcd"] * 100) + " "
+    rare = ["".join(chr(0x4E00 + int(x)) for x in r.integers(0, 2000, 4)) for _ in range(300)]
+    rows = [(common * 200, "a")] * 60 + [(" ".join(rare), "a")]  # a rare n-gram is one of six million
+    model = langid_kn.fit(spark.createDataFrame(rows, "text string, lang string").repartition(4))
+    codes = langid_kn._grams(rare)[0]
+    assert np.isin(codes, model.tables[0][3][0]).all()
+
+
+def test_a_model_in_tables_gives_what_a_broadcast_one_does(spark):
+    r = np.random.default_rng(7)
+    word = lambda k: "".join(chr(97 + (int(x) * (k + 1)) % 26) for x in r.integers(0, 12, int(r.integers(1, 8))))
+    rows = [(i, " ".join(word(i % 3) for _ in range(40)), "abc"[i % 3], i) for i in range(60)] + [(99, None, "a", 1), (98, "", "a", 2), (97, "123 456", None, 3), (96, "𠀀一 z", None, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, block long").repartition(4)
+    small, wide = (langid_kn.fit(df, limit=n) for n in (1 << 22, 10))
+    assert isinstance(wide, langid_kn.Wide) and np.allclose(small.reject, wide.reject)
+    a, b = ({x.doc_id: x for x in langid_kn.score(df, m).collect()} for m in (small, wide))
+    assert len(a) == len(b) == len(rows)
+    for k, x in a.items():
+        assert (x.lang_pred, x.rejected, x.block) == (b[k].lang_pred, b[k].rejected, b[k].block)
+        assert np.isclose(x.score, b[k].score) and (x.entropy is None) == (b[k].entropy is None)
+    assert langid_kn.predict(df.where("false"), limit=10).count() == 0
+
+
 def test_characters_beyond_16_bits_are_not_those_of_their_lower_bits():
     far, near = (langid_kn._grams([w])[0] for w in ("\U00010041bc", "Abc"))
     assert (far != near).any()
