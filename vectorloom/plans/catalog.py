@@ -565,6 +565,16 @@ def planted_clusters_nystrom(spark, sf_dir):
     return _clusters(NystromNCut(CLUSTERS, affinity_focal_gamma=GAMMA, sample_config=config).fit_transform(planted(spark, sf_dir)))
 
 
+@register(_BY_LABEL)
+def stored_model_clusters(spark, sf_dir):
+    """A model that has learnt from landmarks and the rest, stored, and another that goes on from what was stored."""
+    df = planted(spark, sf_dir).select("id", "v")
+    model, at = NystromNCut(CLUSTERS, affinity_focal_gamma=GAMMA).fit(df, sample(df)), fresh(spark, "model")
+    model.update(tables.complement(df, sample(df)))
+    model.save(spark, at)
+    return _clusters(NystromNCut(1).load(spark, at).transform(df))
+
+
 @register(_BY_LABEL)
 def planted_clusters_adaptive(spark, sf_dir):
     config = sampling.SampleConfig("fps", LANDMARKS)
@@ -885,6 +895,17 @@ def lab_cube(spark, sf_dir):
 
 # ---- colours of embeddings -----------------------------------------------------------------------------
 
+_SMOOTH = "one AS (SELECT id, p, sum(w * o[p]) / sum(w) AS x FROM near, range(1, 65) t(p) WHERE rank <= 10 GROUP BY id, p), sm AS (SELECT id, list(x ORDER BY p) AS v FROM one GROUP BY id), s2 AS (SELECT q.id, a.id AS anchor_id, a.v AS o, exp(list_cosine_similarity(a.v, q.v) - 1.0::DOUBLE) AS w FROM sm a, sm q), near2 AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY w DESC, anchor_id) AS rank FROM s2)"
+_SECOND = ", ".join(f"sum(w * o[{i}]) / sum(w) AS {c}" for i, c in enumerate("xyz", 1))
+
+
+@register(f"WITH {ALL_NEAR}, {_SMOOTH}, xyz AS (SELECT id, {_SECOND} FROM near2 WHERE rank <= 10 GROUP BY id), {CUBE} SELECT id, round(r, 6) + 0.0::DOUBLE AS r, round(g, 6) + 0.0::DOUBLE AS g, round(b, 6) + 0.0::DOUBLE AS b FROM cube")
+def rgb_callables(spark, sf_dir):
+    """A reduction and a colouring of one's own: the first three coordinates of smoothed rows, as a cube."""
+    got = layout.color_rows(raw(spark, sf_dir), lambda rows, metric, seed: rows[:, :3], layout.rgb_of_cube, num_sample=10_000)
+    return got.select("id", *(r6(c).alias(c) for c in "rgb"))
+
+
 COLOURS = ("rgb_from_tsne_2d", "rgb_from_tsne_3d", "rgb_from_euclidean_tsne_3d", "rgb_from_umap_2d", "rgb_from_umap_3d", "rgb_from_umap_sphere")
 for _name in COLOURS:
 
