@@ -610,7 +610,7 @@ def component0_tiles_transform(spark, sf_dir):
 @register("SELECT i::BIGINT AS i, j::BIGINT AS j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS g FROM range(10) a(i), range(10) b(j)")
 def exact_gram(spark, sf_dir):
     """Products of the eigenvectors of a cut in tiles, summed over all rows."""
-    ev, _ = exact_cut(planted(spark, sf_dir), CLUSTERS, gamma=GAMMA, held=128)
+    ev, _ = exact_cut(planted(spark, sf_dir), CLUSTERS, gamma=GAMMA, rounds=30, solver="svd_lowrank", held=128)
     each = ev.select("id", F.posexplode("ev").alias("i", "x"))
     pairs = each.join(each.select("id", F.col("i").alias("j"), F.col("x").alias("y")), "id")
     return pairs.groupBy(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).agg(r6(F.sum(F.col("x") * F.col("y"))).alias("g"))
