@@ -319,19 +319,90 @@ def test_recordings(spark):
     assert got[100, 1].offset == 20 and got[100, 2].offset == 0 and got[100, 4].bit_error == 0
 
 
+def wav_of(y):
+    import io
+    import wave
+
+    sink = io.BytesIO()
+    with wave.open(sink, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(chroma_audio.RATE)
+        w.writeframes((np.clip(y, -1, 1) * 32767).astype("<i2").tobytes())
+    return bytearray(sink.getvalue())
+
+
+def plain_votes(a, doubt, b):
+    """offset -> votes, by every pair of frames."""
+
+    def stands_alone(x, k):
+        return not any(0 <= j < len(x) and x[j] == x[k] for j in (k - 1, k + 1))
+
+    own = [(int(x), int(y)) for x, y in zip(a, doubt, strict=True)]
+    votes = collections.Counter()
+    for i, j in zip(*np.nonzero(((a[:, None] ^ b[None, :]) & ~doubt[:, None]) == 0), strict=True):
+        if chroma_audio.FLAT in (a[i], b[j]):
+            continue
+        bits = there = 0
+        if stands_alone(own, i) and stands_alone(b, j):
+            one, two = chroma_audio.AROUND
+            for side in ((-one, -two), (one, two)):
+                if all(0 <= i + d < len(a) and 0 <= j + d < len(b) for d in side):
+                    bits += sum(int(a[i + d] ^ b[j + d]).bit_count() for d in side)
+                    there += 64
+        votes[int(i - j)] += bits <= chroma_audio.NEAR * there
+    return votes
+
+
+def plain_match(a, doubt, b):
+    found = []
+    for offset, n in plain_votes(a, doubt, b).items():
+        frames, error = chroma_audio.errors(a, b, offset)
+        few = min(len(a), len(b))
+        if n >= min(chroma_audio.VOTES, few) and frames >= min(chroma_audio.GAP + chroma_audio.VOTES, few) and error <= chroma_audio.ERROR:
+            found.append((n, -abs(offset), offset))
+    return max(found)[::2] if found else None
+
+
 def test_recording_search_against_brute_force(spark):
-    got = {(r.vec_id, r.match_class) for r in queries.op7_chroma_audio(spark, SF).collect() if r.match_class is not None}
-    prints = {r.vec_id: np.array(r.fp, np.int32) for r in chroma_audio.fingerprints(spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding"), "embedding", chroma_audio.sounded).collect()}
-    want = set()
-    for q in (k for k in prints if k % 100 == 0):
-        for k, p in prints.items():
-            g = chroma_audio.GAP
-            votes = collections.Counter(i - j for i, j in itertools.product(range(len(p) - g), repeat=2) if prints[q][i] == p[j] and prints[q][i + g] == p[j + g])
-            if votes:
-                offset, n = max(votes.items(), key=lambda x: (x[1], -abs(x[0]), x[0]))
-                if n >= chroma_audio.VOTES and chroma_audio.errors(prints[q].view(np.uint32), p.view(np.uint32), offset)[1] <= chroma_audio.ERROR:
-                    want.add((q, k))
-    assert got == want
+    r = np.random.default_rng(3)
+    tune = lambda n: chroma_audio.read(chroma_audio.sounded(list(r.standard_normal(n) * 0.3)))[0]
+    hold = lambda n, pitch: 0.5 * np.sin(2 * np.pi * pitch * np.arange(n) / chroma_audio.RATE)
+    sounds = {}
+    for k in range(10):
+        x = tune(64)
+        sounds[100 * (k + 1)] = x
+        for j, noise in enumerate((0.02, 0.1, 0.2, 0.25, 0.28, 0.3, 0.32, 0.35, 0.5), 1):
+            sounds[100 * (k + 1) + j] = (x if j % 3 else x[13 * chroma_audio.HOP :]) + r.standard_normal(len(x) if j % 3 else len(x) - 13 * chroma_audio.HOP) * noise
+    held = np.concatenate([tune(8), hold(20_000, 440.0), tune(8)])
+    sounds |= {5000: held, 5001: held[3000:], 5002: np.concatenate([hold(9000, 440.0), tune(9)]), 6000: tune(5), 6001: np.zeros(9000)}
+    prints = {k: chroma_audio.fingerprint_and_doubts(chroma_audio.chroma(*chroma_audio.read(bytes(wav_of(x))))) for k, x in sounds.items()}
+    df = spark.createDataFrame([(k, wav_of(x)) for k, x in sounds.items()], "id long, audio binary")
+    got = {(m.id, m.match_class): (m.votes, m.offset) for m in chroma_audio.align(chroma_audio.fingerprints(df), "id", F.col("id") % 100 == 0).collect() if m.match_class is not None}
+    want = {(q, k): m for q in sounds if q % 100 == 0 for k in sounds if (m := plain_match(*prints[q], prints[k][0]))}
+    assert got == want and len(got) > 70
+    # Against every offset of every pair, whatever its votes.
+    close = set()
+    for q in (q for q in sounds if q % 100 == 0):
+        for k in sounds:
+            a, b = prints[q][0], prints[k][0]
+            checked = [chroma_audio.errors(a, b, o) for o in range(-len(b), len(a))]
+            if any(n >= min(chroma_audio.GAP + chroma_audio.VOTES, len(a), len(b)) and n and e <= chroma_audio.ERROR for n, e in checked) and (a != chroma_audio.FLAT).any() and (b != chroma_audio.FLAT).any():
+                close.add((q, k))
+    assert set(got) <= close and len(set(got)) >= 0.9 * len(close)
+
+
+def test_recall_up_to_the_bit_error_of_a_match():
+    r, found = np.random.default_rng(8), collections.defaultdict(list)
+    for _ in range(60):
+        x = chroma_audio.read(chroma_audio.sounded(list(r.standard_normal(64) * 0.3)))[0]
+        a, doubt = chroma_audio.fingerprint_and_doubts(chroma_audio.chroma(x))
+        for noise in np.arange(0.1, 0.34, 0.02):
+            b = chroma_audio.fingerprint(chroma_audio.chroma(x + r.standard_normal(len(x)) * noise))
+            error = chroma_audio.errors(a, b, 0)[1]
+            if error <= chroma_audio.ERROR:
+                found[int(error / 0.04)].append(plain_votes(a, doubt, b)[0] >= chroma_audio.VOTES)
+    assert set(found) >= {1, 2, 3} and all(np.mean(v) >= 0.98 for v in found.values())
 
 
 def shingled(t, n):

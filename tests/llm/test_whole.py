@@ -189,7 +189,7 @@ def test_noisy_and_short_recordings_are_found(spark):
     rows += [(5000, _wav(short)), (5001, _wav(np.append(short[:-384], r.standard_normal(384) * 0.5)))]  # the last three of its integers may differ
     df = spark.createDataFrame(rows, "id long, audio binary")
     got = {(m.id, m.match_class) for m in chroma_audio.align(chroma_audio.fingerprints(df), "id", F.col("id") % 100 == 0).collect() if m.offset == 0}
-    near = [k for k, e in truth.items() if e < 0.08]
+    near = [k for k, e in truth.items() if e < 0.15]
     assert len(near) >= 10 and sum(k in got for k in near) >= 0.98 * len(near)
     assert len(chroma_audio.fingerprint(chroma_audio.chroma(short, chroma_audio.RATE))) <= 8 and (5000, 5001) in got
 
