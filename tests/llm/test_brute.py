@@ -92,21 +92,43 @@ def plain_quality(t):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(again)
 
 
-def plain_robust(x):
-    """Concentration by the operator's rules in plain arrays: mean and covariance of the rows of x."""
+def plain_starts(x):
     floor = np.array(quality_mcd.FLOOR)
     q = np.quantile(x, [0.25, 0.5, 0.75], axis=0, method="inverted_cdf")
-    mean, cov = q[1], np.diag(np.maximum((q[2] - q[0]) / 1.349, floor) ** 2)
-    for turn in range(quality_mcd.STEPS + 1):
-        d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-        share = quality_mcd.INNER if turn == quality_mcd.STEPS else quality_mcd.SHARE
-        b = np.floor(np.log2(d + 1e-6) * quality_mcd.BINS)
-        values, n = np.unique(b, return_counts=True)
-        limit = 2.0 ** ((values[np.cumsum(n) >= share * len(x)][0] + 1) / quality_mcd.BINS)
-        near = x[d <= (quality_mcd.chi_squared(share) if turn == quality_mcd.STEPS else limit)]
-        mean = near.mean(0)
-        cov = (near.T @ near / len(near) - np.outer(mean, mean)) * quality_mcd.consistency(share) + np.diag(floor**2)
-    return mean, cov
+    spread = np.maximum((q[2] - q[0]) / 1.349, floor)
+    z = (x - q[1]) / spread
+    far = np.linalg.norm(z, axis=1, keepdims=True)
+    yield q[1], np.diag(spread**2)
+    for y in (np.tanh(z), np.divide(z, far, out=np.zeros_like(z), where=far > 0)):
+        moments = y.T @ y / len(y)
+        both = np.outer(np.diag(moments), np.diag(moments))
+        r = (1 - quality_mcd.SHRINK) * np.divide(moments, both**0.5, out=np.zeros_like(both), where=both > 0)
+        np.fill_diagonal(r, 1)
+        yield q[1], r * np.outer(spread, spread)
+
+
+def plain_step(x, estimate, last=False):
+    mean, cov = estimate
+    d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+    share = quality_mcd.INNER if last else quality_mcd.SHARE
+    values, n = np.unique(np.floor(np.log2(d + 1e-6) * quality_mcd.BINS), return_counts=True)
+    limit = 2.0 ** ((values[np.cumsum(n) >= share * len(x)][0] + 1) / quality_mcd.BINS)
+    near = x[d <= (quality_mcd.chi_squared(share) if last else limit)]
+    mean = near.mean(0)
+    return mean, (near.T @ near / len(near) - np.outer(mean, mean)) * quality_mcd.consistency(share) + np.diag(np.array(quality_mcd.FLOOR) ** 2)
+
+
+def plain_robust(x):
+    """Concentration by the operator's rules in plain arrays: mean and covariance of the rows of x."""
+    tried = []
+    for start in plain_starts(x):
+        for _ in range(quality_mcd.FIRST):
+            start = plain_step(x, start)
+        tried.append((round(np.linalg.slogdet(start[1])[1] / 2, 6), start))
+    best = min(tried, key=lambda t: t[0])[1]
+    for _ in range(quality_mcd.STEPS - quality_mcd.FIRST):
+        best = plain_step(x, best)
+    return plain_step(x, best, last=True)
 
 
 def plain_pooled(n, own, wide):

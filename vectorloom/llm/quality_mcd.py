@@ -4,9 +4,10 @@ A minimum-covariance-determinant estimate per (language, source) is found over t
 vectors of *all* documents that pass the base limits; a document is rejected if its Mahalanobis distance
 from the estimate of its group exceeds the ``QUANTILE`` of chi-squared. Column expressions and aggregates only.
 
-The search is the concentration step of the fast algorithm: from a start of per-coordinate medians and
-spreads, each step keeps the share ``SHARE`` of a group's vectors that lie nearest and recomputes mean
-and covariance from them; the determinant never grows. A last step takes all vectors within ``INNER`` of
+The search is the concentration step of the fast algorithm: each step keeps the share ``SHARE`` of a group's vectors that lie
+nearest and recomputes mean and covariance from them; the determinant never grows. Every group has three starts about its medians (spreads
+alone; correlations of coordinates bent by tanh; correlations of the vectors' signs), makes ``FIRST`` steps from each, and goes on from the
+one of least determinant (ties: the earlier start). A last step takes all vectors within ``INNER`` of
 chi-squared. Shares are taken from a histogram of log distances (``BINS`` per doubling), so a step is two aggregates
 over narrow rows, whatever a group's size. Equal vectors of a group count once: a document copied many times can't
 own the estimate. An estimate from n vectors is pooled with ``PRIOR`` vectors of the wider one (a group with its language, a
@@ -32,6 +33,8 @@ MAX_REPEAT = 50  # percent of words
 SYMBOLS = "#*$%&|<>"
 #: A share just over one half: up to nearly half of a group may be odd before its estimate breaks.
 SHARE, STEPS, BINS, PRIOR = 0.51, 4, 16, 100
+#: Starts of a group, steps made from each of them, and how much of their correlations gives way to none.
+STARTS, FIRST, SHRINK = 3, 2, 0.25
 #: Quantiles of chi-squared with P degrees: of the last step's vectors, and of the documents that stay.
 INNER, QUANTILE = 0.975, 0.9999
 #: Least spread of each transformed coordinate: below it a difference has no meaning for quality.
@@ -146,6 +149,42 @@ def _nearest(rows: DataFrame, share: float, value: str, name: str) -> DataFrame:
     return run.where(F.col("upto") >= share * F.col("all")).groupBy("g").agg(F.pow(F.lit(2.0), (F.min("b") + 1) / F.lit(float(BINS))).alias(name))
 
 
+def _starts(data: DataFrame, few: bool) -> DataFrame:
+    """Estimates to start from, ``g`` led by the number of the start: medians, with spreads alone and with two robust correlations."""
+    centre = data.groupBy("g").agg(*(F.percentile_approx(f"x{i}", 0.5, 10_000).alias(f"m{i}") for i in range(P)), *(F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.75)), 10_000).alias(f"q{i}") for i in range(P)))
+    spread = [F.greatest((F.col(f"q{i}")[1] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOOR[i])).alias(f"s{i}") for i in range(P)]
+    centre = cut(centre.select("g", *(f"m{i}" for i in range(P)), *spread), "centre")
+    z = _with(data, centre, few).select("g", *(((F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"s{i}")).alias(f"z{i}") for i in range(P)))
+    z = z.select("*", F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(P)), F.lit(0.0))).alias("far"))
+    bent = z.select("g", *(F.tanh(f"z{i}").alias(f"y1_{i}") for i in range(P)), *(F.when(F.col("far") > 0, F.col(f"z{i}") / F.col("far")).otherwise(0.0).alias(f"y2_{i}") for i in range(P)))
+    moments = bent.groupBy("g").agg(*(F.avg(F.col(f"y{k}_{i}") * F.col(f"y{k}_{j}")).alias(f"r{k}_{i}_{j}") for k in (1, 2) for i, j in PAIRS))
+
+    def correlation(k: int, i: int, j: int) -> Column:
+        if i == j:
+            return F.lit(1.0)
+        both = F.col(f"r{k}_{i}_{i}") * F.col(f"r{k}_{j}_{j}")
+        return F.when(both > 0, (1 - SHRINK) * F.col(f"r{k}_{i}_{j}") / F.sqrt(both)).otherwise(0.0) if k else F.lit(0.0)
+
+    one = lambda k: F.struct(F.lit(str(k)).alias("k"), *((F.col(f"s{i}") * F.col(f"s{j}") * correlation(k, i, j)).alias(f"c{i}_{j}") for i, j in PAIRS))
+    each = centre.join(moments, "g").select("*", F.explode(F.array(*(one(k) for k in range(STARTS)))).alias("start"))
+    return each.select(F.concat("start.k", "g").alias("g"), *(f"m{i}" for i in range(P)), *(f"start.c{i}_{j}" for i, j in PAIRS))
+
+
+def _step(data: DataFrame, model: DataFrame, few: bool) -> DataFrame:
+    """One concentration step: the estimates of each group's nearest share."""
+    far = _with(data, _factor(model), few).select("g", "id", *(f"x{i}" for i in range(P)), _distance().alias("d"))
+    limit = cut(_nearest(far, SHARE, "d", "limit"), "limit")
+    return cut(_estimates(_with(far, limit, few), F.col("d") <= F.col("limit"), consistency(SHARE)), "model")
+
+
+def _least(model: DataFrame) -> DataFrame:
+    """Of each group's starts the estimate of least determinant."""
+    size = _factor(model).select("g", F.round(sum((F.log(f"l{i}_{i}") for i in range(P)), F.lit(0.0)), 6).alias("size"))
+    own = F.struct(*(c for c in model.columns if c != "g"))
+    ranked = model.select("g", own.alias("own")).join(size, "g").groupBy(F.substring("g", 2, 1 << 30).alias("of")).agg(F.min_by("own", F.struct("size", "g")).alias("own"))
+    return cut(ranked.select(F.col("of").alias("g"), "own.*"), "model")
+
+
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", carry_text: bool = True) -> DataFrame:
     """``docs`` with the statistics, base_failed, distance (null where base_failed) and kept.
 
@@ -161,24 +200,23 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     narrow = stats.where(~F.col("base_failed")).select(tag.alias("g0"), F.coalesce(F.concat(F.lit("l"), F.col(lang)), F.lit("n")).alias("g1"), *(c.alias(f"x{i}") for i, c in enumerate(_vector())))
     rows = cut(narrow.distinct().withColumn("id", F.monotonically_increasing_id()), "vectors")
     sizes = cut(rows.groupBy("g0", "g1").agg(F.count("*").alias("n0")), "groups")
-    few = sizes.count() <= BROADCAST_GROUPS
+    groups = sizes.count()
+    few = groups <= BROADCAST_GROUPS
 
     # Every group's own rows, those of its language, and all rows: one estimate each.
     def level(g: Column) -> DataFrame:
         return rows.select(g.alias("g"), "id", *(f"x{i}" for i in range(P)))
 
     data = level(F.concat(F.lit("group "), F.col("g0"))).unionByName(level(F.concat(F.lit("lang "), F.col("g1")))).unionByName(level(F.lit("all")))
-    centre = data.groupBy("g").agg(*(F.percentile_approx(f"x{i}", 0.5, 10_000).alias(f"m{i}") for i in range(P)), *(F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.75)), 10_000).alias(f"q{i}") for i in range(P)))
-    spread = [F.greatest((F.col(f"q{i}")[1] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOOR[i])) for i in range(P)]
-    model = cut(centre.select("g", *(f"m{i}" for i in range(P)), *((spread[i] * spread[i] if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for i, j in PAIRS)), "start")
-    for turn in range(STEPS + 1):
-        last = turn == STEPS
-        far = _with(data, _factor(model), few).select("g", "id", *(f"x{i}" for i in range(P)), _distance().alias("d"))
-        if last:
-            model = cut(_estimates(far, F.col("d") <= chi_squared(INNER), consistency(INNER)), "model")
-        else:
-            limit = cut(_nearest(far, SHARE, "d", "limit"), "limit")
-            model = cut(_estimates(_with(far, limit, few), F.col("d") <= F.col("limit"), consistency(SHARE)), "model")
+    many = data.select(F.explode(F.array(*(F.lit(str(k)) for k in range(STARTS)))).alias("k"), "*").select(F.concat("k", "g").alias("g"), "id", *(f"x{i}" for i in range(P)))
+    model, all_few = cut(_starts(data, few), "start"), STARTS * groups <= BROADCAST_GROUPS
+    for _ in range(FIRST):
+        model = _step(many, model, all_few)
+    model = _least(model)
+    for _ in range(STEPS - FIRST):
+        model = _step(data, model, few)
+    far = _with(data, _factor(model), few).select("g", "id", *(f"x{i}" for i in range(P)), _distance().alias("d"))
+    model = cut(_estimates(far, F.col("d") <= chi_squared(INNER), consistency(INNER)), "model")
 
     # Pooled from all documents to languages to groups: a row for each language, then for each group.
     def of(kind: str, name: str, before: str) -> DataFrame:
