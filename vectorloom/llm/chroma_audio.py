@@ -202,8 +202,9 @@ def posts(reps: DataFrame, name: str, probe: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, (fp, doubt) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
-                prints, doubts = (np.asarray(x.values).astype(np.int32).view(np.uint32) for x in (fp, doubt))
-                differs = (prints[1:] != prints[:-1]) | (doubts[1:] != doubts[:-1] if probe else False)
+                prints = np.asarray(fp.values).astype(np.int32).view(np.uint32)
+                doubts = np.asarray(doubt.values).astype(np.int32).view(np.uint32) if probe else None
+                differs = (prints[1:] != prints[:-1]) | (False if doubts is None else doubts[1:] != doubts[:-1])
                 starts = np.concatenate([[0], np.nonzero(differs)[0] + 1])
                 length = np.diff(np.append(starts, len(prints)))
                 votes = prints[starts] != FLAT
@@ -211,7 +212,7 @@ def posts(reps: DataFrame, name: str, probe: bool) -> DataFrame:
                 back, ahead, no_back, no_ahead = around(prints)
                 for lo in range(0, len(starts), some):
                     at, long = starts[lo : lo + some], length[lo : lo + some]
-                    keys = probes(prints[at], doubts[at]) if probe else prints[at][:, None]
+                    keys = prints[at][:, None] if doubts is None else probes(prints[at], doubts[at])
                     each = keys.shape[1]
                     side = [pa.array(np.repeat(x[at], each), mask=np.repeat(no[at] | (long > 1), each)) for x, no in ((back, no_back), (ahead, no_ahead))]
                     own = pa.repeat(batch.column(0)[row], keys.size)
@@ -235,9 +236,9 @@ def align(prints: DataFrame, key: str, is_query) -> DataFrame:
     One row per recording that is no query or matches nothing (nulls), else one per matched class; class_id
     and match_class are the smallest id of the recordings with that fingerprint.
     """
-    some = F.size("fp") > 0
-    table = cut(prints.select(F.col(key), "fp", "doubt", F.when(some, F.xxhash64("fp")).alias("h1"), F.when(some, F.hash("fp")).alias("h2"), F.coalesce(is_query, F.lit(False)).alias("is_query")), "prints")
-    first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), "doubt"))  # those of the smallest id
+    some, asks = F.size("fp") > 0, F.coalesce(is_query, F.lit(False))
+    table = cut(prints.select(F.col(key), "fp", F.when(asks, F.col("doubt")).alias("doubt"), F.when(some, F.xxhash64("fp")).alias("h1"), F.when(some, F.hash("fp")).alias("h2"), asks.alias("is_query")), "prints")
+    first = F.min(F.when(F.col("is_query"), F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), "doubt")))  # those of the query with the smallest id
     sets = table.where("h1 is not null").groupBy("h1", "h2").agg(F.min(key).alias("class_id"), F.max("is_query").alias("asks"), F.first("fp").alias("fp"), first["doubt"].alias("doubt"))
     reps = cut(sets, "classes")
 
