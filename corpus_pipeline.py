@@ -1,4 +1,8 @@
-"""A training corpus from ``documents``: five stages, each written and read again before the next."""
+"""A training corpus from ``documents``: five stages, each written and read again before the next.
+
+Every stage takes the columns of ``documents`` (others, whatever their names, don't take part), whole texts of any length, and gives an
+empty table for an empty one. What it does with nulls, empty texts and repeated rows is said with it.
+"""
 
 from __future__ import annotations
 
@@ -13,28 +17,44 @@ WORDS, PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.
+
+    Null and empty texts have no words and go; a null id, language or source is no reason to go; repeated rows get the same verdict.
+    """
     return quality_mcd.judge(docs.select(COLUMNS)).where("kept").select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of linked documents."""
+    """One document, that of the smallest id, of each group of linked documents.
+
+    Null and empty texts link with nothing and stay, as do rows without an id; rows that repeat an id are each judged by their own text, so an
+    exact repeat stays beside the first.
+    """
     return sigtree_join.keep_one(docs.select(COLUMNS), words=WORDS, percent=PERCENT)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without paragraphs, and without runs of 50 words, that an earlier one holds; those of which nothing is left go."""
+    """Documents without paragraphs, and without runs of 50 words, that an earlier one holds; those of which nothing is left go.
+
+    Null and empty texts lose nothing and stay, as do rows without an id; rows that repeat an id are one document, which loses nothing to itself.
+    """
     lines = cut(para_minhash.dedup(docs.select(COLUMNS), words=WORDS, percent=PERCENT), "lines")
     return _counted(para_minhash.dedup_runs(lines))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their secrets replaced by a mark."""
+    """Documents with their secrets replaced by a mark.
+
+    No row goes: null text stays null, an empty one empty; repeated rows are scanned each.
+    """
     return _counted(secret_random.redact(docs.select(COLUMNS)))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences.
+
+    Null and empty texts are one token, the end mark; repeated rows, and rows without an id, are packed each.
+    """
     import public_tokenizers
 
     return vector_pack.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
