@@ -122,6 +122,21 @@ def test_stages_take_empty_tables_and_rows_of_nulls(spark, stage):
         assert got.columns == none.columns
 
 
+def test_stages_with_repeated_rows_empty_texts_and_columns_of_our_names(spark):
+    r = np.random.default_rng(1)
+    text = " ".join(f"w{i}" for i in r.integers(0, 10_000, 200))
+    own = " ".join(f"v{i}" for i in r.integers(0, 10_000, 200))
+    rows = [(1, text), (1, text), (2, text), (3, ""), (3, ""), (4, None), (None, own)]
+    names = ["kept", "stay", "__k", "component_id", "fp", "places"]
+    df = spark.createDataFrame([(*row, "en", "s", 9, *names) for row in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    want = {"quality rules": [None, 1, 1, 2], "n-gram Jaccard join": [None, 1, 1, 3, 3, 4], "substring dedup": [None, 1, 1, 3, 3, 4], "secret scans": [None, 1, 1, 2, 3, 3, 4], "packing": [None, 1, 1, 2, 3, 3, 4]}
+    for name, f in corpus_pipeline.STAGES:
+        got = f(spark, df, SF)
+        rows_of_pieces = got.where("start = 0") if name == "packing" else got
+        assert sorted((x.doc_id for x in rows_of_pieces.collect()), key=lambda k: -1 if k is None else k) == want[name], name
+        assert name == "packing" or got.columns == corpus_pipeline.COLUMNS
+
+
 def test_secrets_of_the_pipeline_leave_clean_documents(spark, docs):
     got = {r.doc_id: r.text for r in corpus_pipeline.secrets(spark, docs, SF).collect()}
     for r in docs.collect():
