@@ -25,6 +25,8 @@ from .paired import Side, added, paired
 HELD, STREAM = 1 << 16, 1 << 18
 #: Rows and columns of a tile, which is to stay in a core's cache; pairs of pieces for each core.
 HIGH, WIDE, EACH = 128, 1024, 3
+#: Rows for which a piece of their own is worth a task.
+LEAST = 512
 
 
 def _few(df: DataFrame, symmetric: bool = False) -> int:
@@ -34,8 +36,8 @@ def _few(df: DataFrame, symmetric: bool = False) -> int:
 
 
 def pieces(df: DataFrame, n: int, asked: int, most: int, symmetric: bool = False) -> int:
-    """Pieces of ``asked`` of n rows; fewer where these would be more than ``_few``, though of ``most`` rows at most."""
-    return max(1, -(-n // max(most, asked)), min(-(-n // asked), _few(df, symmetric)))
+    """Pieces of n rows: of ``asked`` rows, or of ``LEAST`` if that is less, while these are at most ``_few``; else as many as that, of ``most`` rows at most."""
+    return max(1, -(-n // max(most, asked)), min(-(-n // min(asked, LEAST)), _few(df, symmetric)))
 
 
 def dealt(n: int):
