@@ -32,3 +32,28 @@ def test_symmetric_products(spark):
         got = tiles.symmetric(rows, 90, kind, 0.5, scale, held=7).orderBy("id").collect()
         want = np.arange(1, 91)[:, None] * (affinity.block(x, x, kind, 0.5, scale) @ np.stack([x[:, 0], np.ones(90)], 1))
         assert np.allclose([r.y for r in got], want)
+
+
+def test_pairs_of_two_sides_of_any_size(spark, monkeypatch):
+    x, y = vectors(70), vectors(50, seed=1)
+    y[3] = np.nan
+    found = lambda pairs, n: {(r.i, r.j): r[n] for r in pairs.collect()}
+    cases = [
+        lambda: found(affinity.distances(table(spark, x), table(spark, y)), "d"),
+        lambda: found(affinity.distances(table(spark, x), table(spark, y), "euclidean"), "d"),
+        lambda: found(affinity.affinities(table(spark, x)), "w"),
+        lambda: found(affinity.affinities(table(spark, x), kind="rbf"), "w"),
+        lambda: found(affinity.normalized_affinities(table(spark, x)), "w"),
+        lambda: {r.id: r.degree for r in affinity.all_degrees(table(spark, x)).collect()},
+    ]
+    want = [f() for f in cases]
+    monkeypatch.setattr(affinity, "MOST", 40)
+    for f, w in zip(cases, want, strict=True):
+        got = f()
+        assert got.keys() == w.keys() and np.allclose([got[k] for k in w], list(w.values()), equal_nan=True)
+
+
+def test_every_core_gets_a_piece(spark):
+    df = spark.range(1)
+    assert tiles.pieces(df, 50_000, tiles.HELD, tiles.HELD, True) == tiles._few(df, True) > 1
+    assert tiles.pieces(df, 10**7, 100, tiles.HELD) == -(-(10**7) // tiles.HELD)
