@@ -64,3 +64,13 @@ def test_farthest_points_of_a_table_that_no_task_holds(spark, monkeypatch):
     monkeypatch.setattr(affinity, "MOST", 100)
     got = catalog.QUERIES["fps_properties"](spark, "/root/testdata/sf0.001").collect()
     assert [tuple(r) for r in got] == [("fps", True, True), ("fps_recursive", True, True)]
+
+
+def test_colours_apart_by_sums_in_tiles(spark):
+    x = np.random.default_rng(2).random((60, 3))
+    label = np.arange(60) % 3
+    for shift in (0.0, 1.0):
+        v = x + shift * label[:, None]
+        d, same = np.sqrt(((v[:, None] - v) ** 2).sum(2)), label[:, None] == label
+        rows = spark.createDataFrame([(i, v[i].tolist(), int(label[i])) for i in range(60)], "id long, v array<double>, label int")
+        assert catalog._apart(rows, 60) == (d[same].mean() < 0.8 * d[~same].mean()) == bool(shift)

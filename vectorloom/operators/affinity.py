@@ -160,15 +160,20 @@ def exponents(x: np.ndarray, kind: str, gamma: float, scale: float | None, rows:
     one = np.ones((len(x), 1))
     if kind == "cosine":
         return np.concatenate([unit(x) / gamma, -one / gamma], 1) if rows else np.concatenate([unit(x), one], 1)
+    square = (x**2).sum(1)[:, None]
+    if kind == "distance":
+        return np.concatenate([-2 * x, square, one], 1) if rows else np.concatenate([x, one, square], 1)
     if kind == "rbf":
-        by, square = 1 / (scale**2 * gamma), (x**2).sum(1)[:, None]
+        by = 1 / (scale**2 * gamma)
         return np.concatenate([x * by, -0.5 * by * square, -0.5 * by * one], 1) if rows else np.concatenate([x, one, square], 1)
     raise ValueError(f"unknown affinity: {kind}")
 
 
 def tile(rows: np.ndarray, columns: np.ndarray, kind: str) -> np.ndarray:
-    """The affinities of two such sides, in one array."""
+    """The affinities of two such sides, in one array; Euclidean distances for "distance"."""
     w = rows @ columns.T
+    if kind == "distance":
+        return np.sqrt(np.maximum(w, 0, out=w), out=w)
     if kind == "rbf":
         np.minimum(w, 0, out=w)
     return np.exp(w, out=w)
