@@ -1,10 +1,11 @@
 """What moves between tasks grows no faster than the table; forms beyond a bounded side give what the bounded ones do."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tests.test_any_size import table
-from vectorloom.operators import affinity, tiles
+from tests.test_any_size import collected, ranked, table
+from vectorloom.operators import affinity, neighbours, tiles
 from vectorloom.plans import catalog
 
 
@@ -74,3 +75,20 @@ def test_colours_apart_by_sums_in_tiles(spark):
         d, same = np.sqrt(((v[:, None] - v) ** 2).sum(2)), label[:, None] == label
         rows = spark.createDataFrame([(i, v[i].tolist(), int(label[i])) for i in range(60)], "id long, v array<double>, label int")
         assert catalog._apart(rows, 60) == (d[same].mean() < 0.8 * d[~same].mean()) == bool(shift)
+
+
+@pytest.mark.parametrize("kind, far", [("cosine", 0.0), ("rbf", 0.0), ("rbf", 30.0), ("rbf", 1e6)])  # far: single precision tells nothing, at last double precision little
+def test_a_query_is_sent_once_to_a_region_however_many_its_blocks(spark, monkeypatch, kind, far):
+    x, moved, real = np.round(vectors(400, 8), 2) + far, [], neighbours.paired
+    x[50:140] = x[7]  # more equal vectors than neighbours
+
+    def counting(held, streamed, *rest):
+        moved.append((held.count(), streamed.count()))
+        return real(held, streamed, *rest)
+
+    monkeypatch.setattr(neighbours, "paired", counting)
+    monkeypatch.setattr(neighbours, "WIDE", 64)
+    monkeypatch.setattr(neighbours, "HIGH", 32)
+    got = collected(neighbours.nearest_of_many(table(spark, x), table(spark, x), 5, kind, block=4, region=80))
+    assert got == ranked(x, x, 5, kind) if far < 1e3 else {len(found) for found in got.values()} == {5} and len(got) == 400
+    assert sum(held + sent for held, sent in moved) <= 400 * (1 + 5 + 2 * 6)  # over 100 blocks were each sent nearly all queries

@@ -5,11 +5,13 @@ blocks of ``BLOCK`` rows; so a block is a ring of a cell, and a crowded cell man
 broadcast lie only pivots and a few numbers for each block.
 
 A query first meets the blocks that seem nearest, as few as hold k anchors. The k-th distance found there bounds the
-true one; by the triangle inequality it rules out every block whose ring is further off, and the query is sent to all others.
+true one; by the triangle inequality it rules out every block whose ring is further off, and the query meets all others.
 Nothing is approximate: where rings rule out little, as with random vectors of many dimensions, more blocks are met, not fewer neighbours found.
 
-Both meetings are joins by block (``paired``). How many queries a block gets is estimated from a bounded sample of them, and
-a block with many is dealt to several tasks; the estimate concerns their balance, not what is found.
+Both meetings are joins (``paired``). The first is by block: how many queries a block gets is estimated from a bounded sample of them, and
+a block with many is dealt to several tasks; the estimate concerns their balance, not what is found. The second is by region, a run of
+blocks: a query goes once to each region with a block that isn't ruled out, however many these are, and there meets these blocks alone. Regions
+are few as the pieces of ``tiles`` are, so what moves grows with the tables, not with the number of blocks.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from .paired import Side, first_of, paired
 BLOCK, PIVOTS, QUERIES, SAMPLED = 8192, 4096, 1 << 16, 10_000
 #: Digits of a squared distance that count: equal ones must not differ by the order of a sum.
 DIGITS = 10
+#: Anchors of a region, and queries that one task of the second meeting takes, at most; queries and anchors of a tile there.
+REGION, HIGH, WIDE = 1 << 17, 512, 8192
 
 
 @dataclass
@@ -47,16 +51,33 @@ class Rings:
     most: np.ndarray
     k: int
 
-    def ways(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(least possible distance to each block, blocks that are met first) of each row."""
-        d = np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (self.pivots**2).sum(1) - 2 * x @ self.pivots.T))[:, self.cell]
-        low = np.maximum(0, np.maximum(d - self.most, self.least - d))
-        order = np.argsort(low + 1e-3 * d, axis=1, kind="stable")
+    def far(self, x: np.ndarray) -> np.ndarray:
+        """Distances to the pivots of each row."""
+        return np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (self.pivots**2).sum(1) - 2 * x @ self.pivots.T))
+
+    def first(self, x: np.ndarray) -> np.ndarray:
+        """Blocks that each row meets first: those that seem nearest, as few as hold k rows."""
+        d = self.far(x)[:, self.cell]
+        seem = np.maximum(0, np.maximum(d - self.most, self.least - d)) + 1e-3 * d
+        # So many blocks hold k rows, whichever they are.
+        few = min(len(self.rows), int(np.searchsorted(np.cumsum(np.sort(self.rows)), self.k)) + 1)
+        near = np.argpartition(seem, few - 1, axis=1)[:, :few]
+        order = np.take_along_axis(near, np.argsort(np.take_along_axis(seem, near, 1), axis=1, kind="stable"), 1)
         # A block is met while the ones before it hold fewer than k rows.
         before = np.cumsum(self.rows[order], 1) - self.rows[order]
-        first = np.zeros(d.shape, bool)
-        np.put_along_axis(first, order, before < self.k, 1)
-        return low, first
+        out = np.zeros(d.shape, bool)
+        np.put_along_axis(out, order, before < self.k, 1)
+        return out
+
+    def limit(self, x: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        """Squared distances up to which an anchor may be within the edge (n x 1) of each row, however its products were rounded."""
+        reach = np.sqrt((self.pivots**2).sum(1).max()) + self.most.max() + np.sqrt((x**2).sum(1, keepdims=True))
+        return edge * (1 + 1e-9) + 1e-9 + 1e-15 * (x.shape[1] + 8) * reach**2
+
+    def open(self, x: np.ndarray, edge: np.ndarray, some: slice = slice(None)) -> np.ndarray:
+        """Which blocks, of some, may hold an anchor within the edge of each row."""
+        d = self.far(x)[:, self.cell[some]]
+        return np.maximum(0, np.maximum(d - self.most[some], self.least[some] - d)) ** 2 <= self.limit(x, edge)
 
 
 def placed(df: DataFrame, kind: str, anchors: bool) -> DataFrame:
@@ -110,7 +131,7 @@ def ringed(anchors: DataFrame, block: int) -> tuple[DataFrame, np.ndarray]:
     return written(ranged.mapInArrow(number, "p bigint, cell bigint, r double, id bigint, v array<double>"), "rings"), pivots
 
 
-def nearest_of_many(anchors: DataFrame, queries: DataFrame, k: int, kind: str = "cosine", block: int = BLOCK, most: int = QUERIES) -> DataFrame:
+def nearest_of_many(anchors: DataFrame, queries: DataFrame, k: int, kind: str = "cosine", block: int = BLOCK, most: int = QUERIES, region: int = REGION) -> DataFrame:
     """``(id, anchor_id, d2, rank)``, written: the k anchors of least squared distance to each finite query, equal ones by anchor id.
 
     Distances are those of normalised vectors for "cosine" (two minus twice the cosine), of the vectors as they are for "rbf".
@@ -125,50 +146,137 @@ def nearest_of_many(anchors: DataFrame, queries: DataFrame, k: int, kind: str =
     slack = 1e-9 * (1 + np.abs(hi).max())
     known = Rings(pivots, p, cell, rows, lo - slack, hi + slack, k)
     total = asked.count()
-    first = written(first_of(_met(rings, asked.withColumn("a", F.array(F.lit(float("inf")))), known, True, k, total, most), "id", ["d2", "anchor_id"], k), "near")
+    first = first_of(_met(rings, asked, known, total, most), "id", ["d2", "anchor_id"], k)
     edge = first.groupBy("id").agg(F.max("d2").alias("d2"), F.count("*").alias("n"))
-    open_ = asked.join(edge, "id", "left").select("id", "v", F.array(F.when(F.col("n") >= k, F.col("d2")).otherwise(F.lit(float("inf")))).alias("a"))
-    more = _met(rings, open_, known, False, k, total, most)
-    out = written(first_of(first.drop("rank").unionByName(more), "id", ["d2", "anchor_id"], k), "nearest")
-    for table in (first, asked, rings):
+    edged = asked.join(edge, "id", "left").select("id", "v", F.array(F.when(F.col("n") >= k, F.col("d2")).otherwise(F.lit(float("inf")))).alias("a"))
+    open_ = written(edged, "edges")
+    out = written(first_of(_all_met(rings, open_, known, total, region), "id", ["d2", "anchor_id"], k), "nearest")
+    for table in (open_, asked, rings):
         remove(table)
     return out
 
 
-def _met(rings: DataFrame, queries: DataFrame, known: Rings, first: bool, k: int, total: int, most: int) -> DataFrame:
-    """``(id, anchor_id, d2)``: up to k candidates of each query from each block it is sent to."""
+def _met(rings: DataFrame, queries: DataFrame, known: Rings, total: int, most: int) -> DataFrame:
+    """``(id, anchor_id, d2)``: up to k candidates of each query from each block it meets first."""
     spark = queries.sparkSession
-    shared = spark.sparkContext.broadcast(known)
+    shared, k = spark.sparkContext.broadcast(known), known.k
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = shared.value
         for b in sliced(batches, 4 * len(now.block)):
-            low, home = now.ways(matrix(b.column(1), now.pivots.shape[1]))
-            edge = matrix(b.column(2), 1)
-            go = home if first else ~home & (low**2 <= edge * (1 + 1e-9) + 1e-9)
-            i, j = np.nonzero(go)
-            for s in range(0, len(i), 1 << 14):
-                at = pa.array(i[s : s + (1 << 14)])
-                yield pa.RecordBatch.from_arrays([pa.array(now.block[j[s : s + (1 << 14)]]), *(b.column(c).take(at) for c in range(3))], names=["p", "id", "v", "a"])
+            i, j = np.nonzero(now.first(matrix(b.column(1), now.pivots.shape[1])))
+            at = pa.array(i)
+            yield pa.RecordBatch.from_arrays([pa.array(now.block[j]), b.column(0).take(at), b.column(1).take(at)], names=["p", "id", "v"])
 
-    schema = "p bigint, id bigint, v array<double>, a array<double>"
+    schema = "p bigint, id bigint, v array<double>"
     some = hashed(queries, SAMPLED)
     counts = {r.p: r.n for r in some.mapInArrow(send, schema).groupBy("p").agg(F.count("*").alias("n")).collect()}  # at most a row for each block
     scale = total / max(1, min(total, SAMPLED))
     many = [(int(p), max(1, -(-int(counts.get(p, 0) * scale) // most))) for p in known.block.tolist()]
     split = F.broadcast(spark.createDataFrame([x for x in many if x[1] > 1], "p bigint, s int"))
-    times = F.coalesce("s", F.lit(1))
-    held = rings.join(split, "p", "left").select("p", F.explode(F.sequence(F.lit(0).cast("bigint"), (times - 1).cast("bigint"))).alias("q"), "id", "v", F.array(F.lit(0.0)).alias("a"))
-    sent = queries.mapInArrow(send, schema).join(split, "p", "left").select("p", F.pmod(F.xxhash64("id"), times).cast("bigint").alias("q"), "id", "v", "a")
+    times, none = F.coalesce("s", F.lit(1)), F.array(F.lit(0.0)).alias("a")
+    held = rings.join(split, "p", "left").select("p", F.explode(F.sequence(F.lit(0).cast("bigint"), (times - 1).cast("bigint"))).alias("q"), "id", "v", none)
+    sent = queries.mapInArrow(send, schema).join(split, "p", "left").select("p", F.pmod(F.xxhash64("id"), times).cast("bigint").alias("q"), "id", "v", none)
 
     def meet(p: int, q: int, anchors: Side, rows: Side) -> pa.RecordBatch:
-        from .knn import largest
-
-        ids, x, _ = anchors
-        far = np.round(np.maximum(0, (rows[1] ** 2).sum(1)[:, None] + (x**2).sum(1) - 2 * rows[1] @ x.T), DIGITS)
-        at = largest(-far, min(k, len(ids)))
-        far = np.take_along_axis(far, at, 1)
-        i, j = np.nonzero(far <= rows[2] * (1 + 1e-9) + 1e-9)
-        return pa.RecordBatch.from_arrays([pa.array(rows[0][i]), pa.array(ids[at[i, j]]), pa.array(far[i, j])], names=["id", "anchor_id", "d2"])
+        ids, at, far = _ranked(anchors[0], anchors[1], rows[1], k)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(rows[0], at.shape[1])), pa.array(ids.reshape(-1)), pa.array(far.reshape(-1))], names=["id", "anchor_id", "d2"])
 
     return paired(held, sent, meet, "id bigint, anchor_id bigint, d2 double")
+
+
+def _ranked(ids: np.ndarray, x: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, places, squared distances), rows x k: the nearest of anchors that are sorted by id."""
+    from .knn import largest
+
+    far = np.round(np.maximum(0, (rows**2).sum(1)[:, None] + (x**2).sum(1) - 2 * rows @ x.T), DIGITS)
+    at = largest(-far, min(k, len(ids)))
+    return ids[at], at, np.take_along_axis(far, at, 1)
+
+
+def _all_met(rings: DataFrame, queries: DataFrame, known: Rings, total: int, region: int) -> DataFrame:
+    """``(id, anchor_id, d2)``: up to k candidates of each query ``(id, v, a)``, a its edge, from each region with a block that the edge doesn't rule out."""
+    from .tiles import dealt, each, pieces
+
+    spark = queries.sparkSession
+    n = int(known.rows.sum())
+    share = -(-n // pieces(rings, n, region, region))
+    begun = (np.cumsum(known.rows) - known.rows) // share
+    starts = np.nonzero(np.append(True, np.diff(begun) != 0))[0]  # of the regions among the blocks
+    of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(begun))))
+    stripes = pieces(queries, total, region, region)
+    shared = spark.sparkContext.broadcast((known, starts))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, first = shared.value
+        for b in sliced(batches, 4 * len(now.block)):
+            x = matrix(b.column(1), now.pivots.shape[1])
+            i, j = np.nonzero(np.logical_or.reduceat(now.open(x, matrix(b.column(2), 1)), first, axis=1))
+            home = np.argmin((now.pivots**2).sum(1) - 2 * x @ now.pivots.T, 1)
+            for s in range(0, len(i), 1 << 14):
+                at = pa.array(i[s : s + (1 << 14)])
+                yield pa.RecordBatch.from_arrays([pa.array(j[s : s + (1 << 14)]), pa.array(home[at.to_numpy()]), *(b.column(c).take(at) for c in range(3))], names=["p", "o", "id", "v", "a"])
+
+    place = spark.createDataFrame(pa.table({"p": pa.array(known.block), "g": pa.array(of), "o": pa.array(np.arange(len(of)))}))
+    held = rings.join(F.broadcast(place), "p").select(F.col("g").alias("p"), each(stripes).alias("q"), "id", "v", F.array(F.col("o").cast("double")).alias("a"), "o")
+    sent = queries.mapInArrow(send, "p bigint, o bigint, id bigint, v array<double>, a array<double>").select("p", dealt(stripes).alias("q"), "id", "v", "a", "o")
+
+    def meet(p: int, q: int, anchors: Side, rows: Side) -> pa.RecordBatch:
+        ids, found, far = _in_region(anchors, rows, shared.value[0])
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(found), pa.array(far)], names=["id", "anchor_id", "d2"])
+
+    # Queries of a cell come together, so that a tile of them leaves out what none of them needs; anchors by block.
+    return paired(held, sent, meet, "id bigint, anchor_id bigint, d2 double", len(starts) * stripes, (F.col("p") * stripes + F.col("q")).cast("int"), 1 << 30, "o")
+
+
+def _in_region(anchors: Side, rows: Side, known: Rings) -> Side:
+    """(ids, anchors, squared distances): for each row its k best, at most, among the anchors of the blocks that its edge doesn't rule out.
+
+    Products are taken in single precision first, if its error is small beside the edges; what they don't rule out is decided in double precision.
+    """
+    ids, x, o = anchors[0], anchors[1], anchors[2][:, 0].astype(np.int64)
+    k, lo = known.k, int(o[0])
+    bounds = np.searchsorted(o, np.arange(lo, int(o[-1]) + 2))  # of the blocks among the anchors
+    square = (x**2).sum(1)
+    reach = float(np.sqrt(square.max()) + np.sqrt((rows[1] ** 2).sum(1).max(initial=0))) ** 2
+    usual = np.median(rows[2]) if len(rows[2]) else 0.0
+    kind = np.float32 if np.isfinite(reach) and reach < 1e30 and 1e-6 * (x.shape[1] + 8) * reach <= 0.1 * usual < np.inf else np.float64
+    margin = 2.0 * float(np.finfo(kind).eps) * (x.shape[1] + 8) * reach
+    right = np.concatenate([x, np.ones((len(x), 1)), square[:, None]], 1).astype(kind)
+    out = []
+    for s in range(0, len(rows[0]), HIGH):
+        y, edge = rows[1][s : s + HIGH], rows[2][s : s + HIGH, 0].copy()
+        need = known.open(y, edge[:, None], slice(lo, lo + len(bounds) - 1)).any(0)
+        use = np.concatenate([np.arange(bounds[b], bounds[b + 1]) for b in np.nonzero(need)[0]] or [np.zeros(0, np.int64)])
+        left = np.concatenate([-2 * y, (y**2).sum(1)[:, None], np.ones((len(y), 1))], 1).astype(kind)
+        row, name, far = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        seen = 0
+        while seen < len(use):
+            at = use[seen : seen + max(WIDE // 8, min(WIDE, seen))]  # small ones first: they tell what the others are held against
+            seen += len(at)
+            limit = known.limit(y, edge[:, None])[:, 0]
+            near = left @ right[at].T <= (limit + margin).astype(kind)[:, None]
+            count = np.count_nonzero(near, axis=1)
+            # Rows with many candidates, at first or where vectors are equal, are ranked among the whole tile.
+            heavy = count > 4 * k
+            i, j = np.nonzero(near & ~heavy[:, None] if heavy.any() else near)
+            d = np.round(np.maximum(0, (y[i] ** 2).sum(1) + square[at[j]] - 2 * np.einsum("ij,ij->i", y[i], x[at[j]])), DIGITS)
+            rows_, names, fars = [row, i], [name, ids[at[j]]], [far, d]
+            if heavy.any():
+                which, by_id = np.nonzero(heavy)[0], at[np.argsort(ids[at], kind="stable")]
+                for h in range(0, len(which), 64):
+                    got, _, d = _ranked(ids[by_id], x[by_id], y[which[h : h + 64]], k)
+                    rows_.append(np.repeat(which[h : h + 64], got.shape[1]))
+                    names.append(got.reshape(-1))
+                    fars.append(d.reshape(-1))
+            row, name, far = np.concatenate(rows_), np.concatenate(names), np.concatenate(fars)
+            good = far <= limit[row]
+            row, name, far = row[good], name[good], far[good]
+            order = np.lexsort((name, far, row))
+            row, name, far = row[order], name[order], far[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            last = place == k - 1
+            edge[row[last]] = np.minimum(edge[row[last]], far[last])
+            row, name, far = row[place < k], name[place < k], far[place < k]
+        out.append((rows[0][s : s + HIGH][row], name, far))
+    return tuple(np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))

@@ -21,16 +21,17 @@ Side = tuple[np.ndarray, np.ndarray, np.ndarray]
 COLUMNS = ["p", "q", "id", "v", "a"]
 
 
-def paired(held: DataFrame, streamed: DataFrame, kernel: Callable[[int, int, Side, Side], pa.RecordBatch], schema: str, tasks: int | None = None, task: Column | None = None, cells: int = CELLS) -> DataFrame:
+def paired(held: DataFrame, streamed: DataFrame, kernel: Callable[[int, int, Side, Side], pa.RecordBatch], schema: str, tasks: int | None = None, task: Column | None = None, cells: int = CELLS, order: str | None = None) -> DataFrame:
     """``kernel(p, q, held rows by id, streamed rows)`` for all slices of the rows that share a key.
 
     Keys go to tasks by a hash or, where ``tasks`` says how many there are, by the number ``task`` of theirs: a task each, none of which gets two while another has none.
-    ``cells``: pairs that a call of the kernel gets at most.
+    ``cells``: pairs that a call of the kernel gets at most. ``order``: a column of both tables by which rows of a key come; held ones then stay so instead of by id.
     Both tables are ``(p bigint, q bigint, id bigint, v array<double>, a array<double>)``. Keys with one side alone give nothing.
     """
-    both = held.select("p", "q", F.lit(0).alias("side"), "id", "v", "a").unionByName(streamed.select("p", "q", F.lit(1).alias("side"), "id", "v", "a"))
+    by = [order] if order else []
+    both = held.select("p", "q", F.lit(0).alias("side"), "id", "v", "a", *by).unionByName(streamed.select("p", "q", F.lit(1).alias("side"), "id", "v", "a", *by))
     spread = both.repartition("p", "q") if task is None else both.withColumn("task", task).repartitionById(tasks, F.col("task")).drop("task")
-    dealt = spread.sortWithinPartitions("p", "q", "side")
+    dealt = spread.sortWithinPartitions("p", "q", "side", *by, *(["id"] if order else [])).drop(*by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts, block = None, [], None
@@ -46,7 +47,7 @@ def paired(held: DataFrame, streamed: DataFrame, kernel: Callable[[int, int, Sid
                     parts.append(batch.slice(lo, hi - lo))
                     continue
                 if block is None and parts:
-                    block, parts = _side(pa.Table.from_batches(parts), True), []
+                    block, parts = _side(pa.Table.from_batches(parts), not order), []
                 if block is not None:
                     step = max(1, cells // len(block[0]))
                     for s in range(lo, hi, step):
