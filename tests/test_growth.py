@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.test_any_size import collected, ranked, table
 from vectorloom.operators import affinity, neighbours, tiles
-from vectorloom.plans import catalog
+from vectorloom.plans import catalog, nystrom
 
 
 def vectors(n: int, dim: int = 5, seed: int = 0) -> np.ndarray:
@@ -92,3 +92,16 @@ def test_a_query_is_sent_once_to_a_region_however_many_its_blocks(spark, monkeyp
     got = collected(neighbours.nearest_of_many(table(spark, x), table(spark, x), 5, kind, block=4, region=80))
     assert got == ranked(x, x, 5, kind) if far < 1e3 else {len(found) for found in got.values()} == {5} and len(got) == 400
     assert sum(held + sent for held, sent in moved) <= 400 * (1 + 5 + 2 * 6)  # over 100 blocks were each sent nearly all queries
+
+
+def test_solvers_of_more_rows_than_the_driver_takes(spark, monkeypatch):
+    x = vectors(60, 4) * 0.1 + 2 * np.eye(4)[np.arange(60) % 3]
+    monkeypatch.setattr(catalog, "planted", lambda *_: table(spark, x))
+    monkeypatch.setattr(catalog.tables, "to_numpy", None)
+    for name, value in (("FULL", 30), ("CLUSTERS", 3)):
+        monkeypatch.setattr(catalog, name, value)
+    got = sorted(tuple(r) for r in catalog.eigen_solvers(spark, "").collect())
+    assert got == [(s, 0.0, 0.0, 0.0) for s in ("eigh", "lobpcg", "svd", "svd_lowrank")]
+    a = affinity.block(x, x, "cosine", 0.3)
+    a /= np.sqrt(np.outer(a.sum(0), a.sum(0)))
+    assert np.isclose(nystrom.tiled_operator(table(spark, x), "cosine", 0.3)[2](), (a**2).sum())

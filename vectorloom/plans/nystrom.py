@@ -254,6 +254,19 @@ def tiled_spectrum(df: DataFrame, k: int, kind: str, gamma: float, rounds: int =
     """Of the finite rows: ``(id, v, s)`` with s one over the degree's root, ``(id, x)`` of eigenvectors, both written; the values; the scale of "rbf"."""
     if solver not in linalg.SOLVERS:
         raise ValueError(f"unknown solver: {solver}")
+    good, apply, _, scale = tiled_operator(df, kind, gamma, held)
+    find = tall.lobpcg if solver == "lobpcg" else tall.krylov
+    w, x, off = find(apply, good.select("id"), k, rounds=rounds)
+    if off > 1e-6:
+        warnings.warn(f"eigenvectors have a residual of {off:.1e}", stacklevel=3)
+    flip = tall.signs(x)
+    table = written(x.select("id", F.zip_with("x", F.array(*(F.lit(float(f)) for f in flip)), lambda a, b: a * b).alias("x")), "spectrum")
+    remove(x)
+    return good, table, w, scale
+
+
+def tiled_operator(df: DataFrame, kind: str, gamma: float, held: int = tiles.HELD) -> tuple[DataFrame, tall.Apply, Callable[[], float], float | None]:
+    """Of the finite rows: ``(id, v, s)`` with s one over the degree's root, written; the product of the normalised affinity with a basis, and its sum of squares; the scale of "rbf"."""
     rows = written(df.select("id", "v").where(vec.finite("v")), "cut")
     scale = scale_factor(rows).first()[0] if kind == "rbf" else None
     ones = rows.withColumn("a", F.array(F.lit(1.0)))
@@ -266,11 +279,35 @@ def tiled_spectrum(df: DataFrame, k: int, kind: str, gamma: float, rounds: int =
         columns = good.join(basis, "id").select("id", "v", "s", F.transform("x", lambda e: e * F.col("s")).alias("a"))
         return tiles.symmetric(columns, n, kind, gamma, scale, held)
 
-    find = tall.lobpcg if solver == "lobpcg" else tall.krylov
-    w, x, off = find(apply, good.select("id"), k, rounds=rounds)
-    if off > 1e-6:
-        warnings.warn(f"eigenvectors have a residual of {off:.1e}", stacklevel=3)
-    flip = tall.signs(x)
-    table = written(x.select("id", F.zip_with("x", F.array(*(F.lit(float(f)) for f in flip)), lambda a, b: a * b).alias("x")), "spectrum")
-    remove(x)
-    return good, table, w, scale
+    def squares() -> float:
+        s = F.col("s") * F.col("s")  # the square of an affinity is that of half of gamma
+        return tiles.symmetric(good.select("id", "v", s.alias("s"), F.array(s).alias("a")), n, kind, gamma / 2, scale, held).agg(F.sum(F.col("y")[0])).first()[0]
+
+    return good, apply, squares, scale
+
+
+def solver_errors(df: DataFrame, k: int, kind: str = "cosine", gamma: float = 1.0, held: int = tiles.HELD) -> list[tuple[str, float, float, float]]:
+    """(solver, departure from orthonormal, residual, error of the values) of the k leading pairs by every solver, for any number of rows.
+
+    The error is a bound, for no full decomposition is made: k orthonormal vectors of a small residual have k eigenvalues within it, and the squares of all
+    others sum up to what the matrix' sum of squares is more than theirs. If that leaves none as large as the k-th, these are the leading ones.
+    """
+    good, apply, squares, _ = tiled_operator(df, kind, gamma, held)
+    found = {s: tall.solved(apply, good.select("id"), k, s) for s in linalg.SOLVERS}
+    basis = written(tall.beside(*(x for _, x in found.values())), "solvers")
+    both = written(basis.join(apply(basis), "id"), "solvers")
+    shared = df.sparkSession.sparkContext.broadcast(np.concatenate([w for w, _ in found.values()]))
+
+    def kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.concatenate([x.T @ x, ((y - x * shared.value) ** 2).sum(0)[None]])
+
+    total = linalg.summed(both, ["x", "y"], kernel).reshape(-1, len(shared.value))
+    whole, out, at = squares(), [], 0
+    for solver, (w, _) in found.items():
+        own = slice(at, at := at + len(w))
+        departure, residual = float(np.abs(total[own, own] - np.eye(len(w))).max()), float(np.sqrt(total[-1, own].sum()))
+        rest = float(np.sqrt(max(0.0, whole - (w**2).sum())))
+        out.append((solver, departure, residual, max(residual, rest - float(np.abs(w).min()))))
+    for t in (good, basis, both, *(x for _, x in found.values())):
+        remove(t)
+    return out
