@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_any_size import collected, ranked, table
-from vectorloom.operators import affinity, neighbours, tiles
+from vectorloom.operators import affinity, layout, neighbours, tiles
 from vectorloom.plans import catalog, nystrom
 
 
@@ -105,3 +105,10 @@ def test_solvers_of_more_rows_than_the_driver_takes(spark, monkeypatch):
     a = affinity.block(x, x, "cosine", 0.3)
     a /= np.sqrt(np.outer(a.sum(0), a.sum(0)))
     assert np.isclose(nystrom.tiled_operator(table(spark, x), "cosine", 0.3)[2](), (a**2).sum())
+
+
+def test_a_colouring_forms_its_rows_once(spark, monkeypatch):
+    kept, real = [], layout.written
+    monkeypatch.setattr(layout, "written", lambda df, name: kept.append(name) or real(df, name))
+    got = layout.color_rows(table(spark, vectors(80, 6)), lambda rows, metric, seed: rows[:, :3], layout.rgb_of_cube, num_sample=20)
+    assert kept == ["smooth", "layout"] and got.count() == 80

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import color, vec
+from ..sources.shared import remove, written
 from ..sources.tables import to_numpy
 from .affinity import DISTANCE_OF
 from .knn import extrapolate, listed
@@ -148,18 +149,24 @@ def umap(dim: int, neighbours: int = 150, min_dist: float = 0.1, steps: int = 20
 
 
 def reduced(df: DataFrame, reduction: Reduction, num_sample: int = 1000, kind: str = "cosine", k: int = 10, seed: int = 0, smooth: bool = True, columns: int = 3) -> DataFrame:
-    """``(id, out)``: smooth all rows over their nearest of a farthest-point sample, lay out a second sample, extrapolate."""
+    """``(id, out)``: smooth all rows over their nearest of a farthest-point sample, lay out a second sample, extrapolate.
+
+    Smoothed rows and the result are written once: many passes read them, none forms them again.
+    """
     distance = DISTANCE_OF[kind]
     x = df.select("id", "v")
     if smooth:
         ids = subsample(x, distance, SampleConfig("fps", 10_000))
         anchors = x.join(ids, "id", "left_semi").withColumn("out", F.col("v"))
-        x = extrapolate(anchors, x, k, kind).select("id", F.col("out").alias("v"))
+        x = written(extrapolate(anchors, x, k, kind).select("id", F.col("out").alias("v")), "smooth")
     ids = subsample(x, distance, SampleConfig("fps", num_sample))
     at, sample = to_numpy(x.join(ids, "id", "left_semi").where(vec.finite("v")), max(num_sample, 10_000))
     y = reduction(sample, "cosine" if kind == "cosine" else "euclidean", seed)
     anchors = df.sparkSession.createDataFrame(pa.table({"id": pa.array(at), "v": listed(sample), "out": listed(y)}))
-    return extrapolate(anchors, x, k, kind)
+    out = written(extrapolate(anchors, x, k, kind), "layout")
+    if smooth:
+        remove(x)
+    return out
 
 
 def color_rows(df: DataFrame, reduction: Reduction, rgb_func: Callable[[DataFrame, float], DataFrame], num_sample: int = 1000, affinity_type: str = "cosine", q: float = 0.95, knn: int = 10, seed: int = 0, transform: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
