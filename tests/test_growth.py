@@ -1,10 +1,13 @@
 """What moves between tasks grows no faster than the table; forms beyond a bounded side give what the bounded ones do."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.test_any_size import collected, ranked, table
+from vectorloom.functions import vec
 from vectorloom.operators import affinity, layout, neighbours, tiles
 from vectorloom.plans import catalog, nystrom
 
@@ -107,6 +110,18 @@ def test_solvers_of_more_rows_than_the_driver_takes(spark, monkeypatch):
     assert np.isclose(nystrom.tiled_operator(table(spark, x), "cosine", 0.3)[2](), (a**2).sum())
 
 
+def test_a_vector_is_normalised_by_a_length_formed_once(spark):
+    row = lambda n: spark.range(1).select(F.array_repeat(F.lit(2.0), n).alias("v"))
+    asked = spark.createDataFrame([(0, [3.0, 4.0]), (1, [0.0, 0.0]), (2, None)], "id long, v array<double>").withColumn("v", vec.normalized("v"))
+    assert [r.v for r in asked.orderBy("id").collect()] == [[0.6, 0.8], [0.0, 0.0], None]
+    spent = {}
+    for n in (100, 20_000, 20_000):
+        began = time.time()
+        assert row(n).select(F.element_at(vec.normalized("v"), -1).alias("x")).first().x > 0
+        spent[n] = time.time() - began
+    assert spent[20_000] < 3  # 400 million terms before
+
+
 def test_a_colouring_forms_its_rows_once(spark, monkeypatch):
     kept, real = [], layout.written
     monkeypatch.setattr(layout, "written", lambda df, name: kept.append(name) or real(df, name))
