@@ -97,6 +97,30 @@ def test_a_query_is_sent_once_to_a_region_however_many_its_blocks(spark, monkeyp
     assert sum(held + sent for held, sent in moved) <= 400 * (1 + 5 + 2 * 6)  # over 100 blocks were each sent nearly all queries
 
 
+@pytest.mark.parametrize("known_edges", [True, False])
+def test_pairs_are_looked_at_again_only_near_the_edge(monkeypatch, known_edges):
+    x, k = vectors(6000, 16), 5
+    x[100:140] = x[7]
+    y, ids, seen, real = np.concatenate([x[:300], x[7:8]]), np.arange(6000)[::-1].copy(), [], np.nonzero
+    rings = neighbours.Rings(np.zeros((1, 16)), np.arange(2), np.zeros(2, int), np.full(2, 3000), np.zeros(2), np.full(2, 100.0), k)
+    want = neighbours._ranked(ids[::-1], x[::-1], y, k)
+    edge = np.full(len(y), np.inf)
+    if known_edges:
+        edge = neighbours._ranked(ids[:3000][::-1], x[:3000][::-1], y, k)[2][:, -1]
+    monkeypatch.setattr(neighbours.np, "nonzero", lambda a: seen.append(np.size(a)) or real(a))
+    monkeypatch.setattr(neighbours, "_ranked", lambda *a, f=neighbours._ranked: seen.append(len(a[1]) * len(a[2])) or f(*a))
+    row, name, far = neighbours._in_region((ids, x, np.repeat([0.0, 1.0], 3000)[:, None]), (np.arange(len(y)), y, edge[:, None]), rings)
+    assert (row.reshape(-1, k) == np.arange(len(y))[:, None]).all() and (name.reshape(-1, k) == want[0]).all() and (far.reshape(-1, k) == want[2]).all()
+    assert sum(seen) < 0.3 * len(x) * len(y)  # all pairs before, each several times as dear as its product
+
+
+def test_neighbours_form_their_anchors_once(spark, monkeypatch):
+    kept, real, x = [], neighbours.written, vectors(60)
+    monkeypatch.setattr(neighbours, "written", lambda df, name: kept.append(name) or real(df, name))
+    assert collected(neighbours.nearest_of_many(table(spark, x), table(spark, x), 3, block=16)) == ranked(x, x, 3, "cosine")
+    assert kept == ["anchors", "rings", "queries", "edges", "nearest"]
+
+
 def test_solvers_of_more_rows_than_the_driver_takes(spark, monkeypatch):
     x = vectors(60, 4) * 0.1 + 2 * np.eye(4)[np.arange(60) % 3]
     monkeypatch.setattr(catalog, "planted", lambda *_: table(spark, x))

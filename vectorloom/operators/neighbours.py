@@ -16,7 +16,7 @@ are few as the pieces of ``tiles`` are, so what moves grows with the tables, not
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,15 +28,17 @@ from pyspark.sql import functions as F
 from ..functions import vec
 from ..sources.shared import remove, written
 from ..sources.tables import matrix, to_numpy
-from .affinity import sliced
+from .affinity import CELLS, sliced
 from .paired import Side, first_of, paired
 
 #: Anchors of a block; pivots at most; queries of a block that one task takes; queries whose ways are looked at to deal blocks out.
 BLOCK, PIVOTS, QUERIES, SAMPLED = 8192, 4096, 1 << 16, 10_000
 #: Digits of a squared distance that count: equal ones must not differ by the order of a sum.
 DIGITS = 10
-#: Anchors of a region, and queries that one task of the second meeting takes, at most; queries and anchors of a tile there.
-REGION, HIGH, WIDE = 1 << 17, 512, 8192
+#: Anchors of a region, and queries that one task of the second meeting takes, at most.
+REGION = 1 << 17
+#: Queries and anchors whose products are held at once; anchors of one product, which is to stay near the core; anchors of which the least is taken.
+HIGH, WIDE, TILE, GROUP = 1024, 2048, 512, 32
 
 
 @dataclass
@@ -137,7 +139,9 @@ def nearest_of_many(anchors: DataFrame, queries: DataFrame, k: int, kind: str =
     Distances are those of normalised vectors for "cosine" (two minus twice the cosine), of the vectors as they are for "rbf".
     Missing anchors and queries take no part. Fewer than k anchors give as many rows.
     """
-    rings, pivots = ringed(placed(anchors, kind, True), block)
+    there = written(placed(anchors, kind, True), "anchors")
+    rings, pivots = ringed(there, block)
+    remove(there)
     asked = written(placed(queries, kind, False), "queries")
     stats = rings.groupBy("p").agg(F.first("cell").alias("cell"), F.count("*").alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi")).toArrow().sort_by("p")
     p, cell, rows, lo, hi = (stats.column(c).to_numpy() for c in ("p", "cell", "n", "lo", "hi"))
@@ -179,10 +183,15 @@ def _met(rings: DataFrame, queries: DataFrame, known: Rings, total: int, most: i
     sent = queries.mapInArrow(send, schema).join(split, "p", "left").select("p", F.pmod(F.xxhash64("id"), times).cast("bigint").alias("q"), "id", "v", none)
 
     def meet(p: int, q: int, anchors: Side, rows: Side) -> pa.RecordBatch:
-        ids, at, far = _ranked(anchors[0], anchors[1], rows[1], k)
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(rows[0], at.shape[1])), pa.array(ids.reshape(-1)), pa.array(far.reshape(-1))], names=["id", "anchor_id", "d2"])
+        ids, x = anchors[:2]
+        if len(ids) <= 2 * GROUP * k:
+            found, at, far = _ranked(ids, x, rows[1], k)
+            row = np.repeat(np.arange(len(at)), at.shape[1])
+        else:
+            row, found, far = _nearest(ids, x, rows[1], np.full(len(rows[0]), np.inf), shared.value, lambda *_: np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(rows[0][row]), pa.array(found.reshape(-1)), pa.array(far.reshape(-1))], names=["id", "anchor_id", "d2"])
 
-    return paired(held, sent, meet, "id bigint, anchor_id bigint, d2 double")
+    return paired(held, sent, meet, "id bigint, anchor_id bigint, d2 double", None, None, CELLS << 4)
 
 
 def _ranked(ids: np.ndarray, x: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -226,57 +235,95 @@ def _all_met(rings: DataFrame, queries: DataFrame, known: Rings, total: int, reg
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(found), pa.array(far)], names=["id", "anchor_id", "d2"])
 
     # Queries of a cell come together, so that a tile of them leaves out what none of them needs; anchors by block.
-    return paired(held, sent, meet, "id bigint, anchor_id bigint, d2 double", len(starts) * stripes, (F.col("p") * stripes + F.col("q")).cast("int"), 1 << 30, "o")
+    return paired(held, sent, meet, "id bigint, anchor_id bigint, d2 double", len(starts) * stripes, (F.col("p") * stripes + F.col("q")).cast("int"), 1 << 31, "o")
 
 
 def _in_region(anchors: Side, rows: Side, known: Rings) -> Side:
-    """(ids, anchors, squared distances): for each row its k best, at most, among the anchors of the blocks that its edge doesn't rule out.
+    """(ids, anchors, squared distances): for each row its k best, at most, among the anchors of the blocks that its edge doesn't rule out."""
+    o = anchors[2][:, 0].astype(np.int64)
+    lo = int(o[0])
+    bounds = np.searchsorted(o, np.arange(lo, int(o[-1]) + 2))  # of the blocks among the anchors
+
+    def needed(y: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        need = known.open(y, edge[:, None], slice(lo, lo + len(bounds) - 1)).any(0)
+        return np.concatenate([np.arange(bounds[b], bounds[b + 1]) for b in np.nonzero(need)[0]] or [np.zeros(0, np.int64)])
+
+    row, name, far = _nearest(anchors[0], anchors[1], rows[1], rows[2][:, 0], known, needed)
+    return rows[0][row], name, far
+
+
+def _nearest(ids: np.ndarray, x: np.ndarray, rows: np.ndarray, edges: np.ndarray, known: Rings, needed: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Side:
+    """(places of rows, ids, squared distances): for each row its k best, at most, within its edge among the anchors that are ``needed(some rows, their edges)``.
 
     Products are taken in single precision first, if its error is small beside the edges; what they don't rule out is decided in double precision.
+    All pairs cost a product and the least of a group; only groups whose least is within the edge are looked at again. The k-th of these least ones
+    bounds the k-th distance, so an edge that tells nothing yet is drawn in at once.
     """
-    ids, x, o = anchors[0], anchors[1], anchors[2][:, 0].astype(np.int64)
-    k, lo = known.k, int(o[0])
-    bounds = np.searchsorted(o, np.arange(lo, int(o[-1]) + 2))  # of the blocks among the anchors
-    square = (x**2).sum(1)
-    reach = float(np.sqrt(square.max()) + np.sqrt((rows[1] ** 2).sum(1).max(initial=0))) ** 2
-    usual = np.median(rows[2]) if len(rows[2]) else 0.0
+    k, square = known.k, (x**2).sum(1)
+    reach = float(np.sqrt(square.max(initial=0)) + np.sqrt((rows**2).sum(1).max(initial=0))) ** 2
+    usual = np.median(edges) if len(edges) else 0.0
+    if usual == np.inf:
+        usual = np.median(_ranked(ids[:WIDE], x[:WIDE], rows[:: -(-len(rows) // 16)], k)[2][:, -1])
     kind = np.float32 if np.isfinite(reach) and reach < 1e30 and 1e-6 * (x.shape[1] + 8) * reach <= 0.1 * usual < np.inf else np.float64
     margin = 2.0 * float(np.finfo(kind).eps) * (x.shape[1] + 8) * reach
-    right = np.concatenate([x, np.ones((len(x), 1)), square[:, None]], 1).astype(kind)
+    some = x.any(0) & rows.any(0)
+    right = np.empty((len(x), int(some.sum()) + 1), kind)
+    right[:, :-1], right[:, -1] = x[:, some], square
+    flat = np.empty((min(WIDE, len(x)) + GROUP) * min(HIGH, len(rows)), kind)
     out = []
-    for s in range(0, len(rows[0]), HIGH):
-        y, edge = rows[1][s : s + HIGH], rows[2][s : s + HIGH, 0].copy()
-        need = known.open(y, edge[:, None], slice(lo, lo + len(bounds) - 1)).any(0)
-        use = np.concatenate([np.arange(bounds[b], bounds[b + 1]) for b in np.nonzero(need)[0]] or [np.zeros(0, np.int64)])
-        left = np.concatenate([-2 * y, (y**2).sum(1)[:, None], np.ones((len(y), 1))], 1).astype(kind)
-        row, name, far = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        seen = 0
+    for s in range(0, len(rows), HIGH):
+        y, edge = rows[s : s + HIGH], edges[s : s + HIGH].copy()
+        n, own, use = len(y), (y**2).sum(1), needed(y, edge)
+        left = np.concatenate([-2 * y[:, some], np.ones((n, 1))], 1).astype(kind).T
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        seen = merged = 0
         while seen < len(use):
-            at = use[seen : seen + max(WIDE // 8, min(WIDE, seen))]  # small ones first: they tell what the others are held against
+            at = use[seen : seen + WIDE]
             seen += len(at)
-            limit = known.limit(y, edge[:, None])[:, 0]
-            near = left @ right[at].T <= (limit + margin).astype(kind)[:, None]
-            count = np.count_nonzero(near, axis=1)
-            # Rows with many candidates, at first or where vectors are equal, are ranked among the whole tile.
-            heavy = count > 4 * k
-            i, j = np.nonzero(near & ~heavy[:, None] if heavy.any() else near)
-            d = np.round(np.maximum(0, (y[i] ** 2).sum(1) + square[at[j]] - 2 * np.einsum("ij,ij->i", y[i], x[at[j]])), DIGITS)
-            rows_, names, fars = [row, i], [name, ids[at[j]]], [far, d]
+            groups = -(-len(at) // GROUP)
+            p, least = flat[: groups * GROUP * n].reshape(groups * GROUP, n), np.empty((groups, n), kind)
+            p[len(at) :] = np.inf
+            run = right[at[0] : at[-1] + 1] if at[-1] - at[0] < len(at) else right[at]
+            for t in range(0, len(at), TILE):
+                np.matmul(run[t : t + TILE], left, out=p[t : min(t + TILE, len(at))])
+                p[t : t + TILE].reshape(-1, GROUP, n).min(1, out=least[t // GROUP : (t + TILE) // GROUP])
+
+            def limits() -> np.ndarray:
+                return np.minimum(known.limit(y, edge[:, None])[:, 0] - own + margin, np.finfo(kind).max).astype(kind)  # noqa: B023
+
+            limit = limits()
+            near = least <= limit
+            loose = np.nonzero(near.sum(0) > 2 * k)[0] if groups > k else []
+            if len(loose):
+                kth = np.partition(least[:, loose], k - 1, axis=0)[k - 1].astype(float)
+                edge[loose] = np.minimum(edge[loose], np.maximum(0, kth + own[loose] + margin))
+                limit = limits()
+                near = least <= limit
+            # Rows with many candidates, as where vectors are equal, are ranked among all these anchors.
+            heavy = near.sum(0) > 4 * k if np.isfinite(reach) else np.ones(n, bool)
+            g, i = np.divmod(np.flatnonzero(near & ~heavy), n)
+            cell, j = np.nonzero(p.reshape(groups, GROUP, n)[g, :, i] <= limit[i, None])
+            i, j = i[cell], g[cell] * GROUP + j
+            heavy |= np.bincount(i, minlength=n) > 4 * k
             if heavy.any():
+                i, j = i[~heavy[i]], j[~heavy[i]]
                 which, by_id = np.nonzero(heavy)[0], at[np.argsort(ids[at], kind="stable")]
-                for h in range(0, len(which), 64):
-                    got, _, d = _ranked(ids[by_id], x[by_id], y[which[h : h + 64]], k)
-                    rows_.append(np.repeat(which[h : h + 64], got.shape[1]))
-                    names.append(got.reshape(-1))
-                    fars.append(d.reshape(-1))
-            row, name, far = np.concatenate(rows_), np.concatenate(names), np.concatenate(fars)
-            good = far <= limit[row]
-            row, name, far = row[good], name[good], far[good]
-            order = np.lexsort((name, far, row))
-            row, name, far = row[order], name[order], far[order]
-            place = np.arange(len(row)) - np.searchsorted(row, row)
-            last = place == k - 1
-            edge[row[last]] = np.minimum(edge[row[last]], far[last])
-            row, name, far = row[place < k], name[place < k], far[place < k]
-        out.append((rows[0][s : s + HIGH][row], name, far))
+                step = max(64, (1 << 19) // len(at))
+                for h in range(0, len(which), step):
+                    got, _, d = _ranked(ids[by_id], x[by_id], y[which[h : h + step]], k)
+                    found.append((np.repeat(which[h : h + step], got.shape[1]), got.reshape(-1), d.reshape(-1)))
+            d = np.round(np.maximum(0, own[i] + square[at[j]] - 2 * np.einsum("ij,ij->i", y[i], x[at[j]])), DIGITS)
+            found.append((i, ids[at[j]], d))
+            # What was found draws the edges in whenever twice as much has been seen, or much has been found.
+            if seen >= min(len(use), 2 * merged) or sum(len(f[0]) for f in found) > 8 * k * n:
+                row, name, far = (np.concatenate(z) for z in zip(*found, strict=True))
+                good = far <= known.limit(y, edge[:, None])[row, 0]
+                row, name, far = row[good], name[good], far[good]
+                order = np.lexsort((name, far, row))
+                row, name, far = row[order], name[order], far[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                last = place == k - 1
+                edge[row[last]] = np.minimum(edge[row[last]], far[last])
+                found, merged = [(row[place < k], name[place < k], far[place < k])], seen
+        out.append((found[0][0] + s, *found[0][1:]))
     return tuple(np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
