@@ -151,3 +151,17 @@ def test_a_colouring_forms_its_rows_once(spark, monkeypatch):
     monkeypatch.setattr(layout, "written", lambda df, name: kept.append(name) or real(df, name))
     got = layout.color_rows(table(spark, vectors(80, 6)), lambda rows, metric, seed: rows[:, :3], layout.rgb_of_cube, num_sample=20)
     assert kept == ["smooth", "layout"] and got.count() == 80
+
+
+def test_degrees_of_all_pairs_are_summed_where_they_are_formed(spark, monkeypatch):
+    x = vectors(60)
+    x[7], x[9, 0] = np.nan, np.inf
+    for kind in ("cosine", "rbf"):
+        want = {r.id: r.degree for r in affinity.degrees(affinity.affinities(table(spark, np.delete(x, [7, 9], 0), np.delete(np.arange(60), [7, 9])), kind=kind)).collect()}
+        if kind == "rbf":  # the scale comes from all rows
+            want = {i: None for i in want}
+        got = {r.id: r.degree for r in affinity.pair_degrees(table(spark, x), kind).collect()}
+        assert len(got) == 60 and got[7] == got[9] == 0 and all(w is None or np.isclose(got[i], w) for i, w in want.items())
+    monkeypatch.setattr(catalog, "planted", lambda *_: table(spark, x))
+    monkeypatch.setattr(affinity, "_pairs", None)  # a row for every pair before
+    assert catalog.degree(spark, "").count() == 60

@@ -90,6 +90,18 @@ def degrees(pairs: DataFrame, node: str = "i") -> DataFrame:
     return pairs.groupBy(F.col(node).alias("id")).agg(F.sum(F.nanvl("w", F.lit(0.0))).alias("degree"))
 
 
+def pair_degrees(df: DataFrame, kind: str = "cosine", gamma: float = 1.0) -> DataFrame:
+    """``degrees`` of all pairs of a table, summed where they are formed, whatever its size: no pair is a row. A missing row has 0."""
+    if kind not in DISTANCE_OF:
+        raise ValueError(f"unknown affinity: {kind}")
+    from .tiles import symmetric
+
+    scale = scale_factor(df).first()[0] if kind == "rbf" else None
+    rows = df.select("id", "v").where(vec.finite("v")).withColumn("a", F.array(F.lit(1.0)))
+    found = symmetric(rows, rows.count(), kind, gamma, scale).select("id", F.col("y")[0].alias("degree"))
+    return df.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("degree", F.lit(0.0)).alias("degree"))
+
+
 def normalized(pairs: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFrame:
     """``(i, j, w)`` divided by the root of both degrees."""
     r = rows.select(F.col("id").alias("i"), F.col("degree").alias("di"))
