@@ -165,3 +165,19 @@ def test_degrees_of_all_pairs_are_summed_where_they_are_formed(spark, monkeypatc
     monkeypatch.setattr(catalog, "planted", lambda *_: table(spark, x))
     monkeypatch.setattr(affinity, "_pairs", None)  # a row for every pair before
     assert catalog.degree(spark, "").count() == 60
+
+
+def test_degrees_of_normalised_pairs_are_summed_once(spark, monkeypatch):
+    x, formed, real = vectors(60), spark.sparkContext.accumulator(0), affinity.all_degrees
+
+    def counting(batches):
+        for b in batches:
+            formed.add(b.num_rows)
+            yield b
+
+    want = {(r.i, r.j): r.w for r in affinity.normalized_affinities(table(spark, x)).collect()}
+    monkeypatch.setattr(affinity, "MOST", 40)
+    monkeypatch.setattr(affinity, "all_degrees", lambda *a: real(*a).mapInArrow(counting, "id bigint, degree double"))
+    got = {(r.i, r.j): r.w for r in affinity.normalized_affinities(table(spark, x)).collect()}
+    assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values()))
+    assert formed.value == 60  # each count and each side summed all pairs again before
