@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from tests.test_any_size import collected, ranked, table
 from vectorloom.functions import vec
-from vectorloom.operators import affinity, layout, neighbours, tiles
+from vectorloom.operators import affinity, layout, neighbours, tall, tiles
 from vectorloom.plans import catalog, nystrom
+from vectorloom.sources import tables
 
 
 def vectors(n: int, dim: int = 5, seed: int = 0) -> np.ndarray:
@@ -181,3 +182,18 @@ def test_degrees_of_normalised_pairs_are_summed_once(spark, monkeypatch):
     got = {(r.i, r.j): r.w for r in affinity.normalized_affinities(table(spark, x)).collect()}
     assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values()))
     assert formed.value == 60  # each count and each side summed all pairs again before
+
+
+@pytest.mark.parametrize("find", [tall.krylov, tall.lobpcg])
+def test_a_column_of_a_basis_is_multiplied_once(spark, find):
+    u = np.linalg.qr(vectors(400, 400))[0]
+    m, asked = (u * np.concatenate([[5.0, 4.0, 3.0], np.linspace(0.2, -0.2, 397)])) @ u.T, []
+
+    def apply(basis):
+        ids, x = tables.to_numpy(basis, 1000, "x")
+        asked.append(x.shape[1])
+        return spark.createDataFrame([(int(i), row.tolist()) for i, row in zip(ids, m @ x, strict=True)], "id long, y array<double>")
+
+    w, _, off = find(apply, spark.range(400), 3)
+    assert np.allclose(w, [5, 4, 3], atol=1e-9) and off <= 1e-9
+    assert asked[0] == 16 and max(asked[1:]) <= 8 and sum(asked) <= 100  # three blocks a step, most of them again, before

@@ -71,104 +71,127 @@ def beside(*tables: DataFrame) -> DataFrame:
     return out.select("id", F.concat(*(f"x{i}" for i in range(len(tables)))).alias("x"))
 
 
-def _ritz(q: DataFrame, apply: Apply, k: int) -> tuple[np.ndarray, np.ndarray, DataFrame]:
-    """Values and coordinates of the leading pairs in the span of q, and ``(id, x, y)`` with y = A x, written."""
-    both = written(q.join(apply(q), "id"), "ritz")
-    m = linalg.summed(both, ["x", "y"], lambda x, y: x.T @ y)
-    m = m.reshape(int(round(len(m) ** 0.5)), -1)
+def _ritz(both: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values and coordinates of the leading pairs in the span of x, of ``(id, x, y)`` with y = A x, and the inverse of the Gram matrix of x, which is nearly orthonormal."""
+    g = linalg.summed(both, ["x", "y"], lambda x, y: np.stack([x.T @ x, x.T @ y]))
+    g = g.reshape(2, int(round((len(g) / 2) ** 0.5)), -1)
+    e, u = np.linalg.eigh(g[0])
+    root = u / np.sqrt(e)
+    m = root.T @ g[1] @ root
     w, v = np.linalg.eigh((m + m.T) / 2)
     order = np.argsort(-np.abs(w), kind="stable")[:k]
-    return w[order], v[:, order], both
+    return w[order], root @ v[:, order], root @ root.T
 
 
-def _residual(both: DataFrame, w: np.ndarray, v: np.ndarray) -> float:
-    """The largest length of A x - w x, relative to the largest value."""
+def _residuals(both: DataFrame, w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the residuals r = A x v - w x v, which are never stored: their Gram matrix and their products with x."""
     shared = both.sparkSession.sparkContext.broadcast((w, v))
 
     def kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         w, v = shared.value
-        return ((y @ v - (x @ v) * w) ** 2).sum(0)
+        r = y @ v - (x @ v) * w
+        return np.concatenate([r.T @ r, x.T @ r])
 
-    return float(np.sqrt(linalg.summed(both, ["x", "y"], kernel).max())) / max(1e-300, float(np.abs(w).max()))
+    got = linalg.summed(both, ["x", "y"], kernel).reshape(-1, len(w))
+    return got[: len(w)], got[len(w) :]
 
 
-def krylov(apply: Apply, ids: DataFrame, k: int, depth: int = 3, rounds: int = 30, seed: int = 0, tolerance: float = linalg.RESIDUAL) -> tuple[np.ndarray, DataFrame, float]:
-    """(values, ``(id, x)`` written, residual) of the k leading pairs by magnitude: block Krylov bases, restarted until the residual is small."""
-    n = ids.count()
-    k = min(k, n)
-    width = min(n, 2 * k + 10)
-    x = orthonormal(start(ids, width, seed))
-    while True:
-        basis = [x]
-        for _ in range(depth - 1):
-            if len(basis) * width >= n:
-                break
-            basis.append(orthonormal(apply(basis[-1]), "y", False))
-        q = orthonormal(beside(*basis)) if len(basis) > 1 else x
-        w, v, both = _ritz(q, apply, width)
-        off = _residual(both, w[:k], v[:, :k])
-        rounds -= 1
-        done = off <= tolerance or not rounds or len(basis) * width >= n
-        fresh = written(times(both, v[:, :k] if done else v), "ritz")
-        for t in {id(t): t for t in [*basis, q, both]}.values():
-            remove(t)
-        if done:
-            return w[:k], fresh, off
-        x = fresh  # Ritz vectors of an orthonormal basis
-
-
-def _steps(both: DataFrame, w: np.ndarray, v: np.ndarray, late: np.ndarray | None) -> DataFrame:
-    """``(id, x)``: the block, its residuals and, if given, its last directions, side by side."""
-    shared = both.sparkSession.sparkContext.broadcast((w, v, late))
+def _combined(both: DataFrame, p: np.ndarray, q: np.ndarray) -> DataFrame:
+    """``(id, x)``: y p - x q of every row."""
+    shared = both.sparkSession.sparkContext.broadcast((p, q))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, v, late = shared.value
+        p, q = shared.value
         for b in batches:
-            x, y = matrix(b.column(1), len(v)), matrix(b.column(2), len(v))
-            now = x @ v
-            yield pa.RecordBatch.from_arrays([b.column(0), listed(np.concatenate([now, y @ v - now * w, *([] if late is None else [x @ late])], 1))], names=["id", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), listed(matrix(b.column(2), len(p)) @ p - matrix(b.column(1), len(q)) @ q)], names=["id", "x"])
 
     return both.select("id", "x", "y").mapInArrow(run, "id bigint, x array<double>")
 
 
-def lobpcg(apply: Apply, ids: DataFrame, k: int, rounds: int = 60, seed: int = 0, tolerance: float = linalg.RESIDUAL) -> tuple[np.ndarray, DataFrame, float]:
-    """The same by locally optimal steps: the block, its residuals and its last directions; one product a step over three blocks' width."""
+def _solved(apply: Apply, ids: DataFrame, k: int, most: int, steps: int, seed: int, tolerance: float, late: bool, begin: DataFrame | None) -> tuple[np.ndarray, DataFrame, float]:
+    """The k leading pairs from a basis that grows by a block a step: the residuals of the leading Ritz vectors that are not small yet, orthogonal to the basis.
+
+    A x is kept beside x, so each column is multiplied by A once and never again. A basis of more than ``most`` blocks of the first one's width is drawn together to its leading Ritz
+    vectors and, if ``late``, the directions in which they went last.
+    """
     n = ids.count()
     k = min(k, n)
     width = min(n, 2 * k + 10)
-    q = orthonormal(start(ids, width, seed))
+    first = start(ids, width, seed)
+    if begin is not None:  # as many columns of draws go as there are columns to begin with
+        first = beside(begin, first).select("id", F.slice("x", 1, width).alias("x"))
+    x = orthonormal(first)
+    both, grown = written(x.join(apply(x).select("id", "y"), "id").select("id", "x", "y"), "basis"), 0
+    remove(x)
     while True:
-        w, v, both = _ritz(q, apply, width)
-        off = _residual(both, w[:k], v[:, :k])
-        rounds -= 1
-        if off <= tolerance or not rounds or 3 * width >= n and v.shape[0] >= n:
+        w, v, inverse = _ritz(both, width)
+        gram, cross = _residuals(both, w, v)
+        size = np.sqrt(np.maximum(np.diag(gram), 0))
+        least = tolerance * max(1e-300, float(np.abs(w).max()))
+        off, steps = float(size[:k].max()) / max(1e-300, float(np.abs(w).max())), steps - 1
+        use = np.nonzero(size[: k + 5] > 0.1 * least)[0]
+        if off > tolerance and steps and len(use):
+            # Coordinates that make the residuals orthonormal and orthogonal to the basis; the Gram matrix of the next step takes account of what rounding leaves.
+            out = inverse @ (cross[:, use] / size[use])
+            e, u = np.linalg.eigh(gram[np.ix_(use, use)] / np.outer(size[use], size[use]) - (cross[:, use] / size[use]).T @ out)
+            t = u[:, e > 1e-10] / np.sqrt(e[e > 1e-10])
+            t = t[:, max(0, t.shape[1] - (n - len(v))) :]
+        else:
+            t = np.zeros((0, 0))
+        if not t.size:
             fresh = written(times(both, v[:, :k]), "ritz")
-            remove(q)
             remove(both)
             return w[:k], fresh, off
-        late = v.copy()
-        late[:width] = 0  # directions of this step: what the block itself didn't hold
-        fresh = orthonormal(_steps(both, w, v, late if v.shape[0] > width else None))
-        remove(q)
-        remove(both)
-        q = fresh
-
-
-def solved(apply: Apply, ids: DataFrame, k: int, solver: str) -> tuple[np.ndarray, DataFrame]:
+        p = (v[:, use] / size[use]) @ t
+        block = written(_combined(both, p, (v[:, use] * w[use] / size[use]) @ t + out @ t), "block")
+        old = both
+        if len(v) + t.shape[1] > most * width:
+            keep = v
+            if late and grown:
+                last = v.copy()
+                last[: len(v) - grown] = 0
+                last -= v @ (v.T @ np.linalg.solve(inverse, last))
+                g = last.T @ np.linalg.solve(inverse, last)
+                e, u = np.linalg.eigh((g + g.T) / 2)
+                keep = np.concatenate([v, last @ (u[:, e > 1e-8] / np.sqrt(e[e > 1e-8]))], 1)
+            both = times(both, keep).join(times(both.select("id", "y"), keep, "y", "y"), "id")
+        grown = t.shape[1]
+        new = block.withColumnRenamed("x", "bx").join(apply(block).select("id", F.col("y").alias("by")), "id")
+        both = written(both.join(new, "id").select("id", F.concat("x", "bx").alias("x"), F.concat("y", "by").alias("y")), "basis")
+        remove(old)
+        remove(block)
+
+
+def krylov(apply: Apply, ids: DataFrame, k: int, depth: int = 3, rounds: int = 30, seed: int = 0, tolerance: float = linalg.RESIDUAL, begin: DataFrame | None = None) -> tuple[np.ndarray, DataFrame, float]:
+    """(values, ``(id, x)`` written, residual) of the k leading pairs by magnitude: block Krylov bases of ``depth`` blocks, restarted until the residual is small.
+
+    ``begin``: a table ``(id, x)`` of columns that may be near to the leading vectors; normal draws fill the block."""
+    return _solved(apply, ids, k, depth, rounds * depth, seed, tolerance, False, begin)
+
+
+def lobpcg(apply: Apply, ids: DataFrame, k: int, rounds: int = 60, seed: int = 0, tolerance: float = linalg.RESIDUAL, begin: DataFrame | None = None) -> tuple[np.ndarray, DataFrame, float]:
+    """The same by locally optimal steps: the block, its residuals and its last directions."""
+    return _solved(apply, ids, k, 2, rounds, seed, tolerance, True, begin)
+
+
+def solved(apply: Apply, ids: DataFrame, k: int, solver: str, begin: Callable[[int], DataFrame] | None = None) -> tuple[np.ndarray, DataFrame]:
     """(values, ``(id, x)`` written) of the k leading pairs by what stands for a solver where no matrix is formed.
 
     "svd_lowrank" restarts short block Krylov bases, "lobpcg" takes locally optimal steps. The other two, full decompositions in memory, aren't full ones here: "eigh" takes long
-    bases from another start, "svd" the singular pairs, from bases of the squared operator, with the signs of their values.
+    bases from another start, "svd" the singular pairs, from bases of the squared operator, with the signs of their values. ``begin`` gives a start by its seed.
     """
     if solver not in linalg.SOLVERS:
         raise ValueError(f"unknown solver: {solver}")
+    seed = {"eigh": 1, "svd": 2}.get(solver, 0)
+    options = {"seed": seed, "begin": begin and begin(seed)}
     if solver == "lobpcg":
-        return lobpcg(apply, ids, k)[:2]
+        return lobpcg(apply, ids, k, **options)[:2]
     if solver != "svd":
-        return krylov(apply, ids, k, **({"depth": 5, "seed": 1} if solver == "eigh" else {}))[:2]
+        return krylov(apply, ids, k, depth=5 if solver == "eigh" else 3, **options)[:2]
     # A residual of the square is one of the operator times the sum of both values.
-    _, x, _ = krylov(lambda q: apply(apply(q).withColumnRenamed("y", "x")), ids, k, seed=2, tolerance=linalg.RESIDUAL / 10)
-    w, v, both = _ritz(x, apply, k)
+    _, x, _ = krylov(lambda q: apply(apply(q).withColumnRenamed("y", "x")), ids, k, tolerance=linalg.RESIDUAL / 10, **options)
+    both = written(x.join(apply(x), "id").select("id", "x", "y"), "ritz")
+    w, v, _ = _ritz(both, k)
     out = written(times(both, v), "ritz")
     for t in (x, both):
         remove(t)

@@ -25,8 +25,8 @@ from .paired import Side, added, paired
 HELD, STREAM = 1 << 16, 1 << 18
 #: Rows and columns of a tile, which is to stay in a core's cache; pairs of pieces for each core.
 HIGH, WIDE, EACH = 128, 1024, 3
-#: Rows for which a piece of their own is worth a task.
-LEAST = 512
+#: Rows for which a piece of their own is worth a task: 16 million pairs with another.
+LEAST = 4096
 
 
 def _few(df: DataFrame, symmetric: bool = False) -> int:

@@ -22,8 +22,8 @@ from ..sources.shared import remove, written
 from ..sources.tables import complement, matrix, reassembled, to_numpy
 from ..streaming.online import Online, exists
 
-#: Rows up to which a cut of all of them is one matrix, on the driver.
-FULL = 5_000
+#: Rows up to which a cut of all of them is one matrix, on the driver; rows from which the solvers of a larger one begin.
+FULL, MARKS = 5_000, 1024
 
 
 @dataclass
@@ -256,7 +256,7 @@ def tiled_spectrum(df: DataFrame, k: int, kind: str, gamma: float, rounds: int =
         raise ValueError(f"unknown solver: {solver}")
     good, apply, _, scale = tiled_operator(df, kind, gamma, held)
     find = tall.lobpcg if solver == "lobpcg" else tall.krylov
-    w, x, off = find(apply, good.select("id"), k, rounds=rounds)
+    w, x, off = find(apply, good.select("id"), k, rounds=rounds, begin=beginning(good, k, kind, gamma, scale))
     if off > 1e-6:
         warnings.warn(f"eigenvectors have a residual of {off:.1e}", stacklevel=3)
     flip = tall.signs(x)
@@ -286,14 +286,25 @@ def tiled_operator(df: DataFrame, kind: str, gamma: float, held: int = tiles.HEL
     return good, apply, squares, scale
 
 
+def beginning(good: DataFrame, k: int, kind: str, gamma: float, scale: float | None, seed: int = 0) -> DataFrame:
+    """``(id, x)``: the trivial eigenvector, which is the degrees' root, and the leading ones of a sample of the rows, continued to all of them by one product with the sample."""
+    marks = good.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(max(1, min(MARKS, good.count() // 4))).toArrow()
+    v, s = matrix(marks.column("v")), np.asarray(marks.column("s"))[:, None]
+    u, w = linalg.solve_eig(block(v, v, kind, gamma, scale) * s * s.T, k + 5)
+    use = np.abs(w) > 1e-10 * np.abs(w).max(initial=0)
+    columns = good.sparkSession.createDataFrame(pa.table({"id": marks.column("id"), "v": marks.column("v"), "a": listed(u[:, use] / w[use] * s)}))
+    near = tiles.product(good, columns, kind, gamma, scale)
+    return good.join(near, "id").select("id", F.concat(F.array(1 / F.col("s")), "y").alias("x"))
+
+
 def solver_errors(df: DataFrame, k: int, kind: str = "cosine", gamma: float = 1.0, held: int = tiles.HELD) -> list[tuple[str, float, float, float]]:
     """(solver, departure from orthonormal, residual, error of the values) of the k leading pairs by every solver, for any number of rows.
 
     The error is a bound, for no full decomposition is made: k orthonormal vectors of a small residual have k eigenvalues within it, and the squares of all
     others sum up to what the matrix' sum of squares is more than theirs. If that leaves none as large as the k-th, these are the leading ones.
     """
-    good, apply, squares, _ = tiled_operator(df, kind, gamma, held)
-    found = {s: tall.solved(apply, good.select("id"), k, s) for s in linalg.SOLVERS}
+    good, apply, squares, scale = tiled_operator(df, kind, gamma, held)
+    found = {s: tall.solved(apply, good.select("id"), k, s, lambda seed: beginning(good, k, kind, gamma, scale, seed)) for s in linalg.SOLVERS}
     basis = written(tall.beside(*(x for _, x in found.values())), "solvers")
     both = written(basis.join(apply(basis), "id"), "solvers")
     shared = df.sparkSession.sparkContext.broadcast(np.concatenate([w for w, _ in found.values()]))
